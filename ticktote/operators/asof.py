@@ -1,9 +1,11 @@
 """As-of joins: one union, one ordered pass, no inequality join.
 
 Both sides are stacked and ordered by time; the last source row seen so far is
-carried as one struct, so NULL values inside that row survive. The pass runs per
-(key, period) and the last source row of earlier periods is carried over one
-summary row per period, so a hot key is spread over its periods.
+carried as one struct, so NULL values inside that row survive. Without a period
+the pass runs per key, which suits tables bounded by the calendar such as bars.
+With one (always, when there is no key) it runs per (key, period) and the last
+source row of earlier periods is carried over one summary row per period, so a
+hot key is spread over its periods.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def asof(
     tolerance_s: float | None = None,
     forward: bool = False,
     right_ts: str | None = None,
-    period: str = "month",
+    period: str | None = None,
     allow_exact: bool = True,
 ) -> DataFrame:
     """Left rows with the values of the last right row at or before them.
@@ -38,6 +40,7 @@ def asof(
     by = list(by or [])
     vals = [c for c in right.columns if c not in (*by, on)]
     if not by:
+        period = period or "month"
         left, right = left.withColumn("_k", F.lit(0)), right.withColumn("_k", F.lit(0))
     keys = by or ["_k"]
     lcols = [c for c in left.columns if c != "_k"]
@@ -50,16 +53,21 @@ def asof(
     tgt = left.select(
         *keys, F.col(on).alias("_t"), F.lit(None).cast(src.schema["_src"].dataType).alias("_src"), F.struct(*lcols).alias("_row")
     )
-    u = tgt.unionByName(src).withColumn("_p", F.date_trunc(period, F.col("_t")))
+    slot = F.date_trunc(period, F.col("_t")) if period else F.lit(0)
+    tgt, src = tgt.withColumn("_p", slot), src.withColumn("_p", slot)
+    u = tgt.unionByName(src)
     sgn = -1 if forward else 1
     side = F.when(F.col("_row").isNull(), 0 if allow_exact else 2).otherwise(1)
     u = u.withColumn("_o", _unix("_t") * sgn).withColumn("_side", side)
     w = (
         Window.partitionBy(*keys, "_p").orderBy("_o", "_side", "_src").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    u = u.withColumn("_loc", F.last("_src", ignorenulls=True).over(w))
-    ends = u.where(F.col("_src").isNotNull()).groupBy(*keys, "_p").agg(F.max_by("_src", F.struct("_o", "_src")).alias("_end"))
-    slots = u.where(F.col("_row").isNotNull()).select(*keys, "_p").distinct()
+    u = u.withColumn("_loc", F.last("_src", ignorenulls=True).over(w)).where(F.col("_row").isNotNull())
+    if period is None:
+        return _project(u, F.col("_loc"), lcols, vals, tolerance_s, right_ts)
+    last = F.struct((_unix("_t") * sgn).alias("o"), F.col("_src").alias("s"))
+    ends = src.groupBy(*keys, "_p").agg(F.max(last)["s"].alias("_end"))
+    slots = tgt.select(*keys, "_p").distinct()
     marks = slots.select("*", F.lit(None).cast(ends.schema["_end"].dataType).alias("_end"), F.lit(0).alias("_q")).unionByName(
         ends.withColumn("_q", F.lit(1))
     )
@@ -71,19 +79,20 @@ def asof(
         .where(F.col("_q") == 0)
         .select(*keys, "_p", "_car")
     )
-    out = null_safe_join(u.where(F.col("_row").isNotNull()), carry, [*keys, "_p"])
-    m = F.coalesce(F.col("_loc"), F.col("_car"))
+    out = null_safe_join(u, carry, [*keys, "_p"])
+    return _project(out, F.coalesce(F.col("_loc"), F.col("_car")), lcols, vals, tolerance_s, right_ts)
+
+
+def _project(d: DataFrame, m: Column, lcols: list[str], vals: list[str], tolerance_s: float | None, right_ts: str | None) -> DataFrame:
     gap = F.abs(F.unix_micros(m["src_ts"].cast("timestamp")) - _unix("_t")) / 1e6
-    if tolerance_s is not None:
-        m = F.when(gap <= tolerance_s, m)
-    out = out.withColumn("_m", m)
+    d = d.withColumn("_m", F.when(gap <= tolerance_s, m) if tolerance_s is not None else m)
     res = [F.col("_row")[c].alias(c) for c in lcols] + [F.col("_m")["v"][c].alias(c) for c in vals]
     if right_ts:
         res.append(F.col("_m")["src_ts"].alias(right_ts))
-    return out.select(*res)
+    return d.select(*res)
 
 
-def asof_nearest(left: DataFrame, right: DataFrame, on: str = "ts", by: list[str] | None = None, period: str = "month") -> DataFrame:
+def asof_nearest(left: DataFrame, right: DataFrame, on: str = "ts", by: list[str] | None = None, period: str | None = None) -> DataFrame:
     """The right row closest in time; a tie goes to the earlier row."""
     vals = [c for c in right.columns if c not in (*(by or []), on)]
     b = asof(left, right, on, by, right_ts="_bt", period=period)
