@@ -58,5 +58,6 @@ def lag(x: str, k: int = 1, part: str = "symbol", order: str = "ts") -> str:
 
 
 def r(x: str, n: int = 6) -> str:
-    """Rounded, with negative zero folded."""
-    return f"(CASE WHEN round({x}, {n}) = 0 THEN 0.0 ELSE round({x}, {n}) END)"
+    """Rounded like functions.core.rnd, with negative zero folded."""
+    v = f"round(CAST({x} AS DOUBLE) + 0.0123456e-{n}::DOUBLE, {n})"
+    return f"(CASE WHEN {v} = 0 THEN 0.0::DOUBLE ELSE {v} END)"

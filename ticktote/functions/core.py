@@ -25,8 +25,17 @@ def flag(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("int")
 
 
+def tie_shift(n: int) -> float:
+    """Offset that keeps exact half-way values off the rounding boundary.
+
+    Ratios with a power of two below the line often end in an exact 5, where the
+    last bit of a sum would decide; the shift is far below the kept digits.
+    """
+    return 0.0123456 * 10.0**-n
+
+
 def rnd(x: str | Column, n: int = 6) -> Column:
-    return F.round(col(x), n)
+    return F.round(col(x) + F.lit(tie_shift(n)), n)
 
 
 def clip(x: str | Column, lo: float | None = None, hi: float | None = None) -> Column:
@@ -43,7 +52,7 @@ def rounded(df: DataFrame, n: int = 6, skip: Iterable[str] = ()) -> DataFrame:
     skip = set(skip)
     return df.select(
         *[
-            F.round(F.col(c), n).alias(c) if t in ("double", "float") and c not in skip else F.col(c)
+            rnd(c, n).alias(c) if t in ("double", "float") and c not in skip else F.col(c)
             for c, t in df.dtypes
         ]
     )
