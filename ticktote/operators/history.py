@@ -22,11 +22,12 @@ def daily(df: DataFrame, keys: list[str], date: str, aggs: dict[str, Column]) ->
     return df.groupBy(*keys, F.to_date(date).alias("_day")).agg(*[v.alias(k) for k, v in aggs.items()])
 
 
-def past_sums(df: DataFrame, keys: list[str], date: str, values: dict[str, Column], days: int | None = None) -> DataFrame:
-    """Adds sums of values over the participant's earlier days (all, or the last `days`), without today."""
-    d = daily(df, keys, date, {k: F.sum(v) for k, v in values.items()}).withColumn("_dn", day_number("_day"))
-    w = Window.partitionBy(*keys).orderBy("_dn").rangeBetween(Window.unboundedPreceding if days is None else -days, -1)
-    d = d.select(*keys, "_day", *[F.coalesce(F.sum(k).over(w), F.lit(0)).alias(k) for k in values])
+def past_sums(df: DataFrame, keys: list[str], date: str, values: dict[str, tuple[Column, int | None]]) -> DataFrame:
+    """Adds sums over the participant's earlier days, without today: name -> (value, days or None for all)."""
+    d = daily(df, keys, date, {k: F.sum(v) for k, (v, _) in values.items()}).withColumn("_dn", day_number("_day"))
+    w = Window.partitionBy(*keys).orderBy("_dn")
+    frame = {k: w.rangeBetween(Window.unboundedPreceding if n is None else -n, -1) for k, (_, n) in values.items()}
+    d = d.select(*keys, "_day", *[F.coalesce(F.sum(k).over(frame[k]), F.lit(0)).alias(k) for k in values])
     out = null_safe_join(df.withColumn("_day", F.to_date(date)), d, [*keys, "_day"], "inner")
     return out.drop("_day")
 
@@ -53,11 +54,9 @@ def last_n_before(df: DataFrame, keys: list[str], date: str, order: list[str], v
     lists = F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_m", "_v"))).over(
         Window.partitionBy(*keys).orderBy("_m").rangeBetween(-n, -1)
     )
-    has = F.col("_v").isNotNull()
     hist = per.withColumn("_h", lists)
     flat = F.flatten(F.transform(F.reverse(F.array_sort("_h")), lambda e: F.transform(e["_v"], lambda q: q["_x"])))
     hist = hist.select(*keys, "_day", F.slice(flat, 1, n).alias(out))
-    del has
     return null_safe_join(df.withColumn("_day", F.to_date(date)), hist, [*keys, "_day"], "inner").drop("_day")
 
 
@@ -77,3 +76,45 @@ def fill_with_mean(df: DataFrame, cols: list[str]) -> DataFrame:
     m = df.agg(*[F.avg(c).alias("_m_" + c) for c in cols])
     d = df.join(F.broadcast(m))
     return d.withColumns({c: F.coalesce(F.col(c), F.col("_m_" + c)) for c in cols}).select(*df.columns)
+
+
+def past_rate(df: DataFrame, keys: list[str], order: list[str], period: Column, hit: Column, default: float, out: str) -> DataFrame:
+    """Hit rate over all earlier rows of a participant in row order (two-level scan, own row excluded)."""
+    from ticktote.operators.sequence import running
+
+    d = df.withColumns({"_h": hit.cast("double"), "_one": F.lit(1.0)})
+    d = running(d, keys, order, period, {"_hs": "_h", "_ns": "_one"})
+    rate = F.try_divide(F.col("_hs") - F.col("_h"), F.col("_ns") - 1)
+    return d.withColumn(out, F.coalesce(rate, F.lit(default))).drop("_h", "_one", "_hs", "_ns")
+
+
+def meets(df: DataFrame, keys: list[str], date: str, rank: str) -> DataFrame:
+    """Per participant and day: day number in the chain of consecutive days, mean rank earlier
+    in the chain, days since the last day (30 on the first) and a rest score peaking at ten days."""
+    d = daily(df, keys, date, {"_rs": F.sum(rank), "_rn": F.count(rank), "_w": F.avg((F.col(rank) == 1).cast("double"))})
+    d = d.withColumn("_dn", day_number("_day"))
+    w = Window.partitionBy(*keys).orderBy("_dn")
+    d = d.withColumns({"_gap": F.col("_dn") - F.lag("_dn").over(w), "_pw": F.lag("_w").over(w), "_isl": F.col("_dn") - F.row_number().over(w)})
+    wi = Window.partitionBy(*keys, "_isl").orderBy("_dn")
+    past = wi.rowsBetween(Window.unboundedPreceding, -1)
+    bell = F.exp(-F.pow((F.col("_gap") - 10) / 10.0, 2)) * (1 + F.col("_pw"))
+    return d.select(
+        *keys,
+        F.col("_day").alias("day"),
+        F.row_number().over(wi).alias("meet_day"),
+        F.coalesce(F.try_divide(F.sum("_rs").over(past), F.sum("_rn").over(past)), F.lit(0.0)).alias("meet_avg_rank"),
+        F.coalesce(F.col("_gap"), F.lit(30)).alias("days_since"),
+        F.coalesce(bell, F.lit(0.0)).alias("rest_quality"),
+    )
+
+
+def previous_meet_best(df: DataFrame, key: str, venue: str, date: str, rank: str, max_gap: int = 4) -> DataFrame:
+    """Best rank of the chain before the current one; a chain is one venue with gaps of at most max_gap days."""
+    d = daily(df, [key, venue], date, {"_best": F.min(rank)}).withColumn("_dn", day_number("_day"))
+    w = Window.partitionBy(key).orderBy("_dn", venue)
+    new = ~F.lag(venue).over(w).eqNullSafe(F.col(venue)) | F.coalesce(F.col("_dn") - F.lag("_dn").over(w) > max_gap, F.lit(False))
+    d = d.withColumn("_new", F.when(new, 1).otherwise(0))
+    d = d.withColumn("_ch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = d.groupBy(key, "_ch").agg(F.min("_best").alias("_cb"))
+    c = c.withColumn("prev_meet_best", F.lag("_cb").over(Window.partitionBy(key).orderBy("_ch"))).select(key, "_ch", "prev_meet_best")
+    return d.join(c, [key, "_ch"], "inner").select(key, venue, F.col("_day").alias("day"), "prev_meet_best")
