@@ -47,6 +47,12 @@ BETS = RE + """, bets AS (SELECT race_id, race_date, grade AS strategy, venue_id
  FROM re QUALIFY row_number() OVER (PARTITION BY race_id ORDER BY prob DESC, car_no) = 1)"""
 
 
+TRADES = BARS + """, t0 AS (SELECT *, close / lag(close) OVER w - 1 AS ret1, lead(close, 4) OVER w / close - 1 AS fwd FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+ t1 AS (SELECT *, CASE WHEN count(ret1) OVER w >= 24 THEN stddev_samp(ret1) OVER w END AS vol FROM t0 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+ trades AS (SELECT symbol, ts, open, high, low, close, vol, fwd, CASE WHEN close < open THEN 1 ELSE -1 END AS side, 0.5 + 0.5 * abs(close - open) / (high - low) AS conf,
+ 3 + hour(ts) % 3 AS agreement, CASE WHEN close < open THEN 1 ELSE -1 END * fwd * 0.01 AS ret FROM t1 WHERE fwd IS NOT NULL AND high > low)"""
+
+
 def roll(agg: str, x: str, n: int, part: str = "symbol", order: str = "ts", mp: int | None = None) -> str:
     """Rolling aggregate over n rows, NULL below mp non-null values."""
     w = f"OVER (PARTITION BY {part} ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"

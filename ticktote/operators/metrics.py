@@ -7,7 +7,7 @@ periods, so one strategy with most of the trades is still spread out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import sdiv
@@ -61,3 +61,47 @@ def grouped_performance(df: DataFrame, keys: list[str], ret: str = "ret", hit: s
 
 def attach(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     return null_safe_join(df, other, keys, "left") if keys else df.join(F.broadcast(other))
+
+
+def calibration(df: DataFrame, prob: str, hit: Column, bins: int = 10, clamp: bool = False) -> DataFrame:
+    """Equal probability bins: count, mean prediction, hit rate, error; empty bins are kept.
+
+    p = 1 falls outside the last bin unless clamped into it.
+    """
+    b = F.floor(F.col(prob) * bins)
+    b = F.least(b, F.lit(bins - 1)) if clamp else b
+    g = df.withColumns({"bin": b.cast("int"), "_h": hit}).where(F.col("bin") < bins)
+    g = g.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(prob).alias("predicted"), F.avg("_h").alias("actual"))
+    allb = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    d = allb.join(F.broadcast(g), "bin", "left").fillna({"n": 0}).withColumn("error", F.abs(F.col("predicted") - F.col("actual")))
+    # ten rows at most from here on
+    m = F.max("error").over(Window.partitionBy())
+    return d.select("bin", "n", "predicted", "actual", "error", m.alias("max_error"), (m < 0.10).cast("int").alias("well_calibrated"))
+
+
+def regime_profile(df: DataFrame, regime: str, fwd: str, vol: str) -> DataFrame:
+    g = df.groupBy(regime).agg(F.count(F.lit(1)).alias("n"), F.avg(fwd).alias("mean_fwd"), F.avg(vol).alias("mean_vol"))
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+
+
+def transition_matrix(df: DataFrame, q, regime: str) -> DataFrame:
+    """Counts and row shares of consecutive regimes of each sequence."""
+    d = df.select(F.lag(regime).over(q.w).alias("prev"), F.col(regime).alias("cur")).where(F.col("prev").isNotNull())
+    g = d.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n"))
+    return g.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("prev")))
+
+
+def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Pearson correlation of every pair of columns in one aggregation."""
+    ps = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    g = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in ps])
+    rows = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in ps]))
+    return g.select(rows.alias("e")).select("e.*")
+
+
+def best_cell(grid: DataFrame, keys: list[str], score: str, ok: Column, params: list[str]) -> DataFrame:
+    """Parameters of the best score among cells that satisfy `ok`, else among all cells."""
+    v = F.struct(F.col(score), *params)
+    g = grid.withColumn("_ok", ok).groupBy(*keys).agg(F.max(F.when(F.col("_ok"), v)).alias("a"), F.max(v).alias("b"))
+    best = F.coalesce("a", "b")
+    return g.select(*keys, *[best[p].alias(p) for p in params], best[score].alias(score))

@@ -156,3 +156,18 @@ class Tables:
             F.when(hit, F.col("odds") * 100).otherwise(0.0).alias("payout"),
             (F.when(hit, F.col("odds") - 1).otherwise(-1.0) * 0.02).alias("ret"),
         )
+
+    def trades(self) -> DataFrame:
+        """One contrarian trade per bar held four bars: side, confidence, agreement, return."""
+        from ticktote.functions.core import Seq
+
+        q = Seq("symbol", "ts")
+        b = self.bars().withColumns({"ret1": q.pct("close"), "fwd": sdiv(q.lead("close", 4), F.col("close")) - 1})
+        b = b.withColumn("vol", q.sd("ret1", 24)).where(F.col("fwd").isNotNull() & (F.col("high") > F.col("low")))
+        side = F.when(F.col("close") < F.col("open"), 1).otherwise(-1)
+        return b.select(
+            "symbol", "ts", "open", "high", "low", "close", "vol", "fwd", side.alias("side"),
+            (0.5 + 0.5 * F.abs(F.col("close") - F.col("open")) / (F.col("high") - F.col("low"))).alias("conf"),
+            (3 + F.hour("ts") % 3).alias("agreement"),
+            (side * F.col("fwd") * 0.01).alias("ret"),
+        )
