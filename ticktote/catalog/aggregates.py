@@ -297,7 +297,7 @@ def _(t):
     return d.select("race_id", C("pos").cast("bigint").alias("pos"))
 
 
-@query("k2_top_k_per_race", f"WITH {ENTRIES} SELECT race_id, car_no, {r('prob * odds')} AS ev, CAST(row_number() OVER (PARTITION BY race_id ORDER BY prob * odds DESC, car_no) AS INT) AS rk FROM entries QUALIFY rk <= 3")
+@query("k2_top_k_per_race", f"WITH {ENTRIES} SELECT race_id, car_no, {r('prob * odds')} AS ev, CAST(row_number() OVER (PARTITION BY race_id ORDER BY round(prob * odds, 9) DESC, car_no) AS INT) AS rk FROM entries QUALIFY rk <= 3")
 def _(t):
     e = t.entries().withColumn("ev", F.round(C("prob") * C("odds"), 9))
     k = F.row_number().over(Window.partitionBy("race_id").orderBy(C("ev").desc(), "car_no"))
