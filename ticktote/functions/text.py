@@ -66,3 +66,27 @@ def first_pattern(text: str | Column, patterns: dict[str, str], default: str) ->
         c = col(text).rlike(p)
         out = F.when(c, name) if out is None else out.when(c, name)
     return out.otherwise(default)
+
+
+# Intent patterns in order of precedence. Group 1 is the target, where there is one.
+INTENT_PATTERNS = {
+    "lead": r"(?i)take the lead|lead out|自力|先行",
+    "single": r"(?i)\balone\b|単騎",
+    "follow": r"(?i)follow(?:s|ing)?(?: the)? (\w+)|(\S+?)(?:選手|君)?(?:を追|の後ろ|に付)",
+    "second": r"(?i)second wheel|番手",
+}
+INTENT_CONFIDENCE = {"lead": 0.8, "single": 0.8, "follow": 0.8, "second": 0.6, "unknown": 0.0}
+
+
+def comment_intent(df: DataFrame, text: str) -> DataFrame:
+    """First matching family: role (second counts as follow), target name and confidence."""
+    fam = first_pattern(text, INTENT_PATTERNS, "unknown")
+    d = df.withColumn("_f", F.coalesce(fam, F.lit("unknown")))
+    target = F.regexp_extract(text, INTENT_PATTERNS["follow"], 1)
+    conf = F.lit(0.0)
+    for k, v in INTENT_CONFIDENCE.items():
+        conf = F.when(F.col("_f") == k, v).otherwise(conf)
+    return d.withColumns({
+        "role": F.when(F.col("_f") == "second", "follow").otherwise(F.col("_f")),
+        "target": F.when((F.col("_f") == "follow") & (target != ""), target),
+        "confidence": conf}).drop("_f")

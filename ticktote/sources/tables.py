@@ -72,7 +72,7 @@ class Tables:
             F.col("o_orderkey").alias("race_id"),
             F.col("o_orderdate").alias("race_date"),
             F.col("o_orderpriority").alias("grade"),
-            F.col("o_orderstatus").alias("status"),
+            F.col("o_orderstatus").alias("race_status"),
             F.col("o_totalprice").alias("purse"),
             "o_custkey",
         )
