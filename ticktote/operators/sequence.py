@@ -66,6 +66,31 @@ def running(
     return out.select(*df.columns, *cols, *peaks)
 
 
+def running_max(df: DataFrame, keys: list[str], order: list, period: Column, cols: dict[str, str | Column]) -> DataFrame:
+    """Running maximum of columns, NULLs ignored; same two levels as `running`."""
+    cs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in cols.items()}
+    d = df.withColumn("_p", period)
+    w = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summ = d.groupBy(*keys, "_p").agg(*[F.max(c).alias("_t_" + k) for k, c in cs.items()])
+    wk = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    carry = summ.select(*keys, "_p", *[F.max("_t_" + k).over(wk).alias("_c_" + k) for k in cs])
+    d = d.withColumns({"_m_" + k: F.max(c).over(w) for k, c in cs.items()})
+    out = null_safe_join(d, carry, [*keys, "_p"], "inner")
+    return out.select(*df.columns, *[F.greatest("_m_" + k, "_c_" + k).alias(k) for k in cs])
+
+
+def losing_streak(df: DataFrame, keys: list[str], order: list, period: Column, pnl: str, out: str = "streak") -> DataFrame:
+    """Losses since the last win; a zero result keeps the streak.
+
+    The running loss count minus its value at the last win, which is the running
+    maximum over winning rows because the count never falls.
+    """
+    d = running(df, keys, order, period, {"_losses": (F.col(pnl) < 0).cast("double")})
+    d = running_max(d, keys, order, period, {"_at_win": F.when(F.col(pnl) > 0, F.col("_losses"))})
+    streak = F.col("_losses") - F.coalesce(F.col("_at_win"), F.lit(0.0))
+    return d.withColumn(out, streak.cast("int")).drop("_losses", "_at_win")
+
+
 def with_halo(df: DataFrame, keys: list[str], pos: str, chunk: int, back: int = 0, ahead: int = 0) -> DataFrame:
     """Split each key into chunks of rows and copy the neighbours a row frame needs.
 

@@ -31,6 +31,19 @@ def triple_barrier(df: DataFrame, q: Seq, up, down, horizon: int = 24, x: str =
     return d.withColumn(out, lab.cast("int")).drop("_up", "_dn", "_p")
 
 
+def with_path(df: DataFrame, q: Seq, horizon: int) -> DataFrame:
+    """Adds the next rows' high, low and close once; exits of many parameter sets can then share them."""
+    return df.withColumn("_p", _path(q, horizon, "high", "low", "close"))
+
+
+def exit_grid(df: DataFrame, q: Seq, side: Column, atr: str, sl_mults: list[float], tp_mults: list[float], horizon: int) -> DataFrame:
+    """Exits for every stop and target multiple; the path is read once per row."""
+    cells = F.array(*[F.struct(F.lit(float(s)).alias("sl_mult"), F.lit(float(t)).alias("tp_mult")) for s in sl_mults for t in tp_mults])
+    d = with_path(df, q, horizon).withColumn("_g", F.explode(cells)).select("*", "_g.*").drop("_g")
+    e = F.col("close")
+    return first_touch(d, q, e + side * F.col(atr) * F.col("tp_mult"), e - side * F.col(atr) * F.col("sl_mult"), side, horizon)
+
+
 def first_touch(df: DataFrame, q: Seq, tp: Column, sl: Column, side: Column, horizon: int, entry: str | Column = "close") -> DataFrame:
     """Exit of a trade opened on each row: adds exit_reason, exit_price, bars_held.
 
@@ -38,7 +51,8 @@ def first_touch(df: DataFrame, q: Seq, tp: Column, sl: Column, side: Column, hor
     stop. Without a touch the trade leaves at the close of the last bar in reach;
     rows without any later bar get NULLs.
     """
-    d = df.withColumns({"_tp": tp, "_sl": sl, "_sd": side, "_e": col(entry), "_p": _path(q, horizon, "high", "low", "close")})
+    d = df if "_p" in df.columns else with_path(df, q, horizon)
+    d = d.withColumns({"_tp": tp, "_sl": sl, "_sd": side, "_e": col(entry)})
 
     def judge(e, i):
         stop = F.when(F.col("_sd") > 0, e["low"] <= F.col("_sl")).otherwise(e["high"] >= F.col("_sl"))
