@@ -31,32 +31,87 @@ def hourly_mean(df: DataFrame, ts: str, x: str) -> DataFrame:
     return df.groupBy(F.date_trunc("hour", ts).alias(ts)).agg(F.avg(x).alias(x))
 
 
-def keyword_sentiment(df: DataFrame, text: str, lexicon: dict[str, float], injury: list[str], negation: list[str]) -> DataFrame:
-    """Sum of weight x count, tanh score, confidence share, injury weight, negation damping, lengths."""
-    d = df.withColumn("_t", F.lower(text)).withColumn("_hit", lexicon_terms("_t", lexicon))
+# Keyword weights of rider comments.
+POSITIVE_KEYWORDS = {
+    "絶好調": 1.0, "絶好": 1.0, "最高": 1.0, "快調": 1.0, "勝てる": 1.0, "勝機": 1.0, "自信": 1.0, "楽勝": 1.0, "復活": 1.0, "復調": 0.8, "絶対": 0.8,
+    "好調": 0.6, "調子": 0.5, "上向き": 0.6, "余裕": 0.6, "狙える": 0.7, "狙う": 0.5, "勝負": 0.6, "頑張": 0.3, "しっかり": 0.4, "力": 0.3, "問題ない": 0.6,
+    "悪くない": 0.4, "いい": 0.3, "良い": 0.3, "まずまず": 0.3, "動ける": 0.4, "仕上がった": 0.5, "万全": 0.8,
+}
+NEGATIVE_KEYWORDS = {
+    "絶望": -1.0, "最悪": -1.0, "無理": -1.0, "勝負にならない": -1.0, "厳しい": -0.7, "きつい": -0.6, "苦しい": -0.7,
+    "不調": -0.7, "悪い": -0.5, "ダメ": -0.7, "だめ": -0.7, "疲れ": -0.5, "疲労": -0.5, "痛い": -0.5, "出遅れ": -0.4, "乗れない": -0.6, "合わない": -0.4,
+    "難しい": -0.4, "わからない": -0.2, "不安": -0.5, "心配": -0.4, "微妙": -0.3, "まだ": -0.1,
+}
+INJURY_KEYWORDS = {"怪我": 1.0, "けが": 1.0, "負傷": 1.0, "故障": 1.0, "痛み": 0.7, "違和感": 0.6, "張り": 0.4, "腰": 0.3, "膝": 0.3, "足": 0.2}
+CONFIDENT = ["絶対", "必ず", "自信", "間違いな", "確実", "任せ", "勝てる", "絶好調"]
+DOUBTFUL = ["どうか", "わからな", "たぶん", "かもしれな", "かな", "どうだろう", "難しい"]
+NEGATION = r"ない\b|ぬ\b|ません"
+
+
+def keyword_sentiment(
+    df: DataFrame,
+    text: str,
+    weights: dict[str, float] | None = None,
+    injury: dict[str, float] | None = None,
+    confident: list[str] | None = None,
+    doubtful: list[str] | None = None,
+    negation: str = NEGATION,
+) -> DataFrame:
+    """Comment scores: tanh of half the weighted keyword sum (a negation halves a positive
+    score), confidence from sure and unsure words, worst injury word, counts, length.
+
+    Everything is expressions over the whole text; keywords are counted separately, so a
+    word inside a longer keyword counts for both.
+    """
+    weights = weights if weights is not None else {**POSITIVE_KEYWORDS, **NEGATIVE_KEYWORDS}
+    injury = injury if injury is not None else INJURY_KEYWORDS
+    confident = confident if confident is not None else CONFIDENT
+    doubtful = doubtful if doubtful is not None else DOUBTFUL
+    c = F.col(text)
+    d = df.withColumn("_hit", lexicon_terms(c, weights))
     total = F.aggregate("_hit", F.lit(0.0), lambda a, e: a + e["v"] * e["n"])
-    pos = F.aggregate(F.filter("_hit", lambda e: e["v"] > 0), F.lit(0), lambda a, e: a + e["n"])
-    neg = F.aggregate(F.filter("_hit", lambda e: e["v"] < 0), F.lit(0), lambda a, e: a + e["n"])
-    inj = F.array_max(F.transform(F.filter("_hit", lambda e: e["w"].isin(injury)), lambda e: F.abs(e["v"]))) if injury else F.lit(None)
-    damp = F.when(_any(F.col("_t"), negation), 0.5).otherwise(1.0)
-    d = d.withColumns({"total": total * damp, "n_pos": pos, "n_neg": neg, "injury": F.coalesce(inj, F.lit(0.0)), "negated": (damp < 1).cast("int"), "n_chars": F.length(text)})
-    return d.withColumns({"score": F.tanh(F.col("total") / 2), "confidence": F.coalesce(sdiv(F.greatest("n_pos", "n_neg"), F.col("n_pos") + F.col("n_neg")), F.lit(0.0))}).drop("_t", "_hit")
-
-
-def _any(t: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | t.contains(w)
-    return out
+    count = lambda keep: F.aggregate(F.filter("_hit", keep), F.lit(0), lambda a, e: a + e["n"])
+    hi = sum((occurrences(c, w) for w in confident), F.lit(0))
+    lo = sum((occurrences(c, w) for w in doubtful), F.lit(0))
+    inj = F.greatest(F.lit(0.0), *[F.when(c.contains(w), F.lit(v)).otherwise(0.0) for w, v in injury.items()]) if injury else F.lit(0.0)
+    d = d.withColumns({"_total": total, "_hi": hi, "_lo": lo})
+    raw = F.tanh(F.col("_total") / 2)
+    blank = c.isNull() | (F.trim(c) == "")
+    some = F.col("_hi") + F.col("_lo")
+    conf = F.when(some > 0, (F.col("_hi") - F.col("_lo")) / (some + 1) * 0.5 + 0.5).otherwise(0.5)
+    zero = lambda x, z: F.when(blank, z).otherwise(x)
+    return d.withColumns({
+        "sentiment_score": zero(F.when(c.rlike(negation) & (raw > 0), raw * 0.5).otherwise(raw), 0.0),
+        "confidence_score": zero(conf, 0.0),
+        "injury_flag": zero(inj, 0.0),
+        "n_positive": zero(count(lambda e: e["v"] > 0), 0),
+        "n_negative": zero(count(lambda e: e["v"] < 0), 0),
+        "length": zero(F.length(c), 0),
+    }).drop("_hit", "_total", "_hi", "_lo")
 
 
 def rule_sentiment(df: DataFrame, text: str, lexicon: dict[str, float]) -> DataFrame:
-    """Mean weight of the words found, clamped to [-1, 1], with label and confidence."""
-    d = df.withColumn("_hit", lexicon_terms(F.lower(text), lexicon)).withColumn("n_hits", F.size("_hit"))
-    s = F.aggregate("_hit", F.lit(0.0), lambda a, e: a + e["v"])
+    """Mean weight of the words present, clamped to [-1, 1], with label and confidence."""
+    t = F.lower(text)
+    hits = F.array_compact(F.array(*[F.when(t.contains(w), F.lit(float(v))) for w, v in lexicon.items()]))
+    d = df.withColumn("_h", hits).withColumn("n_hits", F.size("_h"))
+    s = F.aggregate("_h", F.lit(0.0), lambda a, e: a + e)
     d = d.withColumn("score", F.coalesce(clip(sdiv(s, F.col("n_hits").cast("double")), -1, 1), F.lit(0.0)))
-    lab = F.when(F.col("score") > 0.2, "positive").when(F.col("score") < -0.2, "negative").otherwise("neutral")
-    return d.withColumns({"label": lab, "confidence": F.least(F.lit(1.0), F.col("n_hits") * 0.25)}).drop("_hit")
+    x = F.col("score")
+    lab = F.when(x >= 0.3, "positive").when(x <= -0.3, "negative").when(F.col("n_hits") == 0, "skip").otherwise("neutral")
+    return d.withColumns({"label": lab, "confidence": F.least(F.lit(0.9), 0.5 + F.abs(x) * 0.4)}).drop("_h")
+
+
+def news_targets(df: DataFrame, text: str, sectors: dict[str, list[str]], inverse: dict[str, list[str]]) -> DataFrame:
+    """Codes named directly, codes of sectors named, codes that move against an event named."""
+    t = F.lower(text)
+    direct = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\d{4}(?:\.T)?)\b"), F.lit(1))))
+
+    def mapped(m: dict[str, list[str]]) -> Column:
+        parts = [F.when(t.contains(k), F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>")) for k, v in m.items()]
+        return F.array_sort(F.array_distinct(F.flatten(F.array(*parts))))
+
+    return df.withColumns({"direct": direct, "sector": mapped(sectors), "inverse": mapped(inverse)})
 
 
 def first_pattern(text: str | Column, patterns: dict[str, str], default: str) -> Column:

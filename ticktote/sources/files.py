@@ -86,11 +86,71 @@ def insert_ignore(old: DataFrame, new: DataFrame, keys: list[str], order: list)
     return old.unionByName(first.join(old.select(*keys).distinct(), keys, "left_anti"), allowMissingColumns=True)
 
 
-def coalesce_update(old: DataFrame, updates: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Fill only missing values from updates (one row per key)."""
+def coalesce_update(old: DataFrame, updates: DataFrame, keys: list[str], cols: list[str], gap_cols: list[str]) -> DataFrame:
+    """Rows with a gap in gap_cols take the non-null updates; complete rows are left alone."""
     u = updates.select(*keys, *[F.col(c).alias("_u_" + c) for c in cols])
-    d = null_safe_join(old, u, keys, "left")
-    return d.withColumns({c: F.coalesce(F.col(c), F.col("_u_" + c)) for c in cols}).select(*old.columns)
+    gap = F.lit(False)
+    for c in gap_cols:
+        gap = gap | F.col(c).isNull()
+    d = null_safe_join(old.withColumn("_gap", gap), u, keys, "left")
+    new = {c: F.when(F.col("_gap"), F.coalesce(F.col("_u_" + c), F.col(c))).otherwise(F.col(c)) for c in cols}
+    return d.withColumns(new).select(*old.columns)
+
+
+def from_csv_lines(lines: DataFrame, text: str = "line") -> DataFrame:
+    """Bar rows from CSV text lines: coerced, header and broken rows dropped."""
+    d = lines.withColumn("_r", F.from_csv(F.col(text), BAR_SCHEMA.simpleString()[7:-1].replace(":", " ")))
+    return typed_bars(d.select(*[c for c in lines.columns if c != text], "_r.*"))
+
+
+def typed_bars(raw: DataFrame) -> DataFrame:
+    num = {c: F.col(c).try_cast("double") for c in ("open", "high", "low", "close", "volume")}
+    return raw.withColumns({"ts": F.col("ts").try_cast("timestamp_ntz"), **num}).dropna(subset=["ts", "close"])
+
+
+KLINES = "array<struct<t:bigint,o:string,h:string,l:string,c:string,v:string>>"
+
+
+def flatten_klines(payloads: DataFrame, body: str, keys: list[str]) -> DataFrame:
+    """Payload arrays to typed rows, one per key and timestamp."""
+    d = payloads.select(*keys, F.explode(F.from_json(body, KLINES)).alias("k"))
+    d = d.select(*keys, F.timestamp_millis("k.t").alias("ts"), *[F.col("k." + a).try_cast("double").alias(b) for a, b in (("o", "open"), ("h", "high"), ("l", "low"), ("c", "close"), ("v", "volume"))])
+    return d.dropDuplicates([*keys, "ts"])
+
+
+def extract_matches(pages: DataFrame, html: str, pattern: str, names: list[str], keys: list[str]) -> DataFrame:
+    """One row per regular-expression match of a page, groups as columns, in page order."""
+    groups = [F.regexp_extract_all(html, F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
+    z = F.arrays_zip(*groups)
+    return pages.select(*keys, F.posexplode(z).alias("match_no", "m")).select(*keys, (F.col("match_no") + 1).alias("match_no"), *[F.col("m")[n].alias(n) for n in names])
+
+
+# Fixed value: one winning trifecta of a result page, "3-1-4 17,640円".
+PAYOUT_PATTERN = r"(\d+)\s*-\s*(\d+)\s*-\s*(\d+)\s+([\d,]+)\s*円"
+
+
+def extract_payouts(pages: DataFrame, html: str, keys: list[str]) -> DataFrame:
+    """Race number, combination and payout of every trifecta line of a result page."""
+    d = extract_matches(pages, html, PAYOUT_PATTERN, ["a", "b", "c", "yen"], keys)
+    pay = F.regexp_replace("yen", ",", "").cast("int")
+    return d.select(*keys, F.col("match_no").alias("race_no"), F.concat_ws("-", "a", "b", "c").alias("combo"), pay.alias("payout"))
+
+
+def position_rows(raw: DataFrame, code: str, name: str, codes: list[str], name_part: str, date: str, version: str) -> DataFrame:
+    """Contract rows by code, or by name where the code is missing; last row per contract and date."""
+    pick = F.coalesce(F.trim(code).isin(codes), F.lower(name).contains(name_part.lower()))
+    d = raw.where(pick)
+    vals = [c for c in d.columns if c not in (code, date)]
+    return d.groupBy(code, date).agg(F.max_by(F.struct(*vals), version).alias("_v")).select(code, date, *[F.col("_v")[c].alias(c) for c in vals])
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the cluster's shared checkpoint folder; a temporary one where none is set."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-")
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append", fmt: str = "parquet") -> None:
