@@ -27,7 +27,7 @@ def _(t):
 @query("w9_field_differences", f"""WITH {ENTRIES} SELECT race_id, car_no, {r(f'score - avg(score) {P}', 4)} AS score_vs_field, {r(f'avg(score) {P}', 4)} AS field_strength, {r(f'stddev_samp(score) {P}', 4)} AS field_spread,
  {r(f'max(prob) {P} - prob')} AS upset_gap FROM entries""")
 def _(t):
-    d = t.entries().select("race_id", "car_no", ra.vs_field("score").alias("score_vs_field"), F.avg("score").over(ra.RACE).alias("field_strength"), F.stddev_samp("score").over(ra.RACE).alias("field_spread"), (F.max("prob").over(ra.RACE) - C("prob")).alias("upset_gap"))
+    d = t.entries().select("race_id", "car_no", ra.vs_field("score").alias("score_vs_field"), F.avg("score").over(ra.race()).alias("field_strength"), F.stddev_samp("score").over(ra.race()).alias("field_spread"), (F.max("prob").over(ra.race()) - C("prob")).alias("upset_gap"))
     return d.select("race_id", "car_no", *[rnd(c, 4).alias(c) for c in ("score_vs_field", "field_strength", "field_spread")], rnd("upset_gap").alias("upset_gap"))
 
 
@@ -175,7 +175,7 @@ def _(t):
 @query("r2_odds_flags", f"""WITH {_CH} SELECT race_id, car_no, CAST(chg_5_1 <= -0.001 AS INT) AS sharp_drop, CAST(chg_5_1 * m < 0 AND abs(chg_5_1) > 0.002 AS INT) AS contrarian, CAST(abs(chg_1_0) >= 0.001 AS INT) AS late_surge FROM (SELECT *, avg(chg_5_1) {P} AS m FROM ch)""")
 def _(t):
     d = ra.odds_changes(wide(t), SNAPSHOTS)
-    m = F.avg("chg_5_1").over(ra.RACE)
+    m = F.avg("chg_5_1").over(ra.race())
     return d.select("race_id", "car_no", flag(C("chg_5_1") <= -0.001).alias("sharp_drop"), flag((C("chg_5_1") * m < 0) & (F.abs("chg_5_1") > 0.002)).alias("contrarian"), flag(F.abs("chg_1_0") >= 0.001).alias("late_surge"))
 
 

@@ -24,7 +24,7 @@ _J3 = _J2 + " JOIN entries c ON c.race_id = a.race_id AND c.car_no <> a.car_no A
 def _(t):
     d = cb.triples(t.entries(), ["car_no", "prob", "field_size"])
     d = d.withColumn("raw", cb.p_exacta(C("prob1"), C("prob2")) / (C("field_size1") - 2))
-    d = d.withColumn("p", C("raw") / F.sum("raw").over(ra.RACE))
+    d = d.withColumn("p", C("raw") / F.sum("raw").over(ra.race()))
     g = d.groupBy("race_id").agg(F.count(F.lit(1)).alias("n_combos"), F.max("p").alias("top_prob"), F.sum("p").alias("total"), (-F.sum(C("p") * F.log("p"))).alias("entropy"))
     return g.select("race_id", "n_combos", rnd("top_prob").alias("top_prob"), rnd("total").alias("total"), rnd("entropy", 5).alias("entropy"))
 

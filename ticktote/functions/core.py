@@ -39,12 +39,13 @@ def rnd(x: str | Column, n: int = 6) -> Column:
 
 
 def clip(x: str | Column, lo: float | None = None, hi: float | None = None) -> Column:
-    c = col(x)
+    """Bounded value; NULL stays NULL."""
+    c = v = col(x)
     if lo is not None:
-        c = F.greatest(c, F.lit(float(lo)))
+        v = F.greatest(v, F.lit(float(lo)))
     if hi is not None:
-        c = F.least(c, F.lit(float(hi)))
-    return c
+        v = F.least(v, F.lit(float(hi)))
+    return F.when(c.isNotNull(), v)
 
 
 def rounded(df: DataFrame, n: int = 6, skip: Iterable[str] = ()) -> DataFrame:
@@ -68,7 +69,10 @@ class Seq:
     def __init__(self, keys: str | list[str] = "symbol", order: str | list = "ts"):
         self.keys = [keys] if isinstance(keys, str) else list(keys)
         self.order = order if isinstance(order, list) else [order]
-        self.w: WindowSpec = Window.partitionBy(*self.keys).orderBy(*self.order)
+
+    @property
+    def w(self) -> WindowSpec:
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
 
     def last(self, n: int) -> WindowSpec:
         """Current row and the n-1 rows before it."""

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import band, code_map, flag, sdiv
 
 C = F.col
-RACE = Window.partitionBy("race_id")
 
 # Band edges (right-closed) of distance in metres and rest in days.
 DISTANCE_EDGES = [1400, 1800, 2200]
@@ -18,6 +17,10 @@ FAST_PACE_SCORE = {0: -0.3, 1: -0.1, 2: 0.2, 3: 0.3}
 SLOW_PACE_SCORE = {0: 0.3, 1: 0.15, 2: -0.1, 3: -0.25}
 
 
+def race() -> WindowSpec:
+    return Window.partitionBy("race_id")
+
+
 def distance_band(x="distance"):
     return band(x, DISTANCE_EDGES, [0, 1, 2, 3], right_closed=True)
 
@@ -41,7 +44,7 @@ def track_condition(df: DataFrame) -> DataFrame:
 
 def pace(df: DataFrame) -> DataFrame:
     s = C("running_style")
-    d = df.withColumns({"n_front": F.sum(flag(s <= 0)).over(RACE), "front_ratio": F.avg(flag(s <= 1)).over(RACE)})
+    d = df.withColumns({"n_front": F.sum(flag(s <= 0)).over(race()), "front_ratio": F.avg(flag(s <= 1)).over(race())})
     fr = C("front_ratio")
     score = F.when(fr > 0.45, code_map("prev_running_style", FAST_PACE_SCORE, 0.0)).when(fr < 0.30, code_map("prev_running_style", SLOW_PACE_SCORE, 0.0)).otherwise(0.0)
     return d.withColumns({
@@ -76,7 +79,7 @@ def weight_change(df: DataFrame) -> DataFrame:
     w = C("weight_change")
     return df.withColumns({
         "weight_change_sq": w * w, "slight_weight_loss": flag((w >= -4) & (w < 0)), "big_weight_gain": flag(w > 8), "big_weight_loss": flag(w < -8),
-        "carried_x_class": C("weight_carried") * C("race_class"), "carried_rank": F.rank().over(RACE.orderBy("weight_carried"))})
+        "carried_x_class": C("weight_carried") * C("race_class"), "carried_rank": F.rank().over(race().orderBy("weight_carried"))})
 
 
 def rest_period(df: DataFrame) -> DataFrame:
@@ -91,5 +94,5 @@ def interactions(df: DataFrame) -> DataFrame:
     d = df.withColumns({
         "implied_prob": ip, "odds_vs_winrate": C("win_rate") - ip, "jockey_horse_combo": C("jockey_win_rate") * C("win_rate"),
         "weight_extreme": flag((C("horse_weight") < 430) | (C("horse_weight") > 520)), "inner_post": flag(C("post") <= 3), "small_field": flag(C("field_size") <= 10),
-        "pace_predict": F.avg(flag(C("prev_running_style") <= 1)).over(RACE)})
+        "pace_predict": F.avg(flag(C("prev_running_style") <= 1)).over(race())})
     return d.withColumn("style_pace_interact", C("prev_running_style") * C("pace_predict"))

@@ -44,8 +44,9 @@ def p_quinella(p1: Column, p2: Column) -> Column:
 
 
 def p_trio(a: Column, b: Column, c: Column) -> Column:
-    """Unordered triple: the sum over its six orders."""
-    return sum((p_trifecta(x, y, z) for x, y, z in ((a, c, b), (b, a, c), (b, c, a), (c, a, b), (c, b, a))), p_trifecta(a, b, c))
+    """Unordered triple: the sum over its six orders, with common denominators shared."""
+    ab, ac, bc = (sdiv(F.lit(1.0), 1 - x - y) for x, y in ((a, b), (a, c), (b, c)))
+    return a * b * c * (sdiv(ab + ac, 1 - a) + sdiv(ab + bc, 1 - b) + sdiv(ac + bc, 1 - c))
 
 
 def combo_key(*cars: Column) -> Column:
@@ -63,18 +64,26 @@ def ticket_rows(e: DataFrame) -> DataFrame:
     f = {i: F.col(f"finish{i}") for i in (1, 2, 3)}
     p = {i: F.col(f"prob{i}") for i in (1, 2, 3)}
     k = {i: F.col(f"car_no{i}") for i in (1, 2, 3)}
-    two, three = pairs(e, cols), triples(e, cols)
-    uno2, uno3 = two.where("car_no1 < car_no2"), three.where("car_no1 < car_no2 AND car_no2 < car_no3")
-
-    def rows(d, ticket, combo, prob, hit):
-        d = d.select("race_id", F.lit(ticket).alias("ticket"), combo.alias("combo"), prob.alias("prob"), F.col("disc1").alias("_d"), hit.cast("int").alias("hit"))
-        return d.where(F.col("prob") > 1e-9).select("race_id", "ticket", "combo", "prob", exotic_odds(F.col("prob"), F.col("_d")).alias("odds"), "hit")
-
     two_top, in3 = (f[1] <= 2) & (f[2] <= 2), (f[1] <= 3) & (f[2] <= 3)
-    return (
-        rows(two, "exacta", combo_key(k[1], k[2]), p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2))
-        .unionByName(rows(uno2, "quinella", combo_key(k[1], k[2]), p_quinella(p[1], p[2]), two_top))
-        .unionByName(rows(uno2, "wide", combo_key(k[1], k[2]), F.least(F.lit(1.0), 3 * p_quinella(p[1], p[2])), in3))
-        .unionByName(rows(uno3, "trio", combo_key(k[1], k[2], k[3]), p_trio(p[1], p[2], p[3]), (f[1] <= 3) & (f[2] <= 3) & (f[3] <= 3)))
-        .unionByName(rows(three, "trifecta", combo_key(k[1], k[2], k[3]), p_trifecta(p[1], p[2], p[3]), (f[1] == 1) & (f[2] == 2) & (f[3] == 3)))
+
+    def row(ticket, prob, hit):
+        return F.struct(F.lit(ticket).alias("ticket"), prob.alias("prob"), hit.cast("int").alias("hit"))
+
+    q = p_quinella(p[1], p[2])
+    low = k[1] < k[2]
+    per_pair = F.array_compact(F.array(
+        row("exacta", p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2)), F.when(low, row("quinella", q, two_top)), F.when(low, row("wide", F.least(F.lit(1.0), 3 * q), in3))))
+    two = pairs(e, cols).select("race_id", combo_key(k[1], k[2]).alias("combo"), "disc1", F.explode(per_pair).alias("t")).select("race_id", "combo", "disc1", "t.*")
+    all3 = (f[1] <= 3) & (f[2] <= 3) & (f[3] <= 3)
+
+    def three(d, ticket, prob, hit):
+        # generated columns: filters on them are not pushed down and re-derived per use
+        t = F.explode(F.array(row(ticket, prob, hit))).alias("t")
+        return d.select("race_id", combo_key(k[1], k[2], k[3]).alias("combo"), "disc1", t).select("race_id", "combo", "disc1", "t.*")
+
+    u = (
+        two.unionByName(three(triples(e, cols), "trifecta", p_trifecta(p[1], p[2], p[3]), (f[1] == 1) & (f[2] == 2) & (f[3] == 3)))
+        .unionByName(three(triples(e, cols, ordered=False), "trio", p_trio(p[1], p[2], p[3]), all3))
+        .where(F.col("prob") > 1e-9)
     )
+    return u.select("race_id", "ticket", "combo", "prob", exotic_odds(F.col("prob"), F.col("disc1")).alias("odds"), "hit")

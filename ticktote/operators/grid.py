@@ -18,11 +18,14 @@ def level(x: Column, thresholds: list[float]) -> Column:
 
 def threshold_grid(df: DataFrame, keys: list[str | Column], axes: dict[str, tuple[Column, list[float]]], sums: dict[str, Column]) -> DataFrame:
     """Sums per key and threshold combination over rows with every value >= its threshold."""
-    lv = {f"_l_{a}": level(x, ts) for a, (x, ts) in axes.items()}
     names = [k if isinstance(k, str) else None for k in keys]
-    d = df.withColumns(lv)
-    for a in axes:
-        d = d.where(F.col(f"_l_{a}") > 0)
+    # the value becomes a column first: thresholds then compare a column, and only the
+    # lowest threshold is pushed towards the scan
+    d = df.withColumns({f"_x_{a}": x for a, (x, _) in axes.items()})
+    for a, (_, ts) in axes.items():
+        d = d.where(F.col(f"_x_{a}") >= min(ts))
+    lv = {f"_l_{a}": level(F.col(f"_x_{a}"), ts) for a, (_, ts) in axes.items()}
+    d = d.withColumns(lv)
     small = d.groupBy(*names, *lv).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
     for a, (_, ts) in axes.items():
         arr = F.array(*[F.lit(float(t)) for t in ts])

@@ -6,40 +6,43 @@ race_id are small; nothing here is partitioned by an unbounded key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import col, flag, min_rank, sdiv
 
-RACE = Window.partitionBy("race_id")
 C = F.col
 
 
+def race() -> WindowSpec:
+    return Window.partitionBy("race_id")
+
+
 def vs_field(x: str) -> Column:
-    return C(x) - F.avg(x).over(RACE)
+    return C(x) - F.avg(x).over(race())
 
 
 def fill_from_race(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.withColumns({c: F.coalesce(C(c), F.avg(c).over(RACE)) for c in cols})
+    return df.withColumns({c: F.coalesce(C(c), F.avg(c).over(race())) for c in cols})
 
 
 def fill_zero_from_race(df: DataFrame, cols: list[str]) -> DataFrame:
     """Zeros take the mean of the race's positive values."""
-    return df.withColumns({c: F.when(C(c) == 0, F.coalesce(F.avg(F.when(C(c) > 0, C(c))).over(RACE), C(c))).otherwise(C(c)) for c in cols})
+    return df.withColumns({c: F.when(C(c) == 0, F.coalesce(F.avg(F.when(C(c) > 0, C(c))).over(race()), C(c))).otherwise(C(c)) for c in cols})
 
 
 def normalise(x: str | Column, total: float = 1.0) -> Column:
     """Scale to a race total; uniform when the race sums to zero."""
     c = col(x)
-    s, n = F.sum(c).over(RACE), F.count(F.lit(1)).over(RACE)
+    s, n = F.sum(c).over(race()), F.count(F.lit(1)).over(race())
     return F.when(s == 0, total / n).otherwise(total * sdiv(c, s))
 
 
 def softmax(df: DataFrame, x: str, out: str, temperature: float = 1.0) -> DataFrame:
     """Softmax of log probabilities, shifted by the race maximum."""
     d = df.withColumn("_l", F.log(F.greatest(C(x), F.lit(1e-12))) / temperature)
-    d = d.withColumn("_e", F.exp(C("_l") - F.max("_l").over(RACE)))
-    return d.withColumn(out, C("_e") / F.sum("_e").over(RACE)).drop("_l", "_e")
+    d = d.withColumn("_e", F.exp(C("_l") - F.max("_l").over(race())))
+    return d.withColumn(out, C("_e") / F.sum("_e").over(race())).drop("_l", "_e")
 
 
 def odds_changes(wide: DataFrame, times: list[int], prefix: str = "odds_") -> DataFrame:
@@ -53,7 +56,7 @@ def odds_changes(wide: DataFrame, times: list[int], prefix: str = "odds_") -> Da
 
 def odds_flags(d: DataFrame) -> DataFrame:
     """Sharp drop, contrarian move and late surge."""
-    m = F.avg("chg_5_1").over(RACE)
+    m = F.avg("chg_5_1").over(race())
     return d.withColumns({
         "sharp_drop": flag(C("chg_5_1") <= -0.10), "contrarian": flag((C("chg_5_1") * m < 0) & (F.abs("chg_5_1") > 0.10)), "late_surge": flag(F.abs("chg_1_0") >= 0.05)})
 

@@ -17,7 +17,7 @@ def generate_signals(entries: DataFrame, min_ev: float = 0.8, capital: float = 1
     """Value entries with score, first failing filter and stake."""
     d = entries.withColumn("ev", bt.expected_value("prob", "odds"))
     d = ra.predictability(
-        d.withColumn("_m", F.avg("disc").over(ra.RACE)),
+        d.withColumn("_m", F.avg("disc").over(ra.race())),
         [(C("race_id") % 10 >= 4, 15), (C("race_id") % 5 == 0, 10), (C("_m") < 0.05 - 1e-9, 30)],
         "score",
     ).where((C("ev") >= min_ev + 1e-6) & (C("prob") < 1) & (C("odds") > 1))

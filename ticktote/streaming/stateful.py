@@ -18,11 +18,11 @@ def _sorted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Base(StatefulProcessor):
-    fields: list[tuple[str, type]] = []
+    fields: list[tuple] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("s", StructType([StructField(n, t()) for n, t in self.fields]))
+        self.state = handle.getValueState("s", StructType([StructField(n, t) for n, t in self.fields]))
 
     def load(self, *default):
         v = self.state.get() if self.state.exists() else None
