@@ -13,6 +13,8 @@ from ticktote.functions import horse as ho
 from ticktote.functions.core import band, code_map, flag, rnd, rounded, sdiv
 
 C = F.col
+# Lanes of a wide race row: the largest field of starters. Fixed value.
+LANES = list(range(1, 19))
 
 
 def out(df, *cols):
@@ -156,23 +158,23 @@ def _(t):
 
 
 @query("p9_wide_to_long", f"""WITH {ENTRIES} SELECT race_id, car_no AS lane, racer_id, {r('odds')} AS odds, CASE WHEN finish = 1 THEN 1 ELSE 0 END AS win, CASE WHEN finish <= 2 THEN 1 ELSE 0 END AS top2,
- max(CASE WHEN finish = 1 THEN car_no END) OVER (PARTITION BY race_id) AS winner_lane FROM entries WHERE car_no <= 6 AND field_size <= 6""")
+ max(CASE WHEN finish = 1 THEN car_no END) OVER (PARTITION BY race_id) AS winner_lane FROM entries""")
 def _(t):
     from ticktote.operators.shape import lanes_to_long, long_to_lanes
 
-    e = t.entries().where("field_size <= 6")
-    wide = long_to_lanes(e, "race_id", "car_no", list(range(1, 7)), ["racer_id", "odds", "finish"])
-    d = lanes_to_long(wide, "race_id", list(range(1, 7)), ["racer_id", "odds", "finish"])
+    e = t.entries()
+    wide = long_to_lanes(e, "race_id", "car_no", LANES, ["racer_id", "odds", "finish"])
+    d = lanes_to_long(wide, "race_id", LANES, ["racer_id", "odds", "finish"])
     d = d.where(C("finish").isNotNull())
     win = F.max(F.when(C("finish") == 1, C("lane"))).over(Window.partitionBy("race_id"))
     return rounded(d.select("race_id", "lane", "racer_id", "odds", flag(C("finish") == 1).alias("win"), flag(C("finish") <= 2).alias("top2"), win.alias("winner_lane")))
 
 
-@query("p10_long_to_wide", f"""WITH {ENTRIES} SELECT race_id, {', '.join(f"max(CASE WHEN car_no = {i} THEN qty END) AS lane{i}_qty, {r(f'max(CASE WHEN car_no = {i} THEN odds END)')} AS lane{i}_odds" for i in range(1, 7))} FROM entries GROUP BY 1""")
+@query("p10_long_to_wide", f"""WITH {ENTRIES} SELECT race_id, {', '.join(f"max(CASE WHEN car_no = {i} THEN qty END) AS lane{i}_qty, {r(f'max(CASE WHEN car_no = {i} THEN odds END)')} AS lane{i}_odds" for i in range(1, 19))} FROM entries GROUP BY 1""")
 def _(t):
     from ticktote.operators.shape import long_to_lanes
 
-    return rounded(long_to_lanes(t.entries(), "race_id", "car_no", list(range(1, 7)), ["qty", "odds"]))
+    return rounded(long_to_lanes(t.entries(), "race_id", "car_no", LANES, ["qty", "odds"]))
 
 
 @query("p30_course_stat_lookup", f"""WITH {ENTRIES} SELECT race_id, car_no, {r('CASE coalesce(CASE WHEN racer_id % 3 = 0 THEN NULL ELSE motor_id % 6 + 1 END, (car_no - 1) % 6 + 1) WHEN 1 THEN prob WHEN 2 THEN disc WHEN 3 THEN tax WHEN 4 THEN qty / 100 WHEN 5 THEN prob * disc ELSE prob * tax END')} AS course_rate FROM entries""")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ticktote.catalog.common_sql import BETS, ENTRIES, TRADES, r
+from ticktote.catalog.common_sql import BARS, BETS, ENTRIES, TRADES, r, roll
+from ticktote.catalog.bars import _TR
 from ticktote.catalog.registry import query
 from ticktote.functions.core import band, flag, rnd, rounded, sdiv
 from ticktote.operators import metrics as me
@@ -68,7 +69,10 @@ def _(t):
     return rounded(me.unit_score_metrics(d, "symbol", "pnl", (C("conf") >= 0.7) & (C("agreement") >= 4), "ts", F.trunc("ts", "month")))
 
 
-@query("m6_trade_exit_metrics", None)
+@query("m6_trade_exit_metrics", f"""WITH {BARS}, {_TR}, a AS (SELECT symbol, ts, high, low, close, CASE WHEN close < open THEN 1 ELSE -1 END AS side, {roll('avg', 'tr', 14)} AS atr, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM tr),
+ x AS (SELECT e.symbol, e.ts, e.close, e.side, e.atr, p.rn - e.rn AS k, CASE WHEN e.side > 0 THEN p.low <= e.close - e.atr ELSE p.high >= e.close + e.atr END AS sl, CASE WHEN e.side > 0 THEN p.high >= e.close + 1.5 * e.atr ELSE p.low <= e.close - 1.5 * e.atr END AS tp, p.close AS pc FROM a e JOIN a p ON p.symbol = e.symbol AND p.rn BETWEEN e.rn + 1 AND e.rn + 24 WHERE e.atr IS NOT NULL),
+ f AS (SELECT symbol, ts, close, side, atr, arg_min(sl, k) FILTER (sl OR tp) AS sl, arg_max(pc, k) AS last FROM x GROUP BY 1, 2, 3, 4, 5), t AS (SELECT symbol, sl, side * (CASE WHEN sl IS NULL THEN last WHEN sl THEN close - side * atr ELSE close + side * 1.5 * atr END / close - 1) AS ret FROM f)
+ SELECT symbol, count(*) AS n, {r(f'{GP} / {GL}')} AS pf, {r('avg(CAST(ret > 0 AS INT))')} AS win_rate, {r('avg(CASE WHEN ret > 0 THEN ret END) / -avg(CASE WHEN ret < 0 THEN ret END)')} AS win_loss_ratio, count(*) FILTER (sl) AS n_stop_loss, count(*) FILTER (NOT sl) AS n_take_profit, count(*) FILTER (sl IS NULL) AS n_time_exit FROM t GROUP BY 1""")
 def _(t):
     from ticktote.functions.core import Seq
     from ticktote.operators import indicators as ind

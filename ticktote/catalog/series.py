@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ticktote.catalog.bars import _BB, _RSI, _TR, _z
+from ticktote.catalog.bars import _BB, _RSI, _TR, _z, ema_sql
 from ticktote.catalog.common_sql import AUX, BARS, CALENDAR, DAILY, MONTHLY, lag, r, roll
 from ticktote.catalog.registry import query
 from ticktote.functions.core import Seq, band, flag, rnd, rounded, sdiv
@@ -355,14 +355,24 @@ def _(t):
     return d.select("left_symbol", "right_symbol", rnd("slope").alias("slope"), rnd("t_stat", 5).alias("t_stat"), "rnk")
 
 
-@query("t38_pair_trade_features")
+@query("t38_pair_trade_features", f"""WITH RECURSIVE {BARS}, g2 AS (SELECT *, close - {lag('close')} AS dd, close / {lag('close')} - 1 AS r1, close / {lag('close', 5)} - 1 AS r5, close / {lag('close', 20)} - 1 AS r20 FROM bars),
+ {ema_sql('ag', 'g2', 'CASE WHEN dd > 0 THEN dd WHEN dd <= 0 THEN 0.0 END', '2.0/15')}, {ema_sql('al', 'g2', 'CASE WHEN dd < 0 THEN -dd WHEN dd >= 0 THEN 0.0 END', '2.0/15')}
+ SELECT b.symbol, b.ts, {r(roll('stddev_samp', 'r1', 5, 'b.symbol', 'b.ts'))} AS vol_5, {r(roll('stddev_samp', 'r1', 20, 'b.symbol', 'b.ts'))} AS vol_20, {r('volume / nullif(' + roll('avg', 'volume', 20, 'b.symbol', 'b.ts') + ', 0)')} AS volume_ratio, {r('r1')} AS ret_1, {r('r5')} AS ret_5, {r('r20')} AS ret_20, {r('100 - 100 / (1 + ag.y / nullif(al.y, 0))')} AS rsi_span
+ FROM g2 b LEFT JOIN ag ON b.symbol = ag.symbol AND b.ts = ag.ts LEFT JOIN al ON b.symbol = al.symbol AND b.ts = al.ts""")
 def _(t):
     from ticktote.plans.pair_trade import pair_features
 
     return rounded(pair_features(t.bars()))
 
 
-@query("t39_base_feature_set")
+_CY = "(dayofweek(b.ts) + 6) % 7"
+
+
+@query("t39_base_feature_set", f"""WITH RECURSIVE {BARS}, {_RSI}, {_BB}, {ema_sql('f', 'bars', 'close', '2.0/13')}, {ema_sql('s', 'bars', 'close', '2.0/27')}, m AS (SELECT f.symbol, f.ts, f.y - s.y AS macd FROM f JOIN s ON f.symbol = s.symbol AND f.ts = s.ts), {ema_sql('g', 'm', 'macd', '2.0/10')},
+ w AS (SELECT *, {', '.join(f"{roll('avg', 'close', n)} AS ma_{n}" for n in (5, 25, 75))}, {', '.join(f"close / {lag('close', k)} - 1 AS ret_{k}" for k in (1, 3, 6, 24))} FROM bars)
+ SELECT b.symbol, b.ts, {r('rsi.rsi')} AS rsi, {r('m.macd')} AS macd, {r('m.macd - g.y')} AS macd_hist, {r('4 * bb.s / nullif(bb.m, 0)')} AS bb_width, {r('(b.close - (bb.m - 2 * bb.s)) / nullif(4 * bb.s, 0)')} AS bb_pos, {', '.join(r(c) + ' AS ' + c for c in ('ma_5', 'ma_25', 'ma_75', 'ret_1', 'ret_3', 'ret_6', 'ret_24'))},
+ {r(roll('stddev_samp', 'ret_1', 24, 'b.symbol', 'b.ts'))} AS vol_24, CAST(hour(b.ts) AS INT) AS hour, CAST({_CY} AS INT) AS dow, {r('sin(2 * pi() * hour(b.ts) / 24)')} AS hour_sin, {r('cos(2 * pi() * hour(b.ts) / 24)')} AS hour_cos, {r('abs(ret_1)')} AS abs_ret_1, {r('(b.high - b.low) / b.close')} AS hl_ratio, {r('(ma_5 - ma_75) / b.close')} AS ma_cross
+ FROM w b JOIN rsi ON rsi.symbol = b.symbol AND rsi.ts = b.ts JOIN bb ON bb.symbol = b.symbol AND bb.ts = b.ts JOIN m ON m.symbol = b.symbol AND m.ts = b.ts JOIN g ON g.symbol = b.symbol AND g.ts = b.ts""")
 def _(t):
     from ticktote.plans.features import base_features
 

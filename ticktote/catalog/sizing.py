@@ -31,7 +31,7 @@ WB = "OVER (PARTITION BY strategy ORDER BY race_date, race_id)"
 
 
 def _kelly(p="prob", o="odds", cap="100000", unit="100", mr="0.05"):
-    return f"(CASE WHEN {p} <= 0 OR {p} >= 1 OR {o} <= 1 THEN 0 ELSE round_even(least(greatest(0, ({p} * {o} - 1) / ({o} - 1)) * 0.25 * {cap}, {cap} * {mr}) / {unit}, 0) * {unit} END)"
+    return f"(CASE WHEN {p} <= 0 OR {p} >= 1 OR {o} <= 1 OR {cap} <= 0 THEN 0 ELSE round_even(least(greatest(0, ({p} * {o} - 1) / ({o} - 1)) * 0.25 * {cap}, {cap} * {mr}) / {unit}, 0) * {unit} END)"
 
 
 @query("g1_fractional_kelly", f"WITH {ENTRIES} SELECT race_id, car_no, CAST({_kelly()} AS DOUBLE) AS stake FROM entries")
@@ -42,9 +42,9 @@ def _(t):
 _EQ = BETS + f""", c0 AS (SELECT *, 1 + sum(ret) {WB} AS equity FROM bets), c1 AS (SELECT *, max(equity) {WB} AS peak FROM c0)"""
 
 
-@query("g2_drawdown_adjusted_kelly", f"""WITH {_EQ}, k AS (SELECT *, {_kelly(cap='(100000 * equity)')} AS base, (peak - equity) / peak AS dd FROM c1 WHERE equity > 0) SELECT race_id, {r('dd')} AS drawdown, CAST(round_even(base * CASE WHEN dd >= 0.4 THEN 0 WHEN dd >= 0.3 THEN 0.25 WHEN dd >= 0.2 THEN 0.5 WHEN dd >= 0.1 THEN 0.75 ELSE 1 END / 100, 0) * 100 AS DOUBLE) AS stake FROM k""")
+@query("g2_drawdown_adjusted_kelly", f"""WITH {_EQ}, k AS (SELECT *, {_kelly(cap='(100000 * equity)')} AS base, (peak - equity) / peak AS dd FROM c1) SELECT race_id, {r('dd')} AS drawdown, CAST(round_even(base * CASE WHEN dd >= 0.4 THEN 0 WHEN dd >= 0.3 THEN 0.25 WHEN dd >= 0.2 THEN 0.5 WHEN dd >= 0.1 THEN 0.75 ELSE 1 END / 100, 0) * 100 AS DOUBLE) AS stake FROM k""")
 def _(t):
-    d = me.equity_curve(t.bets(), ["strategy"], "ret", ORD, month()).where("equity > 0")
+    d = me.equity_curve(t.bets(), ["strategy"], "ret", ORD, month())
     cap, pk = 100000 * C("equity"), 100000 * C("peak")
     return d.select("race_id", rnd("drawdown").alias("drawdown"), bt.kelly_after_drawdown("prob", "odds", cap, pk, unit=100.0).alias("stake"))
 
@@ -173,7 +173,10 @@ def _(t):
     return rounded(drawdown_stop(t.trades().select("symbol", "ts", "ret"), ["symbol"], ["ts"], "ret").select("symbol", "ts", "traded", "cum"))
 
 
-@query("g13_dynamic_threshold", None)
+@query("g13_dynamic_threshold", f"""WITH RECURSIVE {TRADES}, n AS (SELECT symbol, ts, conf, ret, row_number() {W} AS rn FROM trades), f AS (
+ SELECT symbol, ts, conf, ret, rn, CAST(conf >= 0.6 AS INT) AS taken, CASE WHEN conf >= 0.6 THEN ret ELSE 0 END AS cum, greatest(CASE WHEN conf >= 0.6 THEN ret ELSE 0 END, 0) AS peak FROM n WHERE rn = 1 UNION ALL
+ SELECT symbol, ts, conf, ret, rn, ok, cum + ok * ret, greatest(peak, cum + ok * ret) FROM (SELECT n.*, f.cum, f.peak, CAST(n.conf >= 0.6 + least((f.peak - f.cum) * 2, 0.15) AS INT) AS ok FROM f JOIN n ON n.symbol = f.symbol AND n.rn = f.rn + 1))
+ SELECT symbol, ts, {r('conf')} AS conf, {r('ret')} AS ret, taken FROM f""")
 def _(t):
     from ticktote.operators.fold import dynamic_threshold
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ticktote.catalog.common_sql import BARS, BETS, ENTRIES, RACES, r
+from ticktote.catalog.metrics import EQ
 from ticktote.catalog.registry import query
 from ticktote.functions import calendar as cal
 from ticktote.functions import text as tx
@@ -204,7 +205,7 @@ def _(t):
     return fs.split_valid_events(event_rows(t))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s19_event_journal", None)
+@query("s19_event_journal", f"WITH {EQ}, j AS (SELECT CAST(year(race_date) AS INT) AS year, strategy, (peak - equity) / peak AS dd, hit FROM eq) SELECT year, strategy, CASE WHEN dd >= 0.95 THEN 'BLOCKED' WHEN hit = 1 THEN 'WIN' ELSE 'LOSS' END AS event, count(*) AS n, {r('max(dd)')} AS max_drawdown FROM j GROUP BY 1, 2, 3")
 def _(t):
     """Account journal appended to a partitioned sink and read back."""
     from ticktote.operators.metrics import equity_curve

@@ -76,7 +76,10 @@ def _(t):
     return d.select("key", "event_id", rnd("balance", 4).alias("balance"), rnd("drawdown").alias("drawdown"))
 
 
-@query("q9_stream_pair_position", None)
+@query("q9_stream_pair_position", f"""WITH RECURSIVE n AS (SELECT event_type AS key, event_id, (value - 50) / 25 AS z, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events), f AS (
+ SELECT key, event_id, z, rn, CASE WHEN abs(z) >= 4 THEN 0 WHEN z >= 2 THEN 2 WHEN z <= -2 THEN 1 ELSE 0 END AS position FROM n WHERE rn = 1 UNION ALL
+ SELECT n.key, n.event_id, n.z, n.rn, CASE WHEN abs(n.z) >= 4 OR (position <> 0 AND abs(n.z) <= 0.5) THEN 0 WHEN position <> 0 THEN position WHEN n.z >= 2 THEN 2 WHEN n.z <= -2 THEN 1 ELSE 0 END FROM f JOIN n ON n.key = f.key AND n.rn = f.rn + 1)
+ SELECT key, event_id, {r('z')} AS z, position FROM f""")
 def _(t):
     d = run_to_end(st.process(ticks(t).withColumn("value", (C("value") - 50) / 25), "event_type", st.PairPosition), "pair", stateful=True)
     return rounded(d)
