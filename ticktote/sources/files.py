@@ -36,7 +36,7 @@ def read_bars_csv(spark: SparkSession, path: str | list[str], header_lines: int
     raw = spark.read.schema(BAR_SCHEMA).csv(path)
     num = {c: F.col(c).try_cast("double") for c in ("open", "high", "low", "close", "volume")}
     d = raw.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.csv)?(?:/[^/]*)?$", 1).alias("symbol"),
+        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.[A-Za-z]+)?$", 1).alias("symbol"),
         F.col("ts").try_cast("timestamp_ntz").alias("ts"),
         *[v.alias(k) for k, v in num.items()],
     )
