@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktote.operators.sequence import null_safe_join
+from ticktote.operators.sequence import key_join
 
 
 def _unix(c: str) -> Column:
@@ -79,7 +79,7 @@ def asof(
         .where(F.col("_q") == 0)
         .select(*keys, "_p", "_car")
     )
-    out = null_safe_join(u, carry, [*keys, "_p"])
+    out = key_join(u, carry, [*keys, "_p"])
     return _project(out, F.coalesce(F.col("_loc"), F.col("_car")), lcols, vals, tolerance_s, right_ts)
 
 

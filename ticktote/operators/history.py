@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktote.operators.sequence import null_safe_join
+from ticktote.operators.sequence import key_join
 
 
 def day_number(c: str | Column) -> Column:
@@ -28,8 +28,8 @@ def past_sums(df: DataFrame, keys: list[str], date: str, values: dict[str, tuple
     w = Window.partitionBy(*keys).orderBy("_dn")
     frame = {k: w.rangeBetween(Window.unboundedPreceding if n is None else -n, -1) for k, (_, n) in values.items()}
     d = d.select(*keys, "_day", *[F.coalesce(F.sum(k).over(frame[k]), F.lit(0)).alias(k) for k in values])
-    out = null_safe_join(df.withColumn("_day", F.to_date(date)), d, [*keys, "_day"], "inner")
-    return out.drop("_day")
+    out = key_join(df.withColumn("_day", F.to_date(date)), d, [*keys, "_day"])
+    return out.select(*df.columns, *[F.coalesce(k, F.lit(0)).alias(k) for k in values])
 
 
 def last_n_before(df: DataFrame, keys: list[str], date: str, order: list[str], value: Column, n: int, out: str) -> DataFrame:
@@ -47,7 +47,7 @@ def last_n_before(df: DataFrame, keys: list[str], date: str, order: list[str], v
     )
     per = top.groupBy(*keys, "_day").agg(F.array_sort(F.collect_list(F.struct("_r", "_x"))).alias("_v"))
     days = df.select(*keys, F.to_date(date).alias("_day")).distinct()
-    per = null_safe_join(days, per, [*keys, "_day"], "left")
+    per = key_join(days, per, [*keys, "_day"])
     # only days with values count towards the n days of the frame
     w = Window.partitionBy(*keys).orderBy("_day")
     per = per.withColumn("_m", F.count("_v").over(w.rowsBetween(Window.unboundedPreceding, -1)))
@@ -57,7 +57,8 @@ def last_n_before(df: DataFrame, keys: list[str], date: str, order: list[str], v
     hist = per.withColumn("_h", lists)
     flat = F.flatten(F.transform(F.reverse(F.array_sort("_h")), lambda e: F.transform(e["_v"], lambda q: q["_x"])))
     hist = hist.select(*keys, "_day", F.slice(flat, 1, n).alias(out))
-    return null_safe_join(df.withColumn("_day", F.to_date(date)), hist, [*keys, "_day"], "inner").drop("_day")
+    d = key_join(df.withColumn("_day", F.to_date(date)), hist, [*keys, "_day"])
+    return d.select(*df.columns, F.coalesce(out, F.array().cast(hist.schema[out].dataType)).alias(out))
 
 
 def array_mean(a: Column) -> Column:

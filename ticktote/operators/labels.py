@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, sdiv
 from ticktote.operators.combos import pairs
-from ticktote.operators.sequence import null_safe_join, number_rows
+from ticktote.operators.sequence import key_join, number_rows
 
 C = F.col
 
@@ -28,7 +28,7 @@ def positions(df: DataFrame, keys: list[str], order: list, period: Column) -> Da
     """Adds pos (from 0) and n_rows of the key."""
     d = number_rows(df, keys, order, period)
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return null_safe_join(d, n, keys, "inner") if keys else d.join(F.broadcast(n))
+    return key_join(d, n, keys) if keys else d.join(F.broadcast(n))
 
 
 def _folds(d: DataFrame, count: int | Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import dense_rank
-from ticktote.operators.sequence import null_safe_join
+from ticktote.operators.sequence import key_join
 
 C = F.col
 # Weights and confidences of the line sources.
@@ -90,7 +90,7 @@ def combo_confidence(combos: DataFrame, members: DataFrame, cars: list[str], key
     e = combos.select(*key, F.explode(F.array(*cars)).alias("_car"))
     hit = e.join(m, ["race_id", "_car"]).groupBy(*key, "line").agg(F.count(F.lit(1)).alias("_n"), F.max("_cf").alias("_cf"))
     best = hit.where("_n >= 2").groupBy(*key).agg(F.max("_cf").alias("line_confidence"))
-    return null_safe_join(combos, best, key, "left").withColumn("line_confidence", F.coalesce(C("line_confidence"), F.lit(0.0)))
+    return key_join(combos, best, key).withColumn("line_confidence", F.coalesce(C("line_confidence"), F.lit(0.0)))
 
 
 def betrayal_hit(stated: Column, actual: Column) -> Column:

@@ -20,6 +20,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(r, cond, how).drop(*["_r_" + k for k in keys])
 
 
+def key_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left equi-join that keeps the left side's partitioning by its keys.
+
+    A NULL key belongs to no sequence: such rows stay, without a partner.
+    """
+    return left.join(right, keys, "left")
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list, period: Column, name: str = "pos") -> DataFrame:
     """0-based position of each row in its key's order, without one task per key."""
     d = df.withColumn("_p", period)
@@ -28,7 +36,8 @@ def number_rows(df: DataFrame, keys: list[str], order: list, period: Column, nam
     start = size.select(*keys, "_p", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_s"))
     local = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)) - 1
     d = d.withColumn("_l", local)
-    return null_safe_join(d, start, [*keys, "_p"], "inner").withColumn(name, F.col("_s") + F.col("_l")).drop("_p", "_l", "_s")
+    d = key_join(d, start, [*keys, "_p"]).withColumn(name, F.coalesce(F.col("_s"), F.lit(0)) + F.col("_l"))
+    return d.select(*df.columns, name)
 
 
 def running(
@@ -58,7 +67,7 @@ def running(
     carry = carry.withColumns({"_a_" + k: F.col("_x_" + k) + F.col("_c_" + s) for k, s in peaks.items()})
     carry = carry.withColumns({"_b_" + k: F.max("_a_" + k).over(wk) for k in peaks})
     carry = carry.select(*keys, "_p", *["_c_" + k for k in cols], *["_b_" + k for k in peaks])
-    out = null_safe_join(d, carry, [*keys, "_p"], "inner")
+    out = key_join(d, carry, [*keys, "_p"]).fillna(0.0, subset=["_c_" + k for k in cols])
     out = out.withColumns({k: F.col("_c_" + k) + F.col("_s_" + k) for k in cols})
     out = out.withColumns(
         {k: F.greatest(F.col("_b_" + k), F.col("_m_" + k) + F.col("_c_" + s)) for k, s in peaks.items()}
@@ -75,7 +84,7 @@ def running_max(df: DataFrame, keys: list[str], order: list, period: Column, col
     wk = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     carry = summ.select(*keys, "_p", *[F.max("_t_" + k).over(wk).alias("_c_" + k) for k in cs])
     d = d.withColumns({"_m_" + k: F.max(c).over(w) for k, c in cs.items()})
-    out = null_safe_join(d, carry, [*keys, "_p"], "inner")
+    out = key_join(d, carry, [*keys, "_p"])
     return out.select(*df.columns, *[F.greatest("_m_" + k, "_c_" + k).alias(k) for k in cs])
 
 

@@ -11,7 +11,7 @@ from ticktote.operators import indicators as ind
 from ticktote.operators.asof import asof
 from ticktote.operators.pairs import side_by_side
 from ticktote.operators.resample import resample
-from ticktote.operators.sequence import null_safe_join
+from ticktote.operators.sequence import key_join
 
 
 def multi_timeframe(bars: DataFrame, frames: list[tuple[str, str]], shift: int = 1, with_macd: bool = True) -> DataFrame:
@@ -97,7 +97,7 @@ def cross_pair_features(times: DataFrame, bars: DataFrame, symbols: list[str], s
 def leave_one_out(df: DataFrame, keys: list[str], x: str, out: str) -> DataFrame:
     """Group mean without the own value; groups are pre-aggregated, then joined back."""
     g = df.groupBy(*keys).agg(F.sum(x).alias("_s"), F.count(x).alias("_n"))
-    d = null_safe_join(df, g, keys, "inner")
+    d = key_join(df, g, keys)
     return d.withColumn(out, sdiv(F.col("_s") - F.col(x), F.col("_n") - 1)).drop("_s", "_n")
 
 

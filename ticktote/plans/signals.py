@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ticktote.functions import betting as bt
 from ticktote.functions.core import first_reason, sdiv
 from ticktote.operators import race as ra
-from ticktote.operators.sequence import null_safe_join
+from ticktote.operators.sequence import key_join
 
 C = F.col
 
@@ -28,5 +28,5 @@ def generate_signals(entries: DataFrame, min_ev: float = 0.8, capital: float = 1
 
 def settle(bets: DataFrame, payouts: DataFrame) -> DataFrame:
     """Bets joined to the payout table of (race_id, ticket, combo); a missing payout is a loss."""
-    d = null_safe_join(bets, payouts, ["race_id", "ticket", "combo"], "left")
+    d = key_join(bets, payouts, ["race_id", "ticket", "combo"])
     return d.withColumns({"win": C("payout").isNotNull().cast("int"), "payout": F.coalesce(C("payout"), F.lit(0.0))})

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticktote.operators.sequence import null_safe_join
+from ticktote.operators.sequence import key_join
 
 BAR_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("ts", "close", "high", "low", "open", "volume")])
 EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "ts", "impact")])
@@ -92,7 +92,7 @@ def coalesce_update(old: DataFrame, updates: DataFrame, keys: list[str], cols: l
     gap = F.lit(False)
     for c in gap_cols:
         gap = gap | F.col(c).isNull()
-    d = null_safe_join(old.withColumn("_gap", gap), u, keys, "left")
+    d = key_join(old.withColumn("_gap", gap), u, keys)
     new = {c: F.when(F.col("_gap"), F.coalesce(F.col("_u_" + c), F.col(c))).otherwise(F.col(c)) for c in cols}
     return d.withColumns(new).select(*old.columns)
 
