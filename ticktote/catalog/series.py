@@ -67,7 +67,7 @@ def _(t):
 @query("j11_upcoming_events", f"""WITH {CALENDAR}, q AS (SELECT DISTINCT date_trunc('day', ts) AS ts FROM events) SELECT q.ts, c.event_id, c.importance,
  {r("date_diff('microsecond', q.ts, c.event_ts) / 3.6e9")} AS hours_until FROM q JOIN calendar c ON c.event_ts >= q.ts AND c.event_ts <= q.ts + INTERVAL 7 DAY""")
 def _(t):
-    q = t.raw("events").select(F.date_trunc("day", "ts").alias("ts")).distinct()
+    q = t.raw("events").select(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).distinct()
     u = upcoming(q, t.calendar(), 7)
     return rounded(u.select("ts", "event_id", "importance", "hours_until"))
 
@@ -171,7 +171,7 @@ _COT = """cot AS (SELECT l_returnflag AS contract, date_trunc('week', l_shipdate
 def cot(t):
     li = t.raw("lineitem")
     o = F.col("l_linestatus") == "O"
-    return li.groupBy(F.col("l_returnflag").alias("contract"), F.date_trunc("week", "l_shipdate").alias("ts")).agg(
+    return li.groupBy(F.col("l_returnflag").alias("contract"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
         F.sum(F.when(o, F.col("l_quantity")).otherwise(-F.col("l_quantity"))).alias("spec_net"),
         F.sum(F.when(~o, F.col("l_quantity") * F.col("l_discount")).otherwise(0.0)).alias("comm_net"),
         F.sum("l_quantity").alias("oi"))

@@ -91,7 +91,7 @@ _PR = """pr AS (SELECT CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE l_returnflag E
 def position_source(t):
     flagc = C("l_returnflag")
     return t.raw("lineitem").select(
-        F.when(C("l_partkey") % 9 != 0, flagc).alias("code"), F.when(flagc == "A", "ALPHA YEN").otherwise("OTHER").alias("name"), F.date_trunc("week", "l_shipdate").alias("week"),
+        F.when(C("l_partkey") % 9 != 0, flagc).alias("code"), F.when(flagc == "A", "ALPHA YEN").otherwise("OTHER").alias("name"), F.date_trunc("week", "l_shipdate").cast("timestamp_ntz").alias("week"),
         F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_discount").alias("ver"), "l_quantity", "l_discount")
 
 
@@ -131,14 +131,14 @@ def _(t):
     return g
 
 
-_UP = "old AS (SELECT l_suppkey AS k, max(l_extendedprice) AS v, 1 AS ver FROM lineitem WHERE l_shipdate < '1998-01-01' GROUP BY 1), nw AS (SELECT l_suppkey AS k, min(l_extendedprice) AS v, 2 AS ver FROM lineitem WHERE l_shipdate >= '2001-06-01' AND l_suppkey % 2 = 0 GROUP BY 1)"
+_UP = "old AS (SELECT l_suppkey AS k, max(l_extendedprice) AS v, 1 AS ver FROM lineitem WHERE l_shipdate < '1998-01-01' GROUP BY 1), nw AS (SELECT l_suppkey AS k, min(l_extendedprice) AS v, 2 AS ver FROM lineitem WHERE l_shipdate >= '2001-06-01' AND l_quantity > 45 GROUP BY 1)"
 
 
 def up(t):
     li = t.raw("lineitem")
     lit = lambda s: F.lit(s).cast("timestamp_ntz")
     old = li.where(C("l_shipdate") < lit("1998-01-01")).groupBy(C("l_suppkey").alias("k")).agg(F.max("l_extendedprice").alias("v")).withColumn("ver", F.lit(1))
-    new = li.where((C("l_shipdate") >= lit("2001-06-01")) & (C("l_suppkey") % 2 == 0)).groupBy(C("l_suppkey").alias("k")).agg(F.min("l_extendedprice").alias("v")).withColumn("ver", F.lit(2))
+    new = li.where((C("l_shipdate") >= lit("2001-06-01")) & (C("l_quantity") > 45)).groupBy(C("l_suppkey").alias("k")).agg(F.min("l_extendedprice").alias("v")).withColumn("ver", F.lit(2))
     return old, new
 
 
@@ -148,10 +148,10 @@ def _(t):
     return fs.upsert(old, new, ["k"], "ver")
 
 
-@query("s13_insert_or_ignore", f"WITH {_UP}, o2 AS (SELECT * FROM old WHERE k % 3 <> 0) SELECT * FROM o2 UNION ALL SELECT * FROM nw WHERE k NOT IN (SELECT k FROM o2)")
+@query("s13_insert_or_ignore", f"WITH {_UP}, o2 AS (SELECT * FROM old WHERE v < 104500) SELECT * FROM o2 UNION ALL SELECT * FROM nw WHERE k NOT IN (SELECT k FROM o2)")
 def _(t):
     old, new = up(t)
-    return fs.insert_ignore(old.where("k % 3 <> 0"), new, ["k"], ["ver"])
+    return fs.insert_ignore(old.where("v < 104500"), new, ["k"], ["ver"])
 
 
 @query("s14_coalescing_update", f"""WITH {_UP}, o2 AS (SELECT k, CASE WHEN k % 4 <> 0 THEN v END AS v, CASE WHEN k % 3 <> 0 THEN ver END AS ver FROM old) SELECT o2.k, CASE WHEN o2.v IS NULL OR o2.ver IS NULL THEN coalesce(nw.v, o2.v) ELSE o2.v END AS v, CAST(CASE WHEN o2.v IS NULL OR o2.ver IS NULL THEN coalesce(nw.ver, o2.ver) ELSE o2.ver END AS DOUBLE) AS ver FROM o2 LEFT JOIN nw ON nw.k = o2.k""")

@@ -28,7 +28,7 @@ def lexicon_terms(text: str | Column, lexicon: dict[str, float]) -> Column:
 
 
 def hourly_mean(df: DataFrame, ts: str, x: str) -> DataFrame:
-    return df.groupBy(F.date_trunc("hour", ts).alias(ts)).agg(F.avg(x).alias(x))
+    return df.groupBy(F.date_trunc("hour", ts).cast("timestamp_ntz").alias(ts)).agg(F.avg(x).alias(x))
 
 
 # Keyword weights of rider comments.

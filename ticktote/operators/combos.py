@@ -71,8 +71,8 @@ def ticket_rows(e: DataFrame) -> DataFrame:
 
     q = p_quinella(p[1], p[2])
     low = k[1] < k[2]
-    per_pair = F.array_compact(F.array(
-        row("exacta", p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2)), F.when(low, row("quinella", q, two_top)), F.when(low, row("wide", F.least(F.lit(1.0), 3 * q), in3))))
+    exacta = row("exacta", p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2))
+    per_pair = F.when(low, F.array(exacta, row("quinella", q, two_top), row("wide", F.least(F.lit(1.0), 3 * q), in3))).otherwise(F.array(exacta))
     two = pairs(e, cols).select("race_id", combo_key(k[1], k[2]).alias("combo"), "disc1", F.explode(per_pair).alias("t")).select("race_id", "combo", "disc1", "t.*")
     all3 = (f[1] <= 3) & (f[2] <= 3) & (f[3] <= 3)
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 
 def bucket(ts: str, unit: str) -> Column:
-    """Start of the calendar bucket: 'hour', 'day', 'month', or '<n> hours'."""
+    """Start of the calendar bucket: 'hour', 'day', 'month', or '<n> hours'. Naive UTC time in and out."""
     if unit.endswith(" hours"):
         n = int(unit.split()[0])
-        return F.date_trunc("day", ts) + F.make_dt_interval(hours=(F.floor(F.hour(ts) / n) * n).cast("int"))
-    return F.date_trunc(unit, ts)
+        start = F.date_trunc("day", ts) + F.make_dt_interval(hours=(F.floor(F.hour(ts) / n) * n).cast("int"))
+    else:
+        start = F.date_trunc(unit, ts)
+    return start.cast("timestamp_ntz")
 
 
 def ticks_to_bars(df: DataFrame, key: str, ts: str, px: str, unit: str, tie: str | None = None) -> DataFrame:

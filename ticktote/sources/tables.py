@@ -52,12 +52,12 @@ class Tables:
     def daily_series(self) -> DataFrame:
         """Daily mean of event values per type: the slow auxiliary series."""
         return self.raw("events").groupBy(
-            F.col("event_type").alias("series_id"), F.date_trunc("day", "ts").alias("ts")
+            F.col("event_type").alias("series_id"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")
         ).agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_obs"))
 
     def monthly_series(self) -> DataFrame:
         return self.raw("orders").groupBy(
-            F.col("o_orderpriority").alias("series_id"), F.date_trunc("month", "o_orderdate").alias("ts")
+            F.col("o_orderpriority").alias("series_id"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz").alias("ts")
         ).agg(F.avg("o_totalprice").alias("value"))
 
     def calendar(self, cutoff: float = 150.0) -> DataFrame:

@@ -21,20 +21,27 @@ def tick_stream(spark: SparkSession, path: str, pattern: str = "events.parquet",
     return rd.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def _state_partitions(spark: SparkSession) -> str:
+    """Each stream partition keeps a state store, so more than twice the cores only cost."""
+    return str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
 def run_to_end(df: DataFrame, name: str, mode: str = "append", stateful: bool = False) -> DataFrame:
     """Process what is available into a parquet sink with its own checkpoint and read the sink back."""
     spark = df.sparkSession
-    key = "spark.sql.streaming.stateStore.providerClass"
-    old = spark.conf.get(key, None)
+    conf = {"spark.sql.shuffle.partitions": _state_partitions(spark)}
     if stateful:
-        spark.conf.set(key, ROCKSDB)
+        conf["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
     base = scratch_dir(spark, name)
     try:
         q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        if stateful:
-            spark.conf.unset(key) if old is None else spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
