@@ -1,9 +1,10 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-Words of a benchmark item form windows. Their hashes are a table of known size that is broadcast while it is
-small (and shuffled beyond that); each window of a document is looked up there, and a hit counts only when the
-window's words are the same. A document's row travels with its windows as one more element, so hits and
-documents meet in one aggregation without a second read.
+Windows of n benchmark words are known by their grams of (n + 1) / 2 words. The grams' hashes are a table of known
+size that is broadcast while it is small (and shuffled beyond that). Of a document only every (n / 2 + 1)th gram is
+looked up: each window that occurs covers one of those. A hit counts only when all words of the window are the
+same. A document's row travels with its grams as one more element, so hits and documents meet in one aggregation
+without a second read.
 """
 
 from __future__ import annotations
@@ -16,51 +17,64 @@ from ticktote.llm.common import ascii_lower
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TAIL = r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)$"
-BROADCAST_WINDOWS = 500_000
+BROADCAST_ROWS = 1_000_000
 
 
 def words(text: Column) -> Column:
     """Words after lower-casing A-Z: runs of digits, letters and characters beyond ASCII. Null has none."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_BREAK), "")
+
+
+def gram_of(n: Column | int) -> Column | int:
+    """Words in the grams that are looked up for windows of n words."""
+    return (n + 1) // 2 if isinstance(n, int) else F.floor((n + 1) / 2).cast("int")
 
 
 def benchmark_windows(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = 10) -> DataFrame:
-    """Distinct windows: w_len, w_hash, w_text and items (the ids, as sorted strings). A shorter item is one window."""
+    """Distinct windows: w_len, w_text, win (its words) and items (the ids, as sorted strings). A shorter item is one window."""
     ws = bench.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("item"), words(F.col(text_col)).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.size("w") - size, F.lit(0))
     win = ws.select("item", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, size))).alias("win"))
-    return win.groupBy(F.size("win").alias("w_len"), F.xxhash64("win").alias("w_hash"), F.array_join("win", " ").alias("w_text")).agg(
-        F.sort_array(F.collect_set("item")).alias("items"))
+    return win.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items")).select(
+        F.size("win").alias("w_len"), F.array_join("win", " ").alias("w_text"), "win", "items")
+
+
+def window_grams(windows: DataFrame) -> DataFrame:
+    """A row for each gram of each window: g_hash, g_at (its offset), w_len, w_text, items."""
+    g = gram_of(F.col("w_len"))
+    at = F.explode(F.sequence(F.lit(0), F.col("w_len") - g)).alias("g_at")
+    return windows.select("w_len", "w_text", "win", "items", at).select(
+        F.xxhash64(F.slice("win", F.col("g_at") + 1, g)).alias("g_hash"), "g_at", "w_len", "w_text", "items")
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", bench_text: str = "text", size: int = 10, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, item_col: str = "item_id", bench_text: str = "text", size: int = 10, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per input row: id, n_words, n_hit, items (sorted), spans (maximal runs of hit words, start and end) and row_key.
 
     A document word inside any occurrence of a benchmark window is hit. Null and empty texts have no words and no
-    hits; an empty benchmark hits nothing; repeated rows are judged one by one. The window table is broadcast up to
-    broadcast_windows rows, else joined by shuffle.
+    hits; an empty benchmark hits nothing; repeated rows are judged one by one. The gram table is broadcast up to
+    broadcast_rows rows, else joined by shuffle.
     """
-    windows = benchmark_windows(bench, item_col, bench_text, size).persist()
-    try:
-        counts = {r["w_len"]: r["n"] for r in windows.groupBy("w_len").agg(F.count("*").alias("n")).collect()}  # one row per length, size at most
-    finally:
-        windows.unpersist()
-    hint = "broadcast" if sum(counts.values()) <= broadcast_windows else "merge"
+    grams = window_grams(benchmark_windows(bench, item_col, bench_text, size))
+    counts = {r["w_len"]: r["n"] for r in grams.groupBy("w_len").agg(F.count("*").alias("n")).collect()}  # one row per length, size at most
+    hint = "broadcast" if sum(counts.values()) <= broadcast_rows else "merge"
     base = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
 
     def hashes(n: int) -> Column:
-        at = F.sequence(F.lit(1), F.size("w") - n + 1)
-        one = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("w", i, n)).alias("h")))
+        g = gram_of(n)
+        at = F.sequence(F.lit(1), F.size("w") - g + 1, F.lit(n - g + 1))
+        one = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("w", i, g)).alias("h")))
         return F.when(F.size("w") >= n, one).otherwise(F.array().cast("array<struct<pos: int, len: int, h: bigint>>"))
 
     head = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("h")))
-    looked = base.select("row_key", "id", "w", F.explode(F.concat(head, *[hashes(n) for n in sorted(counts)])).alias("x"))
-    looked = looked.select("row_key", "id", "w", "x.pos", "x.len", "x.h")
-    found = looked.join(windows.hint(hint), (F.col("len") == F.col("w_len")) & (F.col("h") == F.col("w_hash")), "left")
-    same = F.col("w_text") == F.array_join(F.slice("w", F.col("pos"), F.col("len")), " ")
-    hits = found.where((F.col("pos") == 0) | same).select(
-        "row_key", "id", F.when(F.col("pos") == 0, F.size("w")).alias("n"), F.when(F.col("pos") > 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))).alias("at"),
-        F.when(F.col("pos") > 0, F.col("items")).alias("items"))
+    # the lookups are a column of their own, so that exploding them runs as generated code and copies no word list
+    listed = base.select("row_key", "id", "w", F.concat(head, *[hashes(n) for n in sorted(counts)]).alias("xs"))
+    looked = listed.select("row_key", "id", "w", F.explode("xs").alias("x")).select("row_key", "id", "w", F.col("x.pos").alias("g_pos"), "x.len", "x.h")
+    found = looked.join(grams.hint(hint), F.col("h") == F.col("g_hash"), "left").withColumn("pos", F.col("g_pos") - F.col("g_at"))
+    same = (F.col("g_pos") > 0) & (F.col("len") == F.col("w_len")) & (F.col("pos") > 0) & (F.col("pos") + F.col("len") - 1 <= F.size("w"))
+    same = same & (F.col("w_text") == F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.col("len")), " "))
+    hits = found.where((F.col("g_pos") == 0) | same).select(
+        "row_key", "id", F.when(F.col("g_pos") == 0, F.size("w")).alias("n"), F.when(F.col("g_pos") > 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))).alias("at"),
+        F.when(F.col("g_pos") > 0, F.col("items")).alias("items"))
     got = hits.groupBy("row_key").agg(
         F.first("id", ignorenulls=True).alias("id"), F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("at")).alias("at"),
         F.collect_set("items").alias("item_lists"))
