@@ -24,3 +24,25 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 g AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, t FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
+
+ORACLES["op4_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
+d AS (SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes, sha1(b) AS h, b, max(page_id) OVER (PARTITION BY b) AS keep FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS UBIGINT) >> (35 - 5 * (i % 8))) & 31) AS BIGINT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM d
+"""
+
+ORACLES["op5_chat_formatting"] = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS name, replace(coalesce(text, ''), '<|', '< |') AS body, coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS part FROM conversations),
+s AS (SELECT DISTINCT conv_id, name AS speaker FROM t WHERE name <> 'system'),
+x AS (SELECT t.conv_id, part, speaker, turn, name, body, name = speaker AS learn,
+  CASE WHEN name = speaker THEN '<|assistant|>' || chr(10) WHEN name = 'system' THEN '<|system|>' || chr(10) ELSE '<|user name=' || name || '|>' || chr(10) END AS head,
+  body || '<|end|>' || chr(10) AS said FROM t JOIN s ON s.conv_id = t.conv_id),
+o AS (SELECT *, sum(length(head) + length(said)) OVER (PARTITION BY conv_id, part, speaker ORDER BY turn, name, body ROWS UNBOUNDED PRECEDING) AS z FROM x)
+SELECT conv_id, part, speaker, count(*) AS n_turns, CAST(sum(length(head) + length(said)) AS BIGINT) AS n_chars, CAST(coalesce(sum(length(said)) FILTER (learn), 0) AS BIGINT) AS n_masked,
+  coalesce(string_agg((z - length(said)) || '-' || z, ',' ORDER BY turn, name, body) FILTER (learn), '') AS masks,
+  sha256(string_agg(head || said, '' ORDER BY turn, name, body)) AS text_sha256
+FROM o GROUP BY conv_id, part, speaker
+"""

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktote.llm import decontaminate, exact_dedup
+from ticktote.llm import chat, decontaminate, exact_dedup, packing, warc
+from ticktote.llm.common import shared_path
 from ticktote.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +31,30 @@ def op1_decontamination(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+@query
+def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_archive(table(spark, sf, "pages"), path)
+    got = warc.captures(spark, path).where("record_type is not null")
+    return got.select(F.col("page").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_page").cast("long").alias("refers_to"))
+
+
+@query
+def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    got = chat.rotate(table(spark, sf, "conversations"))
+    size = F.aggregate("masks", F.lit(0).cast("long"), lambda a, m: a + m["end"] - m["start"])
+    return got.select(
+        F.col("conv").alias("conv_id"), "part", "speaker", "n_turns", F.length("text").cast("long").alias("n_chars"), size.alias("n_masked"),
+        F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ",").alias("masks"), F.sha2("text", 256).alias("text_sha256"))
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = exact_dedup.exact_groups(table(spark, sf, "documents"))
