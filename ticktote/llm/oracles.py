@@ -29,7 +29,7 @@ ORACLES["op4_warc"] = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS b FROM pages),
 d AS (SELECT page_id, CAST(strlen(b) AS BIGINT) AS payload_bytes, sha1(b) AS h, b, max(page_id) OVER (PARTITION BY b) AS keep FROM p)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS UBIGINT) >> (35 - 5 * (i % 8))) & 31) AS BIGINT) + 1, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(h, 1 + 10 * (i // 8), 10) AS UBIGINT) >> (35 - 5 * (i % 8))) & 31) AS BIGINT) + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM d
 """
@@ -46,3 +46,16 @@ SELECT conv_id, part, speaker, count(*) AS n_turns, CAST(sum(length(head) + leng
   sha256(string_agg(head || said, '' ORDER BY turn, name, body)) AS text_sha256
 FROM o GROUP BY conv_id, part, speaker
 """
+
+ORACLES["op6_ngram_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i + 1:i + 5], ' ') || CASE WHEN len(w) < 5 THEN '|' || len(w) ELSE '' END AS s FROM i),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) m USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktote.llm import chat, decontaminate, exact_dedup, packing, warc
+from ticktote.llm import chat, decontaminate, exact_dedup, ngram_join, packing, warc
 from ticktote.llm.common import shared_path
 from ticktote.llm.oracles import ORACLES  # noqa: F401
 
@@ -55,6 +55,11 @@ def op5_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"], m["end"])), ",").alias("masks"), F.sha2("text", 256).alias("text_sha256"))
 
 
+@query
+def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = exact_dedup.exact_groups(table(spark, sf, "documents"))

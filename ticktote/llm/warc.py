@@ -139,7 +139,7 @@ def _parse(with_payload: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
-        for h, block in _records(v.as_buffer().to_pybytes() if v.is_valid else b"" for b in batches for v in b.column(0).cast(pa.binary())):
+        for h, block in _records(v or b"" for b in batches for v in b.column(0).cast(pa.binary()).to_pylist()):
             rows.append(row(h, block))
             size += len(block)
             if len(rows) >= 2000 or size > 4 << 20:
