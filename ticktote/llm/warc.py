@@ -102,10 +102,13 @@ def _fields(block: bytes) -> dict[str, str]:
 
 def _records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and block of each record of a stream that was split at blank lines."""
-    gap, held = GAP.encode(), b""
-    for part in parts:
-        head = (held + part).lstrip(b"\r\n")
-        held = b""
+    gap, held = GAP.encode(), None
+    while True:
+        part = held if held is not None else next(parts, None)
+        held = None
+        if part is None:
+            return
+        head = part.lstrip(b"\r\n")
         if not head.startswith(b"WARC/"):
             continue
         fields = _fields(head)
@@ -118,7 +121,7 @@ def _records(parts: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
             got += [nxt, gap]
             size += len(nxt) + len(gap)
         block = b"".join(got)
-        held = block[need:].removesuffix(gap) if size > need else b""
+        held = block[need:].removesuffix(gap) if size > need else None  # a block that ends in line breaks moves the cut
         yield fields, block[: need - len(gap)]
 
 
