@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktote.llm import chat, decontaminate, exact_dedup, ngram_join, packing, warc
+from ticktote.llm import chat, decontaminate, exact_dedup, ngram_join, packing, ppm, quality, surrogates, warc
 from ticktote.llm.common import shared_path
 from ticktote.llm.oracles import ORACLES  # noqa: F401
 
@@ -38,6 +38,12 @@ def op2_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op3_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    got = quality.quality_scores(table(spark, sf, "documents"), quality.good_labels(table(spark, sf, "labels")))
+    return got.select(F.col("id").alias("doc_id"), *[F.round(c, 6).alias(c) for c in ("text_score", "meta_score", "score")], (F.col("score") >= 0.5).alias("kept"))
+
+
 @query
 def op4_warc(spark: SparkSession, sf: str) -> DataFrame:
     path = shared_path(spark, "warc")
@@ -60,7 +66,20 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op8_ppm_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = exact_dedup.exact_groups(table(spark, sf, "documents"))
     return got.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query
+def op10_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    got = surrogates.pseudonymise(docs, key="ticktote")
+    counts = [F.size(F.filter("__kinds", lambda k, t=t: F.split(k, ":")[0] == t)).cast("long").alias(f"n_{t}") for t in surrogates.TYPES]
+    return got.select("doc_id", F.size("__kinds").cast("long").alias("n_entities"), *counts, "text")
