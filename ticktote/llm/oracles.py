@@ -59,3 +59,19 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) m USING (doc_id)
 """
+
+ORACLES["op7_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, h, unnest(range(0, CAST(length(h) // 2 - 49 AS BIGINT))) AS i FROM d WHERE length(h) >= 100),
+k AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 100)) AS k FROM p),
+m AS (SELECT k, min(doc_id) AS lo FROM k GROUP BY k HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT k.doc_id, k.i FROM k JOIN m USING (k) WHERE k.doc_id > m.lo),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM s),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM g),
+spans AS (SELECT doc_id, r, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, r),
+edges AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS at_end FROM spans),
+cut AS (SELECT e.doc_id, sum(z - a) AS gone, count(*) AS n,
+  string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN at_end THEN substr(h, 2 * z + 1) ELSE '' END, '' ORDER BY a) AS kept FROM edges e JOIN d ON d.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+"""

@@ -9,8 +9,10 @@ pattern is repeated as often as its lengths last. Pieces find their place by the
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +24,44 @@ from ticktote.llm.common import shared_table
 
 END = "\n"
 CACHE_WORDS = 400_000
+CACHE_CORES = 500_000
+_PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 SLICE_CHARS = 500_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write bytes as: printable ones as they are, the others from 256 on in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _as_bytes(text: str) -> str:
+    return "".join(_BYTE_LETTERS[b] for b in text.encode())
+
+
+class _Codes(dict):
+    """Words to numbers; a new word gets the next number and is noted in fresh."""
+
+    def __init__(self, first: list[str]):
+        super().__init__((w, i) for i, w in enumerate(first))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        self.fresh.append(word)
+        return code
+
+
 class WordTokenizer:
     """Token ids of texts, word by word, for tokenizers in which no token crosses white space.
 
-    Ids of words seen before are kept, up to a number of words, and gathered for all words of a slice at once.
+    Ids of words seen before are kept, up to a number of words, and gathered for all words of a slice at once. A word
+    of Latin letters and then ASCII punctuation is two pieces to such tokenizers; if this one takes them apart, lower
+    case and byte by byte as ASCII, the ids of the letters come from its model directly, once for all such words.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -36,32 +69,55 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok, self.end_id = Tokenizer.from_file(path), end_id
+        self.cores: dict[str, list[int]] = {}
+        self.tails: dict[str, list[int]] = {"": []}
+        self.by_parts = all(self._whole(core + tail) == self._core(core) + self._whole(tail) for core, tail in (("onhe", ","), ("Éa", "!!"), ("THENHE", "$$$"), ("ß", ".'"), ("abc", "")))
         self._clear()
 
+    def _whole(self, word: str) -> list[int]:
+        return self.tok.encode(word, add_special_tokens=False).ids
+
+    def _core(self, core: str) -> list[int]:
+        low = core.lower()
+        ids = self.cores.get(low)
+        if ids is None:
+            if len(self.cores) > CACHE_CORES:
+                self.cores.clear()
+            ids = self.cores[low] = [t.id for t in self.tok.model.tokenize(low if low.isascii() else _as_bytes(low))]
+        return ids
+
+    def _ids(self, word: str) -> list[int]:
+        m = _PARTS.fullmatch(word) if self.by_parts else None
+        if not m:
+            return self._whole(word)
+        core, tail = m.groups()
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": []}
+            self.tails[tail] = self._whole(tail)
+        return self._core(core) + self.tails[tail]
+
     def _clear(self) -> None:
-        self.code: dict[str, int] = {"": 0, END: 1}
+        self.code = _Codes(["", END])
         self.ids = np.array([self.end_id], dtype=np.uint32)
         self.start, self.count = np.array([0, 0]), np.array([0, 1])
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(words)
-        got = [e.ids for e in self.tok.encode_batch(new, add_special_tokens=False)]
+    def _learn(self) -> None:
+        got = [self._ids(w) for w in self.code.fresh]
+        self.code.fresh.clear()
         counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter((i for g in got for i in g), dtype=np.uint32, count=int(counts.sum()))
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
+        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(counts.sum()))
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
         self.ids = np.concatenate([self.ids, flat])
 
     def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one after another, and the number of ids of each word."""
-        new = set(words).difference(self.code)
-        if new:
-            if len(self.code) + len(new) > CACHE_WORDS:
-                self._clear()
-                new = set(words).difference(self.code)
-            self._learn(new)
+        if len(self.code) > CACHE_WORDS:
+            self._clear()
         codes = np.fromiter(map(self.code.__getitem__, words), dtype=np.int64, count=len(words))
+        if self.code.fresh:
+            self._learn()
         counts = self.count[codes]
         at = np.repeat(self.start[codes] - (np.cumsum(counts) - counts), counts)
         at += np.arange(len(at))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktote.llm import chat, decontaminate, exact_dedup, ngram_join, packing, ppm, quality, surrogates, warc
+from ticktote.llm import chat, decontaminate, exact_dedup, ngram_join, packing, ppm, quality, suffix_dedup, surrogates, warc
 from ticktote.llm.common import shared_path
 from ticktote.llm.oracles import ORACLES  # noqa: F401
 
@@ -66,6 +66,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.near_components(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op7_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = suffix_dedup.cut_repeats(table(spark, sf, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op8_ppm_scores(spark: SparkSession, sf: str) -> DataFrame:
     return ppm.score_documents(table(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
