@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticktote.llm import chat, decontaminate, exact_dedup, ngram_join, packing, ppm, quality, suffix_dedup, surrogates, warc
@@ -87,5 +87,8 @@ def op9_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 def op10_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     got = surrogates.pseudonymise(docs, key="ticktote")
-    counts = [F.size(F.filter("__kinds", lambda k, t=t: F.split(k, ":")[0] == t)).cast("long").alias(f"n_{t}") for t in surrogates.TYPES]
-    return got.select("doc_id", F.size("__kinds").cast("long").alias("n_entities"), *counts, "text")
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("__kinds", lambda k: F.split(k, ":")[0] == kind)).cast("long").alias(f"n_{kind}")
+
+    return got.select("doc_id", F.size("__kinds").cast("long").alias("n_entities"), *[of(kind) for kind in surrogates.TYPES], "text")
