@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticktote.llm.common import shared_table
@@ -64,14 +64,12 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     body = F.coalesce(F.col(body_col), F.lit(""))
     page = F.col(id_col)
     rows = pages.select(page.alias("page"), F.coalesce(F.regexp_replace(F.col(url_col), r"\s", "%20"), F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("null")))).alias("uri"), body.alias("body"))
-    rows = rows.withColumn("sha", base32_sha1(F.col("body")))
-    plan = plan.select(F.col("page").alias("p"), F.col("digest").alias("d"), "refers_page")
-    on = F.col("page").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("d"))
-    rows = rows.join(plan, on, "left")
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("page", "sha").orderBy("uri"))
-    rows = rows.withColumn("nth", nth)
+    # one key for the join and the window, so that bodies are dealt out once
+    named = F.when(F.col("page").isNull(), "n").otherwise(F.concat(F.lit("v"), F.col("page").cast("string"))).alias("key")
+    rows = rows.select(named, "*", base32_sha1(F.col("body")).alias("sha"))
+    plan = plan.select(named, F.col("digest").alias("sha"), "refers_page")
+    rows = rows.join(plan, ["key", "sha"], "left")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("key", "sha").orderBy("uri")))
     rid = _urn("response", F.col("page"), F.col("sha"), F.col("nth"))
     first = _urn("response", F.col("refers_page"), F.col("sha"), F.lit(1))
     revisit = F.col("refers_page").isNotNull()
