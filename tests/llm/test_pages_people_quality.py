@@ -1,0 +1,187 @@
+"""WARC archives, dialogues, surrogates, the classifier and the pipeline."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import sys
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+from helpers import awkward, frame, prose  # noqa: E402
+
+from ticktote.llm import chat, quality, surrogates, warc  # noqa: E402
+from ticktote.llm.common import shared_path  # noqa: E402
+
+
+def b32(s):
+    return base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+
+
+PAGES = [
+    (1, "http://a.example/x?y=1#z", "<html>same</html>"), (2, "http://b.example", "<html>same</html>"), (3, None, None), (4, "bad url with blanks", ""), (5, "http://c.example/", "line\r\n\r\nline\r\n"),
+    (6, "http://d.example/", "\r\n\r\nWARC/1.1\r\n\r\n"), (7, "http://e.example/", "ends\r\n\r\n"), (8, "http://f.example/", "é漢字" * 5000), (9, "http://a.example/\r\nInjected: 1", "<html>same</html>"), (10, "http://g.example/", "x\r"), (10, "http://g.example/", "x\r")]
+
+
+@pytest.mark.parametrize("least", [0, 5])
+def test_warc_round_trip(spark, least):
+    pages = spark.createDataFrame([(*p, "extra") for p in PAGES], "page_id long, url string, html string, uri string").repartition(3)
+    path = shared_path(spark, "warc")
+    warc.write_archive(pages, path, min_bytes=least)
+    got = warc.captures(spark, path).collect()
+    want = []
+    for i, _, html in PAGES:
+        body = html or ""
+        same = [p for p, _, h in PAGES if (h or "") == body]
+        keep = max(same) if len(body.encode()) >= least else i
+        want.append((str(i), len(body.encode()), b32(body), "response" if keep == i else "revisit", "" if keep == i else str(keep)))
+    assert sorted((r["page"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_page"] or "") for r in got) == sorted(want)
+    assert all(len(r["requests"]) == 1 and len(r["metadata"]) == 1 for r in got)
+    full = warc.assemble(warc.read_records(spark, path, with_payload=True)).where("response.record_type = 'response'").collect()
+    assert sorted(r["response"]["payload"] for r in full) == sorted((h or "") for i, _, h in PAGES if (str(i), "response") in {(w[0], w[3]) for w in want})
+
+
+def test_warc_orphans_and_empty(spark):
+    path = shared_path(spark, "warc")
+    warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), path)
+    assert warc.captures(spark, path).count() == 0
+    lone = spark.createDataFrame([("request", "<r>", "<c>")], "record_type string, record_id string, concurrent_to string")
+    for c in ("refers_to", "target_uri", "date", "stated_digest", "payload_digest", "payload"):
+        lone = lone.selectExpr("*", f"cast(null as string) {c}")
+    lone = lone.selectExpr("*", "cast(null as bigint) payload_bytes", "cast(null as map<string,string>) fields")
+    row = warc.assemble(lone).collect()
+    assert len(row) == 1 and row[0]["response"] is None and row[0]["requests"][0]["record_id"] == "<r>"
+
+
+def test_rotate(spark):
+    turns = [
+        (1, 0, "system", "be kind"), (1, 1, "ann", "hi <|end|>"), (1, 2, "bob", None), (1, 3, "cleo", "yes"), (1, 3, "cleo", "yes"), (2, 0, "system", "alone"), (3, None, None, "lost"), (None, 0, "ann", "x"), (None, 1, "bob", "y"),
+        *[(4, k, ("ann", "bob")[k % 2], f"t{k}") for k in range(9)]]
+    got = chat.rotate(spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, part int"), part_turns=4).collect()
+    by = {(r["conv"], r["part"], r["speaker"]): r for r in got}
+    assert set(by) == {(1, 0, s) for s in ("ann", "bob", "cleo")} | {(3, -1, "unknown"), (None, 0, "ann"), (None, 0, "bob")} | {(4, p, s) for p in range(3) for s in ("ann", "bob")}
+    cleo = by[1, 0, "cleo"]
+    assert cleo["text"] == "<|system|>\nbe kind<|end|>\n<|user name=ann|>\nhi < |end|><|end|>\n<|user name=bob|>\n<|end|>\n" + "<|assistant|>\nyes<|end|>\n" * 2
+    assert [cleo["text"][m["start"]:m["end"]] for m in cleo["masks"]] == ["yes<|end|>\n"] * 2
+    for (conv, part, speaker), r in by.items():
+        said = [t for t in turns if t[0] == conv and (-1 if t[1] is None else t[1] // 4) == part and (t[2] or "unknown") == speaker]
+        assert len(r["masks"]) == len(said)
+        assert all(r["text"][:m["start"]].endswith("<|assistant|>\n") for m in r["masks"])
+    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+PII = [
+    (1, "Mail ann.lee@example.com or +1 (988) 555-2485, card 4111 1111 1111 1111."), (2, "ann.lee@example.com again; bob@example.com; 10.0.0.1 and 10.0.0.2"), (3, None), (4, ""),
+    (5, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" password=b7db7aa4a5fcc78305'), (6, "Dear Mrs. Anna Kowalska, Herr Peter Maier and Г-жа Иванова"), (7, "nothing 12 to 34 see"), (7, "123-45-6789"), (None, "x@y.example")]
+
+
+def test_surrogates(spark):
+    docs = frame(spark, PII)
+    out = surrogates.pseudonymise(docs, key="k")
+    assert out.columns == [*docs.columns, "_entity_kinds"]
+    got = {(r["doc_id"], k): r for k, r in enumerate(sorted(out.collect(), key=lambda r: (str(r["doc_id"]), r["text"] or "")))}
+    text = {i: t["text"] for (i, _), t in got.items() if i != 7}
+    assert text[3] is None and text[4] == "" and any(r["text"] == "nothing 12 to 34 see" for r in got.values())
+    every = [v for _, t in PII for *_, v in surrogates.entities(t or "")]
+    assert len(every) == 14 and not any(v in (t or "") for v in every for t in text.values())
+    one, two = text[1], text[2]
+    mail = re.search(r"\S+@\S+\.com", one).group()
+    assert mail in two and len(mail) == len("ann.lee@example.com") and mail.index(".") == 3
+    card = re.sub(r"\D", "", re.search(r"\d{4} \d{4} \d{4} \d{4}", one).group())
+    assert card[0] == "4" and surrogates._luhn(card[:-1]) == int(card[-1])
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", one)
+    a, b = re.findall(r"\d+\.\d+\.\d+\.\d+", two)
+    assert a != b
+    assert re.fullmatch(r'token = "[0-9a-f]{40}" password=[0-9a-f]{18}', text[5])
+    anna, peter, ivanova = re.fullmatch(r"Dear Mrs\. (\w+) \w{7}a, Herr (\w+) \w{4}r and Г-жа (\w+)", text[6]).groups()
+    assert anna in surrogates.FEMALE and peter in surrogates.MALE and re.fullmatch("[А-Я][а-я]{5}а", ivanova)
+    assert {r["text"] for r in surrogates.pseudonymise(docs, key="k").collect()} == {r["text"] for r in got.values()}
+    assert surrogates.pseudonymise(frame(spark, []), key="k").count() == 0
+
+
+def test_permutation_is_one():
+    for n in (1, 2, 3, 10, 26, 1000):
+        assert sorted(surrogates.permute(v, n, b"key", "t") for v in range(n)) == list(range(n))
+
+
+def test_collisions_are_drawn_again(spark):
+    values = [f"{a}{b}@q.io" for a in "abcdefghij" for b in "0123456789"]
+    found = spark.createDataFrame([(1, "email", v, 1) for v in values], "id long, kind string, value string, uses long")
+    odd = {(r["kind"], r["value"]): r["attempt"] for r in surrogates.assign(found, b"key", attempts=3).collect()}
+    drawn = [surrogates.surrogate("email", v, b"key", odd.get(("email", v), 0)) for v in values]
+    assert len(set(drawn)) == len(values)
+
+
+def labelled(n=400):
+    r = random.Random(5)
+    rows, labels = [], []
+    for i in range(n):
+        kind = r.random()
+        text = prose(1000 + i, 80)
+        if kind < 0.2:
+            text = "!! ".join(text.upper().split()[:20]) * 3
+        elif kind < 0.35:
+            text += " idiot " + prose(i, 20)
+        rows.append((i, text))
+        labels.append((i, 0 if kind < 0.2 else 1, 1 if 0.2 <= kind < 0.35 else 0))
+    return rows, labels
+
+
+def test_quality_on_held_out(spark):
+    rows, labels = labelled()
+    given = [lab for lab in labels if lab[0] % 4] + [(1, None, None), (9999, 1, 0), (None, 1, 1)]
+    good = quality.good_labels(spark.createDataFrame(given, "doc_id long, quality int, toxic int"))
+    docs = frame(spark, rows + [(None, None), (5000, ""), (5001, "a"), (0, rows[0][1])])
+    got = quality.quality_scores(docs, good).collect()
+    assert len(got) == len(rows) + 4 and all(0 <= r["score"] <= 1 for r in got)
+    score = {r["id"]: r["score"] for r in got}
+    held = [(score[i], q == 1 and t == 0) for i, q, t in labels if i % 4 == 0]
+    assert np.mean([(s >= 0.5) == g for s, g in held]) > 0.9
+    kept = quality.accept(docs, good)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["id"]) for r in got if r["score"] >= 0.5)
+
+
+def test_quality_without_labels(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r["score"] == 1 for r in quality.quality_scores(frame(spark, awkward()), quality.good_labels(none)).collect())
+    one = spark.createDataFrame([(4, 0, 0)], "doc_id long, quality int, toxic int")
+    assert all(r["score"] == 0 for r in quality.quality_scores(frame(spark, awkward()), quality.good_labels(one)).collect())
+    assert quality.quality_scores(frame(spark, []), quality.good_labels(one)).count() == 0
+
+
+def test_pseudo_labels_come_from_the_other_view():
+    r = np.random.default_rng(1)
+    y = r.integers(0, 2, 300).astype(float)
+    rows = [np.array([int(v) * 2 + 1, 7], dtype=np.uint16) for v in y]
+    w = quality.fit_logistic(rows, y, 10)
+    assert ((quality.logits(rows, w) > 0) == (y == 1)).all()
+    x = np.column_stack([quality.logits(rows, w)])
+    scale = quality.fit_dense(x, y)
+    assert (((x @ scale[:1] + scale[1]) > 0) == (y == 1)).all()
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    out = corpus_pipeline.run(spark, sf).collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, sf)
+        assert after.columns == docs.columns and after.dtypes == docs.dtypes
+        before = docs.count()
+        docs = spark.read.schema(after.schema).parquet(_written(spark, after))
+        assert 0 < docs.count() <= before
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()}
+
+
+def _written(spark, df):
+    path = shared_path(spark, "stage")
+    df.write.parquet(path)
+    return path

@@ -103,5 +103,5 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     on = docs[id_col].eqNullSafe(hit["__id"])
     if remove == "documents":
         return docs.join(hit, on, "left_anti")
-    cut = F.when(F.col("__spans").isNull(), docs[text_col]).otherwise(remove_spans(docs[text_col], F.col("__spans")))
+    cut = F.when(hit["__spans"].isNull(), docs[text_col]).otherwise(remove_spans(docs[text_col], hit["__spans"]))
     return docs.join(hit, on, "left").select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])

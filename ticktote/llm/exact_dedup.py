@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticktote.llm.common import shared_table
+from ticktote.llm.common import free_name, shared_table
 
 SPACES = (" ", "\t", "\n", "\x0b", "\f", "\r")
 MIN_CHUNK, MAX_CHUNK = 256, 4096
@@ -87,9 +87,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    key = "__sha256"
-    while key in docs.columns:
-        key = "_" + key
+    key = free_name(docs, "sha256")
     stay = exact_groups(docs, id_col, text_col).where("kept").select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"))
     marked = docs.withColumn(key, F.sha2(F.encode(strip_spaces(F.col(text_col)), "UTF-8"), 256))
     on = marked[id_col].eqNullSafe(stay["__id"]) & (marked[key] == stay["__sha"])

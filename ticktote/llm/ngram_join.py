@@ -191,7 +191,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when 100 * intersection >= percent * union of their sets of five-word shingles (words after
     lower-casing A-Z, broken at ASCII white space; fewer words are one shingle). A component is named after its
     smallest id. Null and empty texts have an empty set and link with nothing; repeated rows have equal sets and
-    link; null ids keep a row, and name a component only where it has no other id.
+    link. Rows with a null id keep a row; a set that only they have links with nothing and its component is null.
 
     What is broadcast: the most frequent tokens, frequent_tokens at most, and the ids of documents that share a
     prefix token, if there are at most broadcast_ids of them (beyond that they are joined by shuffle).

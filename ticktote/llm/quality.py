@@ -1,7 +1,8 @@
 """A quality classifier trained by co-training of two views.
 
-The text view has hashed words and the shape of a text (shares of kinds of characters, repetition of words and lines);
-the metadata view has the other columns. Each view is a logistic model fitted on a bounded sample of labelled rows. In
+The text view has hashed words, their first four and five bytes, and the shape of a text (shares of kinds of
+characters, repetition of words and lines); of the hashed ones, those count that tell good from bad labelled rows. The
+metadata view has the other columns. Each view is a logistic model fitted on a bounded sample of labelled rows. In
 each round both score all documents, and what one view is confident about is a pseudo-label for the other. At the end
 each view is calibrated on labelled rows that it was not fitted on, and a small model over both calibrated views scores
 all documents.
@@ -22,7 +23,11 @@ from pyspark.sql import types as T
 from ticktote.llm.common import shared_table
 from ticktote.llm.textops import columns, mix, pieces, word_hashes
 
-WORD_FEATURES = 1 << 14
+WORD_FEATURES = 1 << 20
+PREFIXES = (4, 5)
+LEAST_ROWS = 5
+Z_SCORE = 3.5
+MOST_FEATURES = 60_000
 SHAPE_BINS = 16
 META_FEATURES = 1 << 12
 MAX_LABELLED = 8_000
@@ -32,15 +37,13 @@ CONFIDENT = 0.97
 META = ("lang", "source", "n_chars")
 
 
-def _class(chars: str) -> np.ndarray:
-    out = np.zeros(256, np.int64)
-    out[list(chars.encode())] = 1
-    return out
-
-
-_KINDS = [_class(x) for x in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?", "#$%&*+<=>@^~", "|", ".,;:", "\n", " \t", "()[]{}/\\\"'_-", "`\x7f")]
-_KINDS.append((np.arange(256) >= 128).astype(np.int64))
-N_SHAPES = len(_KINDS) + 6
+_KINDS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?", "#$%&*+<=>@^~", "|", ".,;:", "\n", " \t", "()[]{}/\\\"'_-")
+_KIND_OF = np.zeros(256, dtype=np.int64)
+for _k, _chars in enumerate(_KINDS, 1):
+    _KIND_OF[list(_chars.encode())] = _k
+_KIND_OF[128:] = len(_KINDS) + 1
+N_KINDS = len(_KINDS) + 2
+N_SHAPES = N_KINDS + 6
 TEXT_FEATURES = WORD_FEATURES + N_SHAPES * SHAPE_BINS + 1
 
 
@@ -53,18 +56,20 @@ def _logs(x: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(x, 0) + 1).astype(np.int64), SHAPE_BINS - 1)
 
 
-def text_features(batch: pa.RecordBatch, i: int) -> Iterator[np.ndarray]:
-    """The sorted feature numbers of each text of a column."""
+def text_features(batch: pa.RecordBatch, i: int, chosen: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """The sorted feature numbers of each text of a column; with `chosen`, renumbered by it, without those it has as 0."""
     data, off = columns(batch, i)
     for a, z in pieces(data, off):
         part, at = data[off[a] : off[z]], off[a : z + 1] - off[a]
         size = np.diff(at)
         h, w = word_hashes(part, at)
         n = np.diff(w)
-        cum = [np.concatenate([[0], np.cumsum(k[part])]) for k in _KINDS]
-        shares = [(c[at[1:]] - c[at[:-1]]) / np.maximum(size, 1) for c in cum]
+        of = np.repeat(np.arange(z - a) * N_KINDS, size)
+        shares = np.bincount(of + _KIND_OF[part], minlength=(z - a) * N_KINDS).reshape(-1, N_KINDS) / np.maximum(size, 1)[:, None]
         breaks = np.flatnonzero(part == 10)
-        hashed = (mix(h, 11) % np.uint64(WORD_FEATURES)).astype(np.int64)
+        hashed = np.stack([(mix(x, 11 + k) % np.uint64(WORD_FEATURES)).astype(np.int64) for k, x in enumerate([h, *[word_hashes(part, at, b)[0] for b in PREFIXES]])])
+        if chosen is not None:
+            hashed = chosen[hashed]
         for k in range(z - a):
             words = h[w[k] : w[k + 1]]
             distinct = len(np.unique(words)) / max(len(words), 1)
@@ -72,9 +77,31 @@ def text_features(batch: pa.RecordBatch, i: int) -> Iterator[np.ndarray]:
             lines = part[at[k] : at[k + 1]].tobytes().split(b"\n") if len(line) else [b""]
             extra = [distinct, len(set(lines)) / len(lines)]
             numbers = [size[k] / max(n[k], 1), n[k], len(lines), size[k] / len(lines)]
-            shape = np.concatenate([_bins(np.array([s[k] for s in shares] + extra)), _logs(np.array(numbers, dtype=np.float64))])
+            shape = np.concatenate([_bins(np.append(shares[k], extra)), _logs(np.array(numbers, dtype=np.float64))])
             own = WORD_FEATURES + np.arange(N_SHAPES) * SHAPE_BINS + shape
-            yield np.concatenate([np.unique(hashed[w[k] : w[k + 1]]), own, [TEXT_FEATURES - 1]]).astype(np.uint16)
+            own = np.append(own, TEXT_FEATURES - 1)
+            got = hashed[:, w[k] : w[k + 1]].ravel()
+            if chosen is not None:
+                own, got = chosen[own], got[got > 0]
+            yield np.concatenate([np.unique(got), own])
+
+
+def choose_features(rows: list[np.ndarray], y: np.ndarray, least: int = LEAST_ROWS, most: int = MOST_FEATURES, z_score: float = Z_SCORE) -> np.ndarray:
+    """New numbers, from 1 on, for chosen hashed features, and for all shapes; 0 for others.
+
+    Chosen are those that at least `least` rows have and whose shares among good and bad rows differ by z_score standard
+    errors (the `most` commonest of them).
+    """
+    df = [np.bincount(np.concatenate([r for r, v in zip(rows, y, strict=True) if v == k] or [np.zeros(0, np.int64)]), minlength=TEXT_FEATURES)[:WORD_FEATURES] for k in (0, 1)]
+    n = [max(int((y == k).sum()), 1) for k in (0, 1)]
+    both = (df[0] + df[1]) / sum(n)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[0] + 1 / n[1]))
+    keep = np.flatnonzero((df[0] + df[1] >= least) & (np.abs(df[1] / n[1] - df[0] / n[0]) >= z_score * error))
+    keep = np.sort(keep[np.argsort(-both[keep], kind="stable")[:most]])
+    out = np.zeros(TEXT_FEATURES, np.int64)
+    out[keep] = 1 + np.arange(len(keep))
+    out[WORD_FEATURES:] = 1 + len(keep) + np.arange(TEXT_FEATURES - WORD_FEATURES)
+    return out
 
 
 def meta_features(row: tuple, names: tuple[str, ...]) -> np.ndarray:
@@ -91,7 +118,7 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, size: int, *, l2: float
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
     w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.add.reduceat(w[idx], starts)))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[idx], starts), -30, 30)))
         g = np.bincount(idx, weights=np.repeat((p - y) / len(y), lens), minlength=size) + l2 * w / np.sqrt(len(y))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -102,7 +129,7 @@ def logits(rows: list[np.ndarray], w: np.ndarray) -> np.ndarray:
     return np.array([w[r].sum() for r in rows])
 
 
-def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) -> np.ndarray:
+def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 50) -> np.ndarray:
     """Weights of a logistic model over few columns and a constant, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
@@ -116,7 +143,8 @@ def fit_dense(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 50) -
 class CoTrained:
     """Weights of both views, their calibrations and the model that combines them."""
 
-    text: np.ndarray = field(default_factory=lambda: np.zeros(TEXT_FEATURES))
+    chosen: np.ndarray
+    text: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16))
     meta: np.ndarray = field(default_factory=lambda: np.zeros(META_FEATURES))
     text_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
     meta_scale: np.ndarray = field(default_factory=lambda: np.array([1.0, 0.0]))
@@ -141,19 +169,23 @@ def _sets(b: pa.RecordBatch, i: int) -> list[np.ndarray]:
     return [np.frombuffer(v, dtype=np.uint16) for v in b.column(i).to_pylist()]
 
 
-def featurise(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...]) -> DataFrame:
-    """id and both feature sets of each row, as packed 16-bit numbers."""
+def featurise(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str, ...], chosen: np.ndarray | None = None) -> DataFrame:
+    """id and both feature sets of each row, as packed numbers: of 16 bits, or 32 for texts if no features are chosen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [f.tobytes() for f in text_features(b, 1)]
-            meta = [meta_features(r, meta_cols).tobytes() for r in zip(*[b.column(2 + k).to_pylist() for k in range(len(meta_cols))], strict=True)] if meta_cols else [meta_features((), ()).tobytes()] * b.num_rows
+            text = [f.astype(np.uint32 if chosen is None else np.uint16).tobytes() for f in text_features(b, 1, chosen)]
+            meta = [m.tobytes() for m in _metas(b, range(2, 2 + len(meta_cols)), meta_cols)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["id", "tf", "mf"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("tf", T.BinaryType()), T.StructField("mf", T.BinaryType())])
     return docs.select(id_col, text_col, *meta_cols).mapInArrow(run, schema)
 
 
+def _metas(b: pa.RecordBatch, at, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [meta_features(r, names) for r in zip(*[b.column(k).to_pylist() for k in at], strict=True)] if names else [meta_features((), ())] * b.num_rows
+
+
 def _taught(features: DataFrame, model: CoTrained, view: str, sure: float, most: int) -> tuple[list[bytes], list[bytes], np.ndarray]:
     """Of all documents, those that a view is sure about: at most `most` of either class, chosen by a hash of the id."""
 
@@ -169,43 +201,53 @@ def _taught(features: DataFrame, model: CoTrained, view: str, sure: float, most:
     return [r["tf"] for r in got], [r["mf"] for r in got], np.array([r["y"] for r in got], dtype=np.float64)
 
 
-def train(features: DataFrame, labels: DataFrame, *, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, max_pseudo: int = MAX_PSEUDO, sure: float = CONFIDENT) -> CoTrained:
-    """The model for features, from labels (id, good: 0 or 1; of several labels of an id the lowest holds, null is none).
+def sample_labels(labels: DataFrame, most: int) -> DataFrame:
+    """At most `most` labelled ids, chosen by a hash, with the fold that calibrates as 0; of several labels the lowest holds."""
+    known = labels.where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"))
+    return known.orderBy(F.xxhash64("id"), "id").limit(most).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(5)))
 
-    max_labelled rows at most, chosen by a hash of the id, are used of the labels; a fifth of them calibrates. Each
-    round adds at most max_pseudo pseudo-labels of either class to either view. Without labels of both classes the
-    model answers the share of good ones, or 1 if there are none.
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META, *, rounds: int = ROUNDS, max_labelled: int = MAX_LABELLED, max_pseudo: int = MAX_PSEUDO, sure: float = CONFIDENT) -> tuple[CoTrained, DataFrame]:
+    """The model, from labels (id, good: 0 or 1, null is none), and the features of all documents that it scores.
+
+    max_labelled rows at most are used of the labels; a fifth of them calibrates. Each round adds at most max_pseudo
+    pseudo-labels of either class to either view, of all documents without a label in the sample. Without labels of
+    both classes the model answers the share of good ones, or 1 if there are none.
     """
-    known = labels.where("id is not null and good is not null").groupBy("id").agg(F.min("good").alias("good"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_labelled).withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(5)))
-    rows = features.join(F.broadcast(sample), "id").dropDuplicates(["id"]).select("id", "tf", "mf", "good", "fold").toArrow().to_pylist()
+    sample = shared_table(sample_labels(labels, max_labelled), "labels")
+    named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"m{k}") for k, c in enumerate(meta_cols)])
+    names = tuple(f"m{k}" for k in range(len(meta_cols)))
+    mine = named.join(F.broadcast(sample.select("id")), "id", "left_semi")
+    rows = featurise(mine, "id", "text", names).join(F.broadcast(sample), "id").dropDuplicates(["id"]).toArrow().to_pylist()
     rows.sort(key=lambda r: str(r["id"]))
-    unpack = lambda packed: [np.frombuffer(x, dtype=np.uint16) for x in packed]
-    y = np.array([r["good"] for r in rows], dtype=np.float64)
+    wide = [np.frombuffer(r["tf"], dtype=np.uint32).astype(np.int64) for r in rows]
+    meta = [np.frombuffer(r["mf"], dtype=np.uint16) for r in rows]
+    y, held = np.array([r["good"] for r in rows], dtype=np.float64), np.array([r["fold"] == 0 for r in rows], dtype=bool)
+    model = CoTrained(choose_features([w for w, h in zip(wide, held, strict=True) if not h], y[~held]))
+    features = shared_table(featurise(named, "id", "text", names, model.chosen), "features")
     if len(set(y.tolist())) < 2:
-        return CoTrained(constant=float(y.mean()) if len(y) else 1.0)
-    text, meta = unpack(r["tf"] for r in rows), unpack(r["mf"] for r in rows)
-    held = np.array([r["fold"] == 0 for r in rows])
+        model.constant = float(y.mean()) if len(y) else 1.0
+        return model, features
+    text = [model.chosen[w][model.chosen[w] > 0] for w in wide]
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(rows), bool)
     fit, check = np.flatnonzero(~held), np.flatnonzero(held if held.any() else ~held)
     pick = lambda xs, at: [xs[i] for i in at]
-    unlabelled = features.join(F.broadcast(sample.select("id")), "id", "left_anti") if rounds else features
+    unlabelled = features.join(F.broadcast(sample.select("id")), "id", "left_anti")
     extra_text, extra_meta = ([], np.zeros(0)), ([], np.zeros(0))
-    model = CoTrained()
     for k in range(rounds + 1):
-        model.text = fit_logistic(pick(text, fit) + extra_text[0], np.concatenate([y[fit], extra_text[1]]), TEXT_FEATURES)
+        model.text = fit_logistic(pick(text, fit) + extra_text[0], np.concatenate([y[fit], extra_text[1]]), 1 << 16)
         model.meta = fit_logistic(pick(meta, fit) + extra_meta[0], np.concatenate([y[fit], extra_meta[1]]), META_FEATURES)
         model.text_scale = fit_dense(logits(pick(text, check), model.text)[:, None], y[check])
         model.meta_scale = fit_dense(logits(pick(meta, check), model.meta)[:, None], y[check])
         if k == rounds:
             break
         tf, _, ty = _taught(unlabelled, model, "meta", sure, max_pseudo)
-        extra_text = (unpack(tf), ty)
+        extra_text = ([np.frombuffer(x, dtype=np.uint16) for x in tf], ty)
         _, mf, my = _taught(unlabelled, model, "text", sure, max_pseudo)
-        extra_meta = (unpack(mf), my)
+        extra_meta = ([np.frombuffer(x, dtype=np.uint16) for x in mf], my)
     model.combine = fit_dense(model.views(pick(text, check), pick(meta, check)), y[check])
-    return model
+    return model, features
 
 
 def good_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -219,8 +261,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     labels has id and good. Null and empty texts have the features of a text of no length; null metadata is a value of
     its own; repeated rows get equal scores; an empty table gives none.
     """
-    features = shared_table(featurise(docs, id_col, text_col, meta_cols), "features")
-    model = train(features, labels, **kw)
+    model, features = train(docs, labels, id_col, text_col, meta_cols, **kw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -233,15 +274,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", meta_cols: tuple[str, ...] = META, *, least: float = 0.5, **kw) -> DataFrame:
     """The rows of docs that score at least `least`, in one pass over docs without a shuffle of texts."""
-    features = shared_table(featurise(docs, id_col, text_col, meta_cols), "features")
-    model = train(features, labels, **kw)
+    model, _ = train(docs, labels, id_col, text_col, meta_cols, **kw)
     text_at, meta_at = docs.columns.index(text_col), [docs.columns.index(c) for c in meta_cols]
+    names = tuple(f"m{k}" for k in range(len(meta_cols)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                meta = [meta_features(r, meta_cols) for r in zip(*[b.column(k).to_pylist() for k in meta_at], strict=True)] if meta_cols else [meta_features((), ())] * b.num_rows
-                p = model.scores(list(text_features(b, text_at)), meta)[:, 2]
+                p = model.scores(list(text_features(b, text_at, model.chosen)), _metas(b, meta_at, names))[:, 2]
                 yield b.filter(pa.array(p >= least))
 
     return docs.mapInArrow(run, docs.schema)

@@ -89,6 +89,6 @@ def op10_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     got = surrogates.pseudonymise(docs, key="ticktote")
 
     def of(kind: str) -> Column:
-        return F.size(F.filter("__kinds", lambda k: F.split(k, ":")[0] == kind)).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("entity_kinds", lambda k: F.split(k, ":")[0] == kind)).cast("long").alias(f"n_{kind}")
 
-    return got.select("doc_id", F.size("__kinds").cast("long").alias("n_entities"), *[of(kind) for kind in surrogates.TYPES], "text")
+    return got.select("doc_id", F.size("entity_kinds").cast("long").alias("n_entities"), *[of(kind) for kind in surrogates.TYPES], "text")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticktote.llm.common import shared_table
+from ticktote.llm.common import free_name, shared_table
 
 ATTEMPTS = 6
 TYPES = ("email", "phone", "card", "ip", "secret", "ssn", "name")
@@ -210,7 +210,7 @@ def assign(found: DataFrame, key: bytes, attempts: int = ATTEMPTS) -> DataFrame:
     return drawn.where("attempt > 0").select("kind", "value", "attempt")
 
 
-def _replace(key: bytes, text_at: int, more_at: int):
+def _replace(key: bytes, text_at: int, more_at: int, kinds_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new, seen = [], []
@@ -228,13 +228,15 @@ def _replace(key: bytes, text_at: int, more_at: int):
             cols = [c for k, c in enumerate(b.columns) if k != more_at]
             names = [n for k, n in enumerate(b.schema.names) if k != more_at]
             cols[text_at] = pa.array(new, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(seen, pa.list_(pa.string()))], [*names, "__kinds"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(seen, pa.list_(pa.string()))], [*names, kinds_name])
 
     return run
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col, and the kinds of the replaced entities, in order, in the column __kinds.
+    """docs with surrogates in text_col, and last a column with the kinds of the replaced entities, in order.
+
+    The column is called entity_kinds, with underscores before it where docs has that name.
 
     Null texts stay null, texts without entities stay as they are, repeated rows get equal surrogates. Documents are
     joined only to entities that needed another attempt; Spark chooses the join by its size.
@@ -243,11 +245,11 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     found = shared_table(mentions(docs, id_col, text_col), "mentions")
     odd = assign(found, secret)
     more = found.join(odd, ["kind", "value"]).groupBy(F.col("id").alias("__id")).agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("__more"))
-    light = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
     if odd.isEmpty():
-        joined = light.withColumn("__more", F.expr("cast(null as array<struct<kind: string, value: string, attempt: int>>)"))
+        joined = docs.select("*", F.expr("cast(null as array<struct<kind: string, value: string, attempt: int>>)").alias("__more"))
     else:
         more = shared_table(more, "attempts")
-        joined = light.join(more, light[id_col].eqNullSafe(more["__id"]), "left").drop("__id")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__kinds", T.ArrayType(T.StringType()))])
-    return joined.mapInArrow(_replace(secret, docs.columns.index(text_col), len(docs.columns)), schema)
+        joined = docs.join(more, docs[id_col].eqNullSafe(more["__id"]), "left").select(*[docs[c] for c in docs.columns], more["__more"])
+    name = free_name(docs, "entity_kinds")
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))])
+    return joined.mapInArrow(_replace(secret, docs.columns.index(text_col), len(docs.columns), name), schema)

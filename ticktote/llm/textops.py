@@ -55,8 +55,11 @@ def pieces(data: np.ndarray, off: np.ndarray, limit: int = SLICE_BYTES) -> Itera
         a = min(z, n)
 
 
-def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of data (A-Z folded, broken at white space and at cuts) and the place of their first byte."""
+def _hash_words(data: np.ndarray, cuts: np.ndarray, bytes_of: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of data (A-Z folded, broken at white space and at cuts) and the place of their first byte.
+
+    With bytes_of, only that many bytes of a word count.
+    """
     fold = _FOLD[data]
     word = ~_SPACE[fold]
     begin = word.copy()
@@ -73,15 +76,17 @@ def _hash_words(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndar
     ok = stop < len(gaps)
     last[ok] = gaps[stop[ok]]
     last[:-1] = np.minimum(last[:-1], first[1:])
+    if bytes_of:
+        last = np.minimum(last, first + bytes_of)
     up, down = (p[: len(data)] if len(data) <= len(p) else _powers(b, len(data)) for p, b in zip(_POWERS, (_BASE, _INVERSE), strict=True))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[fold] * up, dtype=np.uint64)])
     return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)), first
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, bytes_of: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of rows, and the n + 1 offsets of the rows among them. Very long rows go by slices."""
     if len(data) <= 2 * SLICE_BYTES:
-        h, first = _hash_words(data, off[1:-1])
+        h, first = _hash_words(data, off[1:-1], bytes_of)
         return h, np.searchsorted(first, off)
     out, counts = [], []
     for a, z in zip(off[:-1], off[1:], strict=True):
@@ -93,7 +98,7 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
                 end = end + int(gaps[0]) if len(gaps) else min(end + SLICE_BYTES, int(z))
                 if len(gaps):
                     break
-            h, _ = _hash_words(data[at:end], np.zeros(0, np.int64))
+            h, _ = _hash_words(data[at:end], np.zeros(0, np.int64), bytes_of)
             out.append(h)
             got, at = got + len(h), end
         counts.append(got)
