@@ -59,21 +59,27 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     hint = "broadcast" if sum(counts.values()) <= broadcast_rows else "merge"
     base = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
 
-    def hashes(n: int) -> Column:
+    kind = "array<struct<pos: int, len: int, h: bigint, first: int, near: array<string>>>"
+
+    def lookups(n: int) -> Column:
+        """Every (n - g + 1)th gram of g words, with the words of all windows of n that have it."""
         g = gram_of(n)
         at = F.sequence(F.lit(1), F.size("w") - g + 1, F.lit(n - g + 1))
-        one = F.transform(at, lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("w", i, g)).alias("h")))
-        return F.when(F.size("w") >= n, one).otherwise(F.array().cast("array<struct<pos: int, len: int, h: bigint>>"))
-
-    head = F.array(F.struct(F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("bigint").alias("h")))
-    # the lookups are a column of their own, so that exploding them runs as generated code and copies no word list
-    listed = base.select("row_key", "id", "w", F.concat(head, *[hashes(n) for n in sorted(counts)]).alias("xs"))
-    looked = listed.select("row_key", "id", "w", F.explode("xs").alias("x")).select("row_key", "id", "w", F.col("x.pos").alias("g_pos"), "x.len", "x.h")
+        first = lambda i: F.greatest(i - (n - g), F.lit(1))
+        one = F.transform(at, lambda i: F.struct(
+            i.alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.slice("w", i, g)).alias("h"), first(i).alias("first"), F.slice("w", first(i), i + n - first(i)).alias("near")))
+        return F.when(F.size("w") >= n, one).otherwise(F.array().cast(kind))
+
+    none = F.array().cast("array<string>")
+    head = F.array(F.struct(F.lit(0).alias("pos"), F.size("w").alias("len"), F.lit(0).cast("bigint").alias("h"), F.lit(0).alias("first"), none.alias("near")))
+    # the lookups are a column of their own, so that exploding them runs as generated code; a row has its own few words only
+    listed = base.select("row_key", "id", F.concat(head, *[lookups(n) for n in sorted(counts)]).alias("xs"))
+    looked = listed.select("row_key", "id", F.explode("xs").alias("x")).select("row_key", "id", F.col("x.pos").alias("g_pos"), "x.len", "x.h", "x.first", "x.near")
     found = looked.join(grams.hint(hint), F.col("h") == F.col("g_hash"), "left").withColumn("pos", F.col("g_pos") - F.col("g_at"))
-    same = (F.col("g_pos") > 0) & (F.col("len") == F.col("w_len")) & (F.col("pos") > 0) & (F.col("pos") + F.col("len") - 1 <= F.size("w"))
-    same = same & (F.col("w_text") == F.array_join(F.slice("w", F.greatest("pos", F.lit(1)), F.col("len")), " "))
+    same = (F.col("g_pos") > 0) & (F.col("len") == F.col("w_len")) & (F.col("pos") >= F.col("first"))
+    same = same & (F.col("w_text") == F.array_join(F.slice("near", F.greatest(F.col("pos") - F.col("first") + 1, F.lit(1)), F.col("len")), " "))
     hits = found.where((F.col("g_pos") == 0) | same).select(
-        "row_key", "id", F.when(F.col("g_pos") == 0, F.size("w")).alias("n"), F.when(F.col("g_pos") > 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))).alias("at"),
+        "row_key", "id", F.when(F.col("g_pos") == 0, F.col("len")).alias("n"), F.when(F.col("g_pos") > 0, F.struct("pos", (F.col("pos") + F.col("len")).alias("end"))).alias("at"),
         F.when(F.col("g_pos") > 0, F.col("items")).alias("items"))
     got = hits.groupBy("row_key").agg(
         F.first("id", ignorenulls=True).alias("id"), F.max("n").cast("long").alias("n_words"), F.sort_array(F.collect_set("at")).alias("at"),
