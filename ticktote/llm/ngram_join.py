@@ -8,7 +8,11 @@ Equal sets are one node. The first order's prefixes are dealt out by token. In e
 with one leader, the member with the largest share of frequent tokens, so that a bucket of near copies costs one pair
 each. Links form components; what is left to compare are members of a bucket in different components. Pairs in buckets
 of a frequent token have all their other tokens in their prefixes as well, so a pair with none of those in common can
-overlap in frequent tokens only; that bound drops most of them before a pair is made.
+overlap in frequent tokens only; that bound drops many of them before a pair is made.
+
+Texts move last. A pair must first pass the bitmap filter: each set has a bitmap in which a token flips one bit, and
+two sets differ by at least as many tokens as their bitmaps have unequal bits. Then the prefixes under all other orders
+are intersected, and what is left is verified on the sets themselves.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ ORDERS = 3
 PERCENT = 80
 SALTS = 16
 BROADCAST_IDS = 1_000_000
+BITMAP_BYTES = 256
 
 
 def _node(tokens: np.ndarray, seed: int) -> tuple[int, bytes]:
@@ -41,13 +46,32 @@ def _node(tokens: np.ndarray, seed: int) -> tuple[int, bytes]:
     return int.from_bytes(d[:8], "little", signed=True), d[8:]
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    bits = np.bincount((mix(tokens, 7) % np.uint64(8 * BITMAP_BYTES)).astype(np.int64), minlength=8 * BITMAP_BYTES) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
+def _similar_bitmaps(percent: int):
+    """Of rows (a, b, n_a, n_b, bits_a, bits_b): the pairs whose bitmaps leave room for a similarity of percent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.column(2).to_numpy() + b.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_BYTES // 8) for k in (4, 5))
+            overlap = (n - np.bitwise_count(x ^ y).sum(1).astype(np.int64)) // 2
+            keep = np.flatnonzero(100 * overlap >= percent * (n - overlap))
+            yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
 def _profile(seed: int):
-    """Rows of documents (node, n) and of tokens that many documents of a batch have."""
-    names = ["id", "n", "node", "digest", "token", "count"]
+    """Rows of documents (n, node, digest, bits) and of tokens that many documents of a batch have."""
+    names = ["id", "n", "node", "digest", "bits", "token", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, node, digest, sets, size = [], [], [], [], 0
+            n, node, digest, bits, sets, size = [], [], [], [], [], 0
             frequent: dict[int, int] = {}
 
             def count(sets=sets, frequent=frequent) -> None:
@@ -63,6 +87,7 @@ def _profile(seed: int):
                 k, d = _node(tokens, seed)
                 node.append(k if len(tokens) else None)
                 digest.append(d if len(tokens) else None)
+                bits.append(_bitmap(tokens) if len(tokens) else None)
                 sets.append(tokens)
                 size += len(tokens)
                 if size > 4_000_000:
@@ -71,9 +96,9 @@ def _profile(seed: int):
             count()
             rows, m = len(n), len(frequent)
             none = pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(digest, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), none, none], names)
             if m:
-                empty = [pa.nulls(m, b.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())]
+                empty = [pa.nulls(m, t) for t in (b.column(0).type, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array(list(frequent), pa.int64()), pa.array(list(frequent.values()), pa.int64())], names)
 
     return run
@@ -193,13 +218,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id. Null and empty texts have an empty set and link with nothing; repeated rows have equal sets and
     link. Rows with a null id keep a row; a set that only they have links with nothing and its component is null.
 
-    What is broadcast: the most frequent tokens, frequent_tokens at most, and the ids of documents that share a
-    prefix token, if there are at most broadcast_ids of them (beyond that they are joined by shuffle).
+    What is broadcast: the most frequent tokens, frequent_tokens at most, and the ids of documents whose texts are to
+    be verified, if there are at most broadcast_ids of them (beyond that they are joined by shuffle).
     """
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("node", T.LongType()), ("digest", T.BinaryType()), ("token", T.LongType()), ("count", T.LongType()))]])
+    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("node", T.LongType()), ("digest", T.BinaryType()), ("bits", T.BinaryType()), ("token", T.LongType()), ("count", T.LongType()))]])
     seed = 0
     while True:
         profile = shared_table(text.mapInArrow(_profile(seed), schema), "profile")
@@ -208,7 +233,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if clash.isEmpty():
             break
         seed += 1
-    reps = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"))
+    reps = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
     top = profile.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(frequent_tokens).toPandas()
     order = sc.broadcast(TokenOrders(top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)))
 
@@ -227,17 +252,22 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = shared.select(F.col("lead").alias("a"), F.col("node").alias("b")).unionByName(across).where("a <> b").groupBy("a", "b").count()
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
 
-    members = shared.select("node").distinct().join(reps, "node").select("node", "first_id")
-    small = members.count() <= broadcast_ids
-    chosen = F.broadcast(members) if small else members
-    # a document is read once more for each set that shares a token; one text stands for equal sets
-    first = text.join(chosen, text["id"] == chosen["first_id"]).groupBy("node").agg(F.min("text").alias("text"))
-    texts = shared_table(first, "candidate-texts")
+    members = shared_table(shared.select("node").distinct().join(reps, "node"), "members")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        return two.select("a", "text_a", "b", "text_b").mapInArrow(_verify(order, percent, orders), "a long, b long")
+        x = members.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"))
+        y = members.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+        left = shared_table(both.mapInArrow(_similar_bitmaps(percent), "a long, b long"), "similar-bitmaps")
+        wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(members, "node").select("node", "first_id")
+        if wanted.count() <= broadcast_ids:
+            wanted = F.broadcast(wanted)
+        # one text stands for equal sets
+        one = text.join(wanted, text["id"] == wanted["first_id"]).groupBy("node").agg(F.min("text").alias("text"))
+        texts = shared_table(one, "candidate-texts")
+        full = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        return full.select("a", "text_a", "b", "text_b").mapInArrow(_verify(order, percent, orders), "a long, b long")
 
     links = shared_table(verified(best.select("a", "b")), "links")
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
