@@ -56,12 +56,13 @@ def test_filters_and_columns_reach_the_scan(tables):
 
 
 def test_plans_have_no_cartesian_product_and_little_python(spark):
-    import __spark_entry__ as e
+    from ticktote import catalog
+    from ticktote.catalog.registry import QUERIES
 
+    catalog.load()
     folds = {"r22_elo_ratings", "g13_drawdown_stop_resume", "g13_dynamic_threshold"}
     skip = ("q", "z", "s11", "s19", "t32")
-    qs = e.queries()
-    for n, f in qs.items():
+    for n, f in QUERIES.items():
         if n.startswith(skip) or n.startswith("l12_pairwise_training"):
             continue
         p = plan(f(spark, "/root/testdata/sf0.001"))
@@ -77,26 +78,103 @@ def test_driver_contract(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def split_files(spark, tables, folder, n=4):
+def split_files(spark, tables, folder, n=4, seed=None):
+    """Events in n files: in time order, or shuffled over all files."""
     ev = tables.raw("events").orderBy("ts", "event_id").toPandas()
+    dealt = ev if seed is None else ev.sample(frac=1, random_state=seed)
     k = len(ev) // n + 1
     for i in range(n):
-        part = spark.createDataFrame(ev.iloc[i * k : (i + 1) * k]).withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1)
+        part = spark.createDataFrame(dealt.iloc[i * k : (i + 1) * k]).withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1)
         part.write.mode("append").parquet(str(folder))
     return ev
 
 
-def test_stream_state_over_batches(spark, tables, tmp_path):
+def ledger(ev, until):
+    """Balance, streak and verdict of every trade before `until`, key by key in time order."""
+    from ticktote.streaming.stateful import RiskLedger
+
+    out = []
+    for key, p in ev[ev.ts < until].sort_values(["ts", "event_id"]).groupby("event_type"):
+        p = p.assign(value=p.value - 50)
+        out.append(RiskLedger().step((key,), p, RiskLedger().initial()))
+    return pd.concat(out).sort_values("event_id").reset_index(drop=True)
+
+
+def run_ledger(spark, folder, **kw):
+    from ticktote.streaming import sources as so
     from ticktote.streaming import stateful as st
-    from ticktote.streaming.sources import run_to_end, tick_stream
 
+    s = so.stream_session(spark, 4)
+    s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # several chunks for a key
+    ticks = so.tick_stream(s, str(folder), "*.parquet").withColumn("value", C("value") - 50)
+    return so.run_to_end(st.process(ticks, "event_type", st.RiskLedger, **kw), "t").toPandas().sort_values("event_id").reset_index(drop=True)
+
+
+def test_stream_state_equals_batch(spark, tables, tmp_path):
     ev = split_files(spark, tables, tmp_path / "in")
-    ticks = tick_stream(spark, str(tmp_path / "in"), "*.parquet").withColumn("value", C("value") - 50)
-    got = run_to_end(st.process(ticks, "event_type", st.RiskLedger, late="60 days"), "t", stateful=True).toPandas().set_index("event_id")
-    assert len(got) == len(ev)
-    last = ev.groupby("event_type").value.apply(lambda v: 10000 + (v - 50).sum())
-    end = ev.sort_values(["ts", "event_id"]).groupby("event_type").event_id.last()
-    assert all(abs(got.loc[end[k], "balance"] - last[k]) < 1e-6 for k in last.index)
+    pd.testing.assert_frame_equal(run_ledger(spark, tmp_path / "in"), ledger(ev, ev.ts.max().floor("ms") - pd.Timedelta("10 minutes")), check_dtype=False)
+
+
+def test_shuffled_rows_of_a_batch_leave_in_order(spark, tables, tmp_path):
+    ev = split_files(spark, tables, tmp_path / "in", n=1, seed=3)
+    pd.testing.assert_frame_equal(run_ledger(spark, tmp_path / "in"), ledger(ev, ev.ts.max().floor("ms") - pd.Timedelta("10 minutes")), check_dtype=False)
+
+
+def test_shuffled_files_within_lateness(spark, tmp_path):
+    """Files overlap in time by less than the lateness; each key has more rows than one chunk."""
+    ev = pd.DataFrame({"event_id": range(1200), "event_type": [f"k{i % 2}" for i in range(1200)], "value": [float((i * 37) % 101) for i in range(1200)]})
+    ev["ts"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(ev.event_id * 60, unit="s")
+    ev["user_id"], ev["props"] = 1, "{}"
+    dealt = ev.iloc[(ev.event_id + (ev.event_id * 61) % 101).argsort(kind="stable")]  # up to 100 minutes out of order
+    for i in range(4):
+        part = dealt.iloc[i * 300 : (i + 1) * 300].sample(frac=1, random_state=i)
+        d = spark.createDataFrame(part[["event_id", "ts", "user_id", "event_type", "value", "props"]])
+        d.withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run_ledger(spark, tmp_path / "in", late="4 hours")
+    pd.testing.assert_frame_equal(got, ledger(ev, ev.ts.max() - pd.Timedelta("4 hours")), check_dtype=False)
+
+
+def test_idle_state_goes(spark, tmp_path):
+    from ticktote.streaming.stateful import RiskLedger
+
+    days = [0, 0, 40, 41, 80, 81, 120]
+    keys = ["a", "b", "b", "b", "b", "a", "c"]
+    for i, (d, k) in enumerate(zip(days, keys)):
+        row = spark.createDataFrame([(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(days=d)).to_pydatetime(), 1, k, 60.0, "{}")], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+        row.withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run_ledger(spark, tmp_path / "in", idle_ms=45 * 24 * 3600 * 1000).set_index("event_id").balance.to_dict()
+    start = RiskLedger.start
+    assert got == {0: start + 10, 1: start + 10, 2: start + 20, 3: start + 30, 4: start + 40, 5: start + 10}
+
+
+def test_streams_leave_the_session_alone(spark):
+    from ticktote.streaming.sources import stream_session
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert stream_session(spark, 3).conf.get("spark.sql.shuffle.partitions") == "3"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+class _Fake:
+    def __init__(self, master, conf=None, context_dir=None):
+        self.master, self.dir = master, context_dir
+        self.conf, self.sparkContext = self, self
+        self.values = conf or {}
+
+    def get(self, key, default=None):
+        return self.values.get(key, default)
+
+    def getCheckpointDir(self):
+        return self.dir
+
+
+def test_scratch_folders():
+    assert fs.scratch_dir(_Fake("yarn", {"spark.checkpoint.dir": "hdfs://x/c/"}), "n").startswith("hdfs://x/c/n-")
+    assert fs.scratch_dir(_Fake("yarn", context_dir="hdfs://y"), "n").startswith("hdfs://y/n-")
+    assert "n-" in fs.scratch_dir(_Fake("local[4]"), "n")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        fs.scratch_dir(_Fake("spark://host:7077"), "n")
 
 
 def test_stream_bars_equal_batch_bars(spark, tables, tmp_path):

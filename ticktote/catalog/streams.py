@@ -10,13 +10,21 @@ from ticktote.functions.core import rnd, rounded
 from ticktote.sources import files as fs
 from ticktote.streaming import stateful as st
 from ticktote.streaming import windows as wi
-from ticktote.streaming.sources import run_batches, run_to_end, tick_stream
+from ticktote.streaming import sources as so
 
 C = F.col
 
 
+#: state stores of the registered streams; their input has five keys
+PARTITIONS = 8
+
+
 def ticks(t):
-    return tick_stream(t.spark, t.path)
+    return so.tick_stream(so.stream_session(t.spark, PARTITIONS), t.path)
+
+
+def run_to_end(t, df, name):
+    return so.run_to_end(df, name, into=t.spark)
 
 
 def ntz(d, *cols):
@@ -29,72 +37,91 @@ _WM = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
 @query("q1_stream_bars", _BAR + f" HAVING date_trunc('hour', min(events.ts)) + INTERVAL 1 HOUR <= {_WM}")
 def _(t):
-    return rounded(ntz(run_to_end(wi.bars(ticks(t)), "bars"), "ts"))
+    return rounded(ntz(run_to_end(t, wi.bars(ticks(t)), "bars"), "ts"))
 
 
 @query("q2_stream_sliding_sums", f"WITH x AS (SELECT event_type, date_trunc('hour', ts) + to_hours(CAST(k AS INT)) AS ts, value FROM events, (SELECT unnest([1, 2, 3]) AS k)) SELECT event_type, ts, {r('sum(value)')} AS volume, count(*) AS n FROM x GROUP BY 1, 2 HAVING x.ts <= {_WM}")
 def _(t):
-    return rounded(ntz(run_to_end(wi.sliding_sums(ticks(t)), "sliding"), "ts"))
+    return rounded(ntz(run_to_end(t, wi.sliding_sums(ticks(t)), "sliding"), "ts"))
 
 
 @query("q3_stream_sessions", f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, {r('sum(value)')} AS total FROM s GROUP BY user_id, sid HAVING max(s.ts) + INTERVAL 6 HOUR <= {_WM}""")
 def _(t):
-    return rounded(ntz(run_to_end(wi.sessions(ticks(t)), "sessions"), "start", "end"))
+    return rounded(ntz(run_to_end(t, wi.sessions(ticks(t)), "sessions"), "start", "end"))
 
 
 @query("q4_stream_deduplication", "SELECT DISTINCT user_id, event_type FROM events")
 def _(t):
     d = wi.deduplicate(ticks(t), ["user_id", "event_type"], "40 days")
-    return run_to_end(d.select("user_id", "event_type"), "dedup")
+    return run_to_end(t, d.select("user_id", "event_type"), "dedup")
 
 
 @query("q5_stream_static_join", f"WITH {CALENDAR}, h AS (SELECT DISTINCT date_trunc('hour', event_ts) AS hour FROM calendar) SELECT event_id, CAST(h.hour IS NOT NULL AS INT) AS blocked FROM events e LEFT JOIN h ON h.hour = date_trunc('hour', e.ts)")
 def _(t):
     hours = t.calendar().select(F.date_trunc("hour", C("event_ts").cast("timestamp")).alias("hour")).distinct().withColumn("blocked", F.lit(1))
-    return run_to_end(wi.with_blackout(ticks(t), hours).select("event_id", "blocked"), "static")
+    return run_to_end(t, wi.with_blackout(ticks(t), hours).select("event_id", "blocked"), "static")
 
 
-@query("q6_stream_stream_outcomes", "SELECT p.user_id, p.event_id AS p_id, r.event_id AS r_id FROM events p JOIN events r ON p.user_id = r.user_id AND r.ts >= p.ts AND r.ts <= p.ts + INTERVAL 4 HOUR AND p.event_type = 'click' AND r.event_type = 'purchase'")
-def _(t):
-    """Matched pairs; pending predictions without a result are left out of the comparison."""
-    d = wi.outcomes(ticks(t).where("event_type = 'click'"), ticks(t).where("event_type = 'purchase'"), "user_id")
-    return run_to_end(d, "outcomes").where("r_id IS NOT NULL").select("user_id", "p_id", "r_id")
+#: the join's watermark is the lesser of both sides'; a prediction is pending until its last result could have come
+_BOTH = "(SELECT least(max(ts) FILTER (event_type = 'click'), max(ts) FILTER (event_type = 'purchase')) - INTERVAL 1 HOUR FROM events)"
 
 
-@query("q7_stream_surge_alerts", f"WITH x AS (SELECT event_type AS key, event_id, value / lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS c FROM events) SELECT key, event_id, {r('c')} AS change, CASE WHEN c IS NULL THEN 'no history' WHEN c >= 0.2 THEN 'cancel' WHEN c >= 0.1 THEN 'half' WHEN c >= 0.05 THEN 'minor' ELSE 'normal' END AS verdict FROM x")
+@query("q6_stream_stream_outcomes", f"""WITH p AS (SELECT * FROM events WHERE event_type = 'click'), r AS (SELECT * FROM events WHERE event_type = 'purchase'),
+ j AS (SELECT p.user_id, p.event_id AS p_id, r.event_id AS r_id, p.ts FROM p LEFT JOIN r ON p.user_id = r.user_id AND r.ts >= p.ts AND r.ts <= p.ts + INTERVAL 4 HOUR)
+ SELECT user_id, p_id, r_id FROM j WHERE r_id IS NOT NULL OR epoch_ms(ts) + 4 * 3600000 < epoch_ms({_BOTH})""")
 def _(t):
-    return rounded(run_to_end(st.process(ticks(t), "event_type", st.SurgeAlert), "surge", stateful=True))
+    """Pairs, and predictions whose time has passed without a result."""
+    s = so.stream_session(t.spark, PARTITIONS)
+    clicks, buys = (so.tick_stream(s, t.path).where(C("event_type") == k) for k in ("click", "purchase"))
+    d = wi.outcomes(clicks, buys, "user_id")
+    return run_to_end(t, d, "outcomes").select("user_id", "p_id", "r_id")
 
 
-_PNL = "(value - 50)"
+#: rows that the watermark has passed at the end of the stream, in milliseconds
+_SEEN = "(SELECT * FROM events WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM events))"
+_W = "PARTITION BY event_type ORDER BY ts, event_id"
 
 
-@query("q8_stream_risk_ledger", f"WITH x AS (SELECT event_type AS key, event_id, ts, 10000 + sum({_PNL}) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS b FROM events) SELECT key, event_id, {r('b', 4)} AS balance, {r('(greatest(max(b) OVER (PARTITION BY key ORDER BY ts, event_id), 10000) - b) / greatest(max(b) OVER (PARTITION BY key ORDER BY ts, event_id), 10000)')} AS drawdown FROM x")
+@query("q7_stream_surge_alerts", f"WITH x AS (SELECT event_type AS key, event_id, lag(value) OVER ({_W}) AS b, value FROM {_SEEN}), y AS (SELECT key, event_id, CASE WHEN b > 0 THEN value / b - 1 END AS c FROM x) SELECT key, event_id, {r('c')} AS change, CASE WHEN c IS NULL THEN 'no history' WHEN c >= 0.2 THEN 'cancel' WHEN c >= 0.1 THEN 'half' WHEN c >= 0.05 THEN 'minor' ELSE 'normal' END AS verdict FROM y")
 def _(t):
-    d = run_to_end(st.process(ticks(t).withColumn("value", C("value") - 50), "event_type", st.RiskLedger), "risk", stateful=True)
-    return d.select("key", "event_id", rnd("balance", 4).alias("balance"), rnd("drawdown").alias("drawdown"))
+    return rounded(run_to_end(t, st.process(ticks(t), "event_type", st.SurgeAlert), "surge"))
 
 
-@query("q9_stream_pair_position", f"""WITH RECURSIVE n AS (SELECT event_type AS key, event_id, (value - 50) / 25 AS z, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM events), f AS (
+@query("q8_stream_risk_ledger", f"""WITH x AS (SELECT event_type AS key, event_id, ts, value - 50 AS p FROM {_SEEN}),
+ y AS (SELECT *, 10000 + sum(p) OVER w AS b, sum(p) OVER (PARTITION BY key, date_trunc('day', ts) ORDER BY ts, event_id) AS d, sum(p) OVER (PARTITION BY key, date_trunc('week', ts) ORDER BY ts, event_id) AS wk,
+  count(*) FILTER (p > 0) OVER w AS wins FROM x WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+ z AS (SELECT *, greatest(max(b) OVER w, 10000) AS peak, count(*) FILTER (p < 0) OVER (PARTITION BY key, wins ORDER BY ts, event_id) AS streak FROM y WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+ v AS (SELECT *, CASE WHEN peak > 0 THEN (peak - b) / peak ELSE 0 END AS dd FROM z),
+ h AS (SELECT *, max(CASE WHEN dd >= 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS halted FROM v)
+ SELECT key, event_id, {r('b', 4)} AS balance, {r('dd')} AS drawdown, CAST(streak AS INT) AS streak, CASE WHEN halted = 1 THEN 'halted' WHEN -least(0, d) / 10000 >= 0.05 THEN 'daily loss' WHEN -least(0, wk) / 10000 >= 0.10 THEN 'weekly loss' WHEN streak >= 7 THEN 'streak' ELSE 'OK' END AS verdict FROM h""")
+def _(t):
+    d = run_to_end(t, st.process(ticks(t).withColumn("value", C("value") - 50), "event_type", st.RiskLedger), "risk")
+    return d.select("key", "event_id", rnd("balance", 4).alias("balance"), rnd("drawdown").alias("drawdown"), "streak", "verdict")
+
+
+@query("q9_stream_pair_position", f"""WITH RECURSIVE n AS (SELECT event_type AS key, event_id, (value - 50) / 25 AS z, row_number() OVER ({_W}) AS rn FROM {_SEEN}), f AS (
  SELECT key, event_id, z, rn, CASE WHEN abs(z) >= 4 THEN 0 WHEN z >= 2 THEN 2 WHEN z <= -2 THEN 1 ELSE 0 END AS position FROM n WHERE rn = 1 UNION ALL
  SELECT n.key, n.event_id, n.z, n.rn, CASE WHEN abs(n.z) >= 4 OR (position <> 0 AND abs(n.z) <= 0.5) THEN 0 WHEN position <> 0 THEN position WHEN n.z >= 2 THEN 2 WHEN n.z <= -2 THEN 1 ELSE 0 END FROM f JOIN n ON n.key = f.key AND n.rn = f.rn + 1)
  SELECT key, event_id, {r('z')} AS z, position FROM f""")
 def _(t):
-    d = run_to_end(st.process(ticks(t).withColumn("value", (C("value") - 50) / 25), "event_type", st.PairPosition), "pair", stateful=True)
+    d = run_to_end(t, st.process(ticks(t).withColumn("value", (C("value") - 50) / 25), "event_type", st.PairPosition), "pair")
     return rounded(d)
 
 
-@query("q10_stream_health_monitor", f"WITH x AS (SELECT event_type AS key, event_id, CAST(value > 40 AS INT) AS ok, count(*) OVER w AS n, avg(CAST(value > 40 AS INT)) OVER w AS a FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT key, event_id, {r('CASE WHEN n >= 100 THEN a END')} AS accuracy FROM x")
+@query("q10_stream_health_monitor", f"""WITH x AS (SELECT event_type AS key, event_id, ts, CAST(value > 40 AS INT) AS ok FROM {_SEEN}),
+ y AS (SELECT *, count(*) OVER w AS n, avg(ok) OVER w AS a, sum(ok) OVER (PARTITION BY key ORDER BY ts, event_id) AS wins FROM x WINDOW w AS (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+ z AS (SELECT *, count(*) FILTER (ok = 0) OVER (PARTITION BY key, wins ORDER BY ts, event_id) AS losses, CASE WHEN n >= 100 THEN a END AS acc FROM y)
+ SELECT key, event_id, {r('acc')} AS accuracy, CAST(losses AS INT) AS losses, concat_ws(';', CASE WHEN acc < 0.45 THEN 'accuracy' END, CASE WHEN losses >= 8 THEN 'losses' END) AS reasons FROM z""")
 def _(t):
-    d = run_to_end(st.process(ticks(t).withColumn("value", C("value") - 40), "event_type", st.HealthMonitor), "health", stateful=True)
-    return rounded(d.select("key", "event_id", "accuracy"))
+    d = run_to_end(t, st.process(ticks(t).withColumn("value", C("value") - 40), "event_type", st.HealthMonitor), "health")
+    return rounded(d)
 
 
 @query("q11_late_data_reconcile", _BAR)
 def _(t):
     """Bars of the stream completed by a batch pass over the windows it has not closed."""
-    done = ntz(run_to_end(wi.bars(ticks(t)), "bars"), "ts")
+    done = ntz(run_to_end(t, wi.bars(ticks(t)), "bars"), "ts")
     rest = t.bars().withColumn("ts", C("ts").cast("timestamp_ntz")).join(done.select("symbol", "ts"), ["symbol", "ts"], "left_anti")
     return rounded(done.unionByName(rest))
 
@@ -110,7 +137,7 @@ def _(t):
             new = fs.upsert(old, new, ["user_id"], "ver")
         new.write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
 
-    folder = run_batches(ticks(t), "ledger", merge)
+    folder = so.run_batches(ticks(t), "ledger", merge)
     d = t.spark.read.parquet(f"{folder}/v=*")
     last = d.groupBy("user_id").agg(F.max_by(F.struct("ts", "value"), "ver").alias("v"))
     return ntz(last.select("user_id", "v.ts", "v.value"), "ts")

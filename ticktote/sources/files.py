@@ -145,12 +145,24 @@ def position_rows(raw: DataFrame, code: str, name: str, codes: list[str], name_p
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one where none is set."""
+    """A new folder below the cluster's shared checkpoint folder.
+
+    Where none is set, a local master gets a temporary folder, which goes when Python ends; any other master is an
+    error, as executors and driver would not see each other's files.
+    """
+    import atexit
+    import shutil
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"{name}-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base:
+        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append", fmt: str = "parquet") -> None:

@@ -21,28 +21,25 @@ def tick_stream(spark: SparkSession, path: str, pattern: str = "events.parquet",
     return rd.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _state_partitions(spark: SparkSession) -> str:
-    """Each stream partition keeps a state store, so more than twice the cores only cost."""
-    return str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
-
-
-def run_to_end(df: DataFrame, name: str, mode: str = "append", stateful: bool = False) -> DataFrame:
-    """Process what is available into a parquet sink with its own checkpoint and read the sink back."""
-    spark = df.sparkSession
-    conf = {"spark.sql.shuffle.partitions": _state_partitions(spark)}
-    if stateful:
-        conf["spark.sql.streaming.stateStore.providerClass"] = ROCKSDB
-    old = {k: spark.conf.get(k, None) for k in conf}
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-    base = scratch_dir(spark, name)
-    try:
-        q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
-        q.awaitTermination()
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(f"{base}/out")
+def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
+    """A session of the same application for streams, with the state store they need; spark keeps its settings.
+
+    partitions is the number of state stores of each stateful operator; if none is given, the submitter's setting of
+    spark.sql.shuffle.partitions holds.
+    """
+    s = spark.newSession()
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if partitions:
+        s.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return s
+
+
+def run_to_end(df: DataFrame, name: str, mode: str = "append", into: SparkSession | None = None) -> DataFrame:
+    """Process what is available into a parquet sink with its own checkpoint and read the sink back, in the session `into`."""
+    base = scratch_dir(df.sparkSession, name)
+    q = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return (into or df.sparkSession).read.schema(df.schema).parquet(f"{base}/out")
 
 
 def run_batches(df: DataFrame, name: str, fn) -> str:

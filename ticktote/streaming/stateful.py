@@ -1,4 +1,10 @@
-"""Keyed state processors for streams (RocksDB state, event-time timers)."""
+"""Keyed state processors for streams: rows wait for the watermark, leave in event-time order, and idle keys are cleared.
+
+Each row goes into its key's buffer. An event-time timer at the earliest buffered row fires once the watermark has
+passed it; then all rows before the watermark are processed in the order (ts, event_id), whatever files, batches or
+Arrow chunks they came in. The buffer of a key holds what lies between the watermark and the newest row. A second
+timer clears the state of a key that has had no rows for a while.
+"""
 
 from __future__ import annotations
 
@@ -7,30 +13,65 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
-
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-def _sorted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a key arrive in batches; each batch is put in event-time order."""
-    for p in rows:
-        if not p.empty:
-            yield p.sort_values(["ts", "event_id"])
+IDLE_MS = 90 * 24 * 3600 * 1000
 
 
 class _Base(StatefulProcessor):
     fields: list[tuple] = []
+    buffered = [("us", LongType()), ("event_id", LongType()), ("value", DoubleType())]
+
+    def __init__(self, idle_ms: int = IDLE_MS):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("s", StructType([StructField(n, t) for n, t in self.fields]))
+        self.state = handle.getValueState("s", StructType([StructField(n, t) for n, t in [*self.fields, ("last_ms", LongType())]]))
+        self.buffer = handle.getListState("b", StructType([StructField(n, t) for n, t in self.buffered]))
+
+    def initial(self) -> list:
+        raise NotImplementedError
 
-    def load(self, *default):
-        v = self.state.get() if self.state.exists() else None
-        return list(v) if v is not None else list(default)
+    def step(self, key, p: pd.DataFrame, s: list) -> pd.DataFrame:
+        """Output of rows in order; s, the state, is changed in place."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for p in rows:
+            if p.empty:
+                continue
+            us = p["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+            self.buffer.appendList(list(zip(us.tolist(), p["event_id"].tolist(), p["value"].astype("float64").tolist())))
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            self.handle.registerTimer(first // 1000)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.state.clear()
-        yield pd.DataFrame()
+        until = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.buffer.get()) if self.buffer.exists() else [], columns=[n for n, _ in self.buffered])
+        ready = held["us"] // 1000 < until
+        state = list(self.state.get()) if self.state.exists() else None
+        if ready.any():
+            p = held[ready].sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
+            p["ts"] = pd.to_datetime(p["us"], unit="us")
+            s = (state or [*self.initial(), 0])[:-1]
+            out = self.step(key, p, s)
+            state = [*s, int(p["us"].iloc[-1]) // 1000]
+            self.state.update(tuple(state))
+            self.handle.registerTimer(state[-1] + self.idle_ms)
+            rest = held[~ready]
+            if rest.empty:
+                self.buffer.clear()
+            else:
+                self.buffer.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
+            yield out
+        if not ready.all():
+            self.handle.registerTimer(int(held.loc[~ready, "us"].min()) // 1000)
+        elif state is not None and state[-1] + self.idle_ms < until:
+            self.state.clear()
 
     def close(self) -> None:
         pass
@@ -41,17 +82,16 @@ class SurgeAlert(_Base):
 
     fields = [("last", DoubleType())]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (last,) = self.load(None)
-        for p in _sorted(rows):
-            prev = p["value"].shift(1)
-            prev.iloc[0] = last if last is not None else float("nan")
-            chg = p["value"] / prev - 1
-            verdict = pd.cut(chg, [-float("inf"), 0.05, 0.10, 0.20, float("inf")], right=False, labels=["normal", "minor", "half", "cancel"]).astype(object)
-            last = float(p["value"].iloc[-1])
-            yield pd.DataFrame({"key": key[0], "event_id": p["event_id"].to_numpy(), "change": chg.to_numpy(), "verdict": verdict.where(chg.notna(), "no history").to_numpy()})
-        if last is not None:
-            self.state.update((last,))
+    def initial(self) -> list:
+        return [None]
+
+    def step(self, key, p, s) -> pd.DataFrame:
+        prev = p["value"].shift(1)
+        prev.iloc[0] = s[0] if s[0] is not None else float("nan")
+        chg = p["value"] / prev.where(prev > 0) - 1  # a base of zero or less is no history
+        verdict = pd.cut(chg, [-float("inf"), 0.05, 0.10, 0.20, float("inf")], right=False, labels=["normal", "minor", "half", "cancel"]).astype(object)
+        s[0] = float(p["value"].iloc[-1])
+        return pd.DataFrame({"key": key[0], "event_id": p["event_id"].to_numpy(), "change": chg.to_numpy(), "verdict": verdict.where(chg.notna(), "no history").to_numpy()})
 
 
 class RiskLedger(_Base):
@@ -60,27 +100,27 @@ class RiskLedger(_Base):
     fields = [("balance", DoubleType()), ("peak", DoubleType()), ("day", StringType()), ("day_pnl", DoubleType()), ("week", StringType()), ("week_pnl", DoubleType()), ("streak", IntegerType()), ("halted", IntegerType())]
     start, max_day, max_week, max_dd = 10000.0, 0.05, 0.10, 0.15
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = self.load(self.start, self.start, "", 0.0, "", 0.0, 0, 0)
-        for p in _sorted(rows):
-            out = []
-            days, weeks = p["ts"].dt.strftime("%Y-%m-%d"), p["ts"].dt.strftime("%G-%V")
-            for eid, pnl, d, w in zip(p["event_id"], p["value"], days, weeks):
-                if d != s[2]:
-                    s[2], s[3] = d, 0.0
-                if w != s[4]:
-                    s[4], s[5] = w, 0.0
-                s[0] += pnl
-                s[1] = max(s[1], s[0])
-                s[3] += pnl
-                s[5] += pnl
-                s[6] = s[6] + 1 if pnl < 0 else (0 if pnl > 0 else s[6])
-                dd = (s[1] - s[0]) / s[1] if s[1] > 0 else 0.0
-                s[7] = int(s[7] or dd >= self.max_dd)
-                why = "halted" if s[7] else "daily loss" if -min(0.0, s[3]) / self.start >= self.max_day else "weekly loss" if -min(0.0, s[5]) / self.start >= self.max_week else "streak" if s[6] >= 7 else "OK"
-                out.append((key[0], int(eid), s[0], dd, s[6], why))
-            yield pd.DataFrame(out, columns=["key", "event_id", "balance", "drawdown", "streak", "verdict"])
-        self.state.update(tuple(s))
+    def initial(self) -> list:
+        return [self.start, self.start, "", 0.0, "", 0.0, 0, 0]
+
+    def step(self, key, p, s) -> pd.DataFrame:
+        out = []
+        days, weeks = p["ts"].dt.strftime("%Y-%m-%d"), p["ts"].dt.strftime("%G-%V")
+        for eid, pnl, d, w in zip(p["event_id"], p["value"], days, weeks):
+            if d != s[2]:
+                s[2], s[3] = d, 0.0
+            if w != s[4]:
+                s[4], s[5] = w, 0.0
+            s[0] += pnl
+            s[1] = max(s[1], s[0])
+            s[3] += pnl
+            s[5] += pnl
+            s[6] = s[6] + 1 if pnl < 0 else (0 if pnl > 0 else s[6])
+            dd = (s[1] - s[0]) / s[1] if s[1] > 0 else 0.0
+            s[7] = int(s[7] or dd >= self.max_dd)
+            why = "halted" if s[7] else "daily loss" if -min(0.0, s[3]) / self.start >= self.max_day else "weekly loss" if -min(0.0, s[5]) / self.start >= self.max_week else "streak" if s[6] >= 7 else "OK"
+            out.append((key[0], int(eid), s[0], dd, s[6], why))
+        return pd.DataFrame(out, columns=["key", "event_id", "balance", "drawdown", "streak", "verdict"])
 
 
 class PairPosition(_Base):
@@ -88,19 +128,19 @@ class PairPosition(_Base):
 
     fields = [("pos", IntegerType())]
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        (pos,) = self.load(0)
-        for p in _sorted(rows):
-            out = []
-            for eid, z in zip(p["event_id"], p["value"]):
-                a = abs(z)
-                if a >= 4.0 or (pos and a <= 0.5):
-                    pos = 0
-                elif not pos:
-                    pos = 2 if z >= 2.0 else 1 if z <= -2.0 else 0
-                out.append((key[0], int(eid), float(z), pos))
-            yield pd.DataFrame(out, columns=["key", "event_id", "z", "position"])
-        self.state.update((pos,))
+    def initial(self) -> list:
+        return [0]
+
+    def step(self, key, p, s) -> pd.DataFrame:
+        out = []
+        for eid, z in zip(p["event_id"], p["value"]):
+            a = abs(z)
+            if a >= 4.0 or (s[0] and a <= 0.5):
+                s[0] = 0
+            elif not s[0]:
+                s[0] = 2 if z >= 2.0 else 1 if z <= -2.0 else 0
+            out.append((key[0], int(eid), float(z), s[0]))
+        return pd.DataFrame(out, columns=["key", "event_id", "z", "position"])
 
 
 class HealthMonitor(_Base):
@@ -109,18 +149,18 @@ class HealthMonitor(_Base):
     fields = [("ring", StringType()), ("losses", IntegerType())]
     n, stop, max_losses = 100, 0.45, 8
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ring, losses = self.load("", 0)
-        for p in _sorted(rows):
-            out = []
-            for eid, ok in zip(p["event_id"], p["value"] > 0):
-                ring = (ring + ("1" if ok else "0"))[-self.n :]
-                losses = 0 if ok else losses + 1
-                acc = ring.count("1") / self.n if len(ring) == self.n else None
-                why = ";".join(x for x in ("accuracy" if acc is not None and acc < self.stop else "", "losses" if losses >= self.max_losses else "") if x)
-                out.append((key[0], int(eid), acc, losses, why))
-            yield pd.DataFrame(out, columns=["key", "event_id", "accuracy", "losses", "reasons"]).astype({"accuracy": "float64"})
-        self.state.update((ring, losses))
+    def initial(self) -> list:
+        return ["", 0]
+
+    def step(self, key, p, s) -> pd.DataFrame:
+        out = []
+        for eid, ok in zip(p["event_id"], p["value"] > 0):
+            s[0] = (s[0] + ("1" if ok else "0"))[-self.n :]
+            s[1] = 0 if ok else s[1] + 1
+            acc = s[0].count("1") / self.n if len(s[0]) == self.n else None
+            why = ";".join(x for x in ("accuracy" if acc is not None and acc < self.stop else "", "losses" if s[1] >= self.max_losses else "") if x)
+            out.append((key[0], int(eid), acc, s[1], why))
+        return pd.DataFrame(out, columns=["key", "event_id", "accuracy", "losses", "reasons"]).astype({"accuracy": "float64"})
 
 
 OUT = {
@@ -131,6 +171,7 @@ OUT = {
 }
 
 
-def process(ticks: DataFrame, key: str, processor: type[_Base], late: str = "10 minutes") -> DataFrame:
-    """Run a processor per key; rows need ts, event_id and value."""
-    return ticks.withWatermark("ts", late).groupBy(key).transformWithStateInPandas(processor(), OUT[processor], "Append", "EventTime")
+def process(ticks: DataFrame, key: str, processor: type[_Base], late: str = "10 minutes", idle_ms: int = IDLE_MS) -> DataFrame:
+    """Run a processor per key; rows need ts, event_id and value. Rows come out once the watermark has passed them."""
+    rows = ticks.select(key, "ts", "event_id", "value").withWatermark("ts", late)
+    return rows.groupBy(key).transformWithStateInPandas(processor(idle_ms), OUT[processor], "Append", "EventTime")
