@@ -39,8 +39,21 @@ def test_upsert_is_idempotent(spark):
 
 
 def test_payout_page(spark):
-    h = spark.createDataFrame([(1, "<td>単</td><td>3-1-4 17,640円</td> <td>2 - 5 - 1  980円</td>")], "p int, html string")
-    assert [(r.race_no, r.combo, r.payout) for r in fs.extract_payouts(h, "html", ["p"]).orderBy("race_no").collect()] == [(1, "3-1-4", 17640), (2, "2-5-1", 980)]
+    page = """<table><tr><th>2車連</th></tr><tr><td>単</td><td>9-9-9 1円</td></tr></table>
+     <table><tr><th>3連勝</th></tr><tr><td>複</td><td>1-2-3 50円</td></tr><tr><td> 単 </td><td>3-1-4 <b>17,640円</b></td></tr></table><table><tr><td>ワイド</td></tr><tr><td>単</td><td>1-2-3 5円</td></tr></table>
+     <table><tr><th>3連単</th></tr><tr><td>単</td><td>不成立</td></tr></table><TABLE><TR><TH>3連単</TH></TR><TR><TD>単</TD><TD>2 - 5 - 1  980円</TD></TR></TABLE>
+     <table><tr><th>3連単</th></tr><tr><td>単</td><td>2-5-1 99999999999999円</td></tr></table>"""
+    h = spark.createDataFrame([(1, page), (2, None), (3, "")], "p int, html string")
+    assert [(r.p, r.race_no, r.combo, r.payout) for r in fs.extract_payouts(h, "html", ["p"]).orderBy("race_no").collect()] == [(1, 1, "3-1-4", 17640), (1, 3, "2-5-1", 980)]
+
+
+def test_comment_intents(spark):
+    from ticktote.functions.text import comment_intent
+
+    said = {"田中選手の後ろ": ("follow", "田中", 0.7), "山田君に付けます": ("follow", "山田", 0.7), "3番の後ろ": ("follow", "3", 0.7), "番手で": ("follow", None, 0.7), "前から": ("lead", None, 0.8), "先頭で": ("lead", None, 0.8),
+            "自分で": ("single", None, 0.8), "単独": ("single", None, 0.8), "": ("unknown", None, 0.3), None: ("unknown", None, 0.3), "ALONE": ("single", None, 0.8)}
+    d = comment_intent(spark.createDataFrame([(k,) for k in said], "t string"), "t")
+    assert {r.t: (r.role, r.target, r.confidence) for r in d.collect()} == said
 
 
 def test_stacked_windows_share_one_exchange(tables):

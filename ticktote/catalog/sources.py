@@ -113,14 +113,29 @@ def _(t):
     return fs.extract_matches(t.raw("pages"), "html", r'href="/([A-Za-z]+)">([A-Za-z]+)<', ["target", "caption"], ["page_id"])
 
 
-@query("s10_payout_page_parse", f"""WITH {ENTRIES} SELECT race_id, CAST(1 AS INT) AS race_no, max(CASE WHEN finish = 1 THEN car_no END) || '-' || max(CASE WHEN finish = 2 THEN car_no END) || '-' || max(CASE WHEN finish = 3 THEN car_no END) AS combo, CAST(max(race_id) * 37 % 90000 + 1000 AS INT) AS payout FROM entries WHERE field_size >= 3 GROUP BY 1""")
+_DAY = """w AS (SELECT race_id, max(race_id) // 8 AS page, max(CASE WHEN finish = 1 THEN car_no END) AS a, max(CASE WHEN finish = 2 THEN car_no END) AS b, max(CASE WHEN finish = 3 THEN car_no END) AS c FROM entries WHERE field_size >= 3 GROUP BY 1),
+ n AS (SELECT *, CAST(row_number() OVER (PARTITION BY page ORDER BY race_id) AS INT) AS race_no FROM w)"""
+
+
+@query("s10_payout_page_parse", f"WITH {ENTRIES}, {_DAY} SELECT page, race_no, a || '-' || b || '-' || c AS combo, CAST(race_id * 37 % 90000 + 1000 AS INT) AS payout FROM n WHERE race_id % 5 <> 0")
 def _(t):
-    """Result pages rendered from the finish order and parsed back."""
+    """Result pages of several races and tables, rendered from the finish order and parsed back; some races are void."""
     car = lambda k: F.max(F.when(C("finish") == k, C("car_no")))
     g = t.entries().where("field_size >= 3").groupBy("race_id").agg(car(1).alias("a"), car(2).alias("b"), car(3).alias("c"))
     pay = F.format_number((C("race_id") * 37 % 90000 + 1000).cast("int"), 0)
-    html = F.concat(F.lit("<table><tr><td>単</td><td>"), F.concat_ws(" - ", "a", "b", "c"), F.lit("  "), pay, F.lit("円</td></tr></table>"))
-    return fs.extract_payouts(g.withColumn("html", html), "html", ["race_id"])
+
+    def table(name, *rows):
+        head = F.lit(f"<table class='r'><tr><th>{name}</th><th>払戻</th></tr>")
+        return F.concat(head, *[F.concat(F.lit(f"<tr>\n<td>{k}</td><td>"), v, F.lit("</td></tr>")) for k, v in rows], F.lit("</table>"))
+
+    won = F.concat(F.lit("<b>"), F.concat_ws(" - ", "a", "b", "c"), F.lit("</b>  "), pay, F.lit("円"))
+    void = F.when(C("race_id") % 5 == 0, "不成立").otherwise(won)
+    html = F.concat(
+        table("2車連", ("複", F.concat_ws("-", "a", "b")), ("単", F.concat(F.concat_ws("-", "b", "a", "c"), F.lit(" 99円")))),
+        table("3連勝", ("複", F.concat(F.concat_ws("-", "c", "b", "a"), F.lit(" 77円"))), ("単", void), ("単", F.lit("1-1-1 1円"))),
+        table("ワイド", ("単", F.lit("1-2-3 55円"))))
+    pages = g.select(F.expr("race_id div 8").alias("page"), "race_id", html.alias("h")).groupBy("page").agg(F.array_sort(F.collect_list(F.struct("race_id", "h"))).alias("r"))
+    return fs.extract_payouts(pages.select("page", F.array_join(C("r.h"), "<hr>").alias("html")), "html", ["page"])
 
 
 @query("s11_partitioned_sink", f"WITH {BARS} SELECT symbol, count(*) AS n, {r('sum(close)', 4)} AS total FROM bars GROUP BY 1")
@@ -257,26 +272,30 @@ def _(t):
         F.regexp_replace("p_type", "(MY|ARD)$", "").alias("stem"), F.lower("p_name").contains("red").alias("has_red"))
 
 
-_CMT = "cmt AS (SELECT race_id, car_no, CASE motor_id % 5 WHEN 0 THEN 'I will take the lead' WHEN 1 THEN 'I follow the ' || CASE WHEN finish = 1 THEN 'Winner' ELSE 'Other' END || ' today' WHEN 2 THEN 'riding alone' WHEN 3 THEN 'second wheel please' ELSE 'no plan' END AS txt FROM entries)"
+# what riders say, by motor_id % 13, with role, target (car_no of the follower) and confidence
+_SAID = [
+    ("前から行きます", "lead", "NULL", 0.8), ("自力で逃げたい", "lead", "NULL", 0.8), ("先手で頑張る", "lead", "NULL", 0.8), ("一人でやります", "single", "NULL", 0.8), ("単騎です", "single", "NULL", 0.8),
+    ("#選手の後ろです", "follow", "'R' || car_no", 0.7), ("#君に付けます", "follow", "'R' || car_no", 0.7), ("#番の後ろへ", "follow", "'R' || car_no", 0.7), ("番手で勝負", "follow", "NULL", 0.7), ("後ろにつきます", "follow", "NULL", 0.7),
+    ("I follow the # today", "follow", "'R' || car_no", 0.7), ("second wheel please", "follow", "NULL", 0.7), ("特になし", "unknown", "NULL", 0.3)]
+_PICK = lambda k: " ".join(f"WHEN {i} THEN {x[k] if k == 2 else repr(x[k])}" for i, x in enumerate(_SAID))
+_CMT = f"cmt AS (SELECT race_id, car_no, CASE motor_id % 13 {_PICK(1)} END AS role, CASE motor_id % 13 {_PICK(2)} END AS target, CASE motor_id % 13 {_PICK(3)} END AS confidence FROM entries)"
 
 
 def comments(t):
-    who = F.concat(F.lit("I follow the "), F.when(C("finish") == 1, "Winner").otherwise("Other"), F.lit(" today"))
-    m = C("motor_id") % 5
-    txt = F.when(m == 0, "I will take the lead").when(m == 1, who).when(m == 2, "riding alone").when(m == 3, "second wheel please").otherwise("no plan")
-    return t.entries().select("race_id", "car_no", txt.alias("txt"))
+    """Comments of riders called R and their number."""
+    said = F.element_at(F.array(*[F.lit(x[0]) for x in _SAID]), (C("motor_id") % 13 + 1).cast("int"))
+    return t.entries().select("race_id", "car_no", F.replace(said, F.lit("#"), F.concat(F.lit("R"), C("car_no"))).alias("txt"))
 
 
-@query("f5_intent_classification", f"WITH {ENTRIES}, {_CMT} SELECT race_id, car_no, CASE WHEN txt LIKE '%take the lead%' THEN 'lead' WHEN txt LIKE '%alone%' THEN 'single' WHEN txt LIKE '%follow%' THEN 'follow' WHEN txt LIKE '%second wheel%' THEN 'follow' ELSE 'unknown' END AS role, coalesce(nullif(regexp_extract(txt, 'follow the (\\w+)', 1), ''), '') AS target FROM cmt")
+@query("f5_intent_classification", f"WITH {ENTRIES}, {_CMT} SELECT race_id, car_no, role, coalesce(target, '') AS target FROM cmt")
 def _(t):
     d = tx.comment_intent(comments(t), "txt")
     return d.select("race_id", "car_no", "role", F.coalesce("target", F.lit("")).alias("target"))
 
 
-@query("x5_comment_intent_confidence", f"WITH {ENTRIES}, {_CMT} SELECT CASE WHEN txt LIKE '%take the lead%' THEN 'lead' WHEN txt LIKE '%alone%' THEN 'single' WHEN txt LIKE '%follow%' OR txt LIKE '%second wheel%' THEN 'follow' ELSE 'unknown' END AS role, count(*) AS n, {r('''avg(CASE WHEN txt LIKE '%second wheel%' THEN 0.6 WHEN txt = 'no plan' THEN 0.0 ELSE 0.8 END)''')} AS confidence FROM cmt GROUP BY 1")
+@query("x5_comment_intent_confidence", f"WITH {ENTRIES}, {_CMT} SELECT race_id, car_no, role, CAST(confidence AS DOUBLE) AS confidence FROM cmt")
 def _(t):
-    d = tx.comment_intent(comments(t), "txt")
-    return rounded(d.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("confidence")))
+    return tx.comment_intent(comments(t), "txt").select("race_id", "car_no", "role", "confidence")
 
 
 @query("f6_array_functions", f"WITH {ENTRIES} SELECT race_id, string_agg(lpad(CAST(car_no AS VARCHAR), 2, '0'), '' ORDER BY finish) AS combo_key, string_agg(CAST(car_no AS VARCHAR), '-' ORDER BY car_no) AS sorted_combo, max(CASE WHEN car_no = 1 THEN 1 ELSE 0 END) AS has_one, CAST(bool_and(car_no <= 4) AS INT) AS all_low FROM entries WHERE finish <= 3 GROUP BY 1")

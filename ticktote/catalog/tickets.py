@@ -198,22 +198,27 @@ def _(t):
     return rounded(district_lines(t))
 
 
-_CML = """ci AS (SELECT race_id, car_no, CASE motor_id % 4 WHEN 0 THEN 'lead' WHEN 1 THEN 'follow' WHEN 2 THEN 'single' ELSE 'follow' END AS role, row_number() OVER (PARTITION BY race_id, CASE motor_id % 4 WHEN 0 THEN 'lead' WHEN 2 THEN 'single' ELSE 'follow' END ORDER BY car_no) AS k FROM entries),
- cm AS (SELECT race_id, string_agg(CAST(car_no AS VARCHAR), '-' ORDER BY CASE role WHEN 'lead' THEN 0 ELSE k END) AS line, 0.8 AS confidence FROM ci WHERE role <> 'single' GROUP BY race_id, CASE role WHEN 'lead' THEN k ELSE (k + 1) // 2 END HAVING bool_or(role = 'lead') UNION ALL SELECT race_id, CAST(car_no AS VARCHAR), 0.8 FROM ci WHERE role = 'single')"""
+# riders with tax over 0.07 say nothing; their lines go by district
+_CML = """ci AS (SELECT race_id, car_no, CASE motor_id % 4 WHEN 0 THEN 'lead' WHEN 1 THEN 'follow' WHEN 2 THEN 'single' ELSE 'follow' END AS role, row_number() OVER (PARTITION BY race_id, CASE motor_id % 4 WHEN 0 THEN 'lead' WHEN 2 THEN 'single' ELSE 'follow' END ORDER BY car_no) AS k FROM entries WHERE tax <= 0.07),
+ cs AS (SELECT race_id, string_agg(CAST(car_no AS VARCHAR), '-' ORDER BY CASE role WHEN 'lead' THEN 0 ELSE k END) AS line, 0.8 AS confidence FROM ci WHERE role <> 'single' GROUP BY race_id, CASE role WHEN 'lead' THEN k ELSE (k + 1) // 2 END HAVING bool_or(role = 'lead') UNION ALL SELECT race_id, CAST(car_no AS VARCHAR), 0.8 FROM ci WHERE role = 'single'),
+ ds0 AS (SELECT race_id, car_no, s_nationkey % 3 AS district, motor_id % 5 AS term, row_number() OVER (PARTITION BY race_id, s_nationkey % 3 ORDER BY qty DESC, car_no) - 1 AS i, count(*) OVER (PARTITION BY race_id, s_nationkey % 3) AS n FROM entries JOIN supplier ON s_suppkey = racer_id WHERE tax > 0.07 AND race_id IN (SELECT race_id FROM ci)),
+ ds AS (SELECT race_id, string_agg(CAST(car_no AS VARCHAR), '-' ORDER BY i) AS line, 0.6 * CASE WHEN max(n) < 2 THEN 0.45 WHEN max(CASE WHEN i % 3 = 0 THEN term END) = max(CASE WHEN i % 3 = 1 THEN term END) THEN 0.8 ELSE 0.7 END AS confidence FROM ds0 GROUP BY race_id, district, i // 3),
+ cm AS (SELECT race_id, line, confidence FROM cs UNION ALL SELECT race_id, line, confidence FROM ds WHERE (race_id, line) NOT IN (SELECT (race_id, line) FROM cs))"""
 
 
 def comment_lines(t):
     from ticktote.functions.text import comment_intent
     from ticktote.operators import lines as ln
 
-    words = code_map(C("motor_id") % 4, {0: "I will take the lead", 1: "I follow the leader", 2: "riding alone today"}, "second wheel for me")
-    e = t.entries().select("race_id", "car_no", words.alias("comment"))
-    return ln.from_intents(comment_intent(e, "comment"))
+    words = code_map(C("motor_id") % 4, {0: "自力で前から", 1: "3番の後ろです", 2: "単騎で行く"}, "second wheel for me")
+    s = t.raw("supplier").select(C("s_suppkey").alias("racer_id"), (C("s_nationkey") % 3).alias("district"))
+    e = t.entries().join(s, "racer_id").select("race_id", "car_no", "district", (C("motor_id") % 5).alias("term"), C("qty").alias("back_count"), F.when(C("tax") <= 0.07, words).alias("comment"))
+    return ln.from_comments(comment_intent(e.where("comment is not null"), "comment"), e)
 
 
-@query("r19_lines_from_comments", f"WITH {ENTRIES}, {_CML} SELECT race_id, line, CAST(confidence AS DOUBLE) AS confidence FROM cm")
+@query("r19_lines_from_comments", f"WITH {ENTRIES}, {_CML} SELECT race_id, line, {r('CAST(confidence AS DOUBLE)')} AS confidence FROM cm")
 def _(t):
-    return comment_lines(t)
+    return rounded(comment_lines(t))
 
 
 @query("r20_line_source_fusion", f"""WITH {ENTRIES}, {_DIST}, {_CML}, c AS (SELECT * FROM cm WHERE race_id % 2 = 0), rp AS (SELECT race_id, line, 0.9 AS confidence FROM dl WHERE race_id % 3 = 0 AND line LIKE '%-%'),

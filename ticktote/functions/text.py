@@ -123,25 +123,32 @@ def first_pattern(text: str | Column, patterns: dict[str, str], default: str) ->
     return out.otherwise(default)
 
 
-# Intent patterns in order of precedence. Group 1 is the target, where there is one.
+# What a comment says about a rider's role, in order of precedence.
 INTENT_PATTERNS = {
-    "lead": r"(?i)take the lead|lead out|自力|先行",
-    "single": r"(?i)\balone\b|単騎",
-    "follow": r"(?i)follow(?:s|ing)?(?: the)? (\w+)|(\S+?)(?:選手|君)?(?:を追|の後ろ|に付)",
-    "second": r"(?i)second wheel|番手",
+    "lead": r"(?i)先行|自力|前から|前で|逃げ|先手で|先頭で|take the lead|lead out",
+    "single": r"(?i)単騎|一人で|自分で|単独|\balone\b",
+    "follow": r"(?i)\S+(?:選手|君)(?:を追|の後ろ|の番手|に付|につ)|\S+番(?:の後ろ|後ろ|の番手|番手|を追)|follow(?:s|ing)?(?: the)? \w+",
+    "second": r"(?i)番手で|後ろにつ|後ろつ|マーク|ついて行|second wheel",
 }
-INTENT_CONFIDENCE = {"lead": 0.8, "single": 0.8, "follow": 0.8, "second": 0.6, "unknown": 0.0}
+# Whom a comment follows, by name or by number; group 1.
+TARGET_PATTERNS = (
+    r"(\S+?)(?:選手|君)(?:を追|の後ろ|の番手|に付|につ)",
+    r"(\S+?)番(?:の後ろ|後ろ|の番手|番手|を追)",
+    r"(?i)follow(?:s|ing)?(?: the)? (\w+)",
+)
+INTENT_CONFIDENCE = {"lead": 0.8, "single": 0.8, "follow": 0.7, "second": 0.7, "unknown": 0.3}
 
 
 def comment_intent(df: DataFrame, text: str) -> DataFrame:
-    """First matching family: role (second counts as follow), target name and confidence."""
-    fam = first_pattern(text, INTENT_PATTERNS, "unknown")
-    d = df.withColumn("_f", F.coalesce(fam, F.lit("unknown")))
-    target = F.regexp_extract(text, INTENT_PATTERNS["follow"], 1)
-    conf = F.lit(0.0)
-    for k, v in INTENT_CONFIDENCE.items():
-        conf = F.when(F.col("_f") == k, v).otherwise(conf)
+    """First matching family: role (second counts as follow), target name or number, and confidence.
+
+    A null or blank comment says nothing: unknown.
+    """
+    fam = F.coalesce(first_pattern(text, INTENT_PATTERNS, "unknown"), F.lit("unknown"))
+    d = df.withColumn("_f", fam)
+    target = F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in TARGET_PATTERNS])
+    conf = F.coalesce(*[F.when(F.col("_f") == k, F.lit(v)) for k, v in INTENT_CONFIDENCE.items()])
     return d.withColumns({
         "role": F.when(F.col("_f") == "second", "follow").otherwise(F.col("_f")),
-        "target": F.when((F.col("_f") == "follow") & (target != ""), target),
+        "target": F.when(F.col("_f") == "follow", target),
         "confidence": conf}).drop("_f")

@@ -18,6 +18,7 @@ W_COMMENT, W_REPORTER, W_SCORE = 0.6, 0.3, 0.1
 W_REPORTER_ONLY, W_SCORE_ONLY = 0.5, 0.5
 SCORE_ONLY_CAP = 0.30
 BASE_CONF, SINGLE_CONF, SAME_TERM_BONUS, COMMENT_CONF = 0.70, 0.45, 0.10, 0.80
+UNCOMMENTED_WEIGHT = 0.6
 
 
 def line_strings(entries: DataFrame, line: str, confidence: float = 1.0) -> DataFrame:
@@ -65,6 +66,19 @@ def from_intents(intents: DataFrame) -> DataFrame:
     return led.unionByName(single)
 
 
+def from_comments(intents: DataFrame, entries: DataFrame) -> DataFrame:
+    """Lines of the riders that commented, and of the others by district, with less confidence.
+
+    intents has a row for each rider with a comment; entries has all riders, with district, term and back_count. Races
+    without any comment get no line. A line that comments give keeps their confidence.
+    """
+    said = from_intents(intents)
+    races = intents.select("race_id").distinct()
+    silent = entries.join(races, "race_id", "left_semi").join(intents.select("race_id", "car_no"), ["race_id", "car_no"], "left_anti")
+    rest = from_districts(silent).withColumn("confidence", C("confidence") * UNCOMMENTED_WEIGHT)
+    return said.unionByName(rest.join(said.select("race_id", "line"), ["race_id", "line"], "left_anti"))
+
+
 def fuse(comment: DataFrame, reporter: DataFrame, score: DataFrame) -> DataFrame:
     """Weighted confidence of the three sources, by which sources the race has."""
     src = [(comment, "c"), (reporter, "r"), (score, "s")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,15 +125,34 @@ def extract_matches(pages: DataFrame, html: str, pattern: str, names: list[str],
     return pages.select(*keys, F.posexplode(z).alias("match_no", "m")).select(*keys, (F.col("match_no") + 1).alias("match_no"), *[F.col("m")[n].alias(n) for n in names])
 
 
-# Fixed value: one winning trifecta of a result page, "3-1-4 17,640円".
-PAYOUT_PATTERN = r"(\d+)\s*-\s*(\d+)\s*-\s*(\d+)\s+([\d,]+)\s*円"
+# Names of the trifecta table, its winning row, and the row's text, "3-1-4 17,640円".
+TRIFECTA_NAMES = "3連勝|3連単"
+TRIFECTA_ROW = "単"
+PAYOUT_PATTERN = r"^\s*(\d+)\s*-\s*(\d+)\s*-\s*(\d+)\s+([\d,]+)\s*円"
+
+
+def _cells(row: Column) -> Column:
+    """Texts of a table row's cells, without markup and outer blanks."""
+    inner = F.regexp_extract_all(row, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+    return F.transform(inner, lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>|&nbsp;", " ")))
 
 
 def extract_payouts(pages: DataFrame, html: str, keys: list[str]) -> DataFrame:
-    """Race number, combination and payout of every trifecta line of a result page."""
-    d = extract_matches(pages, html, PAYOUT_PATTERN, ["a", "b", "c", "yen"], keys)
-    pay = F.regexp_replace("yen", ",", "").cast("int")
-    return d.select(*keys, F.col("match_no").alias("race_no"), F.concat_ws("-", "a", "b", "c").alias("combo"), pay.alias("payout"))
+    """Race number, combination and payout of the trifecta of each race of a result page.
+
+    A page has several tables for each race. Those whose first row names the trifecta number the races; in such a
+    table the first row called 単 has the payout. A race whose row is missing or unreadable gives no row, but counts.
+    """
+    tables = F.regexp_extract_all(html, F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))
+    rows = F.transform(tables, lambda t: F.transform(F.regexp_extract_all(t, F.lit(r"(?is)<tr\b.*?</tr>"), F.lit(0)), _cells))
+    races = F.filter(rows, lambda t: F.coalesce(F.array_join(F.try_element_at(t, F.lit(1)), " ").rlike(TRIFECTA_NAMES), F.lit(False)))
+    d = pages.select(*keys, F.posexplode(races).alias("_n", "_t"))
+    won = F.try_element_at(F.filter("_t", lambda r: F.try_element_at(r, F.lit(1)) == TRIFECTA_ROW), F.lit(1))
+    d = d.select(*keys, (F.col("_n") + 1).alias("race_no"), F.try_element_at(won, F.lit(2)).alias("_x"))
+    part = [F.regexp_extract("_x", PAYOUT_PATTERN, k) for k in (1, 2, 3, 4)]
+    combo = F.concat_ws("-", *[p.try_cast("int") for p in part[:3]])
+    pay = F.replace(part[3], F.lit(","), F.lit("")).try_cast("int")
+    return d.where(F.col("_x").rlike(PAYOUT_PATTERN)).select(*keys, "race_no", combo.alias("combo"), pay.alias("payout")).where("payout is not null")
 
 
 def position_rows(raw: DataFrame, code: str, name: str, codes: list[str], name_part: str, date: str, version: str) -> DataFrame:
