@@ -112,19 +112,28 @@ _TIX = ENTRIES + """, p2 AS (SELECT a.race_id, a.car_no AS c1, b.car_no AS c2, a
  tickets AS (SELECT race_id, ticket, combo, prob, 0.75 / prob * (0.8 + 12 * d) AS odds, CAST(hit AS INT) AS hit FROM tk WHERE prob > 1e-9)"""
 
 
-@query("a10_ticket_ev_odds_grid", f"""WITH {_TIX} SELECT ticket, CASE WHEN odds < 10 THEN '<10' WHEN odds < 50 THEN '10-50' WHEN odds < 200 THEN '50-200' ELSE '200+' END AS odds_band, ev_threshold, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, {r('sum(hit * odds) / count(*)', 4)} AS roi
- FROM tickets, (SELECT unnest([0.9, 1.0, 1.1, 1.2, 1.3, 1.4]::DOUBLE[]) AS ev_threshold) WHERE prob * odds >= ev_threshold + 1e-6 GROUP BY 1, 2, 3""")
+EV_LIMITS = [0.9, 1.0, 1.1, 1.2, 1.3, 1.4]
+MIN_ODDS, MAX_ODDS = [1.0, 5.0, 10.0, 20.0, 50.0], [100.0, 500.0, 1000.0, 99999.0]
+
+
+@query("a10_ticket_ev_odds_grid", f"""WITH {_TIX} SELECT ticket, min_odds, max_odds, ev_threshold, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, {r('sum(hit * odds) / count(*)', 4)} AS roi
+ FROM tickets, (SELECT unnest({EV_LIMITS}::DOUBLE[]) AS ev_threshold), (SELECT unnest({MIN_ODDS}::DOUBLE[]) AS min_odds), (SELECT unnest({MAX_ODDS}::DOUBLE[]) AS max_odds)
+ WHERE prob * odds >= ev_threshold + 1e-6 AND odds + 1e-6 >= min_odds AND odds + 1e-6 < max_odds GROUP BY 1, 2, 3, 4""")
 def _(t):
-    d = cb.ticket_rows(t.entries())
-    d = d.withColumn("odds_band", band("odds", [10, 50, 200], ["<10", "10-50", "50-200", "200+"]))
-    g = threshold_grid(d, ["ticket", "odds_band"], {"ev_threshold": (C("prob") * C("odds") - 1e-6, [0.9, 1.0, 1.1, 1.2, 1.3, 1.4])}, {"n": F.lit(1), "hits": C("hit"), "ret": C("hit") * C("odds")})
-    return g.select("ticket", "odds_band", "ev_threshold", "n", "hits", rnd(C("ret") / C("n"), 4).alias("roi"))
+    """Ticket x 6 values x 20 ranges of odds; rows are summed by the narrow ranges first, which are then spread."""
+    d = cb.ticket_rows(t.entries(), 1e-9)
+    edges = MIN_ODDS + MAX_ODDS
+    d = d.withColumn("low", band(C("odds") + 1e-6, edges, [None, *edges])).where("low is not null")
+    g = threshold_grid(d, ["ticket", "low"], {"ev_threshold": (C("prob") * C("odds") - 1e-6, EV_LIMITS)}, {"n": F.lit(1), "hits": C("hit"), "ret": C("hit") * C("odds")})
+    wide = g.withColumn("min_odds", F.explode(F.filter(F.array(*map(F.lit, MIN_ODDS)), lambda x: x <= C("low")))).withColumn("max_odds", F.explode(F.filter(F.array(*map(F.lit, MAX_ODDS)), lambda x: x > C("low"))))
+    s = wide.groupBy("ticket", "min_odds", "max_odds", "ev_threshold").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "ret")])
+    return s.select("ticket", "min_odds", "max_odds", "ev_threshold", "n", "hits", rnd(C("ret") / C("n"), 4).alias("roi"))
 
 
 @query("a11_pattern_combination_grid", f"""WITH {_TIX}, x AS (SELECT *, prob * odds >= 1.1 + 1e-6 AS a, race_id % 3 = 0 AS b, odds >= 20 AS c FROM tickets WHERE ticket IN ('exacta', 'quinella'))
  SELECT ticket, pattern, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, {r('sum(hit * odds) / count(*)', 4)} AS roi FROM x, (SELECT unnest(['A', 'AB', 'AC', 'ABC']) AS pattern) WHERE a AND (pattern NOT LIKE '%B%' OR b) AND (pattern NOT LIKE '%C%' OR c) GROUP BY 1, 2""")
 def _(t):
-    d = cb.ticket_rows(t.entries()).where("ticket IN ('exacta', 'quinella')")
+    d = cb.ticket_rows(t.entries(), 1e-9).where("ticket IN ('exacta', 'quinella')")
     b, c = C("race_id") % 3 == 0, C("odds") >= 20
     pats = F.array_compact(F.array(F.lit("A"), F.when(b, "AB"), F.when(c, "AC"), F.when(b & c, "ABC")))
     # pre-aggregate by the pattern set, then spread the few combined rows

@@ -107,18 +107,19 @@ def _(t):
     return roles(lb.race_folds(d))
 
 
-@query("l11_month_folds", """WITH f AS (SELECT o_orderdate AS d, fold, DATE '1998-01-01' + to_months(CAST(fold * 6 AS INT)) AS c, DATE '1998-01-01' + to_months(CAST(fold * 6 + 6 AS INT)) AS e FROM orders, (SELECT CAST(unnest(range(4)) AS INT) AS fold)),
+@query("l11_month_folds", """WITH k AS (SELECT (year(max(o_orderdate)) * 12 + month(max(o_orderdate)) - 1998 * 12 - 1) // 6 + 1 AS k FROM orders), g AS (SELECT unnest(range(CAST(k AS BIGINT))) AS fold FROM k),
+ f AS (SELECT o_orderdate AS d, CAST(fold AS INT) AS fold, DATE '1998-01-01' + to_months(CAST(fold * 6 AS INT)) AS c, DATE '1998-01-01' + to_months(CAST(fold * 6 + 6 AS INT)) AS e FROM orders, g),
  x AS (SELECT *, CASE WHEN d < c THEN 'train' WHEN d < e THEN 'test' END AS role FROM f) SELECT fold, role, count(*) AS n FROM x WHERE role IS NOT NULL GROUP BY 1, 2""")
 def _(t):
-    d = lb.month_folds(t.raw("orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "1998-01-01", 6, 4)
+    o = t.raw("orders").select("o_orderkey", "o_orderdate")
+    d = lb.month_folds(o, "o_orderdate", "1998-01-01", 6, lb.month_fold_count(o, "o_orderdate", "1998-01-01", 6))
     return d.groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("l12_pairwise_training_set", f"""WITH {ENTRIES} SELECT a.race_id, count(*) AS n_pairs FROM entries a JOIN entries b ON a.race_id = b.race_id AND a.car_no < b.car_no GROUP BY 1""")
+@query("l12_pairwise_training_set", f"""WITH {ENTRIES} SELECT a.race_id, a.car_no AS car_no1, b.car_no AS car_no2, {r('a.prob - b.prob')} AS d_prob, {r('a.score - b.score')} AS d_score, CAST(a.finish < b.finish AS INT) AS ahead FROM entries a JOIN entries b ON a.race_id = b.race_id AND a.car_no < b.car_no""")
 def _(t):
-    """Pairs per race; the margin check in the tests covers the sampled order."""
-    d = lb.pairwise_training(t.entries(), ["prob", "score"], max_pairs=153)
-    return d.groupBy("race_id").agg(F.count(F.lit(1)).alias("n_pairs"))
+    """All pairs of each race."""
+    return rounded(lb.pairwise_training(t.entries(), ["prob", "score"], None))
 
 
 @query("l12_pairwise_sample", None)

@@ -2,7 +2,6 @@
 
 Combinations are self joins on race_id. Entries already are partitioned by race,
 so the joins add no exchange, and the fan-out is bounded by the field size.
-Filters on probability are applied while the combination is built.
 """
 
 from __future__ import annotations
@@ -58,8 +57,8 @@ def exotic_odds(prob: Column, disc: Column, take: float = 0.75) -> Column:
     return take / prob * (0.8 + 12 * disc)
 
 
-def ticket_rows(e: DataFrame) -> DataFrame:
-    """Five ticket types in one table: (race_id, ticket, combo, prob, odds, hit)."""
+def ticket_rows(e: DataFrame, min_prob: float = 0.0) -> DataFrame:
+    """Five ticket types in one table: (race_id, ticket, combo, prob, odds, hit), of a probability above min_prob."""
     cols = ["car_no", "prob", "disc", "finish"]
     f = {i: F.col(f"finish{i}") for i in (1, 2, 3)}
     p = {i: F.col(f"prob{i}") for i in (1, 2, 3)}
@@ -84,6 +83,6 @@ def ticket_rows(e: DataFrame) -> DataFrame:
     u = (
         two.unionByName(three(triples(e, cols), "trifecta", p_trifecta(p[1], p[2], p[3]), (f[1] == 1) & (f[2] == 2) & (f[3] == 3)))
         .unionByName(three(triples(e, cols, ordered=False), "trio", p_trio(p[1], p[2], p[3]), all3))
-        .where(F.col("prob") > 1e-9)
+        .where(F.col("prob") > min_prob)
     )
     return u.select("race_id", "ticket", "combo", "prob", exotic_odds(F.col("prob"), F.col("disc1")).alias("odds"), "hit")

@@ -102,6 +102,12 @@ def race_folds(races: DataFrame, folds: int = 5) -> DataFrame:
     return _roles(d, {"train": C("pos") < cut, "test": (C("pos") >= cut) & (C("pos") < F.least(cut + size, C("n_rows")))})
 
 
+def month_fold_count(df: DataFrame, date: str, first: str, months: int) -> int:
+    """Folds of `months` from `first` on that hold all later rows; reads the last date."""
+    last = df.agg(F.floor(F.months_between(F.trunc(F.max(date), "month"), F.lit(first).cast("date")) / months) + 1).first()[0]
+    return max(int(last or 0), 0)
+
+
 def month_folds(df: DataFrame, date: str, first: str, months: int, count: int) -> DataFrame:
     """Expanding folds by calendar: train before the cut month, test the next `months`."""
     d = _folds(df, count)
@@ -110,14 +116,15 @@ def month_folds(df: DataFrame, date: str, first: str, months: int, count: int) -
     return _roles(d, {"train": F.to_date(date) < cut, "test": (F.to_date(date) >= cut) & (F.to_date(date) < nxt)})
 
 
-def pairwise_training(e: DataFrame, features: list[str], max_pairs: int = 20) -> DataFrame:
+def pairwise_training(e: DataFrame, features: list[str], max_pairs: int | None = 20) -> DataFrame:
     """Feature differences and who finished ahead; pairs of a race in hash order, first max_pairs.
 
-    The limit is the feature: a fixed number of training pairs per race.
+    The limit is the feature: a fixed number of training pairs per race. None keeps all pairs.
     """
     p = pairs(e, ["car_no", "finish", *features], ordered=False)
     order = F.xxhash64("race_id", "car_no1", "car_no2")
-    p = p.withColumn("_r", F.row_number().over(Window.partitionBy("race_id").orderBy(order, "car_no1", "car_no2"))).where(C("_r") <= max_pairs)
+    if max_pairs is not None:
+        p = p.withColumn("_r", F.row_number().over(Window.partitionBy("race_id").orderBy(order, "car_no1", "car_no2"))).where(C("_r") <= max_pairs)
     return p.select("race_id", "car_no1", "car_no2", *[(C(f + "1") - C(f + "2")).alias("d_" + f) for f in features], (C("finish1") < C("finish2")).cast("int").alias("ahead"))
 
 
