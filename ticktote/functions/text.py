@@ -128,7 +128,7 @@ INTENT_PATTERNS = {
     "lead": r"(?i)先行|自力|前から|前で|逃げ|先手で|先頭で|take the lead|lead out",
     "single": r"(?i)単騎|一人で|自分で|単独|\balone\b",
     "follow": r"(?i)\S+(?:選手|君)(?:を追|の後ろ|の番手|に付|につ)|\S+番(?:の後ろ|後ろ|の番手|番手|を追)|follow(?:s|ing)?(?: the)? \w+",
-    "second": r"(?i)番手で|後ろにつ|後ろつ|マーク|ついて行|second wheel",
+    "second": r"(?i)番手|後ろにつ|後ろつ|マーク|ついて行|second wheel",
 }
 # Whom a comment follows, by name or by number; group 1.
 TARGET_PATTERNS = (
