@@ -160,7 +160,7 @@ def _(t):
 def _(t):
     from ticktote.plans.gates import gate_stack
 
-    return gate_stack(t.bars(), t.trades(), t.calendar()).select("symbol", "ts", "verdict")
+    return gate_stack(t.bars(), t.trades(), t.calendar(), threshold=0.6 - 1e-9).select("symbol", "ts", "verdict")
 
 
 @query("g13_drawdown_stop_resume", f"""WITH RECURSIVE {TRADES}, n AS (SELECT symbol, ts, ret, row_number() {W} AS rn FROM trades), f AS (

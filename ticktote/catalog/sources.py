@@ -365,21 +365,45 @@ def _(t):
     return rounded(d.select("conv_id", "turn", "sentiment_score", "confidence_score", "injury_flag", "n_positive", "n_negative", "length"))
 
 
+_ALL = {**tx.POSITIVE_KEYWORDS, **tx.NEGATIVE_KEYWORDS}
+_WORDS = [*_ALL, *tx.INJURY_KEYWORDS, *tx.CONFIDENT, *tx.DOUBTFUL, "ません", "特に", "今日は"]
+
+
+def _say(*parts: str) -> str:
+    return " || '、' || ".join(f"list_extract({_WORDS!r}, CAST(({p}) % {len(_WORDS)} + 1 AS INT))" for p in parts)
+
+
+_TOTAL = " + ".join(f"((length(text) - length(replace(text, '{k}', ''))) // {len(k)}) * {v}" for k, v in _ALL.items())
+_INJURY = ", ".join(f"CASE WHEN contains(text, '{k}') THEN {v} ELSE 0 END" for k, v in tx.INJURY_KEYWORDS.items())
+
+
+@query("x1_rider_comment_scores", f"""WITH {ENTRIES}, c AS (SELECT race_id, car_no, {_say('motor_id', 'motor_id // 7 + car_no', 'racer_id + 3 * car_no')} AS text FROM entries),
+ s AS (SELECT race_id, car_no, text, {_TOTAL} AS total, {_cnt(tx.CONFIDENT)} AS hi, {_cnt(tx.DOUBTFUL)} AS lo FROM c)
+ SELECT race_id, car_no, {r("(CASE WHEN contains(text, 'ません') AND round(total, 9) > 0 THEN 0.5 ELSE 1 END) * (1 - 2 / (exp(total) + 1))")} AS sentiment_score, {r("CASE WHEN hi + lo > 0 THEN (hi - lo) / (hi + lo + 1) * 0.5 + 0.5 ELSE 0.5 END")} AS confidence_score, CAST(greatest({_INJURY}) AS DOUBLE) AS injury_flag,
+ CAST({_cnt(list(tx.POSITIVE_KEYWORDS))} AS INT) AS n_positive, CAST({_cnt(list(tx.NEGATIVE_KEYWORDS))} AS INT) AS n_negative, CAST(length(text) AS INT) AS length FROM s""")
+def _(t):
+    """Three phrases of the lexicon for each rider, scored by the lexicon's own weights."""
+    pick = lambda i: F.element_at(F.array(*map(F.lit, _WORDS)), (i % len(_WORDS) + 1).cast("int"))
+    e = t.entries()
+    said = F.concat_ws("、", pick(C("motor_id")), pick(F.expr("motor_id div 7") + C("car_no")), pick(C("racer_id") + 3 * C("car_no")))
+    d = tx.keyword_sentiment(e.select("race_id", "car_no", said.alias("said")), "said", negation="ません")
+    return rounded(d.select("race_id", "car_no", "sentiment_score", "confidence_score", "injury_flag", "n_positive", "n_negative", "length"))
+
+
 _N = " + ".join(f"CAST(contains(lower(text), '{k}') AS INT)" for k in _LEX)
 _V = " + ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {v} ELSE 0 END" for k, v in _LEX.items())
 
 
 @query("x2_rule_sentiment", f"""WITH s AS (SELECT doc_id, {_N} AS n, CAST({_V} AS DOUBLE) AS v FROM documents), x AS (SELECT doc_id, n, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE greatest(-1.0::DOUBLE, least(1.0::DOUBLE, v / n)) END AS sc FROM s)
- SELECT doc_id, {r('sc')} AS score, CASE WHEN sc >= 0.3 - 1e-9 THEN 'positive' WHEN sc <= -0.3 + 1e-9 THEN 'negative' WHEN n = 0 THEN 'skip' ELSE 'neutral' END AS label, {r('least(0.9, 0.5 + abs(sc) * 0.4)')} AS confidence FROM x""")
+ SELECT doc_id, {r('sc')} AS score, CASE WHEN round(sc, 9) >= 0.3 THEN 'positive' WHEN round(sc, 9) <= -0.3 THEN 'negative' WHEN n = 0 THEN 'skip' ELSE 'neutral' END AS label, {r('least(0.9, 0.5 + abs(sc) * 0.4)')} AS confidence FROM x""")
 def _(t):
     d = tx.rule_sentiment(t.raw("documents").select("doc_id", "text"), "text", _LEX)
-    lab = F.when(C("score") >= 0.3 - 1e-9, "positive").when(C("score") <= -0.3 + 1e-9, "negative").otherwise(C("label"))
-    return rounded(d.select("doc_id", "score", lab.alias("label"), "confidence"))
+    return rounded(d.select("doc_id", "score", "label", "confidence"))
 
 
 @query("x3_needs_context_flag", "SELECT doc_id, CAST(regexp_matches(text, '@|https?:|[0-9]{3}-[0-9]{4}|[Ll]icen[cs]e') AS INT) AS needs_context FROM documents")
 def _(t):
-    return t.raw("documents").select("doc_id", flag(C("text").rlike(r"@|https?:|[0-9]{3}-[0-9]{4}|[Ll]icen[cs]e")).alias("needs_context"))
+    return tx.needs_context(t.raw("documents"), "text").select("doc_id", "needs_context")
 
 
 _SEC = {"that": ["1001", "1002"], "ment": ["1002", "1003"], "sch": ["1004"]}

@@ -162,9 +162,14 @@ _SIGQ = f"""sc AS (SELECT race_id, CASE WHEN race_id % 10 >= 4 THEN 15 ELSE 0 EN
 @query("r16_signal_generation", f"""WITH {ENTRIES}, {_SIGQ} SELECT race_id, car_no, {r('ev', 5)} AS ev, CAST(pscore AS INT) AS score, CASE WHEN pscore < 60 THEN 'predictability low' WHEN surge >= 0.015 THEN 'odds surge' WHEN odds > 100 THEN 'odds cap' ELSE 'OK' END AS reason,
  round_even(least(greatest(0, (prob * odds - 1) / (odds - 1)) * 0.25 * 100000, 5000) / 100, 0) * 100 AS stake FROM x WHERE ev >= 0.8 + 1e-6 AND prob < 1 AND odds > 1""")
 def _(t):
+    """Races' conditions and the late move of the odds are stand-ins, as the tables have none."""
+    from ticktote.operators.race import race
     from ticktote.plans.signals import generate_signals
 
-    d = generate_signals(t.entries())
+    e = t.entries().withColumn("_m", F.avg("disc").over(race()))
+    conditions = [(C("race_id") % 10 >= 4, 15), (C("race_id") % 5 == 0, 10), (C("_m") < 0.05 - 1e-9, 30)]
+    move = -C("tax") * 3 * 10 / 120 * F.when(C("car_no") % 2 == 0, 1).otherwise(-1)
+    d = generate_signals(e, conditions, move, min_ev=0.8 + 1e-6)
     return d.select("race_id", "car_no", rnd("ev", 5).alias("ev"), C("score").cast("int").alias("score"), "reason", "stake")
 
 

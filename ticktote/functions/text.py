@@ -97,11 +97,20 @@ def rule_sentiment(df: DataFrame, text: str, lexicon: dict[str, float]) -> DataF
     d = df.withColumn("_h", hits).withColumn("n_hits", F.size("_h"))
     s = F.aggregate("_h", F.lit(0.0), lambda a, e: a + e)
     d = d.withColumn("score", F.coalesce(clip(sdiv(s, F.col("n_hits").cast("double")), -1, 1), F.lit(0.0)))
-    x = F.col("score")
+    x = F.round("score", 9)
     lab = F.when(x >= 0.3, "positive").when(x <= -0.3, "negative").when(F.col("n_hits") == 0, "skip").otherwise("neutral")
     return d.withColumns({"label": lab, "confidence": F.least(F.lit(0.9), 0.5 + F.abs(x) * 0.4)}).drop("_h")
 
 
+# What marks a text that cannot be judged by itself.
+CONTEXT_PATTERNS = ("@", "https?:", "[0-9]{3}-[0-9]{4}", "[Ll]icen[cs]e")
+
+
+def needs_context(df: DataFrame, text: str, patterns: tuple[str, ...] = CONTEXT_PATTERNS) -> DataFrame:
+    """Whether any of the patterns occurs; a null text needs none."""
+    return df.withColumn("needs_context", F.coalesce(F.col(text).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)).cast("int"))
+
+
 def news_targets(df: DataFrame, text: str, sectors: dict[str, list[str]], inverse: dict[str, list[str]]) -> DataFrame:
     """Codes named directly, codes of sectors named, codes that move against an event named."""
     t = F.lower(text)

@@ -52,7 +52,7 @@ def gate_stack(bars: DataFrame, trades: DataFrame, calendar: DataFrame, threshol
     d = trades.join(b.select("symbol", "ts", "vol_pct", "sma"), ["symbol", "ts"]).join(mean, "symbol")
     d = blackout(d, calendar, 4, 2, 2)
     against = F.coalesce((C("side") > 0) != (C("close") > C("sma")), F.lit(False))
-    need = threshold + F.when(against, penalty).otherwise(0.0) - 1e-9
+    need = threshold + F.when(against, penalty).otherwise(0.0)
     rules = [
         ("hour", F.hour("ts").isin(20, 23)),
         ("weekday", F.weekday("ts") == 1),

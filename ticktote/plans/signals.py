@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticktote.functions import betting as bt
@@ -13,16 +13,23 @@ from ticktote.operators.sequence import key_join
 C = F.col
 
 
-def generate_signals(entries: DataFrame, min_ev: float = 0.8, capital: float = 100000.0, min_score: int = 60, surge: float = 0.015, odds_cap: float = 100.0) -> DataFrame:
-    """Value entries with score, first failing filter and stake."""
-    d = entries.withColumn("ev", bt.expected_value("prob", "odds"))
-    d = ra.predictability(
-        d.withColumn("_m", F.avg("disc").over(ra.race())),
-        [(C("race_id") % 10 >= 4, 15), (C("race_id") % 5 == 0, 10), (C("_m") < 0.05 - 1e-9, 30)],
-        "score",
-    ).where((C("ev") >= min_ev + 1e-6) & (C("prob") < 1) & (C("odds") > 1))
-    move = -C("tax") * 3 * 10 / 120 * F.when(C("car_no") % 2 == 0, 1).otherwise(-1)
-    reason = first_reason([("predictability low", C("score") < min_score), ("odds surge", move >= surge), ("odds cap", C("odds") > odds_cap)])
+def generate_signals(
+    entries: DataFrame,
+    conditions: list[tuple[Column, int]],
+    odds_move: Column,
+    min_ev: float = 0.8,
+    capital: float = 100000.0,
+    min_score: int = 60,
+    surge: float = 0.015,
+    odds_cap: float = 100.0,
+) -> DataFrame:
+    """Value entries with predictability score, first failing filter and stake.
+
+    conditions are (condition of a race, points it takes off the score); odds_move is the late move of the entry's odds.
+    """
+    d = ra.predictability(entries.withColumn("ev", bt.expected_value("prob", "odds")), conditions, "score")
+    d = d.where((C("ev") >= min_ev) & (C("prob") < 1) & (C("odds") > 1))
+    reason = first_reason([("predictability low", C("score") < min_score), ("odds surge", odds_move >= surge), ("odds cap", C("odds") > odds_cap)])
     return d.withColumns({"reason": reason, "stake": bt.kelly("prob", "odds", F.lit(capital), unit=100.0)})
 
 
