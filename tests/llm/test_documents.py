@@ -137,7 +137,7 @@ def test_components(spark):
 def test_shared_prefix_buckets_over_batches():
     import pyarrow as pa
 
-    rows = [(1, -1, 10), (2, -1, 11), (2, -1, 12), (2, -1, 13), (3, 0, 14), (4, -1, 15), (4, -1, 16), (5, -1, 17), (6, 2, 18), (6, 2, 19)]
+    rows = [(1, -1, 10), (1, -1, 10), (2, -1, 11), (2, -1, 12), (2, -1, 12), (2, -1, 13), (3, 0, 14), (4, -1, 15), (4, -1, 16), (5, -1, 17), (6, 2, 18), (6, 2, 19)]
     whole = None
     for step in (1, 2, 3, 10):
         got = []
@@ -150,6 +150,19 @@ def test_shared_prefix_buckets_over_batches():
     assert whole == [(2, 11, 11), (2, 12, 11), (2, 13, 11), (3, 14, 14), (4, 15, 15), (4, 16, 15), (6, 18, 18), (6, 19, 18)]
 
 
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(2)
+    for n, m in ((10, 12), (150, 140), (3000, 2800), (9000, 900)):
+        x = np.unique(r.integers(0, 2**63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: min(m, n) * 9 // 10], r.integers(0, 2**63, m // 10, dtype=np.uint64)]))
+        apart = len(np.setxor1d(x, y))
+        a, b = ngram_join._bitmap(x), ngram_join._bitmap(y)
+        assert 0.4 * min(apart, len(y)) <= ngram_join._unequal(a, b) <= apart
+        fold = np.bitwise_count(ngram_join._folded(a).view(np.uint64) ^ ngram_join._folded(b).view(np.uint64)).sum()
+        assert fold <= apart
+        assert ngram_join._unequal(a, a) == 0
+
+
 def cut_twin(rows, n=50):
     first = {}
     for i, t in rows:

@@ -11,7 +11,8 @@ of a frequent token have all their other tokens in their prefixes as well, so a
 overlap in frequent tokens only; that bound drops many of them before a pair is made.
 
 Texts move last. A pair must first pass the bitmap filter: each set has a bitmap in which a token flips one bit, and
-two sets differ by at least as many tokens as their bitmaps have unequal bits. Then the prefixes under all other orders
+two sets differ by at least as many tokens as their bitmaps have unequal bits. The bitmap folded to 256 bits is part of
+the join's condition, so pairs that it rules out are never made; the whole one is compared after the join. Then the prefixes under all other orders
 are intersected, and what is left is verified on the sets themselves.
 """
 
@@ -37,6 +38,7 @@ PERCENT = 80
 SALTS = 16
 BROADCAST_IDS = 1_000_000
 BITMAP_BYTES = 256
+FOLDS = ("s0", "s1", "s2", "s3")
 
 
 def _node(tokens: np.ndarray, seed: int) -> tuple[int, bytes]:
@@ -47,18 +49,36 @@ def _node(tokens: np.ndarray, seed: int) -> tuple[int, bytes]:
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.bincount((mix(tokens, 7) % np.uint64(8 * BITMAP_BYTES)).astype(np.int64), minlength=8 * BITMAP_BYTES) & 1
+    """Parities of the tokens of each bit; the bitmap doubles until it has two bits for each token."""
+    size = 8 * BITMAP_BYTES
+    while size < 2 * len(tokens):
+        size *= 2
+    bits = np.bincount((mix(tokens, 7) % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _unequal(x: bytes, y: bytes) -> int:
+    """Unequal bits of two bitmaps, the longer one folded to the length of the other."""
+    u, v = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    n = min(len(u), len(v))
+    u, v = (np.bitwise_xor.reduce(w.reshape(-1, n), axis=0) for w in (u, v))
+    return int(np.bitwise_count(u ^ v).sum())
+
+
+def _folded(bitmap: bytes) -> np.ndarray:
+    """The bitmap folded to as many 64-bit words as FOLDS; bits that meet cancel, so unequal bits still bound the difference."""
+    return np.bitwise_xor.reduce(np.frombuffer(bitmap, dtype=np.int64).reshape(-1, len(FOLDS)), axis=0)
+
+
 def _similar_bitmaps(percent: int):
     """Of rows (a, b, n_a, n_b, bits_a, bits_b): the pairs whose bitmaps leave room for a similarity of percent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column(2).to_numpy() + b.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), dtype=np.uint64).reshape(-1, BITMAP_BYTES // 8) for k in (4, 5))
-            overlap = (n - np.bitwise_count(x ^ y).sum(1).astype(np.int64)) // 2
+            x, y = b.column(2).to_numpy(), b.column(3).to_numpy()
+            n = x + y
+            unequal = np.fromiter(map(_unequal, b.column(4).to_pylist(), b.column(5).to_pylist()), dtype=np.int64, count=b.num_rows)
+            overlap = np.minimum((n - unequal) // 2, np.minimum(x, y))
             keep = np.flatnonzero(100 * overlap >= percent * (n - overlap))
             yield pa.RecordBatch.from_arrays([b.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
 
@@ -67,7 +87,7 @@ def _similar_bitmaps(percent: int):
 
 def _profile(seed: int):
     """Rows of documents (n, node, digest, bits) and of tokens that many documents of a batch have."""
-    names = ["id", "n", "node", "digest", "bits", "token", "count"]
+    names = ["id", "n", "node", "digest", "bits", *FOLDS, "token", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -95,10 +115,11 @@ def _profile(seed: int):
                     size = 0
             count()
             rows, m = len(n), len(frequent)
+            folds = np.array([_folded(x) if x else np.zeros(len(FOLDS), np.int64) for x in bits]).reshape(-1, len(FOLDS))
             none = pa.nulls(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), none, none], names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(digest, pa.binary()), pa.array(bits, pa.binary()), *[pa.array(folds[:, k]) for k in range(len(FOLDS))], none, none], names)
             if m:
-                empty = [pa.nulls(m, t) for t in (b.column(0).type, pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+                empty = [pa.nulls(m, t) for t in (b.column(0).type, pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * len(FOLDS))]
                 yield pa.RecordBatch.from_arrays([*empty, pa.array(list(frequent), pa.int64()), pa.array(list(frequent.values()), pa.int64())], names)
 
     return run
@@ -165,10 +186,20 @@ def _postings(orders, percent: int):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by token, salt and rank: those of buckets with several members, or of a salted token, with the bucket's leader."""
-    held = None
+    """Of rows sorted by token, salt and rank: those of buckets with several members, or of a salted token, with the bucket's leader.
+
+    Rows of one node in one bucket, which several tasks may have sent, are one.
+    """
+    held, last = None, None
     for b in batches:
         token, salt, node, n, often = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        if not len(token):
+            continue
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        new[0] = last != (token[0], node[0])
+        last = (token[-1], node[-1])
+        token, salt, node, n, often = (x[new] for x in (token, salt, node, n, often))
         if not len(token):
             continue
         first = np.ones(len(token), bool)
@@ -224,7 +255,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     kind = docs.schema[id_col].dataType
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("node", T.LongType()), ("digest", T.BinaryType()), ("bits", T.BinaryType()), ("token", T.LongType()), ("count", T.LongType()))]])
+    schema = T.StructType([T.StructField("id", kind), *[T.StructField(c, t) for c, t in (("n", T.LongType()), ("node", T.LongType()), ("digest", T.BinaryType()), ("bits", T.BinaryType()), *[(c, T.LongType()) for c in FOLDS], ("token", T.LongType()), ("count", T.LongType()))]])
     seed = 0
     while True:
         profile = shared_table(text.mapInArrow(_profile(seed), schema), "profile")
@@ -233,7 +264,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if clash.isEmpty():
             break
         seed += 1
-    reps = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("bits").alias("bits"))
+    reps = sets.where("node is not null").groupBy("node").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("bits").alias("bits"), *[F.first(c).alias(c) for c in FOLDS])
     top = profile.where("token is not null").groupBy("token").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "token").limit(frequent_tokens).toPandas()
     order = sc.broadcast(TokenOrders(top["token"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)))
 
@@ -244,7 +275,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     post = text.select("text").mapInArrow(lambda b: _postings(order, percent)(keyed(b)), "token long, salt int, node long, n int, often int")
     dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", F.expr("n - often"), "node")
-    shared = shared_table(dealt.mapInArrow(_shared, "token long, salt int, node long, n int, often int, lead long").distinct(), "shared-prefixes")
+    shared = shared_table(dealt.mapInArrow(_shared, "token long, salt int, node long, n int, often int, lead long"), "shared-prefixes")
 
     # salted buckets of one token: their leaders meet under the least of them
     heads = shared.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("least"))
@@ -271,15 +302,21 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = shared_table(verified(best.select("a", "b")), "links")
     tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    comp = components(links)
+    # equal roots are one component for sure; a leader's leader is near enough for what is left to compare
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    over = links.select(F.col("b").alias("root"), F.col("a").alias("top"))
+    comp = up.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
     here = shared.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rest = shared_table(here.join(mixed, "token").select("token", "salt", "node", "n", "often", "root"), "mixed-buckets")
+    rest = here.join(mixed, "token").select("token", "salt", "node", "n", "often", "root").join(members.select("node", *FOLDS), "node")
+    rest = shared_table(rest, "mixed-buckets")
     x, y = (rest.select(*[F.col(c).alias(f"{c}_{k}") for c in rest.columns]) for k in "xy")
     both = F.least(F.col("often_x"), F.col("often_y"))
     fits = (F.col("salt_x") < 0) | (100 * both >= percent * (F.col("n_x") + F.col("n_y") - both))
     close = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    pairs = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & close & fits)
+    unequal = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in FOLDS), F.lit(0))
+    alike = unequal * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
+    pairs = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & close & fits & alike)
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = shared_table(verified(pairs), "more-links")
     final = components(links.union(more))
