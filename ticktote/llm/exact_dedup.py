@@ -80,7 +80,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     light = chunk_recipes(docs, id_col, text_col, **chunking)
     best = F.min(F.struct((-F.col("n_chars")).alias("n"), "id", "row_key")).alias("best")
     groups = light.groupBy("recipe").agg(best, F.count("*").alias("group_size"))
-    groups = groups.select("recipe", F.col("best.id").alias("keep_id"), F.col("best.row_key").alias("keep_key"), "group_size")
+    # written first, so that the join has an exchange on both sides and Spark can split a group of very many copies
+    groups = shared_table(groups.select("recipe", F.col("best.id").alias("keep_id"), F.col("best.row_key").alias("keep_key"), "group_size"), "copy-groups")
     return light.join(groups, "recipe").select(
         "id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_key")).alias("kept"), "text_sha256", F.size("recipe").alias("n_chunks"))
 
