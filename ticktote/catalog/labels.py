@@ -122,7 +122,8 @@ def _(t):
     return rounded(lb.pairwise_training(t.entries(), ["prob", "score"], None))
 
 
-@query("l12_pairwise_sample", None)
+@query("l12_pairwise_sample", f"""WITH {ENTRIES}, p AS (SELECT a.race_id, a.car_no AS car_no1, b.car_no AS car_no2, {r('a.prob - b.prob')} AS d_prob, {r('a.score - b.score')} AS d_score, CAST(a.finish < b.finish AS INT) AS ahead,
+ row_number() OVER (PARTITION BY a.race_id ORDER BY (a.race_id * 7919 + a.car_no * 5003 + b.car_no * 3571) % 1009, a.car_no, b.car_no) AS k FROM entries a JOIN entries b ON a.race_id = b.race_id AND a.car_no < b.car_no) SELECT race_id, car_no1, car_no2, d_prob, d_score, ahead FROM p WHERE k <= 20""")
 def _(t):
     return rounded(lb.pairwise_training(t.entries(), ["prob", "score"], 20))
 

@@ -162,7 +162,16 @@ def _(t):
     return rounded(g.select("ev_threshold", "n_bets", "n_hits", (C("ret") / C("n_bets") * 100).alias("roi")))
 
 
-@query("m13_overfit_probability", None)
+_HALF = "avg(ret) FILTER (race_date {0} '1998-01-01') / nullif(stddev_samp(ret) FILTER (race_date {0} '1998-01-01'), 0)"
+
+
+@query("m13_overfit_probability", f"""WITH {BETS}, z AS (SELECT strategy || '/' || style AS name, {_HALF.format('<')} AS si, {_HALF.format('>=')} AS so FROM bets GROUP BY 1),
+ s AS (SELECT *, row_number() OVER (ORDER BY name) - 1 AS i, count(*) OVER () AS n, rank() OVER (ORDER BY so DESC) AS ro FROM z WHERE si IS NOT NULL AND so IS NOT NULL),
+ d AS (SELECT draw, unnest(range(1, n + 1)) AS slot, n FROM (SELECT unnest(range(1000)) AS draw), (SELECT max(n) AS n FROM s)),
+ p AS (SELECT draw, (((draw + 1) * 48271 * (slot + 7919) + slot * slot * 69621) % 2147483647) % n AS i FROM d),
+ b AS (SELECT draw, ro, n, row_number() OVER (PARTITION BY draw ORDER BY si DESC, name DESC) AS k FROM p JOIN s USING (i)),
+ q AS (SELECT avg(CAST(ro > n // 2 AS INT)) AS pbo, count(*) AS draws FROM b WHERE k = 1)
+ SELECT {r('pbo')} AS pbo, draws, {r('(SELECT arg_max(so, si) FROM s) * sqrt(1 - pbo)')} AS deflated_sharpe FROM q""")
 def _(t):
     half = F.when(C("race_date") < F.lit("1998-01-01").cast("timestamp_ntz"), C("ret"))
     other = F.when(C("race_date") >= F.lit("1998-01-01").cast("timestamp_ntz"), C("ret"))

@@ -117,12 +117,12 @@ def month_folds(df: DataFrame, date: str, first: str, months: int, count: int) -
 
 
 def pairwise_training(e: DataFrame, features: list[str], max_pairs: int | None = 20) -> DataFrame:
-    """Feature differences and who finished ahead; pairs of a race in hash order, first max_pairs.
+    """Feature differences and who finished ahead; pairs of a race in a scattered order, first max_pairs.
 
     The limit is the feature: a fixed number of training pairs per race. None keeps all pairs.
     """
     p = pairs(e, ["car_no", "finish", *features], ordered=False)
-    order = F.xxhash64("race_id", "car_no1", "car_no2")
+    order = F.pmod(C("race_id") * 7919 + C("car_no1") * 5003 + C("car_no2") * 3571, F.lit(1009))
     if max_pairs is not None:
         p = p.withColumn("_r", F.row_number().over(Window.partitionBy("race_id").orderBy(order, "car_no1", "car_no2"))).where(C("_r") <= max_pairs)
     return p.select("race_id", "car_no1", "car_no2", *[(C(f + "1") - C(f + "2")).alias("d_" + f) for f in features], (C("finish1") < C("finish2")).cast("int").alias("ahead"))

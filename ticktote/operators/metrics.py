@@ -263,7 +263,7 @@ def overfit_probability(strategies: DataFrame, name: str, score_in: str, score_o
     """Share of bootstrap draws whose in-sample best ranks in the lower half out of sample, and the deflated score.
 
     A draw picks as many strategies as there are, with replacement. Whether a
-    strategy is in a draw follows from a hash of (draw, slot), so reruns agree.
+    strategy is in a draw follows from residues of (draw, slot), so reruns agree.
     The strategy table is one row per strategy; draws grow with its size.
     """
     w = Window.partitionBy(F.lit(0))
@@ -273,7 +273,7 @@ def overfit_probability(strategies: DataFrame, name: str, score_in: str, score_o
     one = s.agg(F.max("_n").alias("n"))
     d = strategies.sparkSession.range(draws).withColumnRenamed("id", "draw").join(F.broadcast(one))
     d = d.withColumn("slot", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    d = d.withColumn("_i", F.pmod(F.xxhash64("draw", "slot"), F.col("n")).cast("int"))
+    d = d.withColumn("_i", F.pmod(F.pmod((F.col("draw") + 1) * 48271 * (F.col("slot") + 7919) + F.col("slot") * F.col("slot") * 69621, F.lit(2147483647)), F.col("n")).cast("int"))
     best = d.join(s, "_i").groupBy("draw").agg(F.max_by(F.struct("_ro", F.col("_n").alias("n")), F.struct(score_in, name)).alias("b"))
     pbo = best.agg(F.avg((F.col("b._ro") > F.floor(F.col("b.n") / 2)).cast("int")).alias("pbo"), F.count(F.lit(1)).alias("draws"))
     top = s.agg(F.max_by(score_out, score_in).alias("_sel"))
