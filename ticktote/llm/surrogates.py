@@ -45,12 +45,15 @@ ENTITY = re.compile(
     r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
     r"|(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<secret>[A-Za-z0-9_+/=-]{8,})"
     rf"|(?<!\w)(?:{_TITLE})\.? (?P<name>[{_UPPER}][{_LOWER}]+(?:[ -][{_UPPER}][{_LOWER}]+){{0,2}})"
+    r"|(?<!\w)(?P<access>A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{20,})(?!\w)"
     r"|(?<![\w])(?P<key>(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{32,64})(?![\w])")
-HINT = re.compile(rf"[@]|\d[\d. ()-]{{5}}|[=:]\s{{0,3}}[\"']?[A-Za-z0-9_+/=-]{{8}}|(?<!\w)(?:{_TITLE})\.? [{_UPPER}]|[0-9a-f]{{32}}")
+HINT = re.compile(rf"[@]|\d[\d. ()-]{{5}}|[=:]\s{{0,3}}[\"']?[A-Za-z0-9_+/=-]{{8}}|(?<!\w)(?:{_TITLE})\.? [{_UPPER}]|[0-9a-f]{{32}}|A[KS]IA[0-9A-Z]|gh[pousr]_|sk-")
 
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))), "".join(map(chr, range(0x3B1, 0x3CA))).replace("ς", ""), "".join(map(chr, range(0x391, 0x3AA))).replace("΢", "")]
 _CLASS = {c: a for a in _ALPHABETS for c in a}
 _HEX = "0123456789abcdef"
+_BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PREFIX = re.compile(r"A[KS]IA|gh[pousr]_|sk-")
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -142,6 +145,9 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         return head + _shape(text[len(head):], _classes(text[len(head):]), key, tweak)
     if base == "name":
         return _name(text, gender, key, tweak)
+    if base == "secret" and (m := _PREFIX.match(text)):  # the prefix tells the kind of key, and stays
+        rest = text[m.end():]
+        return m.group() + _shape(rest, [_BASE36 if rest.isupper() and c in _BASE36 else a for c, a in zip(rest, _classes(rest), strict=True)], key, tweak)
     if base == "secret" and re.fullmatch("[0-9a-f]+", text):
         return _shape(text, [_HEX] * len(text), key, tweak)
     return _shape(text, _classes(text), key, tweak)
@@ -160,7 +166,7 @@ def entities(text: str) -> Iterator[tuple[int, int, str, str]]:
         a, z = m.span(kind)
         if kind == "name":
             kind = f"name:{_gender(text[m.start():a])}"
-        yield a, z, "secret" if kind == "key" else kind, text[a:z]
+        yield a, z, "secret" if kind in ("key", "access") else kind, text[a:z]
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
