@@ -157,5 +157,15 @@ def test_intent_precedence(spark):
     assert [r.role for r in tx.comment_intent(d, "t").collect()] == ["lead", "single", "follow", "follow", "unknown"]
 
 
+def test_field_size_is_a_checked_contract(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    e = spark.createDataFrame([(1, k) for k in range(3)] + [(2, k) for k in range(5)], "race_id int, car_no int")
+    assert ra.require_field_size(e, 5).count() == 8 and ra.require_field_size(e, 5).columns == e.columns
+    with pytest.raises(PySparkException, match="race 2 has more than 4 starters"):
+        ra.require_field_size(e, 4).collect()
+
+
 def test_all_orders_of_three():
     assert len(list(permutations(range(3)))) == 6

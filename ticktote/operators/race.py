@@ -1,7 +1,7 @@
 """Operators inside a race: relative values, probabilities, odds movements.
 
-A race is a field of starters whose size the data model bounds, so windows over
-race_id are small; nothing here is partitioned by an unbounded key.
+Input contract: a race is a field of starters, MAX_STARTERS at most, so windows over
+race_id and combinations of a race's entries are small. require_field_size checks it.
 """
 
 from __future__ import annotations
@@ -12,12 +12,21 @@ from pyspark.sql import functions as F
 from ticktote.functions.core import col, flag, min_rank, sdiv
 
 C = F.col
+MAX_STARTERS = 18
 
 
 def race() -> WindowSpec:
     return Window.partitionBy("race_id")
 
 
+def require_field_size(entries: DataFrame, most: int = MAX_STARTERS) -> DataFrame:
+    """entries, or an error at run time as soon as a race has more than `most` of them; no row is dropped."""
+    n = F.count(F.lit(1)).over(race())
+    said = F.concat(F.lit("race "), C("race_id").cast("string"), F.lit(f" has more than {most} starters"))
+    ok = F.when(C("_starters") <= most, F.lit(True)).otherwise(F.raise_error(said).cast("boolean"))
+    return entries.withColumn("_starters", n).where(ok).drop("_starters")
+
+
 def vs_field(x: str) -> Column:
     return C(x) - F.avg(x).over(race())
 

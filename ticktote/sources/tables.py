@@ -84,8 +84,8 @@ class Tables:
     def entries(self) -> DataFrame:
         """One row per entry of a race: fields, model probability, odds, finish.
 
-        race_id groups are fields of starters: the data model bounds their size
-        (at most 18 starters), so windows over a race are small by construction.
+        race_id groups are fields of starters; `operators.race.require_field_size` checks
+        for foreign data that they are as small as windows over a race expect.
         """
         w = Window.partitionBy("l_orderkey").orderBy(*ENTRY_ORDER)
         race = Window.partitionBy("l_orderkey")
