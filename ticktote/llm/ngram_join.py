@@ -11,7 +11,7 @@ of a frequent token have all their other tokens in their prefixes as well, so a
 overlap in frequent tokens only; that bound drops many of them before a pair is made.
 
 Texts move last. A pair must first pass the bitmap filter: each set has a bitmap in which a token flips one bit, and
-two sets differ by at least as many tokens as their bitmaps have unequal bits. The bitmap folded to 256 bits is part of
+two sets differ by at least as many tokens as their bitmaps have unequal bits. The bitmap folded to 512 bits is part of
 the join's condition, so pairs that it rules out are never made; the whole one is compared after the join. Then the prefixes under all other orders
 are intersected, and what is left is verified on the sets themselves.
 """
@@ -38,7 +38,7 @@ PERCENT = 80
 SALTS = 16
 BROADCAST_IDS = 1_000_000
 BITMAP_BYTES = 256
-FOLDS = ("s0", "s1", "s2", "s3")
+FOLDS = tuple(f"s{k}" for k in range(8))
 
 
 def _node(tokens: np.ndarray, seed: int) -> tuple[int, bytes]:
