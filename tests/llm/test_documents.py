@@ -237,6 +237,17 @@ def test_ppm_and_base(spark, hot):
         assert a[:6] == b[:6] and a[6:] == pytest.approx(b[6:], rel=1e-5)
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_ppm_keeps_every_context(spark, most):
+    rows = [(i, t[:3000] if t else t) for i, t in awkward()] + [(100 + k, prose(500 + k, 40) + "漢字 и") for k in range(30)]
+    got = ppm.score_documents(frame(spark, rows), max_contexts=most, broadcast_words=3).collect()
+    train = [(t or "").encode() for i, t in rows if zlib.crc32(("null" if i is None else str(i)).encode()) % 10]
+    want = list(zip((str(i) for i, _ in rows), ppm_twin(train, [(t or "").encode() for _, t in rows]), strict=True))
+    assert len(got) == len(want)
+    for a, b in zip(sorted((str(r["id"]), r["score"]) for r in got), sorted(want), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-5)
+
+
 def test_ppm_rows_sum_to_one():
     g, c = np.unique(textops.mix(np.arange(3000, dtype=np.uint64)) & np.uint64(0xFFFFFFFF), return_counts=True)
     pairs, at = np.unique(g & np.uint64(0xFFFFFF), return_inverse=True)

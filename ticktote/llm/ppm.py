@@ -6,9 +6,11 @@ byte shorter, where symbols that were on offer before are excluded; at last all
 trie of contexts is turned into one row of 256 log-probabilities for each context, so scoring a text is a lookup per
 byte. A text is preceded by, and ends with, the byte 0xFF, which UTF-8 never has; its end counts as a symbol.
 
-The trie has all contexts of up to two bytes (65,793 at most) and the max_contexts most frequent ones of three; the
-others back off to two bytes. So the broadcast model has a fixed bound. Word counts have none, so only the
-broadcast_words most frequent words' counts are broadcast; all other words meet their count in a join.
+The trie has all contexts of up to three bytes. Those of up to two bytes (65,793 at most) and the max_contexts most
+frequent ones of three are broadcast as rows, so the broadcast model has a fixed bound; with them goes one bit for each
+of the 2^24 contexts of three bytes that tells which others training has seen. The symbols of a document after such
+contexts are counted, and meet the rows of their contexts in a join. Words are treated alike: the counts of the
+broadcast_words most frequent ones are broadcast; all other words meet their count in the same join.
 """
 
 from __future__ import annotations
@@ -102,70 +104,133 @@ def _predict(levels: list[np.ndarray]) -> np.ndarray:
     return np.log10(p)
 
 
+class Shorter:
+    """Counts of the symbols after contexts of up to two bytes, from (codes of two bytes and a symbol, counts)."""
+
+    def __init__(self, pairs: tuple[np.ndarray, np.ndarray]):
+        order = np.argsort(pairs[0])
+        self.code, self.n = pairs[0][order].astype(np.int64), pairs[1][order]
+        self.one = np.zeros((256, 256), np.int64)
+        np.add.at(self.one.reshape(-1), self.code & 0xFFFF, self.n)
+        self.zero = self.one.sum(0)
+
+    def levels(self, ctx: np.ndarray) -> list[np.ndarray]:
+        """Counts after the last two, one and no bytes of ctx."""
+        begin = (ctx & 0xFFFF) << 8
+        a, z = np.searchsorted(self.code, begin), np.searchsorted(self.code, begin + 256)
+        n, row = z - a, np.repeat(np.arange(len(ctx)), z - a)
+        at = np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n)
+        two = np.zeros((len(ctx), 256), np.int64)
+        two[row, self.code[at] & 255] = self.n[at]
+        return [two, self.one[ctx & 255], np.broadcast_to(self.zero, (len(ctx), 256))]
+
+
 class Model:
     """Rows of log10 probabilities by context: all contexts of up to two bytes, and the most frequent ones of three."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: np.ndarray, max_contexts: int = MAX_CONTEXTS):
-        """grams: codes of the kept three-byte contexts with their symbols and counts; pairs: counts of two-byte contexts, [65536, 256] as (codes, counts)."""
-        two = np.zeros((65536, 256), np.int64)
-        np.add.at(two.reshape(-1), pairs[0].astype(np.int64), pairs[1])
-        one, zero = two.reshape(256, 256, 256).sum(0), two.sum(0)
-        seen2, seen1 = np.flatnonzero(two.any(1)), np.flatnonzero(one.any(1))
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], others: np.ndarray | None = None):
+        """grams: codes of the kept three-byte contexts with their symbols and counts; pairs: those of two-byte contexts; others: three-byte contexts that were seen but have no row here."""
+        shorter = Shorter(pairs)
+        seen2, seen1 = np.unique(shorter.code >> 8), np.flatnonzero(shorter.one.any(1))
         ctx3 = np.unique(grams >> np.uint64(8)).astype(np.int64)
         row3 = np.searchsorted(ctx3, (grams >> np.uint64(8)).astype(np.int64))
-        tables = [_predict([zero[None]]), _predict([one[seen1], np.broadcast_to(zero, (len(seen1), 256))])]
+        tables = [_predict([shorter.zero[None]]), _predict(shorter.levels(seen1)[1:])]
         for part in np.array_split(seen2, max(1, len(seen2) // 4096)):
-            tables.append(_predict([two[part], one[part & 255], np.broadcast_to(zero, (len(part), 256))]))
+            tables.append(_predict(shorter.levels(part)))
         for lo in range(0, len(ctx3), 4096):
             part = ctx3[lo : lo + 4096]
             own = np.zeros((len(part), 256), np.int64)
             mine = (row3 >= lo) & (row3 < lo + len(part))
             own[row3[mine] - lo, (grams[mine] & np.uint64(255)).astype(np.int64)] = counts[mine]
-            tables.append(_predict([own, two[part & 65535], one[part & 255], np.broadcast_to(zero, (len(part), 256))]))
+            tables.append(_predict([own, *shorter.levels(part)]))
         self.table = np.concatenate(tables).astype(np.float32)
         self.ctx1, self.ctx2, self.ctx3 = seen1, seen2, ctx3
+        seen = np.zeros(1 << 24, bool)
+        if others is not None:
+            seen[others] = True
+        self.others = np.packbits(seen)
         self.index = None
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "index": None}
 
     def rows(self) -> np.ndarray:
-        """The row of each of the 2^24 contexts of three bytes."""
+        """The row of each of the 2^24 contexts of three bytes; -1 for those that were seen but have no row here."""
         if self.index is None:
             one = np.zeros(256, np.int32)
             one[self.ctx1] = 1 + np.arange(len(self.ctx1))
             two = np.tile(one, 256)
             two[self.ctx2] = 1 + len(self.ctx1) + np.arange(len(self.ctx2))
             index = np.tile(two, 256)
+            index[np.unpackbits(self.others).view(bool)] = -1
             index[self.ctx3] = 1 + len(self.ctx1) + len(self.ctx2) + np.arange(len(self.ctx3))
             self.index = index
         return self.index
 
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        return self.table[self.rows()[grams >> 8], grams & 255]
+    def log10(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log10 probabilities of grams, 0 where the context has no row here; whether it has none."""
+        row = self.rows()[grams >> 8]
+        return np.where(row < 0, np.float32(0), self.table[row, grams & 255]), row < 0
 
 
-def train_model(counts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """The model of a table of gram counts (key, n). Only counts of the bounded trie reach the driver."""
-    top = counts.groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "ctx").limit(max_contexts)
-    kept = counts.withColumn("ctx", F.shiftright("key", 8)).join(F.broadcast(top), "ctx").select("key", "n").toPandas()
+def train_model(counts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> tuple[Model, DataFrame]:
+    """The model of a table of gram counts (key, n), and rows (key, row) of the three-byte contexts that it has no row of.
+
+    Only counts of the bounded part of the trie, and the codes of the other contexts, reach the driver.
+    """
+    sc, counts = counts.sparkSession.sparkContext, counts.withColumn("ctx", F.shiftright("key", 8))
+    top = counts.groupBy("ctx").agg(F.sum("n").alias("m")).orderBy(F.desc("m"), "ctx").limit(max_contexts).select("ctx")
+    kept = counts.join(F.broadcast(top), "ctx").select("key", "n").toPandas()
     pairs = counts.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).toPandas()
-    return Model(kept["key"].to_numpy(np.int64).astype(np.uint64), kept["n"].to_numpy(np.int64), (pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)))
+    pairs = pairs["key"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64)
+    shorter = sc.broadcast(pairs)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = Shorter(shorter.value)
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                part = b.slice(lo, 1024)
+                ctx, seen = part.column(0).to_numpy(), part.column(1).flatten()
+                own = np.zeros((len(ctx), 256), np.int64)
+                own[np.repeat(np.arange(len(ctx)), part.column(1).value_lengths().to_numpy()), seen.field("key").to_numpy() & 255] = seen.field("n").to_numpy()
+                row = _predict([own, *lower.levels(ctx)]).astype(np.float32)
+                ends = np.arange(0, row.size + 1, 256, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(row.reshape(-1)))], ["key", "row"])
+
+    rest = counts.join(F.broadcast(top), "ctx", "left_anti").groupBy("ctx").agg(F.collect_list(F.struct("key", "n")).alias("seen"))
+    rest = shared_table(rest.mapInArrow(predict, "key long, row array<float>"), "contexts")
+    others = rest.select(F.col("key").cast("int").alias("key")).toPandas()["key"].to_numpy(np.int64)
+    return Model(kept["key"].to_numpy(np.int64).astype(np.uint64), kept["n"].to_numpy(np.int64), pairs, others), rest
+
+
+def _uses(of: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of document and value, and how often each occurs."""
+    order = np.lexsort((what, of))
+    what, of = what[order], of[order]
+    new = np.flatnonzero(np.append(True, (what[1:] != what[:-1]) | (of[1:] != of[:-1])))
+    return of[new], what[new], np.diff(np.append(new, len(what)))
 
 
 def _score(model, words, end_count: int):
-    """Rows of documents, with the sums over frequent words, and rows (row_key, word, uses) of the other words."""
-    names = ["row_key", "id", "score", "n_tokens", "base", "known", "word", "uses"]
+    """Rows of documents (kind 0), with the sums over frequent words and contexts, and rows (row_key, key, uses) of the other words (1) and, with a symbol, contexts (2)."""
+    names = ["row_key", "id", "score", "n_tokens", "base", "known", "kind", "key", "symbol", "uses"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, value = words.value
         for b in batches:
             data, off = columns(b, 2)
             keys = b.column(0).to_numpy()
+
+            def rest(kind, keys, key, symbol, uses, id_type=b.column(1).type) -> pa.RecordBatch:
+                m = len(keys)
+                gone = [pa.nulls(m, t) for t in (id_type, pa.float64(), pa.int64(), pa.float64(), pa.int64())]
+                return pa.RecordBatch.from_arrays([pa.array(keys), *gone, pa.array(np.full(m, kind, np.int32)), pa.array(key), symbol, pa.array(uses)], names)
+
             for a, z in pieces(data, off):
                 part, at = data[off[a] : off[z]], off[a : z + 1] - off[a]
                 grams, starts = _grams(part, at)
-                sums = np.add.reduceat(model.value.log10(grams).astype(np.float64), starts)
+                got, other = model.value.log10(grams)
+                sums = np.add.reduceat(got.astype(np.float64), starts)
                 h, w = word_hashes(part, at)
                 n = np.diff(w)
                 place = np.minimum(np.searchsorted(hot, h), max(len(hot) - 1, 0))
@@ -175,15 +240,13 @@ def _score(model, words, end_count: int):
                 known = np.bincount(of[found], minlength=z - a) + (end_count > 0)
                 m = z - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a:z]), b.column(1).slice(a, m), pa.array(sums), pa.array(n + 1), pa.array(base), pa.array(known.astype(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
-                rest, of = h[~found], of[~found]
-                if len(rest):
-                    order = np.lexsort((rest, of))
-                    rest, of = rest[order], of[order]
-                    new = np.flatnonzero(np.append(True, (rest[1:] != rest[:-1]) | (of[1:] != of[:-1])))
-                    uses, m = np.diff(np.append(new, len(rest))), len(new)
-                    gone = [pa.nulls(m, t) for t in (b.column(1).type, pa.float64(), pa.int64(), pa.float64(), pa.int64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:z][of[new]]), *gone, pa.array(rest[new].view(np.int64)), pa.array(uses)], names)
+                    [pa.array(keys[a:z]), b.column(1).slice(a, m), pa.array(sums), pa.array(n + 1), pa.array(base), pa.array(known.astype(np.int64)), pa.array(np.zeros(m, np.int32)), *(pa.nulls(m, t) for t in (pa.int64(), pa.int32(), pa.int64()))], names)
+                if not found.all():
+                    row, what, uses = _uses(of[~found], h[~found])
+                    yield rest(1, keys[a:z][row], what.view(np.int64), pa.nulls(len(row), pa.int32()), uses)
+                if other.any():
+                    row, what, uses = _uses(np.searchsorted(starts, np.flatnonzero(other), side="right") - 1, grams[other])
+                    yield rest(2, keys[a:z][row], (what >> 8).astype(np.int64), pa.array((what & 255).astype(np.int32)), uses)
 
     return run
 
@@ -198,7 +261,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sc, kind = docs.sparkSession.sparkContext, docs.schema[id_col].dataType
     training = docs.where(~is_held_out(F.col(id_col), folds)).select(F.col(text_col))
     counted = shared_table(training.mapInArrow(_count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "ngram-counts")
-    model = sc.broadcast(train_model(counted.where("kind = 0").select("key", "n"), max_contexts))
+    model, contexts = train_model(counted.where("kind = 0").select("key", "n"), max_contexts)
+    model = sc.broadcast(model)
     vocabulary = counted.where("kind = 1")
     whole = counted.where("kind > 0").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("kind") == 2, F.col("n"))), F.lit(0)).alias("ends"), F.count("*").alias("v")).first()
     total, ends, distinct = whole["n"], whole["ends"], whole["v"]
@@ -206,19 +270,24 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     key = top["key"].to_numpy(np.int64).view(np.uint64)
     at = np.argsort(key)
     words = sc.broadcast((key[at], np.log10(top["n"].to_numpy(np.float64)[at] + 0.1)))
-    fields = [("row_key", T.LongType()), ("id", kind), ("score", T.DoubleType()), ("n_tokens", T.LongType()), ("base", T.DoubleType()), ("known", T.LongType()), ("word", T.LongType()), ("uses", T.LongType())]
+    fields = [
+        ("row_key", T.LongType()), ("id", kind), ("score", T.DoubleType()), ("n_tokens", T.LongType()), ("base", T.DoubleType()), ("known", T.LongType()),
+        ("kind", T.IntegerType()), ("key", T.LongType()), ("symbol", T.IntegerType()), ("uses", T.LongType())]
     rows = docs.select(F.monotonically_increasing_id().alias("row_key"), F.col(id_col), F.col(text_col)).mapInArrow(
         _score(model, words, ends), T.StructType([T.StructField(n, t) for n, t in fields]))
-    # rows of documents get keys of their own, so that they are dealt out evenly by the join for the other words
-    rows = rows.withColumn("key", F.coalesce("word", F.xxhash64("row_key")))
-    met = rows.join(vocabulary.select("key", F.col("n").alias("c")), "key", "left")
+    # rows of documents get keys of their own, so that they are dealt out evenly by the join for the other words and contexts
+    rows = rows.withColumn("key", F.coalesce("key", F.xxhash64("row_key")))
+    seen = vocabulary.select("kind", "key", F.col("n").alias("c"), F.lit(None).cast("array<float>").alias("row"))
+    seen = seen.unionByName(contexts.select(F.lit(2).alias("kind"), "key", F.lit(None).cast("long").alias("c"), "row"))
+    met = rows.join(seen, ["kind", "key"], "left")
     c = F.coalesce("c", F.lit(0))
-    other = F.col("word").isNotNull()
+    own, word = F.col("kind") == 0, F.col("kind") == 1
     got = met.groupBy("row_key").agg(
-        F.max(F.when(~other, F.struct("id", "score", "n_tokens"))).alias("d"),
-        F.sum(F.when(other, F.col("uses") * F.log10(c + 0.1)).otherwise(F.col("base"))).alias("base"),
-        F.sum(F.when(other, F.when(c > 0, F.col("uses")).otherwise(0)).otherwise(F.col("known"))).alias("n_known"))
+        F.max(F.when(own, F.struct("id", "score", "n_tokens"))).alias("d"),
+        F.sum(F.when(F.col("kind") == 2, F.col("uses") * F.get("row", F.col("symbol")).cast("double"))).alias("other"),
+        F.sum(F.when(word, F.col("uses") * F.log10(c + 0.1)).when(own, F.col("base"))).alias("base"),
+        F.sum(F.when(word, F.when(c > 0, F.col("uses")).otherwise(0)).when(own, F.col("known"))).alias("n_known"))
     spread = float(np.log10(total + 0.1 * (distinct + 1)))
     return got.select(
         F.col("d.id").alias("id"), is_held_out(F.col("d.id"), folds).alias("held_out"), F.col("d.n_tokens").alias("n_tokens"), "n_known", F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("d.n_tokens") * F.lit(spread)).alias("base_score"), F.col("d.score").alias("score"))
+        (F.col("base") - F.col("d.n_tokens") * F.lit(spread)).alias("base_score"), (F.col("d.score") + F.coalesce("other", F.lit(0.0))).alias("score"))
