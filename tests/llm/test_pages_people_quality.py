@@ -118,6 +118,29 @@ def test_collisions_are_drawn_again(spark):
     assert len(set(drawn)) == len(values)
 
 
+@pytest.mark.parametrize("used", [16, 19])
+def test_full_shapes_share_no_surrogate(spark, used):
+    values = surrogates.FEMALE[:used] + tuple(f"{a}{b}a" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "aeioubcdfgklm")
+    found = spark.createDataFrame([(1, f"name:{g}", v, 1) for g in ("female", "any") for v in values], "id long, kind string, value string, uses long")
+    for key in (b"key", b"other"):
+        odd = {(r["kind"], r["value"]): r["attempt"] for r in surrogates.assign(found, key).collect()}
+        drawn = {g: [surrogates.surrogate(f"name:{g}", v, key, odd.get((f"name:{g}", v), 0)) for v in values] for g in ("female", "any")}
+        assert drawn["female"] == drawn["any"] and len(set(drawn["any"])) == len(values)
+
+
+def test_surrogates_keep_their_shape():
+    r = random.Random(3)
+    some = {
+        "card": ["4" + "".join(r.choices("0123456789", k=12)) for _ in range(300)], "secret": ["".join(r.choices("0123456789abcdefg", k=8)) for _ in range(300)] + ["sk-" + "".join(r.choices("AB01", k=4)) for _ in range(200)] + ["a-1", "sk-", "zz-zz123"],
+        "name": [*surrogates.FEMALE, *surrogates.MALE, "Anna Li", "Bo Eva-Xu", *(f"{a}v{b}" for a in "ABCDEFG" for b in "abc")], "email": ["a.b1@q.io", "c.d2@r.io"], "phone": ["+49 123 4567", "+4912345678"], "ip": ["1.2.3.4", "0.0.0.0"], "ssn": ["123-45-6789"]}
+    for kind, values in some.items():
+        for attempt in range(3):
+            values = sorted(set(values))
+            drawn = [surrogates.surrogate(kind, v, b"k", attempt) for v in values]
+            assert len(set(drawn)) == len(values) and [surrogates.shape(kind, d) for d in drawn] == [surrogates.shape(kind, v) for v in values]
+    assert not set(surrogates.FEMALE) & set(surrogates.MALE)
+
+
 def labelled(n=400):
     r = random.Random(5)
     rows, labels = [], []

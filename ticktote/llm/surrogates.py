@@ -2,10 +2,11 @@
 
 An entity's variable characters are digits of a mixed-radix number: each position ranges over the characters of its
 class and script. A keyed permutation of all numbers of that shape gives the surrogate's characters, so the same entity
-always gets the same surrogate, and different entities of one shape never share one. Given names change within their
-gender's list by a keyed permutation as well. The whole corpus's entities are checked: a surrogate that two entities
-share, or that is itself an entity of the corpus, is drawn again under the next attempt, and such attempts are joined
-to their documents.
+always gets the same surrogate. Given names change within their gender's list by a keyed permutation as well. A
+surrogate has the shape of its entity, so under one attempt different entities never share one. The whole corpus's
+entities are checked: a surrogate that is itself an entity of the corpus is drawn again under the next attempt, and so
+is one that two entities share because their attempts differ. Such attempts are joined to their documents. A shape
+whose values are nearly all in use may leave no way out; then all its entities get one common attempt.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from ticktote.llm.common import free_name, shared_table
 
 ATTEMPTS = 6
+COMMON = 16
 TYPES = ("email", "phone", "card", "ip", "secret", "ssn", "name")
 
 # Common given names, for replacement within a gender.
@@ -89,6 +91,14 @@ def _shape(text: str, alphabets: list[str | None], key: bytes, tweak: str) -> st
     return "".join(reversed(out))
 
 
+def _within(text: str, alphabets: list[str | None], key: bytes, tweak: str, stays: Callable[[str], bool]) -> str:
+    """_shape again and again until stays holds, as it does for text: a permutation of the texts for which it holds."""
+    while True:
+        text = _shape(text, alphabets, key, tweak)
+        if stays(text):
+            return text
+
+
 def _classes(text: str) -> list[str | None]:
     return [_CLASS.get(c) for c in text]
 
@@ -102,15 +112,22 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _checked(text: str) -> bool:
+    """Whether the last digit of text is its check digit."""
+    body = "".join(c for c in text if c.isdigit())
+    return _luhn(body[:-1]) == int(body[-1])
+
+
 def _card(text: str, key: bytes, tweak: str) -> str:
     """Digits change but for the first; a valid check digit is valid again."""
-    digits = [i for i, c in enumerate(text) if c.isdigit()]
-    body = "".join(text[i] for i in digits)
-    valid = _luhn(body[:-1]) == int(body[-1])
+    digits, valid = [i for i, c in enumerate(text) if c.isdigit()], _checked(text)
     free = set(digits[1:-1] if valid else digits[1:])
     end = digits[-1] if valid else len(text)
-    out = _shape(text[:end], ["0123456789" if i in free else None for i in range(end)], key, f"{tweak}|{'check' if valid else 'plain'}")
-    return out + str(_luhn("".join(c for c in out if c.isdigit()))) if valid else out
+    alphabets = ["0123456789" if i in free else None for i in range(end)]
+    if not valid:
+        return _within(text, alphabets, key, f"{tweak}|plain", lambda t: not _checked(t))
+    out = _shape(text[:end], alphabets, key, f"{tweak}|check")
+    return out + str(_luhn("".join(c for c in out if c.isdigit())))
 
 
 def _name(text: str, gender: str, key: bytes, tweak: str) -> str:
@@ -121,10 +138,40 @@ def _name(text: str, gender: str, key: bytes, tweak: str) -> str:
         if own:
             parts[i] = own[permute(own.index(parts[i]), len(own), key, f"{tweak}|given")]
         else:
-            parts[i] = _shape(parts[i], [*_classes(parts[i])[:-1], None], key, tweak)
+            parts[i] = _within(parts[i], [*_classes(parts[i])[:-1], None], key, tweak, lambda t: t not in FEMALE and t not in MALE)
     return "".join(parts)
 
 
+def _is_hex(text: str) -> bool:
+    return re.fullmatch("[0-9a-f]+", text) is not None
+
+
+def shape(kind: str, text: str) -> str:
+    """What an entity and its surrogates have in common. Under one attempt the surrogates of a shape are a permutation of it."""
+    base = kind.partition(":")[0]
+
+    def form(t: str) -> str:
+        return "".join(chr(0xE000 + _ALPHABETS.index(_CLASS[c])) if c in _CLASS else c for c in t)
+
+    if base == "ip":
+        return base
+    if base == "card":
+        return f"{_checked(text)}|{text[0]}{form(text[1:])}"
+    if base == "name":
+        return "".join("\uE0F0" if w in FEMALE else "\uE0F1" if w in MALE else form(w[:-1]) + w[-1:] for w in re.split("([ -])", text))
+    if base == "secret" and (m := _PREFIX.match(text)):
+        rest = text[m.end():]
+        return m.group() + ("".join("\uE0F2" if c in _BASE36 else c for c in rest) if rest.isupper() else form(rest))
+    if base == "secret" and _is_hex(text):
+        return "\uE0F3" * len(text)
+    if base == "email":
+        host, dot, top = text.rpartition(".")
+        return form(host) + dot + top
+    if base == "phone" and (code := re.match(r"\+\d{1,3}(?=\D)", text)):
+        return code.group() + form(text[code.end():])
+    return form(text)
+
+
 def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of an entity; kind is one of TYPES, for names followed by a colon and a gender."""
     base, _, gender = kind.partition(":")
@@ -147,9 +194,11 @@ def surrogate(kind: str, text: str, key: bytes, attempt: int = 0) -> str:
         return _name(text, gender, key, tweak)
     if base == "secret" and (m := _PREFIX.match(text)):  # the prefix tells the kind of key, and stays
         rest = text[m.end():]
-        return m.group() + _shape(rest, [_BASE36 if rest.isupper() and c in _BASE36 else a for c, a in zip(rest, _classes(rest), strict=True)], key, tweak)
-    if base == "secret" and re.fullmatch("[0-9a-f]+", text):
+        return m.group() + _within(rest, [_BASE36 if rest.isupper() and c in _BASE36 else a for c, a in zip(rest, _classes(rest), strict=True)], key, tweak, lambda t: t.isupper() == rest.isupper())
+    if base == "secret" and _is_hex(text):
         return _shape(text, [_HEX] * len(text), key, tweak)
+    if base == "secret":
+        return _within(text, _classes(text), key, tweak, lambda t: not _is_hex(t) and not _PREFIX.match(t))
     return _shape(text, _classes(text), key, tweak)
 
 
@@ -189,31 +238,48 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def assign(found: DataFrame, key: bytes, attempts: int = ATTEMPTS) -> DataFrame:
     """Entities whose first surrogate did not stand: kind, value and attempt.
 
-    Each attempt is checked over all entities: of several with one surrogate only the least stays, and none may have a
-    surrogate that is an entity of the corpus. The last attempt stands even if it names another entity (all values of a
-    short shape may be in use), but never if two entities share it, as a permutation cannot do that within an attempt.
+    An entity is a value of a base type; a name after titles of different genders is one, with one surrogate. Each
+    attempt is checked over all entities: of several with one surrogate only the least stays, and none may have a
+    surrogate that is an entity of the corpus. After the last attempt a surrogate may name another entity (all values of a
+    short shape may be in use). Where two entities of a shape still share one, or one has itself, all entities of that
+    shape get one common attempt, under which they cannot share any: of COMMON ones, that with the fewest entities that
+    keep their value, and then with the fewest surrogates in use.
     """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([surrogate(k, v, key, a) for k, v, a in rows], pa.string())], ["kind", "value", "attempt", "surrogate"])
-
-    schema = "kind string, value string, attempt int, surrogate string"
-    everyone = shared_table(found.select("kind", "value").distinct().withColumn("attempt", F.lit(0)), "entities")
+            bases, values, tries = (b.column(i).to_pylist() for i in range(3))
+            drawn = [surrogate(k, v, key, a) for k, v, a in zip(bases, values, tries, strict=True)]
+            shapes = [shape(k, v) for k, v in zip(bases, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(drawn, pa.string()), pa.array(shapes, pa.string())], ["base", "value", "attempt", "surrogate", "shape"])
+
+    schema = "base string, value string, attempt int, surrogate string, shape string"
+    kinds = found.select("kind", F.split("kind", ":")[0].alias("base"), "value").distinct()
+    everyone = shared_table(kinds.select("base", "value").distinct().withColumn("attempt", F.lit(0)), "entities")
     real = everyone.select(F.col("value").alias("surrogate")).distinct()
     drawn = shared_table(everyone.mapInArrow(draw, schema), "drawn")
-    base = F.split("kind", ":")[0]
     for _ in range(attempts):
-        first = drawn.groupBy(base.alias("b"), "surrogate").agg(F.min(F.struct("attempt", "kind", "value")).alias("first"))
-        clash = drawn.withColumn("b", base).join(first, ["b", "surrogate"]).where(F.struct("attempt", "kind", "value") != F.col("first")).select("kind", "value", "attempt")
-        taken = drawn.join(real, "surrogate", "left_semi").select("kind", "value", "attempt")
+        first = drawn.groupBy("base", "surrogate").agg(F.min(F.struct("attempt", "value")).alias("first"))
+        clash = drawn.join(first, ["base", "surrogate"]).where(F.struct("attempt", "value") != F.col("first")).select("base", "value", "attempt")
+        taken = drawn.join(real, "surrogate", "left_semi").select("base", "value", "attempt")
         again = shared_table(clash.union(taken).distinct(), "again")
         if again.isEmpty():
             break
-        stay = drawn.join(again.select("kind", "value"), ["kind", "value"], "left_anti")
+        stay = drawn.join(again.select("base", "value"), ["base", "value"], "left_anti")
         drawn = shared_table(stay.unionByName(again.withColumn("attempt", F.col("attempt") + 1).mapInArrow(draw, schema)), "drawn")
-    return drawn.where("attempt > 0").select("kind", "value", "attempt")
+    else:
+        left = drawn.groupBy("base", "shape", "surrogate").agg(F.count("*").alias("n"), F.max((F.col("value") == F.col("surrogate")).cast("int")).alias("own"))
+        full = shared_table(left.where("n > 1 or own = 1").select("base", "shape").distinct(), "full")
+        if not full.isEmpty():
+            tries = F.explode(F.sequence(F.lit(attempts + 1), F.lit(attempts + COMMON)))
+            common = drawn.join(full, ["base", "shape"], "left_semi").select("base", "value", tries.alias("attempt"))
+            common = shared_table(common.mapInArrow(draw, schema), "common")
+            used = real.withColumn("used", F.lit(1))
+            best = common.join(used, "surrogate", "left").groupBy("base", "shape", "attempt").agg(
+                F.sum((F.col("value") == F.col("surrogate")).cast("int")).alias("own"), F.count("used").alias("used"))
+            best = best.groupBy("base", "shape").agg(F.min(F.struct("own", "used", "attempt"))["attempt"].alias("attempt"))
+            drawn = drawn.join(full, ["base", "shape"], "left_anti").unionByName(common.join(best, ["base", "shape", "attempt"], "left_semi"))
+    return kinds.join(drawn.where("attempt > 0"), ["base", "value"]).select("kind", "value", "attempt")
 
 
 def _replace(key: bytes, text_at: int, more_at: int, kinds_name: str):
