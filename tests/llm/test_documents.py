@@ -92,6 +92,16 @@ def test_decontaminate_documents_and_spans(spark):
     assert decontaminate.contamination(frame(spark, []), bench).count() == 0
 
 
+def test_decontaminate_keeps_clean_rows_of_a_shared_id(spark):
+    docs = frame(spark, [(None, "clean text"), (None, "so, two words; and more."), (5, "two words"), (5, "all clean"), (5, None), (6, "clean")])
+    bench = spark.createDataFrame([(1, "two words")], "item_id long, text string")
+    left = decontaminate.decontaminate(docs, bench)
+    assert left.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in left.collect()) == Counter([(None, "clean text"), (5, "all clean"), (5, None), (6, "clean")])
+    cut = decontaminate.decontaminate(docs, bench, remove="spans").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in cut) == Counter([(None, "clean text"), (None, "so; and more."), (5, ""), (5, "all clean"), (5, None), (6, "clean")])
+
+
 def components_twin(rows):
     sets = {i: shingle_set(t) for i, t in rows}
     links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]

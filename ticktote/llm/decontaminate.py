@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticktote.llm.common import ascii_lower
+from ticktote.llm.common import ascii_lower, free_name, shared_table
 
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -103,11 +103,13 @@ def remove_spans(text: Column, spans: Column) -> Column:
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, remove: str = "documents", **kw) -> DataFrame:
     """docs without contaminated documents (remove="documents") or with the hit words cut out (remove="spans").
 
-    Rows that share an id are removed together; spans need unique ids.
+    Rows are judged one by one, whatever their ids: docs are written once with a key of each row to the shared folder.
     """
-    hit = contamination(docs, bench, id_col, text_col, **kw).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
-    on = docs[id_col].eqNullSafe(hit["__id"])
+    key = free_name(docs, "row_key")
+    kept = shared_table(docs.withColumn(key, F.monotonically_increasing_id()), "keyed-documents")
+    hit = contamination(kept, bench, key, text_col, **kw).where("n_hit > 0").select(F.col("id").alias("__id"), F.col("spans").alias("__spans"))
+    on = kept[key] == hit["__id"]
     if remove == "documents":
-        return docs.join(hit, on, "left_anti")
-    cut = F.when(hit["__spans"].isNull(), docs[text_col]).otherwise(remove_spans(docs[text_col], hit["__spans"]))
-    return docs.join(hit, on, "left").select(*[cut.alias(c) if c == text_col else docs[c] for c in docs.columns])
+        return kept.join(hit, on, "left_anti").drop(key)
+    cut = F.when(hit["__spans"].isNull(), kept[text_col]).otherwise(remove_spans(kept[text_col], hit["__spans"]))
+    return kept.join(hit, on, "left").select(*[cut.alias(c) if c == text_col else kept[c] for c in docs.columns])
