@@ -138,6 +138,13 @@ def test_near_components_edges(spark):
     assert {r["doc_id"] for r in ngram_join.keep_one(frame(spark, awkward())).collect()} >= {1, 2, 3, 4, None}
 
 
+def test_near_components_of_texts_that_share_an_id(spark):
+    one, two = prose(70, 90).split(), prose(71, 90).split()
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (10, " ".join([*one[:-1], "end"])), (11, " ".join([*two[:-1], "end"])), (12, prose(72, 90))]
+    got = Counter((r["id"], r["component_id"]) for r in ngram_join.near_components(frame(spark, rows)).collect())
+    assert got == Counter([(1, 1), (1, 1), (10, 1), (11, 1), (12, 12)])
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -273,6 +273,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             node = [_node(t, seed)[0] for _, t in shingle_sets(x, 0)]
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), x.column(0)], ["node", "text"])
 
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (node, text) whose text has the set of the node."""
+        for b in batches:
+            node = b.column(0).to_pylist()
+            yield b.take(pa.array([i for i, t in shingle_sets(b, 1) if _node(t, seed)[0] == node[i]], pa.int64()))
+
     post = text.select("text").mapInArrow(lambda b: _postings(order, percent)(keyed(b)), "token long, salt int, node long, n int, often int")
     dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", F.expr("n - often"), "node")
     shared = shared_table(dealt.mapInArrow(_shared, "token long, salt int, node long, n int, often int, lead long"), "shared-prefixes")
@@ -293,8 +299,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wanted = left.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(members, "node").select("node", "first_id")
         if wanted.count() <= broadcast_ids:
             wanted = F.broadcast(wanted)
-        # one text stands for equal sets
-        one = text.join(wanted, text["id"] == wanted["first_id"]).groupBy("node").agg(F.min("text").alias("text"))
+        # one text stands for equal sets; rows with other texts may have its id
+        fetched = text.join(wanted, text["id"] == wanted["first_id"]).select("node", "text")
+        one = fetched.mapInArrow(own, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
         texts = shared_table(one, "candidate-texts")
         full = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
         full = full.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
