@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktote.llm import chat, decontaminate, exact_dedup, ngram_join, packing, ppm, quality, suffix_dedup, surrogates, warc
+from ticktote.llm import chat, decontaminate, exact_dedup, line_dedup, ngram_join, packing, ppm, quality, suffix_dedup, surrogates, warc
 from ticktote.llm.common import shared_path
 from ticktote.llm.oracles import ORACLES  # noqa: F401
 
@@ -92,3 +92,9 @@ def op10_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
         return F.size(F.filter("entity_kinds", lambda k: F.split(k, ":")[0] == kind)).cast("long").alias(f"n_{kind}")
 
     return got.select("doc_id", F.size("entity_kinds").cast("long").alias("n_entities"), *[of(kind) for kind in surrogates.TYPES], "text")
+
+
+@query
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    got = line_dedup.drop_lines(table(spark, sf, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
