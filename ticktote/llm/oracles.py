@@ -76,6 +76,24 @@ SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone,
 FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
 """
 
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS m, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM r GROUP BY ALL),
+b AS (SELECT run, m, list_transform(range(0, CAST(length(x) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)) AS b FROM d),
+h AS (SELECT run, m, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]))) AS h FROM b CROSS JOIN t),
+w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, m FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+x AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS m FROM x a JOIN x b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM x a JOIN v ON v.word = a.cut UNION SELECT v.word, a.word, a.n FROM x a JOIN v ON v.word = a.cut),
+s AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS top, max(m) AS top_n FROM p GROUP BY word),
+f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * n THEN top END AS form, CASE WHEN top_n >= 10 * n THEN top_n END AS form_n FROM v LEFT JOIN s USING (word)),
+c AS (SELECT word, form AS root, 1 AS step FROM f WHERE form IS NOT NULL UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(root, step) AS root FROM c GROUP BY word)
+SELECT f.word, n, n_near, form, form_n, coalesce(e.root, f.word) AS root FROM f LEFT JOIN e USING (word)
+"""
+
 ORACLES["op13_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents),
 x AS (SELECT doc_id, unnest(a) AS line, unnest(range(0, len(a))) AS pos FROM l),

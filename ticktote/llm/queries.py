@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticktote.llm import chat, decontaminate, exact_dedup, line_dedup, ngram_join, packing, ppm, quality, suffix_dedup, surrogates, warc
+from ticktote.llm import chat, decontaminate, exact_dedup, line_dedup, ngram_join, packing, ppm, quality, spelling, suffix_dedup, surrogates, warc, whitening
 from ticktote.llm.common import shared_path
 from ticktote.llm.oracles import ORACLES  # noqa: F401
 
@@ -94,6 +94,16 @@ def op10_pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("doc_id", F.size("entity_kinds").cast("long").alias("n_entities"), *[of(kind) for kind in surrogates.TYPES], "text")
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf, "documents"), typo_step=spelling.TYPO_STEP)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whitened_rows(table(spark, sf, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     got = line_dedup.drop_lines(table(spark, sf, "documents"))
