@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, clip
+from ticktote.operators.scan import chunked, prefix_scan
 from ticktote.operators import indicators as ind
 from ticktote.operators import sequence as sq
 from ticktote.operators.asof import asof, asof_nearest
@@ -74,9 +75,9 @@ def test_rsi_edges(spark):
 def test_numbering_running_and_halo(spark):
     p = frame(300)
     d = sdf(spark, p)
-    num = sq.number_rows(d, ["symbol"], ["ts"], F.date_trunc("day", "ts"))
+    num = sq.number_rows(d, ["symbol"], ["ts"])
     assert (col(num, "pos") == p.groupby("symbol").cumcount().to_numpy()).all()
-    run = sq.running(d.withColumn("x", F.col("close") - 100), ["symbol"], ["ts"], F.date_trunc("day", "ts"), {"cum": "x"}, {"peak": "cum"})
+    run = sq.running(d.withColumn("x", F.col("close") - 100), ["symbol"], ["ts"], {"cum": "x"}, {"peak": "cum"})
     cum = p.assign(x=p.close - 100).groupby("symbol")["x"].cumsum()
     np.testing.assert_allclose(col(run, "cum"), cum, rtol=1e-9)
     np.testing.assert_allclose(col(run, "peak"), cum.groupby(p.symbol).cummax(), rtol=1e-9)
@@ -89,10 +90,37 @@ def test_numbering_running_and_halo(spark):
         sq.with_halo(num, ["symbol"], "pos", 8, back=9)
 
 
+@pytest.mark.parametrize("chunks", [1, 3, 64])
+def test_prefix_scan_of_one_hot_key(spark, chunks):
+    """One key holds most rows, all in one month and many on one day; small keys, a NULL key and NULL values beside it."""
+    rng = np.random.default_rng(8)
+    n = 3000
+    p = pd.DataFrame({"k": np.where(rng.random(n) < 0.9, "hot", rng.choice(list("abc"), n)), "d": pd.Timestamp("2024-05-03") + pd.to_timedelta(rng.integers(0, 4, n), "D"), "i": rng.permutation(n), "x": rng.integers(-5, 6, n).astype(float)})
+    d = spark.createDataFrame(p).withColumn("x", F.when(F.col("i") % 50 != 0, F.col("x"))).withColumn("k", F.when(F.col("i") % 97 != 0, F.col("k")))
+    got = prefix_scan(d, ["k"], ["d", "i"], sums={"s": "x"}, peaks={"top": "s", "at_gain": ("s", F.col("x") > 0)}, maxima={"m": "x"}, position="pos", size="n", chunks=chunks)
+    got = got.where("k is not null").toPandas().sort_values(["k", "d", "i"]).reset_index(drop=True)
+    g = got.groupby("k")
+    s = got.x.fillna(0).groupby(got.k).cumsum()
+    np.testing.assert_allclose(got.s, s, atol=1e-9)
+    np.testing.assert_allclose(got.top, s.groupby(got.k).cummax(), atol=1e-9)
+    gains = s.where(got.x > 0).groupby(got.k).cummax().groupby(got.k).ffill()
+    np.testing.assert_allclose(got.at_gain, gains, atol=1e-9)
+    np.testing.assert_allclose(got.m, got.x.groupby(got.k).cummax().groupby(got.k).ffill(), atol=1e-9)
+    assert (got.pos == g.cumcount()).all() and (got.n == g.k.transform("size")).all()
+    empty = prefix_scan(d.limit(0), ["k"], ["d", "i"], sums={"s": "x"}, position="pos", chunks=chunks)
+    assert empty.count() == 0
+
+
+def test_chunks_split_a_hot_key_evenly(spark):
+    d = spark.range(20_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).otherwise(99).alias("k"), F.lit("2024-01-01").cast("date").alias("day"), "id")
+    sizes = chunked(d, ["k"], ["day", "id"], chunks=16).where("k = 99").groupBy("_chunk").count().toPandas()["count"]
+    assert len(sizes) >= 12 and sizes.max() < 3 * 20_000 / 16
+
+
 def test_losing_streak_ignores_zero(spark):
     pnl = [-1, -1, 0, -1, 2, -1, 0, 0, -1, -1, 1, 0, -1]
     d = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(pnl)], "k string, t int, pnl double")
-    got = sq.losing_streak(d, ["k"], ["t"], F.expr("t div 3"), "pnl").orderBy("t").toPandas().streak.tolist()
+    got = sq.losing_streak(d, ["k"], ["t"], "pnl", chunks=5).orderBy("t").toPandas().streak.tolist()
     want, s = [], 0
     for v in pnl:
         s = s + 1 if v < 0 else 0 if v > 0 else s

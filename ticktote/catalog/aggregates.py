@@ -302,7 +302,7 @@ def _(t):
     from ticktote.operators.sequence import number_rows
 
     o = t.raw("orders").select(C("o_orderkey").alias("race_id"), "o_orderdate")
-    d = number_rows(o.withColumn("_g", F.lit(0)), ["_g"], ["o_orderdate", "race_id"], F.trunc("o_orderdate", "month"))
+    d = number_rows(o, [], ["o_orderdate", "race_id"], store=False)
     return d.select("race_id", C("pos").cast("bigint").alias("pos"))
 
 

@@ -19,7 +19,7 @@ NUM = f"num AS (SELECT symbol, ts, row_number() {W} - 1 AS pos, count(*) OVER (P
 
 
 def numbered(t):
-    return lb.positions(t.bars().select("symbol", "ts"), ["symbol"], ["ts"], F.trunc("ts", "month"))
+    return lb.positions(t.bars().select("symbol", "ts"), ["symbol"], ["ts"])
 
 
 def roles(d, *keys):
@@ -79,7 +79,7 @@ def _(t):
  k AS (SELECT fold FROM x WHERE role = 'train' GROUP BY 1 HAVING count(*) >= 100) SELECT """ + _ROLE + """ FROM x JOIN k USING (fold) WHERE role IS NOT NULL GROUP BY fold, role""")
 def _(t):
     o = t.raw("orders").select("o_orderkey", "o_orderdate")
-    d = lb.positions(o, [], ["o_orderdate", "o_orderkey"], F.trunc("o_orderdate", "month"))
+    d = lb.positions(o, [], ["o_orderdate", "o_orderkey"], store=False)
     return roles(lb.date_gap_folds(d, "o_orderdate"))
 
 
@@ -103,7 +103,7 @@ def _(t):
  x AS (SELECT *, CASE WHEN pos < c THEN 'train' WHEN pos < least(c + sz, n) THEN 'test' END AS role FROM f) SELECT """ + _ROLE + """ FROM x WHERE role IS NOT NULL GROUP BY fold, role""")
 def _(t):
     o = t.raw("orders").select("o_orderkey", "o_orderdate")
-    d = lb.positions(o, [], ["o_orderdate", "o_orderkey"], F.trunc("o_orderdate", "month"))
+    d = lb.positions(o, [], ["o_orderdate", "o_orderkey"], store=False)
     return roles(lb.race_folds(d))
 
 

@@ -14,10 +14,6 @@ from ticktote.operators import metrics as me
 C = F.col
 
 
-def month():
-    return F.trunc("race_date", "month")
-
-
 EQ = BETS + """, eq0 AS (SELECT *, sum(ret) OVER (PARTITION BY strategy ORDER BY race_date, race_id) AS cum FROM bets),
  eq AS (SELECT *, 1 + cum AS equity, max(1 + cum) OVER (PARTITION BY strategy ORDER BY race_date, race_id) AS peak FROM eq0)"""
 GP, GL = "sum(CASE WHEN ret > 0 THEN ret END)", "nullif(-sum(CASE WHEN ret < 0 THEN ret END), 0)"
@@ -30,14 +26,14 @@ M1 = f"""count(*) AS n_trades, {r(f'{GP} / {GL}')} AS pf, {r('max((peak - equity
 def _(t):
     loss = -(1.0 + (C("race_id") % 7) / 100.0) * 0.02
     b = t.bets().withColumn("ret", F.when(C("hit") == 1, C("ret")).otherwise(loss))
-    d = me.trade_metrics(b, ["strategy"], "ret", ["race_date", "race_id"], month())
+    d = me.trade_metrics(b, ["strategy"], "ret", ["race_date", "race_id"])
     return rounded(d.withColumn("sortino", rnd("sortino", 4)), skip=["sortino"])
 
 
 @query("m2_universal_metrics", f"""WITH {EQ} SELECT strategy, {r('(sum(payout) - count(*) * 100) / (count(*) * 100) * 100', 4)} AS roi, {r('max((peak - equity) / peak) * 100', 4)} AS max_drawdown, {r('avg(ret) / stddev_samp(ret) * sqrt(252.0 * 5)', 4)} AS sharpe,
  {r(f'{GP} / {GL}', 4)} AS profit_factor, {r('avg(CAST(ret > 0 AS INT))', 4)} AS win_rate, count(*) AS n_trades, {r('avg(ret)')} AS mean_return, {r('stddev_samp(ret)')} AS std_return FROM eq GROUP BY 1""")
 def _(t):
-    d = me.universal_metrics(t.bets(), ["strategy"], "ret", ["race_date", "race_id"], month(), trades_per_period=5, stake=F.lit(100.0), payout=C("payout"))
+    d = me.universal_metrics(t.bets(), ["strategy"], "ret", ["race_date", "race_id"], trades_per_period=5, stake=F.lit(100.0), payout=C("payout"))
     return rounded(d.drop("sortino", "mean_return", "std_return"), 4).join(rounded(d.select("strategy", "mean_return", "std_return")), "strategy")
 
 
@@ -47,7 +43,7 @@ def _(t):
  {r('avg(s) / stddev_pop(s) * sqrt(count(*) / max(bars) * 8760 / 4)')} AS sharpe, {r('sum(CASE WHEN s > 0 THEN s END) / -sum(CASE WHEN s < 0 THEN s END)')} AS profit_factor, {r('max((pk - curve) / pk)')} AS max_drawdown, count(*) AS trade_count, {r('avg(CAST(s > 0 AS INT))')} AS win_rate, {r('arg_max(curve, ts) - 1')} AS total_return FROM d JOIN n ON n.symbol = d.symbol GROUP BY 1""")
 def _(t):
     d = t.trades().withColumns({"p": F.when(C("side") > 0, C("conf")).otherwise(1 - C("conf")), "y": flag(C("fwd") > 0), "move": C("fwd") * 0.01})
-    return rounded(me.strategy_metrics(d, "symbol", "p", "y", "move", "ts", F.trunc("ts", "month"), threshold=0.6, cost=0.0005, horizon=4))
+    return rounded(me.strategy_metrics(d, "symbol", "p", "y", "move", "ts", threshold=0.6, cost=0.0005, horizon=4))
 
 
 _KF = "greatest(100, least(floor(500 * greatest(greatest(0, (prob * odds - 1) / nullif(odds - 1, 0)) * 0.25, 0.1) * 4 / 100) * 100, 1500))"
@@ -57,7 +53,7 @@ _KF = "greatest(100, least(floor(500 * greatest(greatest(0, (prob * odds - 1) /
  d AS (SELECT *, max(cum) OVER (PARTITION BY strategy ORDER BY race_date, race_id) AS pk FROM c) SELECT strategy, count(*) AS n_bets, CAST(sum(hit) AS BIGINT) AS n_wins, {r('sum(CASE WHEN pnl > 0 THEN pnl END) / -sum(CASE WHEN pnl < 0 THEN pnl END)')} AS pf, {r('1 + sum(pnl) / sum(stake)')} AS recovery,
  {r('avg(pnl) / stddev_pop(pnl) * sqrt(count(*))')} AS sharpe, {r('max(pk - cum)', 3)} AS mdd, {r('sum(stake)', 3)} AS total_bet FROM d GROUP BY 1""")
 def _(t):
-    d = me.bet_metrics(t.bets().where("odds > 1"), ["strategy"], ["race_date", "race_id"], month())
+    d = me.bet_metrics(t.bets().where("odds > 1"), ["strategy"], ["race_date", "race_id"])
     return rounded(d.withColumns({"mdd": rnd("mdd", 3), "total_bet": rnd("total_bet", 3)}), skip=["mdd", "total_bet"])
 
 
@@ -66,7 +62,7 @@ def _(t):
  {r('(sum(pnl) / max(bars)) / sqrt(count(*) / max(bars) - pow(sum(pnl) / max(bars), 2)) * sqrt(252)')} AS spread_sharpe FROM d JOIN n ON n.symbol = d.symbol GROUP BY 1""")
 def _(t):
     d = t.trades().withColumn("pnl", F.when((C("side") > 0) == (C("fwd") > 0), 1.0).otherwise(-1.0))
-    return rounded(me.unit_score_metrics(d, "symbol", "pnl", (C("conf") >= 0.7) & (C("agreement") >= 4), "ts", F.trunc("ts", "month")))
+    return rounded(me.unit_score_metrics(d, "symbol", "pnl", (C("conf") >= 0.7) & (C("agreement") >= 4), "ts"))
 
 
 @query("m6_trade_exit_metrics", f"""WITH {BARS}, {_TR}, a AS (SELECT symbol, ts, high, low, close, CASE WHEN close < open THEN 1 ELSE -1 END AS side, {roll('avg', 'tr', 14)} AS atr, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM tr),
@@ -95,14 +91,14 @@ _PER = """per AS (SELECT max(race_date) AS d FROM bets), pt AS (SELECT 'day' AS
  FROM x LEFT JOIN k ON k.period = x.period GROUP BY 1""")
 def _(t):
     b = t.bets().withColumns({"action": F.when(C("ev") < 0.8, "SKIP").when(C("car_no") % 2 == 0, "BUY").otherwise("SELL"), "reason": F.when(C("ev") < 0.7, "low value").otherwise("thin edge")})
-    return rounded(me.period_report(b, "race_date", ["race_date", "race_id"], "ret", month()))
+    return rounded(me.period_report(b, "race_date", ["race_date", "race_id"], "ret"))
 
 
 @query("m8_ticket_signal_metrics", f"""WITH {BETS}, c AS (SELECT *, payout - 100 AS pnl, sum(payout - 100) OVER (PARTITION BY strategy ORDER BY race_date, race_id) AS cum FROM bets WHERE ev >= 0.9), d AS (SELECT *, max(cum) OVER (PARTITION BY strategy ORDER BY race_date, race_id) AS pk FROM c)
  SELECT strategy, count(*) AS n, {r('sum(payout) / (count(*) * 100) * 100', 4)} AS roi_pct, {r('sum(CASE WHEN pnl > 0 THEN pnl END) / -sum(CASE WHEN pnl < 0 THEN pnl END)')} AS pf, {r('max(pk - cum)', 3)} AS max_drawdown, {r('avg(pnl) / stddev_samp(pnl)')} AS sharpe FROM d GROUP BY 1""")
 def _(t):
     sig = t.bets().where("ev >= 0.9").withColumn("pnl", C("payout") - 100)
-    d = me.money_curve(sig, ["strategy"], "pnl", ["race_date", "race_id"], month())
+    d = me.money_curve(sig, ["strategy"], "pnl", ["race_date", "race_id"])
     x = C("pnl")
     return d.groupBy("strategy").agg(
         F.count(F.lit(1)).alias("n"), rnd(F.sum("payout") / (F.count(F.lit(1)) * 100) * 100, 4).alias("roi_pct"), rnd(me.pf(x)).alias("pf"), rnd(F.max(C("peak") - C("cum")), 3).alias("max_drawdown"), rnd(F.avg(x) / F.stddev_samp(x)).alias("sharpe"))
@@ -120,7 +116,7 @@ _UM = EQ + f""", um AS (SELECT strategy, (sum(payout) - count(*) * 100) / (count
 
 @query("m10_readiness_gate", f"""WITH {_UM} SELECT strategy, market, CAST(count(*) FILTER ((v - lim) * sgn < 0) = 0 AS INT) AS ready, coalesce(string_agg(metric, ',' ORDER BY metric) FILTER ((v - lim) * sgn < 0), '') AS failed FROM lm JOIN {_CRIT} USING (metric) GROUP BY 1, 2""")
 def _(t):
-    d = me.universal_metrics(t.bets(), ["strategy"], "ret", ["race_date", "race_id"], month(), 5, stake=F.lit(100.0), payout=C("payout"))
+    d = me.universal_metrics(t.bets(), ["strategy"], "ret", ["race_date", "race_id"], 5, stake=F.lit(100.0), payout=C("payout"))
     return me.readiness(d, ["strategy"])
 
 
@@ -196,7 +192,7 @@ def _(t):
     from ticktote.operators.asof import asof
     from ticktote.operators.sequence import running
 
-    p = running(t.trades().where("conf > 0.9"), ["symbol"], ["ts"], F.trunc("ts", "month"), {"realised": "ret"})
+    p = running(t.trades().where("conf > 0.9"), ["symbol"], ["ts"], {"realised": "ret"})
     p = p.select("symbol", "ts", "side", C("close").alias("entry"), "realised")
     d = asof(t.bars().select("symbol", "ts", "close"), p, by=["symbol"])
     open_ = F.coalesce(C("side") * (sdiv("close", "entry") - 1) * 0.01, F.lit(0.0))
@@ -209,7 +205,7 @@ def _(t):
     tr = t.trades()
     alt = F.when(C("conf") >= 0.75, C("ret")).otherwise(-C("ret"))
     v = tr.select("symbol", "ts", F.explode(F.array(F.struct(F.lit("A").alias("variant"), C("ret")), F.struct(F.lit("B").alias("variant"), alt.alias("ret")))).alias("e")).select("symbol", "ts", "e.*")
-    m = me.trade_metrics(v, ["symbol", "variant"], "ret", ["ts"], F.trunc("ts", "month"))
+    m = me.trade_metrics(v, ["symbol", "variant"], "ret", ["ts"])
     return rounded(m.select("symbol", "variant", (C("win_rate") / 100).alias("accuracy"), "pf", "mdd", "sharpe"))
 
 
@@ -241,7 +237,7 @@ def _(t):
 
 @query("w13_running_equity", f"WITH {EQ} SELECT race_id, strategy, {r('equity')} AS equity, {r('peak')} AS peak, {r('(peak - equity) / peak')} AS drawdown FROM eq")
 def _(t):
-    d = me.equity_curve(t.bets(), ["strategy"], "ret", ["race_date", "race_id"], month())
+    d = me.equity_curve(t.bets(), ["strategy"], "ret", ["race_date", "race_id"])
     return rounded(d.select("race_id", "strategy", "equity", "peak", "drawdown"))
 
 

@@ -53,9 +53,9 @@ def _(t):
  WINDOW w AS (PARTITION BY racer_id ORDER BY race_date, race_id, car_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v AS (PARTITION BY racer_id, venue_id ORDER BY race_date, race_id, car_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def _(t):
     e = t.race_entries(True).select("race_id", "car_no", "racer_id", "venue_id", "race_date", "finish")
-    o, m = ["race_date", "race_id", "car_no"], F.trunc("race_date", "month")
-    d = hi.past_rate(e, ["racer_id"], o, m, C("finish") == 1, 0.08, "racer_win_rate")
-    d = hi.past_rate(d, ["racer_id", "venue_id"], o, m, C("finish") <= 3, 0.25, "venue_place_rate")
+    o = ["race_date", "race_id", "car_no"]
+    d = hi.past_rate(e, ["racer_id"], o, C("finish") == 1, 0.08, "racer_win_rate")
+    d = hi.past_rate(d, ["racer_id", "venue_id"], o, C("finish") <= 3, 0.25, "venue_place_rate")
     return rounded(d.select("race_id", "car_no", "racer_win_rate", "venue_place_rate"))
 
 
@@ -91,7 +91,7 @@ def _(t):
     from ticktote.operators.sequence import number_rows, with_halo
 
     e = t.race_entries().select("race_id", "car_no", "racer_id", "race_date", "finish", "style")
-    e = number_rows(e, ["racer_id"], ["race_date", "race_id", "car_no"], F.trunc("race_date", "month"))
+    e = number_rows(e, ["racer_id"], ["race_date", "race_id", "car_no"])
     e = with_halo(e, ["racer_id"], "pos", 1024, back=3)
     q = Seq(["racer_id", "chunk_id"], "pos")
     gap = F.datediff("race_date", q.lag("race_date"))

@@ -20,10 +20,6 @@ from ticktote.operators.sequence import losing_streak, running
 C = F.col
 
 
-def month():
-    return F.trunc("race_date", "month")
-
-
 Q = Seq("symbol", "ts")
 W = "OVER (PARTITION BY symbol ORDER BY ts)"
 ORD = ["race_date", "race_id"]
@@ -44,7 +40,7 @@ _EQ = BETS + f""", c0 AS (SELECT *, 1 + sum(ret) {WB} AS equity FROM bets), c1 A
 
 @query("g2_drawdown_adjusted_kelly", f"""WITH {_EQ}, k AS (SELECT *, {_kelly(cap='(100000 * equity)')} AS base, (peak - equity) / peak AS dd FROM c1) SELECT race_id, {r('dd')} AS drawdown, CAST(round_even(base * CASE WHEN dd >= 0.4 THEN 0 WHEN dd >= 0.3 THEN 0.25 WHEN dd >= 0.2 THEN 0.5 WHEN dd >= 0.1 THEN 0.75 ELSE 1 END / 100, 0) * 100 AS DOUBLE) AS stake FROM k""")
 def _(t):
-    d = me.equity_curve(t.bets(), ["strategy"], "ret", ORD, month())
+    d = me.equity_curve(t.bets(), ["strategy"], "ret", ORD)
     cap, pk = 100000 * C("equity"), 100000 * C("peak")
     return d.select("race_id", rnd("drawdown").alias("drawdown"), bt.kelly_after_drawdown("prob", "odds", cap, pk, unit=100.0).alias("stake"))
 
@@ -105,7 +101,7 @@ _PNL = BETS + ", pb AS (SELECT *, CASE WHEN race_id % 11 = 0 THEN 0.0 ELSE ret E
  SELECT race_id, CAST(streak AS INT) AS streak, CAST(CASE WHEN streak >= 7 THEN 0 WHEN streak >= 5 THEN 0.25 WHEN streak >= 3 THEN 0.5 ELSE 1 END AS DOUBLE) AS size_mult FROM s""")
 def _(t):
     b = t.bets().withColumn("pnl", F.when(C("race_id") % 11 == 0, 0.0).otherwise(C("ret")))
-    d = losing_streak(b, ["strategy"], ORD, month(), "pnl")
+    d = losing_streak(b, ["strategy"], ORD, "pnl")
     return d.select("race_id", "streak", bt.steps(C("streak"), bt.STREAK_STEPS).alias("size_mult"))
 
 
@@ -114,7 +110,7 @@ def _(t):
 def _(t):
     from ticktote.plans.gates import loss_limits
 
-    d = me.equity_curve(t.bets(), ["strategy"], "ret", ORD, month())
+    d = me.equity_curve(t.bets(), ["strategy"], "ret", ORD)
     return loss_limits(d, "strategy", "race_date", "race_id", "ret", daily=0.05 + 1e-9, weekly=0.10 + 1e-9, drawdown=0.95).select("race_id", "verdict")
 
 

@@ -225,7 +225,7 @@ def _(t):
     """Account journal appended to a partitioned sink and read back."""
     from ticktote.operators.metrics import equity_curve
 
-    d = equity_curve(t.bets(), ["strategy"], "ret", ["race_date", "race_id"], F.trunc("race_date", "month"))
+    d = equity_curve(t.bets(), ["strategy"], "ret", ["race_date", "race_id"])
     j = d.select("race_id", "race_date", F.year("race_date").alias("year"), "strategy", F.when(C("drawdown") >= 0.95, "BLOCKED").when(C("hit") == 1, "WIN").otherwise("LOSS").alias("event"), "equity", "drawdown")
     path = fs.scratch_dir(t.spark, "journal")
     fs.write_table(j, path, ["year"], "append")

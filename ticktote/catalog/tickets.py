@@ -274,7 +274,7 @@ def _(t):
     from ticktote.operators.sequence import running
 
     x = t.bets().where("ev >= 1.0").groupBy("race_date").agg(F.count(F.lit(1)).alias("n"), F.sum(C("payout") - 100).alias("profit"))
-    d = running(x.withColumn("_g", F.lit(0)), ["_g"], ["race_date"], F.trunc("race_date", "year"), {"cumulative": "profit"})
+    d = running(x, [], ["race_date"], {"cumulative": "profit"})
     return d.select("race_date", "n", rnd("profit", 3).alias("profit"), rnd("cumulative", 3).alias("cumulative"))
 
 
@@ -283,5 +283,5 @@ def _(t):
     from ticktote.operators.sequence import running
 
     d = value_bets(t.race_entries(True), 0.8).withColumn("pnl", F.when(C("finish") == 1, 500 * C("odds") - 500).otherwise(-500.0))
-    d = running(d, ["venue_id"], ["race_date", "race_id", "car_no"], F.trunc("race_date", "year"), {"cumulative": "pnl"})
+    d = running(d, ["venue_id"], ["race_date", "race_id", "car_no"], {"cumulative": "pnl"})
     return d.select("race_id", "car_no", rnd("pnl", 3).alias("pnl"), rnd("cumulative", 3).alias("cumulative"))

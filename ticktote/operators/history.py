@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ticktote.operators.sequence import key_join
+from ticktote.operators.sequence import key_join, running
 
 
 def day_number(c: str | Column) -> Column:
@@ -79,12 +79,10 @@ def fill_with_mean(df: DataFrame, cols: list[str]) -> DataFrame:
     return d.withColumns({c: F.coalesce(F.col(c), F.col("_m_" + c)) for c in cols}).select(*df.columns)
 
 
-def past_rate(df: DataFrame, keys: list[str], order: list[str], period: Column, hit: Column, default: float, out: str) -> DataFrame:
-    """Hit rate over all earlier rows of a participant in row order (two-level scan, own row excluded)."""
-    from ticktote.operators.sequence import running
-
+def past_rate(df: DataFrame, keys: list[str], order: list[str], hit: Column, default: float, out: str) -> DataFrame:
+    """Hit rate over all earlier rows of a participant in row order, own row excluded."""
     d = df.withColumns({"_h": hit.cast("double"), "_one": F.lit(1.0)})
-    d = running(d, keys, order, period, {"_hs": "_h", "_ns": "_one"})
+    d = running(d, keys, order, {"_hs": "_h", "_ns": "_one"})
     rate = F.try_divide(F.col("_hs") - F.col("_h"), F.col("_ns") - 1)
     return d.withColumn(out, F.coalesce(rate, F.lit(default))).drop("_h", "_one", "_hs", "_ns")
 

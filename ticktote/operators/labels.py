@@ -1,7 +1,7 @@
 """Labels, time-ordered splits and training sets.
 
-Splits are columns on the rows (fold, role): row positions come from a two-level
-count, folds are exploded from a short literal sequence, nothing is collected.
+Splits are columns on the rows (fold, role): row positions come from a prefix
+scan, folds are exploded from a short literal sequence, nothing is collected.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, sdiv
 from ticktote.operators.combos import pairs
-from ticktote.operators.sequence import key_join, number_rows
+from ticktote.operators.sequence import number_rows
 
 C = F.col
 
@@ -24,11 +24,9 @@ def dead_zone(ret: Column, cost: float) -> Column:
     return F.when(ret > cost, 1).when(ret < -cost, 0)
 
 
-def positions(df: DataFrame, keys: list[str], order: list, period: Column) -> DataFrame:
-    """Adds pos (from 0) and n_rows of the key."""
-    d = number_rows(df, keys, order, period)
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-    return key_join(d, n, keys) if keys else d.join(F.broadcast(n))
+def positions(df: DataFrame, keys: list[str], order: list, **scan) -> DataFrame:
+    """Adds pos (from 0) and n_rows of the key, in one scan."""
+    return number_rows(df, keys, order, size="n_rows", **scan)
 
 
 def _folds(d: DataFrame, count: int | Column) -> DataFrame:

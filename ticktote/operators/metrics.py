@@ -1,8 +1,8 @@
 """Performance metrics of trades and bets.
 
 Sums, means and deviations are plain aggregates with map-side combine; the
-equity curve (running total, running peak) is a two-level scan over calendar
-periods, so one strategy with most of the trades is still spread out.
+equity curve (running total, running peak) is a prefix scan over ranges of the
+order, so one strategy with most of the trades is still spread out.
 """
 
 from __future__ import annotations
@@ -19,17 +19,17 @@ def pf(x: Column) -> Column:
     return F.try_divide(F.sum(F.when(x > 0, x)), F.abs(F.sum(F.when(x < 0, x))))
 
 
-def equity_curve(df: DataFrame, keys: list[str], ret: str, order: list, period: Column, start: float = 1.0) -> DataFrame:
+def equity_curve(df: DataFrame, keys: list[str], ret: str, order: list, start: float = 1.0) -> DataFrame:
     """Adds equity (start + running total), peak and drawdown (share of the peak)."""
-    d = running(df, keys, order, period, {"_cum": ret}, {"_pk": "_cum"})
+    d = running(df, keys, order, {"_cum": ret}, {"_pk": "_cum"})
     d = d.withColumns({"equity": F.col("_cum") + start, "peak": F.col("_pk") + start})
     return d.withColumn("drawdown", sdiv(F.col("peak") - F.col("equity"), F.col("peak"))).drop("_cum", "_pk")
 
 
-def trade_metrics(df: DataFrame, keys: list[str], ret: str, order: list, period: Column, fee: float = 0.0003, annual: float = 24 * 365) -> DataFrame:
+def trade_metrics(df: DataFrame, keys: list[str], ret: str, order: list, fee: float = 0.0003, annual: float = 24 * 365) -> DataFrame:
     """Trade metrics per key; ratios without a denominator are NULL."""
     x = F.col(ret)
-    d = equity_curve(df.where(x.isNotNull()), keys, ret, order, period)
+    d = equity_curve(df.where(x.isNotNull()), keys, ret, order)
     win, loss = F.when(x > 0, x), F.when(x < 0, x)
     sd, nsd = F.stddev_samp(x), F.stddev_samp(loss)
     ann = float(annual) ** 0.5
@@ -103,18 +103,18 @@ def best_cell(grid: DataFrame, keys: list[str], score: str, ok: Column, params:
     return g.select(*keys, *[best[p].alias(p) for p in params], best[score].alias(score))
 
 
-def money_curve(df: DataFrame, keys: list[str], pnl: str, order: list, period: Column) -> DataFrame:
+def money_curve(df: DataFrame, keys: list[str], pnl: str, order: list) -> DataFrame:
     """Adds cum (running money) and peak (its running maximum)."""
-    return running(df, keys, order, period, {"cum": pnl}, {"peak": "cum"})
+    return running(df, keys, order, {"cum": pnl}, {"peak": "cum"})
 
 
-def universal_metrics(df: DataFrame, keys: list[str], ret: str, order: list, period: Column, trades_per_period: float, periods_per_year: float = 252.0, stake: Column | None = None, payout: Column | None = None) -> DataFrame:
+def universal_metrics(df: DataFrame, keys: list[str], ret: str, order: list, trades_per_period: float, periods_per_year: float = 252.0, stake: Column | None = None, payout: Column | None = None) -> DataFrame:
     """ROI, drawdown, annualised Sharpe and Sortino, profit factor, win rate, mean and deviation."""
     x = F.col(ret)
     ann = (periods_per_year * trades_per_period) ** 0.5
     sd, nsd = F.stddev_samp(x), F.stddev_samp(F.when(x < 0, x))
     roi = F.try_divide(F.sum(payout) - F.sum(stake), F.sum(stake)) * 100 if stake is not None else F.avg(x) * 100
-    return equity_curve(df, keys, ret, order, period).groupBy(*keys).agg(
+    return equity_curve(df, keys, ret, order).groupBy(*keys).agg(
         roi.alias("roi"),
         (F.max("drawdown") * 100).alias("max_drawdown"),
         (F.try_divide(F.avg(x), sd) * ann).alias("sharpe"),
@@ -127,13 +127,13 @@ def universal_metrics(df: DataFrame, keys: list[str], ret: str, order: list, per
     )
 
 
-def strategy_metrics(df: DataFrame, key: str, prob: str, label: str, move: str, ts: str, period: Column, threshold: float, cost: float, horizon: int) -> DataFrame:
+def strategy_metrics(df: DataFrame, key: str, prob: str, label: str, move: str, ts: str, threshold: float, cost: float, horizon: int) -> DataFrame:
     """Classification and trading metrics of rows whose probability leaves the neutral band; compounded curve."""
     p = F.col(prob)
     bars = df.groupBy(key).agg(F.count(F.lit(1)).alias("_bars"))
     d = df.where((p > threshold) | (p < 1 - threshold))
     d = d.withColumns({"_yh": (p > 0.5).cast("int"), "_s": F.when(p > 0.5, 1).otherwise(-1) * F.col(move) - cost})
-    d = running(d.withColumn("_ls", F.log1p("_s")), [key], [ts], period, {"_lc": "_ls"}, {"_lp": "_lc"})
+    d = running(d.withColumn("_ls", F.log1p("_s")), [key], [ts], {"_lc": "_ls"}, {"_lp": "_lc"})
     # the curve is monotone in its logarithm, so drawdown needs only the two running logs
     d = d.withColumn("_dd", 1 - F.exp(F.col("_lc") - F.col("_lp"))).join(bars, key)
     s, y, yh = F.col("_s"), F.col(label), F.col("_yh")
@@ -161,12 +161,12 @@ def kelly_stake(prob: str, odds: str, base: float = 500.0) -> Column:
     return F.greatest(F.lit(100.0), F.least(raw, F.lit(base * 3)))
 
 
-def bet_metrics(df: DataFrame, keys: list[str], order: list, period: Column) -> DataFrame:
+def bet_metrics(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     d = df.withColumn("stake", kelly_stake("prob", "odds"))
     d = d.withColumn("pnl", F.when(F.col("hit") == 1, F.col("stake") * F.col("odds") - F.col("stake")).otherwise(-F.col("stake")))
     x = F.col("pnl")
     n = F.count(F.lit(1))
-    return money_curve(d, keys, "pnl", order, period).groupBy(*keys).agg(
+    return money_curve(d, keys, "pnl", order).groupBy(*keys).agg(
         n.alias("n_bets"),
         F.sum("hit").alias("n_wins"),
         pf(x).alias("pf"),
@@ -177,10 +177,10 @@ def bet_metrics(df: DataFrame, keys: list[str], order: list, period: Column) ->
     )
 
 
-def unit_score_metrics(df: DataFrame, key: str, pnl: str, chosen: Column, ts: str, period: Column) -> DataFrame:
+def unit_score_metrics(df: DataFrame, key: str, pnl: str, chosen: Column, ts: str) -> DataFrame:
     """Metrics of +1/-1 scores; the Sharpe spreads the trades over all bars with zeros between them."""
     bars = df.groupBy(key).agg(F.count(F.lit(1)).alias("_bars"))
-    d = money_curve(df.where(chosen), [key], pnl, [ts], period).join(bars, key)
+    d = money_curve(df.where(chosen), [key], pnl, [ts]).join(bars, key)
     x, b = F.col(pnl), F.max("_bars")
     mean, sq = F.sum(x) / b, F.sum(x * x) / b
     return d.groupBy(key).agg(
@@ -204,7 +204,7 @@ def exit_metrics(df: DataFrame, keys: list[str], ret: str, reason: str) -> DataF
     )
 
 
-def period_report(df: DataFrame, date: str, order: list, ret: str, period: Column) -> DataFrame:
+def period_report(df: DataFrame, date: str, order: list, ret: str) -> DataFrame:
     """Day, week, month and whole-history report. A row is copied to the periods that hold it (at most four)."""
     top = df.agg(F.max(date).alias("_top"))
     d = df.join(F.broadcast(top))
@@ -216,7 +216,7 @@ def period_report(df: DataFrame, date: str, order: list, ret: str, period: Colum
         *[F.count(F.when(F.col("action") == a, 1)).alias(n) for a, n in (("BUY", "buys"), ("SELL", "sells"), ("SKIP", "skips"))],
         F.count(F.when(~act & (F.col("reason") == "low value"), 1)).alias("skip_low_value"),
     )
-    c = money_curve(d.where(act), ["period"], ret, order, period)
+    c = money_curve(d.where(act), ["period"], ret, order)
     m = c.groupBy("period").agg(
         F.max(F.greatest("peak", F.lit(0.0)) - F.col("cum")).alias("max_drawdown"),
         F.sum(x).alias("cumulative"),

@@ -1,18 +1,14 @@
-"""Ordered scans that do not put a whole key into one task.
-
-A key may hold a large share of all rows, so ordered operators work in two
-levels: rows are ordered inside (key, period), one summary row per period is
-carried over the periods of a key, and the carry is joined back. Only the
-summaries of a key (one row per calendar period) ever meet in one task.
-"""
+"""Ordered work on keys that may hold a large share of all rows: positions, running totals, streaks, chunks with margins, runs."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ticktote.operators.scan import prefix_scan
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     r = right.select(*[F.col(c).alias("_r_" + c) if c in keys else F.col(c) for c in right.columns])
@@ -28,74 +24,27 @@ def key_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys, "left")
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list, period: Column, name: str = "pos") -> DataFrame:
-    """0-based position of each row in its key's order, without one task per key."""
-    d = df.withColumn("_p", period)
-    size = d.groupBy(*keys, "_p").agg(F.count(F.lit(1)).alias("_n"))
-    wk = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    start = size.select(*keys, "_p", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_s"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_p").orderBy(*order)) - 1
-    d = d.withColumn("_l", local)
-    d = key_join(d, start, [*keys, "_p"]).withColumn(name, F.coalesce(F.col("_s"), F.lit(0)) + F.col("_l"))
-    return d.select(*df.columns, name)
-
-
-def running(
-    df: DataFrame,
-    keys: list[str],
-    order: list,
-    period: Column,
-    sums: dict[str, str | Column],
-    peaks: dict[str, str] | None = None,
-) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], name: str = "pos", size: str | None = None, **scan) -> DataFrame:
+    """0-based position of each row in its key's order and, if named, the number of rows of the key."""
+    return prefix_scan(df, keys, order, position=name, size=size, **scan)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str | Column], peaks: dict[str, str] | None = None, **scan) -> DataFrame:
     """Running totals and, for totals named in `peaks`, their running maximum.
 
     sums: output name -> value; peaks: output name -> name of a running total.
     """
-    peaks = peaks or {}
-    cols = {k: (F.col(v) if isinstance(v, str) else v) for k, v in sums.items()}
-    d = df.withColumn("_p", period)
-    w = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumns({"_s_" + k: F.coalesce(F.sum(c).over(w), F.lit(0.0)) for k, c in cols.items()})
-    d = d.withColumns({"_m_" + k: F.max("_s_" + s).over(w) for k, s in peaks.items()})
-    summ = d.groupBy(*keys, "_p").agg(
-        *[F.sum(c).alias("_t_" + k) for k, c in cols.items()],
-        *[F.max("_s_" + s).alias("_x_" + k) for k, s in peaks.items()],
-    )
-    wk = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.withColumns({"_c_" + k: F.coalesce(F.sum("_t_" + k).over(wk), F.lit(0.0)) for k in cols})
-    carry = carry.withColumns({"_a_" + k: F.col("_x_" + k) + F.col("_c_" + s) for k, s in peaks.items()})
-    carry = carry.withColumns({"_b_" + k: F.max("_a_" + k).over(wk) for k in peaks})
-    carry = carry.select(*keys, "_p", *["_c_" + k for k in cols], *["_b_" + k for k in peaks])
-    out = key_join(d, carry, [*keys, "_p"]).fillna(0.0, subset=["_c_" + k for k in cols])
-    out = out.withColumns({k: F.col("_c_" + k) + F.col("_s_" + k) for k in cols})
-    out = out.withColumns(
-        {k: F.greatest(F.col("_b_" + k), F.col("_m_" + k) + F.col("_c_" + s)) for k, s in peaks.items()}
-    )
-    return out.select(*df.columns, *cols, *peaks)
-
-
-def running_max(df: DataFrame, keys: list[str], order: list, period: Column, cols: dict[str, str | Column]) -> DataFrame:
-    """Running maximum of columns, NULLs ignored; same two levels as `running`."""
-    cs = {k: (F.col(v) if isinstance(v, str) else v) for k, v in cols.items()}
-    d = df.withColumn("_p", period)
-    w = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summ = d.groupBy(*keys, "_p").agg(*[F.max(c).alias("_t_" + k) for k, c in cs.items()])
-    wk = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    carry = summ.select(*keys, "_p", *[F.max("_t_" + k).over(wk).alias("_c_" + k) for k in cs])
-    d = d.withColumns({"_m_" + k: F.max(c).over(w) for k, c in cs.items()})
-    out = key_join(d, carry, [*keys, "_p"])
-    return out.select(*df.columns, *[F.greatest("_m_" + k, "_c_" + k).alias(k) for k in cs])
+    return prefix_scan(df, keys, order, sums=sums, peaks=peaks, **scan)
 
 
-def losing_streak(df: DataFrame, keys: list[str], order: list, period: Column, pnl: str, out: str = "streak") -> DataFrame:
+def losing_streak(df: DataFrame, keys: list[str], order: list[str], pnl: str, out: str = "streak", **scan) -> DataFrame:
     """Losses since the last win; a zero result keeps the streak.
 
     The running loss count minus its value at the last win, which is the running
     maximum over winning rows because the count never falls.
     """
-    d = running(df, keys, order, period, {"_losses": (F.col(pnl) < 0).cast("double")})
-    d = running_max(d, keys, order, period, {"_at_win": F.when(F.col(pnl) > 0, F.col("_losses"))})
+    lost = (F.col(pnl) < 0).cast("double")
+    d = prefix_scan(df, keys, order, sums={"_losses": lost}, peaks={"_at_win": ("_losses", F.col(pnl) > 0)}, **scan)
     streak = F.col("_losses") - F.coalesce(F.col("_at_win"), F.lit(0.0))
     return d.withColumn(out, streak.cast("int")).drop("_losses", "_at_win")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ticktote.functions.core import Seq, code_map, first_reason, flag
 from ticktote.operators.events import blackout
 from ticktote.operators.indicators import rolling_pct_rank
+from ticktote.operators.scan import prefix_scan
 
 C = F.col
 # Fixed values: (confidence threshold, target multiple, skip) by regime.
@@ -21,11 +22,11 @@ def trailing_stop(df: DataFrame, trade: list[str], ts: str, price: str, atr: str
 
 def loss_limits(df: DataFrame, key: str, date: str, tie: str, pnl: str, daily: float, weekly: float, drawdown: float) -> DataFrame:
     """Verdict from the losses before the row today and this week and from the drawdown column."""
-    day = Window.partitionBy(key, date).orderBy(tie).rowsBetween(Window.unboundedPreceding, -1)
-    week = Window.partitionBy(key, F.date_trunc("week", date)).orderBy(date, tie).rowsBetween(Window.unboundedPreceding, -1)
-    d = df.withColumns({"_d": F.coalesce(F.sum(pnl).over(day), F.lit(0.0)), "_w": F.coalesce(F.sum(pnl).over(week), F.lit(0.0))})
-    v = first_reason([("drawdown", C("drawdown") >= drawdown), ("daily loss", C("_d") <= -daily), ("weekly loss", C("_w") <= -weekly)])
-    return d.withColumn("verdict", v).drop("_d", "_w")
+    d = prefix_scan(df, [key, date], [tie], sums={"_d": pnl})
+    d = prefix_scan(d.withColumn("_wk", F.date_trunc("week", date)), [key, "_wk"], [date, tie], sums={"_w": pnl})
+    own = F.coalesce(C(pnl), F.lit(0.0))
+    v = first_reason([("drawdown", C("drawdown") >= drawdown), ("daily loss", C("_d") - own <= -daily), ("weekly loss", C("_w") - own <= -weekly)])
+    return d.withColumn("verdict", v).drop("_d", "_w", "_wk")
 
 
 def correlation_guard(trades: DataFrame, table: list[tuple[str, str, float]], limit: float) -> DataFrame:
@@ -87,10 +88,9 @@ def wait_condition(df: DataFrame, q: Seq, train_share: float, vol_mult: float =
 
 def budget(df: DataFrame, key: str, date: str, tie: str, stake: str, per_day: float, per_month: float) -> DataFrame:
     """Allowed while the running stake of the day and of the month is within its cap (prefix rule)."""
-    day = Window.partitionBy(key, date).orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-    month = Window.partitionBy(key, F.trunc(date, "month")).orderBy(date, tie).rowsBetween(Window.unboundedPreceding, 0)
-    ok = (F.sum(stake).over(day) <= per_day) & (F.sum(stake).over(month) <= per_month)
-    return df.withColumn("allowed", flag(ok))
+    d = prefix_scan(df, [key, date], [tie], sums={"_day": stake})
+    d = prefix_scan(d.withColumn("_mo", F.trunc(date, "month")), [key, "_mo"], [date, tie], sums={"_month": stake})
+    return d.withColumn("allowed", flag((C("_day") <= per_day) & (C("_month") <= per_month))).drop("_day", "_month", "_mo")
 
 
 def trend_filter(df: DataFrame, sma: str, threshold: float, extra: float) -> DataFrame:
@@ -100,8 +100,7 @@ def trend_filter(df: DataFrame, sma: str, threshold: float, extra: float) -> Dat
 
 def daily_pause(df: DataFrame, key: str, date: str, tie: str, pnl: str, max_losses: int, max_loss: float) -> DataFrame:
     """Paused for the rest of the day after max_losses straight losses or a day loss beyond the limit."""
-    w = Window.partitionBy(key, date).orderBy(tie).rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumns({"_ls": F.sum(flag(C(pnl) < 0)).over(w), "_day": F.sum(pnl).over(w)})
-    d = d.withColumn("streak", (C("_ls") - F.coalesce(F.max(F.when(C(pnl) >= 0, C("_ls"))).over(w), F.lit(0))).cast("int"))
+    d = prefix_scan(df, [key, date], [tie], sums={"_ls": flag(C(pnl) < 0), "_day": pnl}, peaks={"_base": ("_ls", C(pnl) >= 0)})
+    d = d.withColumn("streak", (C("_ls") - F.coalesce("_base", F.lit(0.0))).cast("int"))
     trip = flag((C("streak") >= max_losses) | (C("_day") < -max_loss))
-    return d.withColumn("paused", F.max(trip).over(w)).drop("_ls", "_day")
+    return prefix_scan(d, [key, date], [tie], maxima={"paused": trip}).drop("_ls", "_day", "_base")

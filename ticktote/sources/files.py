@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticktote.operators.sequence import key_join
+from ticktote.sources.storage import scratch_dir, stored_table  # noqa: F401
 
 BAR_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("ts", "close", "high", "low", "open", "volume")])
 EVENT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "ts", "impact")])
@@ -163,27 +164,6 @@ def position_rows(raw: DataFrame, code: str, name: str, codes: list[str], name_p
     return d.groupBy(code, date).agg(F.max_by(F.struct(*vals), version).alias("_v")).select(code, date, *[F.col("_v")[c].alias(c) for c in vals])
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared checkpoint folder.
-
-    Where none is set, a local master gets a temporary folder, which goes when Python ends; any other master is an
-    error, as executors and driver would not see each other's files.
-    """
-    import atexit
-    import shutil
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base:
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix=f"{name}-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder
-
-
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append", fmt: str = "parquet") -> None:
     w = df.write.mode(mode).format(fmt)
     (w.partitionBy(*partition_by) if partition_by else w).save(path)
