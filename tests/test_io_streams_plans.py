@@ -102,12 +102,12 @@ def split_files(spark, tables, folder, n=4, seed=None):
     return ev
 
 
-def ledger(ev, until):
-    """Balance, streak and verdict of every trade before `until`, key by key in time order."""
+def ledger(ev):
+    """Balance, streak and verdict of every trade, key by key in time order."""
     from ticktote.streaming.stateful import RiskLedger
 
     out = []
-    for key, p in ev[ev.ts < until].sort_values(["ts", "event_id"]).groupby("event_type"):
+    for key, p in ev.sort_values(["ts", "event_id"]).groupby("event_type"):
         p = p.assign(value=p.value - 50)
         out.append(RiskLedger().step((key,), p, RiskLedger().initial()))
     return pd.concat(out).sort_values("event_id").reset_index(drop=True)
@@ -120,17 +120,17 @@ def run_ledger(spark, folder, **kw):
     s = so.stream_session(spark, 4)
     s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # several chunks for a key
     ticks = so.tick_stream(s, str(folder), "*.parquet").withColumn("value", C("value") - 50)
-    return so.run_to_end(st.process(ticks, "event_type", st.RiskLedger, **kw), "t").toPandas().sort_values("event_id").reset_index(drop=True)
+    return so.run_closed(ticks, lambda d: st.process(d, "event_type", st.RiskLedger, **kw), "t").toPandas().sort_values("event_id").reset_index(drop=True)
 
 
 def test_stream_state_equals_batch(spark, tables, tmp_path):
     ev = split_files(spark, tables, tmp_path / "in")
-    pd.testing.assert_frame_equal(run_ledger(spark, tmp_path / "in"), ledger(ev, ev.ts.max().floor("ms") - pd.Timedelta("10 minutes")), check_dtype=False)
+    pd.testing.assert_frame_equal(run_ledger(spark, tmp_path / "in"), ledger(ev), check_dtype=False)
 
 
 def test_shuffled_rows_of_a_batch_leave_in_order(spark, tables, tmp_path):
     ev = split_files(spark, tables, tmp_path / "in", n=1, seed=3)
-    pd.testing.assert_frame_equal(run_ledger(spark, tmp_path / "in"), ledger(ev, ev.ts.max().floor("ms") - pd.Timedelta("10 minutes")), check_dtype=False)
+    pd.testing.assert_frame_equal(run_ledger(spark, tmp_path / "in"), ledger(ev), check_dtype=False)
 
 
 def test_shuffled_files_within_lateness(spark, tmp_path):
@@ -144,20 +144,43 @@ def test_shuffled_files_within_lateness(spark, tmp_path):
         d = spark.createDataFrame(part[["event_id", "ts", "user_id", "event_type", "value", "props"]])
         d.withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = run_ledger(spark, tmp_path / "in", late="4 hours")
-    pd.testing.assert_frame_equal(got, ledger(ev, ev.ts.max() - pd.Timedelta("4 hours")), check_dtype=False)
+    pd.testing.assert_frame_equal(got, ledger(ev), check_dtype=False)
 
 
-def test_idle_state_goes(spark, tmp_path):
+@pytest.mark.parametrize("layout", [[[0], [1], [2], [3], [4], [5], [6]], [[0, 1, 2, 3, 4, 5, 6]], [[0, 1], [2, 3, 4], [5, 6]], [[0, 1, 2, 3], [4, 5], [6]]])
+def test_idle_state_goes(spark, tmp_path, layout):
+    """A key starts anew after a long silence, however its rows are dealt to batches."""
     from ticktote.streaming.stateful import RiskLedger
 
     days = [0, 0, 40, 41, 80, 81, 120]
     keys = ["a", "b", "b", "b", "b", "a", "c"]
-    for i, (d, k) in enumerate(zip(days, keys)):
-        row = spark.createDataFrame([(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(days=d)).to_pydatetime(), 1, k, 60.0, "{}")], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
-        row.withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for part in layout:
+        rows = [(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(days=days[i])).to_pydatetime(), 1, keys[i], 60.0, "{}") for i in part]
+        d = spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+        d.withColumn("ts", C("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     got = run_ledger(spark, tmp_path / "in", idle_ms=45 * 24 * 3600 * 1000).set_index("event_id").balance.to_dict()
     start = RiskLedger.start
-    assert got == {0: start + 10, 1: start + 10, 2: start + 20, 3: start + 30, 4: start + 40, 5: start + 10}
+    assert got == {0: start + 10, 1: start + 10, 2: start + 20, 3: start + 30, 4: start + 40, 5: start + 10, 6: start + 10}
+
+
+def test_preclose_surge(spark, tmp_path):
+    """A late snapshot within the lateness counts, one after it does not, and a race without one side has no history."""
+    from ticktote.streaming import sources as so
+    from ticktote.streaming import windows as wi
+
+    at = lambda h, m=0: (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=h, minutes=m)).to_pydatetime()
+    batches = [
+        [(1, 1, at(11, 30), at(12), 2.0), (1, 1, at(11, 45), at(12), 2.5), (1, 1, at(11, 59), at(12), 2.6), (1, 2, at(11, 59), at(12), 4.0), (1, 3, at(11, 50), at(12), 4.0), (2, 1, at(12, 30), at(13), 10.0), (3, 1, at(11), at(13), 0.0)],
+        [(1, 1, at(12), at(12), 3.25), (2, 1, at(12, 59), at(13), 10.5), (3, 1, at(13), at(13), 5.0), (4, 1, at(14), at(15), 5.0), (4, 1, at(15), at(15), 5.6), (9, 9, at(15), at(20), 1.0)],
+        [(9, 9, at(20), at(20), 1.0), (5, 1, at(18, 30), at(19), 1.0)],
+        [(1, 1, at(12), at(12), 99.0), (5, 1, at(18, 55), at(19), 1.3)]]
+    schema = "race_id long, car_no int, ts timestamp, close timestamp, odds double"
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = so.stream_session(spark, 2)
+    stream = s.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {(r["race_id"], r["car_no"]): (None if r["change"] is None else round(r["change"], 6), r["verdict"]) for r in so.run_closed(stream, wi.preclose_surge, "p", ts="close").collect()}
+    assert got == {(1, 1): (0.3, "cancel"), (1, 2): (None, "no history"), (1, 3): (None, "no history"), (2, 1): (0.05, "minor"), (3, 1): (None, "no history"), (4, 1): (0.12, "half"), (5, 1): (0.3, "cancel"), (9, 9): (0.0, "normal")}
 
 
 def test_streams_leave_the_session_alone(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ticktote.catalog.common_sql import CALENDAR, r
+from ticktote.catalog.common_sql import CALENDAR, SNAPS, r
 from ticktote.catalog.registry import query
 from ticktote.functions.core import rnd, rounded
 from ticktote.sources import files as fs
@@ -27,6 +27,11 @@ def run_to_end(t, df, name):
     return so.run_to_end(df, name, into=t.spark)
 
 
+def keyed(t, value, processor, name):
+    """All rows of the closed tick stream through a keyed processor."""
+    return so.run_closed(ticks(t).withColumn("value", value), lambda d: st.process(d, "event_type", processor), name, into=t.spark)
+
+
 def ntz(d, *cols):
     return d.withColumns({c: C(c).cast("timestamp_ntz") for c in cols})
 
@@ -78,17 +83,27 @@ def _(t):
     return run_to_end(t, d, "outcomes").select("user_id", "p_id", "r_id")
 
 
-#: rows that the watermark has passed at the end of the stream, in milliseconds
-_SEEN = "(SELECT * FROM events WHERE epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM events))"
 _W = "PARTITION BY event_type ORDER BY ts, event_id"
 
 
-@query("q7_stream_surge_alerts", f"WITH x AS (SELECT event_type AS key, event_id, lag(value) OVER ({_W}) AS b, value FROM {_SEEN}), y AS (SELECT key, event_id, CASE WHEN b > 0 THEN value / b - 1 END AS c FROM x) SELECT key, event_id, {r('c')} AS change, CASE WHEN c IS NULL THEN 'no history' WHEN c >= 0.2 THEN 'cancel' WHEN c >= 0.1 THEN 'half' WHEN c >= 0.05 THEN 'minor' ELSE 'normal' END AS verdict FROM y")
+@query("q7_stream_surge_alerts", f"WITH x AS (SELECT event_type AS key, event_id, lag(value) OVER ({_W}) AS b, value FROM events), y AS (SELECT key, event_id, CASE WHEN b > 0 THEN value / b - 1 END AS c FROM x) SELECT key, event_id, {r('c')} AS change, CASE WHEN c IS NULL THEN 'no history' WHEN c >= 0.2 THEN 'cancel' WHEN c >= 0.1 THEN 'half' WHEN c >= 0.05 THEN 'minor' ELSE 'normal' END AS verdict FROM y")
+def _(t):
+    return rounded(keyed(t, C("value"), st.SurgeAlert, "surge"))
+
+
+@query("q7_stream_preclose_surge", f"""WITH {SNAPS}, x AS (SELECT race_id, car_no, max(odds) FILTER (minutes = 15) AS b, max(odds) FILTER (minutes = 0) AS z FROM snaps GROUP BY 1, 2),
+ y AS (SELECT race_id, car_no, CASE WHEN b > 0 THEN z / b - 1 END AS c FROM x) SELECT race_id, car_no, {r('c')} AS change, CASE WHEN c IS NULL THEN 'no history' WHEN c >= 0.2 THEN 'cancel' WHEN c >= 0.1 THEN 'half' WHEN c >= 0.05 THEN 'minor' ELSE 'normal' END AS verdict FROM y""")
 def _(t):
-    return rounded(run_to_end(t, st.process(ticks(t), "event_type", st.SurgeAlert), "surge"))
+    """Snapshots of all races as a stream of files, in the order in which they arrive."""
+    close = F.to_timestamp(C("race_date").cast("date")) + F.make_dt_interval(mins=(C("race_id") % 600).cast("int"))
+    d = t.odds_snapshots().join(t.races().select("race_id", "race_date"), "race_id").withColumn("close", close)
+    d = d.select("race_id", "car_no", (C("close") - F.make_dt_interval(mins=C("minutes"))).alias("ts"), "close", "odds")
+    s = so.stream_session(t.spark, PARTITIONS)
+    snaps = so.stream_of(s, fs.stored_table(d, "snapshots"))
+    return rounded(so.run_closed(snaps, wi.preclose_surge, "preclose", into=t.spark, ts="close"))
 
 
-@query("q8_stream_risk_ledger", f"""WITH x AS (SELECT event_type AS key, event_id, ts, value - 50 AS p FROM {_SEEN}),
+@query("q8_stream_risk_ledger", f"""WITH x AS (SELECT event_type AS key, event_id, ts, value - 50 AS p FROM events),
  y AS (SELECT *, 10000 + sum(p) OVER w AS b, sum(p) OVER (PARTITION BY key, date_trunc('day', ts) ORDER BY ts, event_id) AS d, sum(p) OVER (PARTITION BY key, date_trunc('week', ts) ORDER BY ts, event_id) AS wk,
   count(*) FILTER (p > 0) OVER w AS wins FROM x WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
  z AS (SELECT *, greatest(max(b) OVER w, 10000) AS peak, count(*) FILTER (p < 0) OVER (PARTITION BY key, wins ORDER BY ts, event_id) AS streak FROM y WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
@@ -96,25 +111,25 @@ def _(t):
  h AS (SELECT *, max(CASE WHEN dd >= 0.15 THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, event_id) AS halted FROM v)
  SELECT key, event_id, {r('b', 4)} AS balance, {r('dd')} AS drawdown, CAST(streak AS INT) AS streak, CASE WHEN halted = 1 THEN 'halted' WHEN -least(0, d) / 10000 >= 0.05 THEN 'daily loss' WHEN -least(0, wk) / 10000 >= 0.10 THEN 'weekly loss' WHEN streak >= 7 THEN 'streak' ELSE 'OK' END AS verdict FROM h""")
 def _(t):
-    d = run_to_end(t, st.process(ticks(t).withColumn("value", C("value") - 50), "event_type", st.RiskLedger), "risk")
+    d = keyed(t, C("value") - 50, st.RiskLedger, "risk")
     return d.select("key", "event_id", rnd("balance", 4).alias("balance"), rnd("drawdown").alias("drawdown"), "streak", "verdict")
 
 
-@query("q9_stream_pair_position", f"""WITH RECURSIVE n AS (SELECT event_type AS key, event_id, (value - 50) / 25 AS z, row_number() OVER ({_W}) AS rn FROM {_SEEN}), f AS (
+@query("q9_stream_pair_position", f"""WITH RECURSIVE n AS (SELECT event_type AS key, event_id, (value - 50) / 25 AS z, row_number() OVER ({_W}) AS rn FROM events), f AS (
  SELECT key, event_id, z, rn, CASE WHEN abs(z) >= 4 THEN 0 WHEN z >= 2 THEN 2 WHEN z <= -2 THEN 1 ELSE 0 END AS position FROM n WHERE rn = 1 UNION ALL
  SELECT n.key, n.event_id, n.z, n.rn, CASE WHEN abs(n.z) >= 4 OR (position <> 0 AND abs(n.z) <= 0.5) THEN 0 WHEN position <> 0 THEN position WHEN n.z >= 2 THEN 2 WHEN n.z <= -2 THEN 1 ELSE 0 END FROM f JOIN n ON n.key = f.key AND n.rn = f.rn + 1)
  SELECT key, event_id, {r('z')} AS z, position FROM f""")
 def _(t):
-    d = run_to_end(t, st.process(ticks(t).withColumn("value", (C("value") - 50) / 25), "event_type", st.PairPosition), "pair")
+    d = keyed(t, (C("value") - 50) / 25, st.PairPosition, "pair")
     return rounded(d)
 
 
-@query("q10_stream_health_monitor", f"""WITH x AS (SELECT event_type AS key, event_id, ts, CAST(value > 40 AS INT) AS ok FROM {_SEEN}),
+@query("q10_stream_health_monitor", f"""WITH x AS (SELECT event_type AS key, event_id, ts, CAST(value > 40 AS INT) AS ok FROM events),
  y AS (SELECT *, count(*) OVER w AS n, avg(ok) OVER w AS a, sum(ok) OVER (PARTITION BY key ORDER BY ts, event_id) AS wins FROM x WINDOW w AS (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
  z AS (SELECT *, count(*) FILTER (ok = 0) OVER (PARTITION BY key, wins ORDER BY ts, event_id) AS losses, CASE WHEN n >= 100 THEN a END AS acc FROM y)
  SELECT key, event_id, {r('acc')} AS accuracy, CAST(losses AS INT) AS losses, concat_ws(';', CASE WHEN acc < 0.45 THEN 'accuracy' END, CASE WHEN losses >= 8 THEN 'losses' END) AS reasons FROM z""")
 def _(t):
-    d = run_to_end(t, st.process(ticks(t).withColumn("value", C("value") - 40), "event_type", st.HealthMonitor), "health")
+    d = keyed(t, C("value") - 40, st.HealthMonitor, "health")
     return rounded(d)
 
 

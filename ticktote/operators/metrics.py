@@ -29,7 +29,7 @@ def equity_curve(df: DataFrame, keys: list[str], ret: str, order: list, start: f
 def trade_metrics(df: DataFrame, keys: list[str], ret: str, order: list, fee: float = 0.0003, annual: float = 24 * 365) -> DataFrame:
     """Trade metrics per key; ratios without a denominator are NULL."""
     x = F.col(ret)
-    d = equity_curve(df.where(x.isNotNull()), keys, ret, order)
+    d = equity_curve(df.where(x.isNotNull()).select(*dict.fromkeys([*keys, *order, ret])), keys, ret, order)
     win, loss = F.when(x > 0, x), F.when(x < 0, x)
     sd, nsd = F.stddev_samp(x), F.stddev_samp(loss)
     ann = float(annual) ** 0.5

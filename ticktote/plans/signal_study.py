@@ -17,5 +17,5 @@ def signal_study(bars: DataFrame, horizon: int = 4, low: float = 30, high: float
     side = F.when(F.col("rsi") < low, 1).when(F.col("rsi") > high, -1)
     d = d.where(F.col("fwd").isNotNull() & F.col("bb_width").isNotNull() & side.isNotNull())
     d = d.where(~F.hour("ts").isin(list(skip_hours))).withColumn("ret", side * F.col("fwd") * scale)
-    m = trade_metrics(d, ["symbol"], "ret", ["ts"], F.date_trunc("month", "ts"))
+    m = trade_metrics(d, ["symbol"], "ret", ["ts"])
     return m.select("symbol", "n_trades", "pf", "mdd", "win_rate", "sharpe")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,12 @@ def tick_stream(spark: SparkSession, path: str, pattern: str = "events.parquet",
     return rd.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def stream_of(spark: SparkSession, stored: DataFrame) -> DataFrame:
+    """A stored table as a stream that takes all its files in one batch."""
+    folder = stored.inputFiles()[0].rsplit("/", 1)[0]
+    return spark.readStream.schema(stored.schema).parquet(folder)
+
+
 def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A session of the same application for streams, with the state store they need; spark keeps its settings.
 
@@ -42,6 +50,28 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append", into: SparkSessio
     return (into or df.sparkSession).read.schema(df.schema).parquet(f"{base}/out")
 
 
+END = "2200-01-01 00:00:00"
+
+
+def run_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, into: SparkSession | None = None, ts: str = "ts") -> DataFrame:
+    """All output of build(source) for a source that has ended, its last rows included.
+
+    The query first runs to the end of the source. Then an end mark, a row with a time after all others and nothing
+    else, moves the watermark past every row, and the query goes on from its checkpoint and lets go of what it held.
+    """
+    spark = source.sparkSession
+    base = scratch_dir(spark, name)
+    spark.createDataFrame([], source.schema).write.parquet(f"{base}/end")
+    df = build(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{base}/end")))
+    for closing in (False, True):
+        if closing:
+            mark = [F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in source.schema]
+            spark.range(1).select(*mark).write.mode("append").parquet(f"{base}/end")
+        q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return (into or spark).read.schema(df.schema).parquet(f"{base}/out")
+
+
 def run_batches(df: DataFrame, name: str, fn) -> str:
     """Process what is available through fn(batch, batch_id, folder); returns the folder."""
     base = scratch_dir(df.sparkSession, name)

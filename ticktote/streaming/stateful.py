@@ -2,8 +2,11 @@
 
 Each row goes into its key's buffer. An event-time timer at the earliest buffered row fires once the watermark has
 passed it; then all rows before the watermark are processed in the order (ts, event_id), whatever files, batches or
-Arrow chunks they came in. The buffer of a key holds what lies between the watermark and the newest row. A second
-timer clears the state of a key that has had no rows for a while.
+Arrow chunks they came in. The buffer of a key holds what lies between the watermark and the newest row, by the hour,
+so a release touches the hours that are due and no others.
+
+A key starts anew with the first row that comes more than idle_ms of event time after its last one. That is decided
+row by row, so it does not depend on how rows fall into batches; the timer of an idle key only frees its memory.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 IDLE_MS = 90 * 24 * 3600 * 1000
+HOUR_US = 3600 * 1_000_000
 
 
 class _Base(StatefulProcessor):
@@ -28,7 +32,8 @@ class _Base(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("s", StructType([StructField(n, t) for n, t in [*self.fields, ("last_ms", LongType())]]))
-        self.buffer = handle.getListState("b", StructType([StructField(n, t) for n, t in self.buffered]))
+        rows = ArrayType(StructType([StructField(n, t) for n, t in self.buffered]))
+        self.buffer = handle.getMapState("b", StructType([StructField("hour", LongType())]), StructType([StructField("rows", rows)]))
 
     def initial(self) -> list:
         raise NotImplementedError
@@ -38,38 +43,52 @@ class _Base(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        hours: dict[int, list] = {}
         for p in rows:
-            if p.empty:
-                continue
+            p = p[p["event_id"].notna()]  # an end mark is not a row
             us = p["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-            self.buffer.appendList(list(zip(us.tolist(), p["event_id"].tolist(), p["value"].astype("float64").tolist())))
-            first = int(us.min()) if first is None else min(first, int(us.min()))
-        if first is not None:
-            self.handle.registerTimer(first // 1000)
+            for row in zip(us.tolist(), p["event_id"].astype("int64").tolist(), p["value"].astype("float64").tolist()):
+                hours.setdefault(row[0] // HOUR_US, []).append(row)
+        for hour, new in hours.items():
+            held = self.buffer.getValue((hour,))[0] if self.buffer.containsKey((hour,)) else []
+            self.buffer.updateValue((hour,), ([*map(tuple, held), *new],))
+        if hours:
+            self.handle.registerTimer(min(r[0] for r in hours[min(hours)]) // 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         until = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self.buffer.get()) if self.buffer.exists() else [], columns=[n for n, _ in self.buffered])
-        ready = held["us"] // 1000 < until
+        hours = sorted(h[0] for h in self.buffer.keys())
+        ready, after = [], hours[-1] * HOUR_US if hours else None
+        for hour in hours:
+            if hour * HOUR_US // 1000 >= until:
+                after = hour * HOUR_US
+                break
+            held = [tuple(r) for r in self.buffer.getValue((hour,))[0]]
+            rest = [r for r in held if r[0] // 1000 >= until]
+            ready += [r for r in held if r[0] // 1000 < until]
+            if rest:
+                self.buffer.updateValue((hour,), (rest,))
+                after = min(r[0] for r in rest)
+                break
+            self.buffer.removeKey((hour,))
+            after = None
         state = list(self.state.get()) if self.state.exists() else None
-        if ready.any():
-            p = held[ready].sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
+        if ready:
+            p = pd.DataFrame(sorted(ready), columns=[n for n, _ in self.buffered])
             p["ts"] = pd.to_datetime(p["us"], unit="us")
-            s = (state or [*self.initial(), 0])[:-1]
-            out = self.step(key, p, s)
-            state = [*s, int(p["us"].iloc[-1]) // 1000]
+            ms = p["us"] // 1000
+            last = state[-1] if state else int(ms.iloc[0])
+            life = (ms.diff().fillna(ms.iloc[0] - last) > self.idle_ms).cumsum()
+            s = state[:-1] if state else self.initial()
+            for n, part in p.groupby(life, sort=True):
+                s = self.initial() if n else s
+                yield self.step(key, part.reset_index(drop=True), s)
+            state = [*s, int(ms.iloc[-1])]
             self.state.update(tuple(state))
-            self.handle.registerTimer(state[-1] + self.idle_ms)
-            rest = held[~ready]
-            if rest.empty:
-                self.buffer.clear()
-            else:
-                self.buffer.put([tuple(r) for r in rest.astype(object).itertuples(index=False)])
-            yield out
-        if not ready.all():
-            self.handle.registerTimer(int(held.loc[~ready, "us"].min()) // 1000)
+            self.handle.registerTimer(state[-1] + self.idle_ms + 1)
+        if after is not None:
+            self.handle.registerTimer(after // 1000)
         elif state is not None and state[-1] + self.idle_ms < until:
             self.state.clear()
 

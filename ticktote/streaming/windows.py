@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C = F.col
@@ -35,6 +35,26 @@ def with_blackout(ticks: DataFrame, calendar_hours: DataFrame) -> DataFrame:
     return d.join(calendar_hours, "hour", "left").withColumn("blocked", F.coalesce("blocked", F.lit(0)))
 
 
+def surge_verdict(change: Column) -> Column:
+    """What a rise of the odds before the close means for a bet."""
+    v = F.when(change >= 0.20, "cancel").when(change >= 0.10, "half").when(change >= 0.05, "minor").otherwise("normal")
+    return F.when(change.isNull(), "no history").otherwise(v)
+
+
+def preclose_surge(snaps: DataFrame, before: str = "10 minutes", late: str = "3 hours") -> DataFrame:
+    """Per car, once its race's close has passed: the last odds of the final minutes against the last odds before them.
+
+    snaps: race_id, car_no, ts, close, odds. The close is the event time, so a race waits for its late snapshots, gives
+    one row per car and leaves no state behind. late has to exceed the time from the first snapshot of a race to its
+    close, as closes of other races move the watermark. Without a snapshot on either side there is no history.
+    """
+    early = C("ts") <= C("close") - F.expr(f"INTERVAL {before}")
+    g = snaps.withWatermark("close", late).groupBy(F.window("close", "1 minute"), "race_id", "car_no").agg(
+        F.max_by(F.when(early, C("odds")), F.when(early, C("ts"))).alias("base"), F.max_by(F.when(~early, C("odds")), F.when(~early, C("ts"))).alias("final"))
+    change = F.when(C("base") > 0, C("final") / C("base") - 1)
+    return g.select("race_id", "car_no", change.alias("change"), surge_verdict(change).alias("verdict"))
+
+
 def outcomes(predictions: DataFrame, results: DataFrame, key: str, hours: int = 4, late: str = "1 hour") -> DataFrame:
     """Predictions with results of the same key in the next hours; unmatched ones appear once time has passed."""
     p = predictions.select(C(key), C("ts").alias("p_ts"), C("event_id").alias("p_id"), C("value").alias("p_value")).withWatermark("p_ts", late)
