@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, clip
+from ticktote.operators.gram import pair_statistics
 from ticktote.operators.scan import chunked, prefix_scan
 from ticktote.operators import indicators as ind
 from ticktote.operators import sequence as sq
@@ -90,6 +91,52 @@ def test_numbering_running_and_halo(spark):
         sq.with_halo(num, ["symbol"], "pos", 8, back=9)
 
 
+@pytest.mark.parametrize("tile,slab", [(64, 4096), (3, 20)])
+def test_pair_statistics(spark, tile, slab):
+    """All pairs against pandas: missing rows, NULLs, NaN, a constant, a NULL key, an instrument without company."""
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(90).cumsum()
+    wide = pd.DataFrame({f"s{i}": 1e4 * i + base * (i % 3 - 1) + rng.standard_normal(90) for i in range(8)}, index=pd.date_range("2024-01-01", periods=90, freq="h"))
+    wide = wide.mask(rng.random(wide.shape) < 0.3)
+    wide["flat"] = 7.25
+    wide.loc[wide.index[10:], "s7"] = np.nan
+    long = wide.rename_axis("ts").reset_index().melt("ts", var_name="symbol", value_name="x")
+    d = spark.createDataFrame(long).unionByName(spark.createDataFrame([(pd.Timestamp("2024-01-01").to_pydatetime(), None, 1.0), (pd.Timestamp("2031-01-01").to_pydatetime(), "alone", 1.0)], "ts timestamp, symbol string, x double"))
+    got = pair_statistics(d, tile=tile, slab_rows=slab).toPandas().set_index(["left_symbol", "right_symbol"]).sort_index()
+    want = {}
+    for i, a in enumerate(sorted(wide)):
+        for b in sorted(wide)[i + 1 :]:
+            both = wide[[a, b]].dropna()
+            if len(both):
+                c = both.cov(ddof=0).to_numpy() * len(both)
+                want[a, b] = (len(both), both[a].mean(), both[b].mean(), c[0, 0], c[1, 1], c[0, 1], both[a].corr(both[b]) if "flat" not in (a, b) and len(both) > 1 else np.nan)
+    assert list(got.index) == sorted(want)
+    np.testing.assert_allclose(got.to_numpy(dtype=float), np.array([want[k] for k in got.index]), rtol=1e-7, atol=1e-7, equal_nan=True)
+    few = pair_statistics(d, tile=tile, slab_rows=slab, min_common=30, min_corr=0.5).toPandas()
+    assert {(a, b) for a, b in zip(few.left_symbol, few.right_symbol)} == {k for k, v in want.items() if v[0] >= 30 and abs(v[-1]) >= 0.5}
+    assert pair_statistics(d.limit(0)).count() == 0
+
+
+def test_plan_of_many_instruments_stays_small(spark):
+    d = spark.range(4000).select((F.col("id") % 2000).cast("string").alias("symbol"), F.timestamp_seconds(F.col("id") % 7).alias("ts"), F.rand(1).alias("x"))
+    plan = lambda f: len(f._jdf.queryExecution().optimizedPlan().toString())
+    assert plan(pair_statistics(d)) < 2 * plan(pair_statistics(d.where("symbol < '11'")))
+
+
+@pytest.mark.parametrize("chunk,levels", [(4, 2), (3, 0), (128, 2)])
+def test_state_scan_over_levels(spark, chunk, levels):
+    rng = np.random.default_rng(4)
+    p = pd.DataFrame({"k": ["a"] * 500 + ["b"] * 7, "pos": [*range(500), *range(7)], "z": rng.standard_normal(507) * 2})
+    got = state_scan(spark.createDataFrame(p), ["k"], "pos", ["z"], lambda s, e: pair_position(s, e["z"]), 3, chunk=chunk, levels=levels).toPandas().sort_values(["k", "pos"])
+    want = []
+    for _, part in p.groupby("k"):
+        s = 0
+        for z in part.z:
+            s = 0 if abs(z) >= 4 or (s and abs(z) <= 0.5) else s or (2 if z >= 2 else 1 if z <= -2 else 0)
+            want.append(s)
+    assert got.state.tolist() == want
+
+
 @pytest.mark.parametrize("chunks", [1, 3, 64])
 def test_prefix_scan_of_one_hot_key(spark, chunks):
     """One key holds most rows, all in one month and many on one day; small keys, a NULL key and NULL values beside it."""

@@ -64,19 +64,21 @@ def _(t):
     return rounded(d.select("symbol", "ts", "m20", "hi14"))
 
 
-_PAIR = """px AS (SELECT a.ts, ln(a.close) AS la, ln(b.close) AS lb, CAST('x' AS VARCHAR) AS symbol FROM bars a JOIN bars b ON a.ts = b.ts
- AND a.symbol = 'click' AND b.symbol = 'view')"""
+_PAIR = """px AS (SELECT a.ts, ln(a.close) AS la, ln(b.close) AS lb, a.symbol AS ls, b.symbol AS rs, a.symbol || '|' || b.symbol AS symbol FROM bars a JOIN bars b ON a.ts = b.ts
+ AND a.symbol < b.symbol)"""
 
 
 @query("w3_rolling_corr", f"""WITH {BARS}, {_PAIR}, p2 AS (SELECT *, la - {lag('la')} AS ra, lb - {lag('lb')} AS rb FROM px)
- SELECT ts, {r(roll('corr', 'la', 60).replace('corr(la)', 'corr(la, lb)'))} AS c60,
+ SELECT ls AS left_symbol, rs AS right_symbol, ts, {r(roll('corr', 'la', 60).replace('corr(la)', 'corr(la, lb)'))} AS c60,
  {r(roll('corr', 'ra', 24).replace('corr(ra)', 'corr(ra, rb)'))} AS c24 FROM p2""")
 def _(t):
-    from ticktote.operators.pairs import two_legs
+    from ticktote.operators.pairs import all_pairs
 
-    p = two_legs(t.bars(), "click", "view").withColumns({"la": F.log("a"), "lb": F.log("b"), "symbol": F.lit("x")})
-    p = p.withColumns({"ra": Q.diff("la"), "rb": Q.diff("lb")})
-    return rounded(p.select("ts", Q.corr("la", "lb", 60).alias("c60"), Q.corr("ra", "rb", 24).alias("c24")))
+    pair = ["left_symbol", "right_symbol"]
+    q = Seq(pair, "ts")
+    p = all_pairs(t.bars()).withColumns({"la": F.log("a"), "lb": F.log("b")})
+    p = p.withColumns({"ra": q.diff("la"), "rb": q.diff("lb")})
+    return rounded(p.select(*pair, "ts", q.corr("la", "lb", 60).alias("c60"), q.corr("ra", "rb", 24).alias("c24")))
 
 
 def _z(x: str, n: int, mp: int | None = None) -> str:

@@ -13,13 +13,15 @@ from ticktote.operators import indicators as ind
 from ticktote.operators.asof import asof, asof_nearest
 from ticktote.operators.automaton import pair_position, state_scan
 from ticktote.operators.events import blackout, upcoming
-from ticktote.operators.pairs import side_by_side, stack_pairs, two_legs
+from ticktote.operators.gram import pair_statistics
+from ticktote.operators.pairs import all_pairs, side_by_side
 from ticktote.operators.resample import resample
 from ticktote.operators.touch import first_touch
 
 Q = Seq("symbol", "ts")
 QX = Seq("symbol", "ts")
-SYMS = ["click", "error", "purchase", "signup", "view"]
+PAIR = ["left_symbol", "right_symbol"]
+P2 = Seq(PAIR, "ts")
 W = "OVER (PARTITION BY symbol ORDER BY ts)"
 
 
@@ -93,9 +95,9 @@ def _(t):
 @query("j14_pair_common_dates", f"""WITH {BARS} SELECT a.symbol AS left_symbol, b.symbol AS right_symbol, count(*) AS n_common, {r('corr(ln(a.close), ln(b.close))')} AS corr
  FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol WHERE NOT (a.symbol = 'click' AND b.symbol = 'error') GROUP BY 1, 2 HAVING count(*) >= 60""")
 def _(t):
-    p = stack_pairs(side_by_side(t.bars(), SYMS), SYMS, {("click", "error")})
-    g = p.groupBy("left_symbol", "right_symbol").agg(F.count(F.lit(1)).alias("n_common"), F.corr(F.log("a"), F.log("b")).alias("corr"))
-    return rounded(g.where("n_common >= 60"))
+    g = pair_statistics(t.bars().withColumn("x", F.log("close")), min_common=60)
+    g = g.where("not (left_symbol = 'click' and right_symbol = 'error')")
+    return rounded(g.select("left_symbol", "right_symbol", "n_common", "corr"))
 
 
 _LAGX = f"""us AS (SELECT ts, symbol, lag(ret) OVER (PARTITION BY symbol ORDER BY ts) AS us_prev FROM (SELECT symbol, ts, close / {lag('close')} - 1 AS ret FROM bars))"""
@@ -264,14 +266,16 @@ def _(t):
     return rounded(d.select("symbol", "ts", "sector_avg", Q.roll(F.sum, "sector_avg", 5).alias("sector_avg_5")))
 
 
-@query("t30_spread_features", f"""WITH {BARS}, x AS (SELECT symbol, ts, close / {lag('close')} - 1 AS ret FROM bars), w AS (SELECT 'x' AS symbol, ts, max(CASE WHEN symbol = 'click' THEN ret END) AS a, max(CASE WHEN symbol = 'view' THEN ret END) AS b, max(CASE WHEN symbol = 'error' THEN ret END) AS c FROM x GROUP BY ts),
- y AS (SELECT *, a - b AS ab, {roll('corr', 'a', 20).replace('corr(a)', 'corr(a, b)').replace('count(a)', 'count(a + b)')} AS co FROM w)
- SELECT ts, {r('ab')} AS tech_finance, {r('c - a')} AS energy_tech, {r(roll('sum', 'ab', 5))} AS tech_finance_5, {r(f"co - {lag('co', 5)}")} AS corr_momentum FROM y""")
+_RR = f"x AS (SELECT symbol, ts, close / {lag('close')} - 1 AS ret FROM bars), w AS (SELECT a.symbol || '|' || b.symbol AS symbol, a.symbol AS ls, b.symbol AS rs, a.ts, a.ret AS a, b.ret AS b FROM x a JOIN x b ON a.ts = b.ts AND a.symbol < b.symbol WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL)"
+
+
+@query("t30_spread_features", f"""WITH {BARS}, {_RR}, y AS (SELECT *, a - b AS ab, {roll('corr', 'a', 20).replace('corr(a)', 'corr(a, b)')} AS co FROM w)
+ SELECT ls AS left_symbol, rs AS right_symbol, ts, {r('ab')} AS spread, {r(roll('sum', 'ab', 5))} AS spread_5, {r(f"co - {lag('co', 5)}")} AS corr_momentum FROM y""")
 def _(t):
-    b = t.bars().withColumn("ret", Q.pct("close"))
-    w = side_by_side(b, ["click", "view", "error"], "ret").withColumn("symbol", F.lit("x"))
-    w = w.withColumns({"ab": F.col("click") - F.col("view"), "co": Q.corr("click", "view", 20)})
-    return rounded(w.select("ts", F.col("ab").alias("tech_finance"), (F.col("error") - F.col("click")).alias("energy_tech"), Q.roll(F.sum, "ab", 5).alias("tech_finance_5"), Q.diff("co", 5).alias("corr_momentum")))
+    """Return spread of every pair of instruments, its five-bar sum and the momentum of the correlation."""
+    w = all_pairs(t.bars().withColumn("ret", Q.pct("close")), "ret").withColumn("ab", F.col("a") - F.col("b"))
+    w = w.withColumn("co", P2.corr("a", "b", 20))
+    return rounded(w.select("left_symbol", "right_symbol", "ts", F.col("ab").alias("spread"), P2.roll(F.sum, "ab", 5).alias("spread_5"), P2.diff("co", 5).alias("corr_momentum")))
 
 
 _ADX = f"""dm AS (SELECT symbol, ts, close, tr, CASE WHEN high - {lag('high')} > {lag('low')} - low AND high - {lag('high')} > 0 THEN high - {lag('high')} ELSE 0.0 END AS p,
@@ -300,36 +304,38 @@ def _(t):
     return rounded(b.select("symbol", "ts", "spread", base.alias("baseline"), F.col("rel").alias("relative_cost"), lev.alias("cost_level")))
 
 
-_SPR = f"""px AS (SELECT 'x' AS symbol, a.ts, ln(a.close) - ln(b.close) AS s FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol = 'click' AND b.symbol = 'view'), zz AS (SELECT ts, s, {_z('s', 60)} AS z FROM px)"""
+_SPR = f"""px AS (SELECT a.symbol || '|' || b.symbol AS symbol, a.symbol AS ls, b.symbol AS rs, a.ts, ln(a.close) - ln(b.close) AS s FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol), zz AS (SELECT symbol, ls, rs, ts, s, {_z('s', 60)} AS z FROM px)"""
 
 
-@query("t34_log_spread_zscore", f"""WITH {BARS}, {_SPR} SELECT ts, {r('s')} AS spread, {r('z')} AS z, CASE WHEN z IS NULL THEN 'NONE' WHEN abs(z) >= 4 THEN 'FORCE_EXIT' WHEN z >= 2 THEN 'SHORT_A_LONG_B' WHEN z <= -2 THEN 'LONG_A_SHORT_B' WHEN abs(z) <= 0.5 THEN 'CONVERGED' ELSE 'NONE' END AS zone FROM zz""")
+def spreads(t):
+    from ticktote.plans.pair_trade import spread_zscore
+
+    return spread_zscore(all_pairs(t.bars()))
+
+
+@query("t34_log_spread_zscore", f"""WITH {BARS}, {_SPR} SELECT ls AS left_symbol, rs AS right_symbol, ts, {r('s')} AS spread, {r('z')} AS z, CASE WHEN z IS NULL THEN 'NONE' WHEN abs(z) >= 4 THEN 'FORCE_EXIT' WHEN z >= 2 THEN 'SHORT_A_LONG_B' WHEN z <= -2 THEN 'LONG_A_SHORT_B' WHEN abs(z) <= 0.5 THEN 'CONVERGED' ELSE 'NONE' END AS zone FROM zz""")
 def _(t):
-    from ticktote.plans.pair_trade import spread_zscore, zone
+    from ticktote.plans.pair_trade import zone
 
-    d = spread_zscore(two_legs(t.bars(), "click", "view"))
-    return rounded(d.select("ts", "spread", "z", zone(F.col("z")).alias("zone")))
+    return rounded(spreads(t).select("left_symbol", "right_symbol", "ts", "spread", "z", zone(F.col("z")).alias("zone")))
 
 
-@query("t34_pair_position_state", f"""WITH RECURSIVE {BARS}, {_SPR}, n AS (SELECT ts, z, row_number() OVER (ORDER BY ts) AS rn FROM zz), st AS (SELECT ts, rn, 0 AS state FROM n WHERE rn = 1 UNION ALL
- SELECT n.ts, n.rn, CASE WHEN n.z IS NULL THEN st.state WHEN abs(n.z) >= 4 THEN 0 WHEN st.state <> 0 AND abs(n.z) <= 0.5 THEN 0 WHEN st.state = 0 THEN CASE WHEN n.z >= 2 THEN 2 WHEN n.z <= -2 THEN 1 ELSE 0 END ELSE st.state END FROM st JOIN n ON n.rn = st.rn + 1)
- SELECT ts, state FROM st""")
+@query("t34_pair_position_state", f"""WITH RECURSIVE {BARS}, {_SPR}, n AS (SELECT symbol, ls, rs, ts, z, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM zz), st AS (SELECT symbol, ls, rs, ts, rn, 0 AS state FROM n WHERE rn = 1 UNION ALL
+ SELECT n.symbol, n.ls, n.rs, n.ts, n.rn, CASE WHEN n.z IS NULL THEN st.state WHEN abs(n.z) >= 4 THEN 0 WHEN st.state <> 0 AND abs(n.z) <= 0.5 THEN 0 WHEN st.state = 0 THEN CASE WHEN n.z >= 2 THEN 2 WHEN n.z <= -2 THEN 1 ELSE 0 END ELSE st.state END FROM st JOIN n ON n.symbol = st.symbol AND n.rn = st.rn + 1)
+ SELECT ls AS left_symbol, rs AS right_symbol, ts, state FROM st""")
 def _(t):
-    from ticktote.plans.pair_trade import spread_zscore
+    from ticktote.operators.sequence import number_rows
 
-    d = spread_zscore(two_legs(t.bars(), "click", "view")).withColumn("_k", F.lit(0))
-    d = d.withColumn("pos", F.row_number().over(Window.partitionBy("_k").orderBy("ts")) - 1)
-    d = state_scan(d, ["_k"], "pos", ["z"], lambda s, e: pair_position(s, e["z"]), 3)
-    return d.select("ts", "state")
+    d = number_rows(spreads(t).select(*PAIR, "ts", "z"), PAIR, ["ts"])
+    return state_scan(d, PAIR, "pos", ["z"], lambda s, e: pair_position(s, e["z"]), 3).select(*PAIR, "ts", "state")
 
 
-@query("t35_correlation_stability", f"""WITH {BARS}, px AS (SELECT 'x' AS symbol, a.ts, a.close AS a, b.close AS b FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol = 'click' AND b.symbol = 'view'),
- c AS (SELECT ts, {roll('corr', 'a', 24).replace('corr(a)', 'corr(a, b)')} AS recent, {roll('corr', 'a', 120).replace('corr(a)', 'corr(a, b)')} AS hist FROM px)
- SELECT ts, {r('recent')} AS recent_corr, {r('hist')} AS hist_corr, CASE WHEN abs(recent - hist) >= 0.3 THEN 1 ELSE 0 END AS unstable FROM c""")
+@query("t35_correlation_stability", f"""WITH {BARS}, px AS (SELECT a.symbol || '|' || b.symbol AS symbol, a.symbol AS ls, b.symbol AS rs, a.ts, a.close AS a, b.close AS b FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol),
+ c AS (SELECT ls, rs, ts, {roll('corr', 'a', 24).replace('corr(a)', 'corr(a, b)')} AS recent, {roll('corr', 'a', 120).replace('corr(a)', 'corr(a, b)')} AS hist FROM px)
+ SELECT ls AS left_symbol, rs AS right_symbol, ts, {r('recent')} AS recent_corr, {r('hist')} AS hist_corr, CASE WHEN abs(recent - hist) >= 0.3 THEN 1 ELSE 0 END AS unstable FROM c""")
 def _(t):
-    p = two_legs(t.bars(), "click", "view").withColumn("symbol", F.lit("x"))
-    p = p.withColumns({"recent_corr": Q.corr("a", "b", 24), "hist_corr": Q.corr("a", "b", 120)})
-    return rounded(p.select("ts", "recent_corr", "hist_corr", flag(F.abs(F.col("recent_corr") - F.col("hist_corr")) >= 0.3).alias("unstable")))
+    p = all_pairs(t.bars()).withColumns({"recent_corr": P2.corr("a", "b", 24), "hist_corr": P2.corr("a", "b", 120)})
+    return rounded(p.select(*PAIR, "ts", "recent_corr", "hist_corr", flag(F.abs(F.col("recent_corr") - F.col("hist_corr")) >= 0.3).alias("unstable")))
 
 
 @query("t36_lagged_corr_screen", f"""WITH {BARS}, x AS (SELECT symbol, ts, close / {lag('close')} - 1 AS ret FROM bars), u AS (SELECT symbol, ts, {lag('ret')} AS prev FROM x),
@@ -350,7 +356,7 @@ def _(t):
 def _(t):
     from ticktote.plans.pair_trade import residual_stationarity
 
-    d = residual_stationarity(stack_pairs(side_by_side(t.bars(), SYMS), SYMS))
+    d = residual_stationarity(t.bars())
     d = d.withColumn("rnk", F.rank().over(Window.orderBy("t_stat")).cast("bigint"))
     return d.select("left_symbol", "right_symbol", rnd("slope").alias("slope"), rnd("t_stat", 5).alias("t_stat"), "rnk")
 
@@ -380,9 +386,13 @@ def _(t):
 
 
 @query("t40_stock_baseline", f"""WITH {BARS}, {_RSI}, x AS (SELECT b.*, r.rsi, b.close / {lag('b.close', 1, 'b.symbol', 'b.ts')} - 1 AS r1, b.close / {lag('b.close', 5, 'b.symbol', 'b.ts')} - 1 AS r5, b.close / {lag('b.close', 20, 'b.symbol', 'b.ts')} - 1 AS r20 FROM bars b JOIN rsi r ON r.symbol = b.symbol AND r.ts = b.ts),
- u AS (SELECT ts, {lag('r1')} AS us_prev FROM x WHERE symbol = 'view') SELECT x.ts, {r('r1')} AS target_ret_1, {r('r5')} AS target_ret_5, {r('r20')} AS target_ret_20, {r('rsi')} AS rsi, {r(f"x.volume / nullif({roll('avg', 'x.volume', 20, 'x.symbol', 'x.ts')}, 0)")} AS volume_ratio,
- {r(roll('stddev_samp', 'r1', 20, 'x.symbol', 'x.ts'))} AS vol_20, {r('us_prev')} AS us_prev, {r('rsi * us_prev')} AS rsi_x_us FROM x LEFT JOIN u ON u.ts = x.ts WHERE x.symbol = 'click'""")
+ u AS (SELECT symbol AS leader, ts, {lag('r1')} AS us_prev FROM x), f AS (SELECT symbol AS target, ts, r1, r5, r20, rsi, x.volume / nullif({roll('avg', 'x.volume', 20, 'x.symbol', 'x.ts')}, 0) AS vr, {roll('stddev_samp', 'r1', 20, 'x.symbol', 'x.ts')} AS v20 FROM x),
+ k AS (SELECT DISTINCT leader FROM u) SELECT target, k.leader, f.ts, {r('r1')} AS target_ret_1, {r('r5')} AS target_ret_5, {r('r20')} AS target_ret_20, {r('rsi')} AS rsi, {r('vr')} AS volume_ratio,
+ {r('v20')} AS vol_20, {r('us_prev')} AS us_prev, {r('rsi * us_prev')} AS rsi_x_us FROM f JOIN k ON k.leader <> f.target LEFT JOIN u ON u.leader = k.leader AND u.ts = f.ts""")
 def _(t):
+    """Every target with every other instrument as its leader."""
     from ticktote.plans.features import stock_baseline
 
-    return rounded(stock_baseline(t.bars(), "click", ["view"]))
+    names = t.bars().select("symbol").distinct()
+    pairs = names.select(F.col("symbol").alias("target")).join(names.select(F.col("symbol").alias("leader")), F.col("target") != F.col("leader"))
+    return rounded(stock_baseline(t.bars(), pairs))

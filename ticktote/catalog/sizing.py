@@ -230,15 +230,16 @@ def _(t):
     return rounded(me.best_cell(g, ["symbol"], "pf", C("n") >= 20, ["threshold"]))
 
 
-@query("g20_zscore_position_size", f"""WITH {BARS}, {_SPR}, v AS (SELECT ts, z, least(greatest(0.3, least(0.8, 0.5 + (least(abs(z), 4) - 2) * 0.05)), 1) AS p, greatest(1.5, least(10.0, 1 / greatest(stddev_samp(s) OVER (ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 0.01))) AS o FROM zz)
- SELECT ts, CAST({_kelly('p', 'o', '10000', '1', '0.1')} AS DOUBLE) AS size FROM v WHERE z IS NOT NULL""")
+@query("g20_zscore_position_size", f"""WITH {BARS}, {_SPR}, v AS (SELECT ls, rs, ts, z, least(greatest(0.3, least(0.8, 0.5 + (least(abs(z), 4) - 2) * 0.05)), 1) AS p, greatest(1.5, least(10.0, 1 / greatest(stddev_samp(s) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 0.01))) AS o FROM zz)
+ SELECT ls AS left_symbol, rs AS right_symbol, ts, CAST({_kelly('p', 'o', '10000', '1', '0.1')} AS DOUBLE) AS size FROM v WHERE z IS NOT NULL""")
 def _(t):
-    from ticktote.operators.pairs import two_legs
+    from ticktote.operators.pairs import all_pairs
     from ticktote.plans.pair_trade import spread_zscore
 
-    d = spread_zscore(two_legs(t.bars(), "click", "view")).withColumn("symbol", F.lit("x"))
-    d = d.withColumn("vol", Q.sd("spread", 60)).where("z IS NOT NULL")
-    return d.select("ts", bt.zscore_size("z", F.lit(10000.0), "vol").alias("size"))
+    pair = ["left_symbol", "right_symbol"]
+    d = spread_zscore(all_pairs(t.bars()))
+    d = d.withColumn("vol", Seq(pair, "ts").sd("spread", 60)).where("z IS NOT NULL")
+    return d.select(*pair, "ts", bt.zscore_size("z", F.lit(10000.0), "vol").alias("size"))
 
 
 @query("g21_trend_filter", f"""WITH {TRADES}, s AS (SELECT symbol, ts, {roll('avg', 'close', 50)} AS sma FROM bars) SELECT t.symbol, t.ts, CAST(NOT coalesce((side > 0) <> (close > sma), false) AS INT) AS hard_pass, CAST(conf >= 0.6 + CASE WHEN (side > 0) <> (close > sma) THEN 0.05 ELSE 0 END - 1e-9 AS INT) AS soft_pass FROM trades t JOIN s USING (symbol, ts)""")

@@ -1,17 +1,12 @@
-"""Pairs of instruments on common timestamps.
-
-A pair or a set of named instruments is brought side by side with one
-aggregation over time (conditional aggregates), so no group of instruments is
-expanded into all its pairs.
-"""
+"""Instruments on common timestamps: a few named ones side by side, or the pairs of a table, which a Gram matrix has screened."""
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticktote.operators.gram import pair_statistics
+
 
 def side_by_side(bars: DataFrame, symbols: list[str], value: str = "close", key: str = "symbol", ts: str = "ts") -> DataFrame:
     """One row per timestamp with one column per named instrument."""
@@ -22,16 +17,14 @@ def side_by_side(bars: DataFrame, symbols: list[str], value: str = "close", key:
     )
 
 
-def two_legs(bars: DataFrame, a: str, b: str, value: str = "close") -> DataFrame:
-    """Common timestamps of two instruments, as columns a and b."""
-    w = side_by_side(bars, [a, b], value).dropna(subset=[a, b])
-    return w.select("ts", F.col(a).alias("a"), F.col(b).alias("b"))
+def pair_rows(bars: DataFrame, pairs: DataFrame, value: str = "close", key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """(left_symbol, right_symbol, ts, a, b): the named pairs of a table on the timestamps where both have a value."""
+    d = bars.where(F.col(value).isNotNull())
+    left = d.select(F.col(key).alias("left_symbol"), ts, F.col(value).alias("a"))
+    right = d.select(F.col(key).alias("right_symbol"), ts, F.col(value).alias("b"))
+    return pairs.select("left_symbol", "right_symbol").join(left, "left_symbol").join(right, ["right_symbol", ts]).select("left_symbol", "right_symbol", ts, "a", "b")
 
 
-def stack_pairs(wide: DataFrame, symbols: list[str], exclude: set[tuple[str, str]] = frozenset()) -> DataFrame:
-    """(ts, left_symbol, right_symbol, a, b) for the named pairs; rows where both are present."""
-    ps = [p for p in combinations(sorted(symbols), 2) if p not in exclude and p[::-1] not in exclude]
-    e = F.explode(
-        F.array(*[F.struct(F.lit(x).alias("left_symbol"), F.lit(y).alias("right_symbol"), F.col(x).alias("a"), F.col(y).alias("b")) for x, y in ps])
-    )
-    return wide.select("ts", e.alias("p")).select("ts", "p.*").where(F.col("a").isNotNull() & F.col("b").isNotNull())
+def all_pairs(bars: DataFrame, value: str = "close", *, min_common: int = 1, min_corr: float = 0.0, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Rows of every pair of instruments that passes the thresholds of the Gram matrix."""
+    return pair_rows(bars, pair_statistics(bars, key, ts, value, min_common=min_common, min_corr=min_corr), value, key, ts)

@@ -9,7 +9,6 @@ from ticktote.functions import calendar as cal
 from ticktote.functions.core import Seq, flag, sdiv
 from ticktote.operators import indicators as ind
 from ticktote.operators.asof import asof
-from ticktote.operators.pairs import side_by_side
 from ticktote.operators.resample import resample
 from ticktote.operators.sequence import key_join
 
@@ -130,14 +129,14 @@ def base_features(bars: DataFrame) -> DataFrame:
     return d.select("symbol", "ts", *BASE_COLUMNS)
 
 
-def stock_baseline(bars: DataFrame, target: str, leaders: list[str]) -> DataFrame:
-    """Target returns, RSI, volume ratio, volatility and the leaders' previous return."""
+def stock_baseline(bars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Per (target, leader) of pairs: the target's returns, RSI, volume ratio and volatility, and the leader's previous return."""
     q = Seq("symbol", "ts")
     f = ind.returns(ind.rsi_simple(bars), [1, 5, 20])
     f = f.withColumns({"volume_ratio": sdiv(F.col("volume"), q.mean("volume", 20)), "vol_20": q.sd("ret_1", 20), "us_prev": q.lag("ret_1")})
-    lead = side_by_side(f, leaders, "us_prev")
-    d = f.where(F.col("symbol") == target).select(
-        "ts", F.col("ret_1").alias("target_ret_1"), F.col("ret_5").alias("target_ret_5"), F.col("ret_20").alias("target_ret_20"), "rsi", "volume_ratio", "vol_20"
+    lead = f.select(F.col("symbol").alias("leader"), "ts", "us_prev")
+    d = f.select(
+        F.col("symbol").alias("target"), "ts", F.col("ret_1").alias("target_ret_1"), F.col("ret_5").alias("target_ret_5"), F.col("ret_20").alias("target_ret_20"), "rsi", "volume_ratio", "vol_20"
     )
-    d = d.join(lead.withColumnRenamed(leaders[0], "us_prev"), "ts", "left")
+    d = d.join(pairs, "target").join(lead, ["leader", "ts"], "left")
     return d.withColumn("rsi_x_us", F.col("rsi") * F.col("us_prev"))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, sdiv
 from ticktote.operators import indicators as ind
-from ticktote.operators.pairs import side_by_side
+from ticktote.operators.gram import pair_statistics
+from ticktote.operators.pairs import pair_rows, side_by_side
+from ticktote.sources.storage import stored_table
 
 
 def spread_zscore(legs: DataFrame, n: int = 60) -> DataFrame:
-    q = Seq("_g", "ts")
-    d = legs.withColumn("_g", F.lit(0)).withColumn("spread", F.log("a") - F.log("b"))
-    return d.withColumn("z", q.zscore("spread", n)).drop("_g")
+    """Adds the log spread of each pair and its rolling z-score. legs: left_symbol, right_symbol, ts, a, b."""
+    d = legs.withColumn("spread", F.log("a") - F.log("b"))
+    return d.withColumn("z", Seq(["left_symbol", "right_symbol"], "ts").zscore("spread", n))
 
 
 def zone(z: Column, entry: float = 2.0, exit_: float = 0.5, stop: float = 4.0) -> Column:
@@ -43,12 +45,16 @@ def lagged_correlation_screen(bars: DataFrame, followers: list[str], leaders: li
     return g.where(F.col("n") >= min_rows)
 
 
-def residual_stationarity(pairs: DataFrame) -> DataFrame:
-    """Slope t-statistic of the residual's change on its previous value, per pair of log prices."""
+def residual_stationarity(bars: DataFrame, min_common: int = 1, min_corr: float = 0.0) -> DataFrame:
+    """Slope t-statistic of the residual's change on its previous value, per pair of log prices.
+
+    The fits come from the Gram matrix of all instruments; only pairs that pass its thresholds get rows.
+    """
     k = ["left_symbol", "right_symbol"]
-    p = pairs.withColumns({"x": F.log("a"), "y": F.log("b")})
-    fit = p.groupBy(*k).agg(F.regr_slope("y", "x").alias("sl"), F.regr_intercept("y", "x").alias("ic"))
-    e = p.join(fit, k).withColumn("e", F.col("y") - F.col("sl") * F.col("x") - F.col("ic"))
+    logs = bars.withColumn("x", F.log("close"))
+    fit = pair_statistics(logs, min_common=min_common, min_corr=min_corr)
+    fit = stored_table(fit.select(*k, (F.col("sxy") / F.col("sxx")).alias("sl"), (F.col("mean_y") - F.col("sxy") / F.col("sxx") * F.col("mean_x")).alias("ic")), "pair-fits")
+    e = pair_rows(logs, fit, "x").withColumnsRenamed({"a": "x", "b": "y"}).join(fit, k).withColumn("e", F.col("y") - F.col("sl") * F.col("x") - F.col("ic"))
     w = Window.partitionBy(*k).orderBy("ts")
     e = e.withColumn("e1", F.lag("e").over(w)).withColumn("de", F.col("e") - F.col("e1")).where(F.col("e1").isNotNull())
     g = e.groupBy(*k).agg(
