@@ -9,6 +9,7 @@ from ticktote.catalog.registry import query
 from ticktote.functions.core import flag, rnd, rounded, sdiv
 from ticktote.operators import labels as lb
 from ticktote.plans import scoring as sc
+from ticktote.sources import storage as st
 
 C = F.col
 FEATS = ["prob", "disc", "tax", "qty", "score", "field_size"]
@@ -110,12 +111,55 @@ def _(t):
     return rounded(sc.importances(rows(t), FEATS, "label"), 4)
 
 
+_DUP = {"prob": "prob", "odds": "odds", "qty": "qty", "stake": "qty / 50 + tax / 100", "disc": "disc", "margin": "10 * disc - 0.2"}
+
+
+@query("z9_duplicate_features", f"WITH {ENTRIES}, x AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _DUP.items())} FROM entries), p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS corr FROM x" for i, a in enumerate(_DUP) for b in list(_DUP)[i + 1 :]) + f") SELECT a, b, {r('corr')} AS corr FROM p WHERE corr >= 0.95")
+def _(t):
+    return rounded(sc.duplicate_features(t.entries().selectExpr(*[f"{v} AS {k}" for k, v in _DUP.items()]), list(_DUP)))
+
+
 @query("z10_grid_search", None)
 def _(t):
     d, ks = folds(t)
     return rounded(sc.grid_search(d, FEATS, "label", "ret", [{"numTrees": n, "maxDepth": k} for n in (5, 10) for k in (3, 5)], ks), 4)
 
 
+_FOLDS = """g AS (SELECT unnest(range(CAST((SELECT (year(max(race_date)) * 12 + month(max(race_date)) - 1999 * 12 - 1) // 6 + 1 FROM re) AS BIGINT))) AS fold),
+ tr AS (SELECT CAST(fold AS INT) AS fold, re.* FROM re JOIN g ON race_date < DATE '1999-01-01' + to_months(CAST(fold * 6 AS INT)))"""
+
+
+@query("z6_walk_forward_optimum", f"""WITH {RE}, {_FOLDS}, x AS (SELECT fold, CAST(finish = 1 AS INT) AS label, {', '.join(FEATS)} FROM tr)
+ {' UNION ALL '.join(f"SELECT fold, '{f}' AS term, count(*) AS n, {r(f'avg(CASE WHEN label = 1 THEN {x} ELSE 0.0 END)', 5)} AS moment FROM x GROUP BY 1" for f, x in [('intercept', '1.0'), *[(f, f) for f in FEATS]])}""")
+def _(t):
+    """Logistic models of all folds, fitted together.
+
+    At the optimum, and only there, the mean of probability times feature over the training rows is that of label
+    times feature, which SQL knows without any fit.
+    """
+    from ticktote.operators import newton as nt
+
+    d = st.stored_table(folds(t)[0].where("role = 'train'").select("fold", "label", *FEATS), "train")
+    m = nt.moments(d, nt.fit(d, FEATS, "label", [nt.Cell()])).drop("cell")
+    return rounded(m.join(d.groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "fold"), 5)
+
+
+@query("z5_stacking_optimum", f"""WITH {PSEUDO}, x AS (SELECT CAST(finish = 1 AS INT) AS label, {', '.join(_P)} FROM ps WHERE race_id % 4 <> 0)
+ {' UNION ALL '.join(f"SELECT '{f}' AS term, {r(f'avg(CASE WHEN label = 1 THEN {x} ELSE 0.0 END)', 5)} AS moment FROM x" for f, x in [('intercept', '1.0'), *[(m, m) for m in _P]])}""")
+def _(t):
+    """The stacking model on the voters' probabilities, by its optimality conditions."""
+    from ticktote.operators import newton as nt
+
+    d = pseudo(t).where("race_id % 4 <> 0").select(F.lit(0).alias("fold"), flag(C("finish") == 1).alias("label"), *_P)
+    d = st.stored_table(d, "train")
+    return rounded(nt.moments(d, nt.fit(d, list(_P), "label", [nt.Cell()])).select("term", "moment"), 5)
+
+
+@query("z10_random_search", None)
+def _(t):
+    return rounded(sc.random_search(folds(t)[0], FEATS, "label", sc.search_cells(FEATS, 24)), 4)
+
+
 @query("z11_auc_by_fold", f"""WITH {RE}, x AS (SELECT CAST((year(race_date) * 12 + month(race_date) - 1999 * 12 - 1) // 6 AS INT) AS fold, prob, CAST(finish = 1 AS INT) AS label FROM re WHERE race_date >= '1999-01-01'),
  k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY prob) + (count(*) OVER (PARTITION BY fold, prob) - 1) / 2.0 AS rk FROM x)
  SELECT fold, count(*) AS n, {r('(sum(rk) FILTER (label = 1) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * (count(*) - sum(label)))', 4)} AS auc, {r('avg(CAST(CAST(prob > 0.5 AS INT) = label AS INT))', 4)} AS accuracy FROM k GROUP BY fold""")

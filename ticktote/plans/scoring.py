@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture
@@ -18,7 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, sdiv
+from ticktote.operators import newton as nt
+from ticktote.operators.metrics import correlation_pairs
 from ticktote.operators.sequence import runs
+from ticktote.sources.storage import stored_table
 
 C = F.col
 
@@ -138,6 +142,12 @@ def importances(train: DataFrame, features: list[str], label: str, weak_share: f
     return d.withColumn("weak", (C("rank") > F.ceil(F.count(F.lit(1)).over(w) * (1 - weak_share))).cast("int"))
 
 
+def duplicate_features(df: DataFrame, features: list[str], threshold: float = 0.95) -> DataFrame:
+    """Pairs of features whose absolute correlation reaches the threshold, the strongest first."""
+    d = correlation_pairs(df, features).select("a", "b", F.abs("corr").alias("corr"))
+    return d.where(C("corr") >= threshold).orderBy(F.desc("corr"), "a", "b")
+
+
 def grid_search(d: DataFrame, features: list[str], label: str, ret: str, grid: list[dict], folds: Iterable[int]) -> DataFrame:
     """Fold profit factor of each parameter set; the grid is a short list."""
     rows = []
@@ -155,6 +165,29 @@ def grid_search(d: DataFrame, features: list[str], label: str, ret: str, grid: l
     return d.sparkSession.createDataFrame(rows, "grid int, params string, fold int, n bigint, pf double")
 
 
+def search_cells(features: list[str], draws: int, seed: int = 42) -> list[nt.Cell]:
+    """Random settings: penalty and class weight drawn on a logarithmic scale, and a random part of the features; the first is the plain model."""
+    rng = np.random.default_rng(seed)
+    cells = [nt.Cell()]
+    for _ in range(draws - 1):
+        kept = [f for f in features if rng.random() < rng.uniform(0.5, 1.0)] or features
+        cells.append(nt.Cell(float(10 ** rng.uniform(-5, 0)), float(10 ** rng.uniform(0, 1)), tuple(kept)))
+    return cells
+
+
+def random_search(d: DataFrame, features: list[str], label: str, cells: list[nt.Cell]) -> DataFrame:
+    """Mean area, loss and accuracy of each setting over the test rows of all folds, best first; d has fold and role.
+
+    All settings and folds are fitted together: one job for each Newton step, and one for all test rows.
+    """
+    x = stored_table(d.select("fold", "role", label, *features), "search")
+    fits = nt.fit(x.where("role = 'train'"), features, label, cells)
+    s = nt.evaluate(x.where("role = 'test'"), fits).groupBy("cell").agg(
+        F.count("auc").alias("folds"), F.sum("n").alias("n"), F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("std_auc"), F.avg("log_loss").alias("mean_loss"), F.avg("accuracy").alias("mean_accuracy"))
+    names = d.sparkSession.createDataFrame([(i, c.l2, c.positive_weight, ",".join(c.features or features)) for i, c in enumerate(cells)], "cell int, l2 double, positive_weight double, features string")
+    return names.join(s, "cell").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_auc"), "cell")))
+
+
 def auc_by_fold(scored: DataFrame, label: str, proba: str) -> DataFrame:
     """Area under the ROC curve and accuracy per fold, exact for ties, over all folds at once.
 
