@@ -11,7 +11,7 @@ from ticktote.functions.core import Seq, band, flag, rnd, rounded, sdiv
 from ticktote.operators import combos as cb
 from ticktote.operators.grid import threshold_grid
 from ticktote.operators.metrics import grouped_performance, pf
-from ticktote.operators.quantiles import exact_quantiles
+from ticktote.operators.quantiles import column_quantiles
 
 C = F.col
 Q = Seq("symbol", "ts")
@@ -133,7 +133,7 @@ def _(t):
 @query("a11_pattern_combination_grid", f"""WITH {_TIX}, x AS (SELECT *, prob * odds >= 1.1 + 1e-6 AS a, race_id % 3 = 0 AS b, odds >= 20 AS c FROM tickets WHERE ticket IN ('exacta', 'quinella'))
  SELECT ticket, pattern, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, {r('sum(hit * odds) / count(*)', 4)} AS roi FROM x, (SELECT unnest(['A', 'AB', 'AC', 'ABC']) AS pattern) WHERE a AND (pattern NOT LIKE '%B%' OR b) AND (pattern NOT LIKE '%C%' OR c) GROUP BY 1, 2""")
 def _(t):
-    d = cb.ticket_rows(t.entries(), 1e-9).where("ticket IN ('exacta', 'quinella')")
+    d = cb.ticket_rows(t.entries(), 1e-9, ("exacta", "quinella"))
     b, c = C("race_id") % 3 == 0, C("odds") >= 20
     pats = F.array_compact(F.array(F.lit("A"), F.when(b, "AB"), F.when(c, "AC"), F.when(b & c, "ABC")))
     # pre-aggregate by the pattern set, then spread the few combined rows
@@ -262,10 +262,7 @@ def _(t):
 @query("a22_quantile_baselines", f"WITH {BARS} SELECT symbol, {r('median(volume)')} AS median_volume, {r('quantile_cont(close, 0.98)')} AS q98_close, {r('quantile_cont(high - low, 0.2)')} AS q20_range FROM bars GROUP BY 1")
 def _(t):
     b = t.bars().withColumn("rng", C("high") - C("low"))
-    a = exact_quantiles(b, ["symbol"], "volume", {"median_volume": 0.5})
-    c = exact_quantiles(b, ["symbol"], "close", {"q98_close": 0.98})
-    d = exact_quantiles(b, ["symbol"], "rng", {"q20_range": 0.2})
-    return rounded(a.join(c, "symbol").join(d, "symbol"))
+    return rounded(column_quantiles(b, ["symbol"], {"median_volume": ("volume", 0.5), "q98_close": ("close", 0.98), "q20_range": ("rng", 0.2)}))
 
 
 @query("a23_period_summary", f"""WITH {BETS}, m AS (SELECT max(race_date) AS d FROM bets) SELECT strategy, {', '.join(f"count(*) FILTER ({c} AND hit = 1) AS {k}_wins, count(*) FILTER ({c} AND hit = 0) AS {k}_losses" for k, c in (("day", "race_date = d"), ("wtd", "race_date >= date_trunc('week', d)"), ("mtd", "race_date >= date_trunc('month', d)")))}, {r("coalesce(sum(CASE WHEN race_date >= date_trunc('month', d) THEN ret END), 0.0)")} AS mtd_pnl FROM bets, m GROUP BY 1""")

@@ -403,7 +403,22 @@ def _(t):
 
 @query("x3_needs_context_flag", "SELECT doc_id, CAST(regexp_matches(text, '@|https?:|[0-9]{3}-[0-9]{4}|[Ll]icen[cs]e') AS INT) AS needs_context FROM documents")
 def _(t):
-    return tx.needs_context(t.raw("documents"), "text").select("doc_id", "needs_context")
+    marks = ("@", "https?:", "[0-9]{3}-[0-9]{4}", "[Ll]icen[cs]e")
+    return tx.needs_context(t.raw("documents"), "text", marks).select("doc_id", "needs_context")
+
+
+_NEWS = [
+    "CEOが来月末で辞任", "CEOは続投し会長だけが年内に辞任する見込みと伝えた", "買収と業務提携を検討", "買収は見送り、提携の協議は続けると両社が繰り返し強調した", "規制の強化を来週発表", "後任は未定",
+    "条件付きで承認", "増益を発表", "新製品の発売", "株価は続伸", "規制", "提携"]
+
+
+@query("x3_news_context_flag", f"""WITH {ENTRIES}, c AS (SELECT race_id, car_no, list_extract({_NEWS!r}, CAST(motor_id % {len(_NEWS)} + 1 AS INT)) || '。' || list_extract({_NEWS!r}, CAST((racer_id + 5 * car_no) % {len(_NEWS)} + 1 AS INT)) AS text FROM entries)
+ SELECT race_id, car_no, CAST(regexp_matches(text, 'CEO.{{0,10}}辞任|買収.{{0,15}}提携|規制.{{0,20}}発表|後任|条件付き') AS INT) AS needs_context FROM c""")
+def _(t):
+    """Two headlines for each entry, some of which depend on their context."""
+    pick = lambda i: F.element_at(F.array(*map(F.lit, _NEWS)), (i % len(_NEWS) + 1).cast("int"))
+    d = t.entries().select("race_id", "car_no", F.concat_ws("。", pick(C("motor_id")), pick(C("racer_id") + 5 * C("car_no"))).alias("text"))
+    return tx.needs_context(d, "text").select("race_id", "car_no", "needs_context")
 
 
 _SEC = {"that": ["1001", "1002"], "ment": ["1002", "1003"], "sch": ["1004"]}

@@ -87,13 +87,13 @@ def _(t):
 
 @query("r10d_probability_threshold_purchase", f"WITH {_TIX} SELECT ticket, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, {r('sum(hit * odds) / count(*)', 4)} AS roi FROM tickets WHERE prob > 0.02 + 1e-6 GROUP BY 1")
 def _(t):
-    d = cb.ticket_rows(t.entries(), 1e-9).where(C("prob") > 0.02 + 1e-6)
+    d = cb.ticket_rows(t.entries(), 0.02 + 1e-6)
     return d.groupBy("ticket").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), rnd(F.sum(C("hit") * C("odds")) / F.count(F.lit(1)), 4).alias("roi"))
 
 
 @query("r10e_all_tickets_by_pattern", f"""WITH {_TIX} SELECT ticket, CASE WHEN odds + 1e-6 < 20 THEN 'solid' WHEN odds + 1e-6 < 100 THEN 'middle' ELSE 'long' END AS pattern, p_threshold, count(*) AS n, CAST(sum(hit) AS BIGINT) AS hits, {r('sum(hit * odds) / count(*)', 4)} AS roi FROM tickets, (SELECT unnest([0.01, 0.03, 0.1]::DOUBLE[]) AS p_threshold) WHERE prob >= p_threshold + 1e-7 GROUP BY 1, 2, 3""")
 def _(t):
-    d = cb.ticket_rows(t.entries(), 1e-9).withColumn("pattern", band(C("odds") + 1e-6, [20, 100], ["solid", "middle", "long"]))
+    d = cb.ticket_rows(t.entries(), 0.01).withColumn("pattern", band(C("odds") + 1e-6, [20, 100], ["solid", "middle", "long"]))
     g = threshold_grid(d, ["ticket", "pattern"], {"p_threshold": (C("prob") - 1e-7, [0.01, 0.03, 0.1])}, {"n": F.lit(1), "hits": C("hit"), "ret": C("hit") * C("odds")})
     return g.select("ticket", "pattern", "p_threshold", "n", "hits", rnd(C("ret") / C("n"), 4).alias("roi"))
 
@@ -142,7 +142,7 @@ def _(t):
 
 @query("r14_candidate_filter", f"WITH {_TIX} SELECT ticket, count(*) AS n, {r('avg(prob * odds)')} AS mean_ev FROM tickets WHERE prob * odds >= 1.1 + 1e-6 AND prob >= 0.01 + 1e-9 AND odds >= 5 + 1e-6 AND odds <= 500 - 1e-6 GROUP BY 1")
 def _(t):
-    d = cb.ticket_rows(t.entries(), 1e-9).where((C("prob") * C("odds") >= 1.1 + 1e-6) & (C("prob") >= 0.01 + 1e-9) & (C("odds") >= 5 + 1e-6) & (C("odds") <= 500 - 1e-6))
+    d = cb.ticket_rows(t.entries(), 0.01).where((C("prob") * C("odds") >= 1.1 + 1e-6) & (C("prob") >= 0.01 + 1e-9) & (C("odds") >= 5 + 1e-6) & (C("odds") <= 500 - 1e-6))
     return rounded(d.groupBy("ticket").agg(F.count(F.lit(1)).alias("n"), F.avg(C("prob") * C("odds")).alias("mean_ev")))
 
 

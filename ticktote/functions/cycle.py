@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ticktote.functions.core import clip, code_map, flag, sdiv
 
 C = F.col
-# Placement score by (line position, leg type), as position * 10 + leg.
-POSITION_LEG_SCORE = {10: 2.0, 11: 1.0, 22: 2.0, 23: 1.5, 33: 1.5, 32: 1.0, 1: 1.0, 0: 0.5, 13: -1.0, 20: -0.5}
+# Placement score of (line position, leg type, score); any other pair scores 0.
+POSITION_LEG_SCORE = [
+    (1, 0, 2.0), (1, 1, 1.0), (2, 2, 2.0), (2, 3, 1.5), (3, 3, 1.5), (3, 2, 1.0), (0, 1, 1.0), (0, 0, 0.5), (1, 3, -1.0), (2, 0, -0.5),
+]
 # Fixed values: (escape, makuri, sashi) base scores by bank length class.
 BANK_BASE = {"short": (0.75, 0.45, 0.35), "mid": (0.60, 0.55, 0.50), "long": (0.45, 0.65, 0.60)}
 BANK_FACTOR = {"short": (1.2, 0.8), "mid": (1.0, 1.0), "long": (0.7, 1.3)}
@@ -62,7 +64,8 @@ def season_tactics(df: DataFrame) -> DataFrame:
 
 def position_leg(df: DataFrame) -> DataFrame:
     p, leg = C("line_position"), C("leg_type")
-    d = df.withColumn("position_leg_score", code_map((p * 10 + leg).cast("int"), POSITION_LEG_SCORE, 0.0))
+    score = F.coalesce(*[F.when((p == a) & (leg == b), F.lit(v)) for a, b, v in POSITION_LEG_SCORE], F.lit(0.0))
+    d = df.withColumn("position_leg_score", score)
     return d.withColumns({
         "position_fit_x_points": C("position_leg_score") * C("race_points") / 100,
         "front_escape_combo": flag((p == 1) & (leg == 0)) * C("escape_rate"),

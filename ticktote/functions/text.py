@@ -102,8 +102,8 @@ def rule_sentiment(df: DataFrame, text: str, lexicon: dict[str, float]) -> DataF
     return d.withColumns({"label": lab, "confidence": F.least(F.lit(0.9), 0.5 + F.abs(x) * 0.4)}).drop("_h")
 
 
-# What marks a text that cannot be judged by itself.
-CONTEXT_PATTERNS = ("@", "https?:", "[0-9]{3}-[0-9]{4}", "[Ll]icen[cs]e")
+# News whose meaning depends on what else is said.
+CONTEXT_PATTERNS = ("CEO.{0,10}辞任", "買収.{0,15}提携", "規制.{0,20}発表", "後任", "条件付き")
 
 
 def needs_context(df: DataFrame, text: str, patterns: tuple[str, ...] = CONTEXT_PATTERNS) -> DataFrame:

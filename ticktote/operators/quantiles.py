@@ -2,46 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticktote.operators.sequence import null_safe_join
+from ticktote.operators.scan import prefix_scan
+from ticktote.sources.storage import stored_table
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, float], splits: int = 200) -> DataFrame:
-    """One row per key with a column per quantile.
+def exact_quantiles(df: DataFrame, keys: list[str], x: str, qs: dict[str, float]) -> DataFrame:
+    """One row per key with a column per quantile of x."""
+    return column_quantiles(df, keys, {name: (x, q) for name, q in qs.items()})
 
-    Values are counted first, so ties collapse before any shuffle of rows.
-    Approximate splitters cut each key into slices; slice counts tell which slice
-    holds a wanted rank, and only those slices are ordered. The splitters decide
-    how even the slices are, never the result.
+
+def column_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row per key with a column per quantile: name -> (column, share). NULLs are left out; a NULL key is a key.
+
+    All columns are stacked and counted by value at once, so ties collapse before rows move, and one prefix scan over
+    ranges of values gives the ranks of all of them. A column without values has NULL quantiles.
     """
-    k = keys or ["_k"]
-    d = df if keys else df.withColumn("_k", F.lit(0))
-    d = d.where(F.col(x).isNotNull()).groupBy(*k, F.col(x).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = d.groupBy(*k).agg(
-        F.percentile_approx("_x", [i / splits for i in range(1, splits)], 10 * splits).alias("_cuts"), F.sum("_n").alias("_total"))
-    d = null_safe_join(d, cuts, k, "inner")
-    d = d.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_x"))))
-    slices = d.groupBy(*k, "_b").agg(F.sum("_n").alias("_bn"))
-    w = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(*k, "_b", "_bn", F.coalesce(F.sum("_bn").over(w), F.lit(0)).alias("_before"))
-    ranks = F.array(*[F.struct(F.lit(name).alias("q"), (F.lit(q) * (F.col("_total") - 1)).alias("r")) for name, q in qs.items()])
-    slices = null_safe_join(slices, cuts.select(*k, "_total"), k, "inner")
-    lo, hi = F.col("_before"), F.col("_before") + F.col("_bn")
-    wanted = F.filter(ranks, lambda e: (F.floor(e["r"]) < hi) & (F.floor(e["r"]) + 1 >= lo))
-    slices = slices.where(F.size(wanted) > 0).select(*k, "_b", "_before", "_total")
-    d = null_safe_join(d.drop("_cuts", "_total"), slices, [*k, "_b"], "inner")
-    wb = Window.partitionBy(*k, "_b").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_hi", F.col("_before") + F.sum("_n").over(wb)).withColumn("_lo", F.col("_hi") - F.col("_n"))
-
-    def at(rank):
-        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_hi")), F.col("_x")))
+    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    key = F.to_json(F.struct(*keys)) if keys else F.lit("")
+    rows = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_x")) for c in cols]))
+    d = df.select(*keys, key.alias("_key"), rows.alias("_v")).select(*keys, "_key", "_v._col", "_v._x").where("_x is not null")
+    d = stored_table(d.groupBy(*keys, "_key", "_col", "_x").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    d = prefix_scan(d, ["_key", "_col"], ["_x"], sums={"_hi": "_n"}, store=False).join(d.groupBy("_key", "_col").agg(F.sum("_n").alias("_total")), ["_key", "_col"])
+    lo = F.col("_hi") - F.col("_n")
+
+    def at(column: str, rank):
+        return F.max(F.when((F.col("_col") == column) & (lo <= rank) & (rank < F.col("_hi")), F.col("_x")))
 
     out = []
-    for name, q in qs.items():
+    for name, (column, q) in wanted.items():
         r = F.lit(q) * (F.col("_total") - 1)
-        f = F.max(r - F.floor(r))
-        low, high = at(F.floor(r)), at(F.least(F.floor(r) + 1, F.col("_total") - 1))
+        f = F.max(F.when(F.col("_col") == column, r - F.floor(r)))
+        low, high = at(column, F.floor(r)), at(column, F.least(F.floor(r) + 1, F.col("_total") - 1))
         out.append((low + f * (high - low)).alias(name))
-    return d.groupBy(*k).agg(*out).select(*keys, *qs)
+    return d.groupBy(*keys).agg(*out)
