@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, clip
 from ticktote.operators.gram import pair_statistics
-from ticktote.operators.scan import chunked, prefix_scan
+from ticktote.operators.scan import _chunk_of, chunked, prefix_scan
 from ticktote.operators import indicators as ind
 from ticktote.operators import sequence as sq
 from ticktote.operators.asof import asof, asof_nearest
@@ -137,7 +137,7 @@ def test_state_scan_over_levels(spark, chunk, levels):
     assert got.state.tolist() == want
 
 
-@pytest.mark.parametrize("chunks", [1, 3, 64])
+@pytest.mark.parametrize("chunks", [1, 3, 64, 200])
 def test_prefix_scan_of_one_hot_key(spark, chunks):
     """One key holds most rows, all in one month and many on one day; small keys, a NULL key and NULL values beside it."""
     rng = np.random.default_rng(8)
@@ -164,6 +164,14 @@ def test_chunks_split_a_hot_key_evenly(spark):
     assert len(sizes) >= 12 and sizes.max() < 3 * 20_000 / 16
 
 
+@pytest.mark.parametrize("cuts,size", [(0, 1), (5, 8), (64, 64), (65, 65), (300, 300), (250, 300)])
+def test_chunk_of_counts_cut_points(spark, cuts, size):
+    points = [3 * i for i in range(cuts)]
+    d = spark.range(-5, 3 * cuts + 5).withColumn("cuts", F.array(*[F.lit(float(p)) for p in points]) if cuts else F.array().cast("array<double>"))
+    got = d.select("id", _chunk_of(F.col("cuts"), F.col("id").cast("double"), size).alias("c")).collect()
+    assert all(r["c"] == sum(p <= r["id"] for p in points) for r in got)
+
+
 def test_losing_streak_ignores_zero(spark):
     pnl = [-1, -1, 0, -1, 2, -1, 0, 0, -1, -1, 1, 0, -1]
     d = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(pnl)], "k string, t int, pnl double")

@@ -1,8 +1,7 @@
 """Ordered and unordered combinations of a race's entries.
 
 Pairs and triples are self joins on race_id. Entries already are partitioned by race,
-so the joins add no exchange, and the fan-out is bounded by the field size. Tickets are
-enumerated inside one row per race.
+so the joins add no exchange, and the fan-out is bounded by the field size.
 """
 
 from __future__ import annotations
@@ -64,59 +63,41 @@ TICKETS = ("exacta", "quinella", "wide", "trifecta", "trio")
 def ticket_rows(e: DataFrame, min_prob: float = 0.0, tickets: tuple[str, ...] = TICKETS) -> DataFrame:
     """Tickets of a probability above min_prob: (race_id, ticket, combo, prob, odds, hit).
 
-    A race is one array of its starters, strongest first, and its tickets are enumerated inside that row. A branch is
-    left as soon as its bound is not above min_prob: no order of finish is likelier than its first two cars in that
-    order, and no three cars than six times their strongest two as a pair. So the rows built are close to the rows
-    that stay, and one scan of the entries gives all tickets.
+    Branches are left before their third car is joined: no order of finish is likelier than its first two cars in that
+    order, and no three cars than six times their strongest two as a pair. So the rows built stay close to those kept.
     """
-    field = F.sort_array(F.collect_list(F.struct("prob", F.col("car_no").alias("car"), "disc", "finish")), asc=False)
-    d = e.groupBy("race_id").agg(field.alias("_f"))
-    f = F.col("_f")
+    cols = ["car_no", "prob", "disc", "finish"]
+    f = {i: F.col(f"finish{i}") for i in (1, 2, 3)}
+    p = {i: F.col(f"prob{i}") for i in (1, 2, 3)}
+    k = {i: F.col(f"car_no{i}") for i in (1, 2, 3)}
+    stronger = lambda a, b: (p[a] > p[b]) | ((p[a] == p[b]) & (k[a] > k[b]))
+    third = _side(e, cols, 3)
 
-    def row(name: str, cars: list[Column], prob: Column, disc: Column, hit: Column) -> Column:
-        return F.struct(F.lit(name).alias("ticket"), combo_key(*cars).alias("combo"), prob.alias("prob"), disc.alias("disc"), hit.cast("int").alias("hit"))
+    def row(ticket, prob, hit):
+        return F.struct(F.lit(ticket).alias("ticket"), prob.alias("prob"), hit.cast("int").alias("hit"))
 
-    def after(a: Column) -> Column:
-        return F.filter(f, lambda b: (b["prob"] < a["prob"]) | ((b["prob"] == a["prob"]) & (b["car"] < a["car"])))
+    def rows(d, combo, disc, made):
+        # generated columns: filters on them are not pushed down and re-derived per use
+        return d.select("race_id", combo.alias("combo"), disc.alias("disc"), F.explode(made).alias("t")).select("race_id", "combo", "disc", "t.*")
 
-    def leading(a: Column) -> Column:
-        return F.filter(f, lambda b: (b["car"] != a["car"]) & (p_exacta(a["prob"], b["prob"]) > min_prob))
-
-    def each(rows: Column, make) -> Column:
-        return F.flatten(F.transform(rows, make))
-
-    def unordered(*cars: Column) -> tuple[list[Column], Column]:
-        low = F.array_sort(F.array(*[F.struct(c["car"].alias("car"), c["disc"].alias("disc")) for c in cars]))
-        return [low[i]["car"] for i in range(len(cars))], low[0]["disc"]
-
-    def top(n: int, *cars: Column) -> Column:
-        out = F.lit(True)
-        for c in cars:
-            out = out & (c["finish"] <= n)
-        return out
-
-    def pair_tickets(a: Column, b: Column) -> Column:
-        cars, disc = unordered(a, b)
-        q = p_quinella(a["prob"], b["prob"])
-        made = {"quinella": row("quinella", cars, q, disc, top(2, a, b)), "wide": row("wide", cars, F.least(F.lit(1.0), 3 * q), disc, top(3, a, b))}
-        return F.array(*[made[t] for t in made if t in tickets])
-
-    def trio(a: Column, b: Column, c: Column) -> Column:
-        cars, disc = unordered(a, b, c)
-        return row("trio", cars, p_trio(a["prob"], b["prob"], c["prob"]), disc, top(3, a, b, c))
-
-    strong = F.filter(f, lambda a: a["prob"] > min_prob)
     parts = []
-    if "exacta" in tickets:
-        parts.append(each(strong, lambda a: F.transform(leading(a), lambda b: row("exacta", [a["car"], b["car"]], p_exacta(a["prob"], b["prob"]), a["disc"], (a["finish"] == 1) & (b["finish"] == 2)))))
-    if {"quinella", "wide"} & set(tickets):
-        parts.append(each(f, lambda a: each(after(a), lambda b: pair_tickets(a, b))))
+    if {"exacta", "quinella", "wide"} & set(tickets):
+        q = p_quinella(p[1], p[2])
+        two_top, in3 = (f[1] <= 2) & (f[2] <= 2), (f[1] <= 3) & (f[2] <= 3)
+        first = [row("exacta", p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2))] if "exacta" in tickets else []
+        both = {"quinella": row("quinella", q, two_top), "wide": row("wide", F.least(F.lit(1.0), 3 * q), in3)}
+        made = F.when(k[1] < k[2], F.array(*first, *[v for t, v in both.items() if t in tickets]))
+        parts.append(rows(pairs(e, cols), combo_key(k[1], k[2]), F.col("disc1"), made.otherwise(F.array(*first)) if first else made))
     if "trifecta" in tickets:
-        parts.append(each(strong, lambda a: each(leading(a), lambda b: F.transform(
-            F.filter(f, lambda c: (c["car"] != a["car"]) & (c["car"] != b["car"]) & (p_trifecta(a["prob"], b["prob"], c["prob"]) > min_prob)),
-            lambda c: row("trifecta", [a["car"], b["car"], c["car"]], p_trifecta(a["prob"], b["prob"], c["prob"]), a["disc"], (a["finish"] == 1) & (b["finish"] == 2) & (c["finish"] == 3))))))
+        d = pairs(e, cols).where(p_exacta(p[1], p[2]) > min_prob).join(third, "race_id").where((k[3] != k[1]) & (k[3] != k[2]))
+        made = F.array(row("trifecta", p_trifecta(p[1], p[2], p[3]), (f[1] == 1) & (f[2] == 2) & (f[3] == 3)))
+        parts.append(rows(d, combo_key(k[1], k[2], k[3]), F.col("disc1"), made))
     if "trio" in tickets:
-        paired = lambda a: F.filter(after(a), lambda b: 6 * p_quinella(a["prob"], b["prob"]) > min_prob)
-        parts.append(each(f, lambda a: each(paired(a), lambda b: F.transform(after(b), lambda c: trio(a, b, c)))))
-    u = d.select("race_id", F.explode(F.concat(*parts)).alias("t")).select("race_id", "t.*").where(F.col("prob") > min_prob)
-    return u.select("race_id", "ticket", "combo", "prob", exotic_odds(F.col("prob"), F.col("disc")).alias("odds"), "hit")
+        d = pairs(e, cols).where(stronger(1, 2) & (6 * p_quinella(p[1], p[2]) > min_prob)).join(third, "race_id").where(stronger(2, 3))
+        low = F.array_min(F.array(*[F.struct(k[i].alias("k"), F.col(f"disc{i}").alias("d")) for i in (1, 2, 3)]))["d"]
+        made = F.array(row("trio", p_trio(p[1], p[2], p[3]), (f[1] <= 3) & (f[2] <= 3) & (f[3] <= 3)))
+        parts.append(rows(d, F.array_join(F.sort_array(F.array(k[1], k[2], k[3])), "-"), low, made))
+    u = parts[0]
+    for more in parts[1:]:
+        u = u.unionByName(more)
+    return u.where(F.col("prob") > min_prob).select("race_id", "ticket", "combo", "prob", exotic_odds(F.col("prob"), F.col("disc")).alias("odds"), "hit")

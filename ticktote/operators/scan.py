@@ -15,6 +15,8 @@ from ticktote.sources.storage import stored_table
 
 #: rows of a chunk beyond the parallelism of the session, and sampled rows for each cut
 CHUNK_ROWS, PER_CUT = 1 << 20, 16
+#: comparisons that are compiled into one expression
+TREE = 64
 
 
 def _sort_key(keys: list[str], order: list[str]) -> Column:
@@ -31,21 +33,38 @@ def cut_points(df: DataFrame, keys: list[str], order: list[str], chunks: int) ->
     sample = df.select(*names).groupBy(F.pmod(F.xxhash64(*names), F.lit(PER_CUT * chunks)).alias("_bucket"))
     sample = sample.agg(F.min_by(_sort_key(keys, order), F.xxhash64(F.lit(1), *names)).alias("_s"))
     ranked = sample.select("_s", F.row_number().over(Window.orderBy("_s")).alias("_r"), F.count(F.lit(1)).over(Window.partitionBy()).alias("_n"))
-    # every (n / chunks)th row of the sample, which may be smaller than asked for
-    step = F.greatest(F.lit(1), F.floor(F.col("_n") / chunks))
-    cuts = ranked.where((F.col("_r") % step == 0) & (F.col("_r") < F.col("_n"))).agg(F.sort_array(F.collect_list("_s")).alias("_cuts"))
+    # chunks - 1 rows at even distances in the sample, or fewer if it is smaller
+    part = lambda r: F.floor(r * chunks / F.col("_n"))
+    cuts = ranked.where((part(F.col("_r")) != part(F.col("_r") - 1)) & (F.col("_r") < F.col("_n"))).agg(F.sort_array(F.collect_list("_s")).alias("_cuts"))
     return stored_table(cuts, "cuts")
 
 
-def _chunk_of(cuts: Column, value: Column, steps: int) -> Column:
-    """Number of cut points that are at most value, by binary search."""
+def _chunk_of(cuts: Column, value: Column, size: int) -> Column:
+    """Number of cut points, of at most size, that are at most value.
+
+    A tree of comparisons, which compiles, for as many as TREE of them; with more, the tree finds the stretch between
+    two of them, and a binary search goes on inside it.
+    """
+    stride = -(-size // TREE)
+    below = lambda i: F.coalesce(value < F.get(cuts, i), F.lit(True))
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(below(F.lit(mid * stride + stride - 1)), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    found = tree(0, size // stride)
+    if stride == 1:
+        return found
+
     def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        done, below = s["lo"] >= s["hi"], value < F.get(cuts, mid)
-        return F.struct(F.when(done | below, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(~done & below, mid).otherwise(s["hi"]).alias("hi"))
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        left = (s["lo"] < s["hi"]) & below(mid)
+        return F.struct(F.when((s["lo"] >= s["hi"]) | left, s["lo"]).otherwise(mid + 1).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi"))
 
-    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+    start = F.struct((found * stride).alias("lo"), F.least(found * stride + stride - 1, F.size(cuts)).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(stride.bit_length() + 1)), start, halve)["lo"]
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], *, chunks: int | None = None, store: bool = True) -> DataFrame:
@@ -58,7 +77,7 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], *, chunks: int | N
     if chunks is None:
         chunks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-src.count() // CHUNK_ROWS))
     cuts = cut_points(src, keys, order, chunks)
-    found = _chunk_of(F.col("_cuts"), _sort_key(keys, order), (PER_CUT * chunks).bit_length() + 1)
+    found = _chunk_of(F.col("_cuts"), _sort_key(keys, order), chunks)
     return src.join(F.broadcast(cuts)).select(*df.columns, found.alias("_chunk"))
 
 
