@@ -393,6 +393,6 @@ def _(t):
     """Every target with every other instrument as its leader."""
     from ticktote.plans.features import stock_baseline
 
-    names = t.bars().select("symbol").distinct()
-    pairs = names.select(F.col("symbol").alias("target")).join(names.select(F.col("symbol").alias("leader")), F.col("target") != F.col("leader"))
+    one, other = F.struct(F.col("left_symbol").alias("target"), F.col("right_symbol").alias("leader")), F.struct(F.col("right_symbol").alias("target"), F.col("left_symbol").alias("leader"))
+    pairs = pair_statistics(t.bars(), x="close").select(F.explode(F.array(one, other)).alias("p")).select("p.*")
     return rounded(stock_baseline(t.bars(), pairs))
