@@ -101,7 +101,7 @@ def test_kelly_cases(spark):
 def test_trade_metrics_edges(spark):
     rows = [("w", 1, 0.1), ("w", 2, 0.2), ("x", 1, 0.5), ("x", 2, -0.3), ("x", 3, -0.2), ("x", 4, 0.1), ("o", 1, -0.1)]
     d = spark.createDataFrame(rows, "k string, t int, ret double")
-    m = me.trade_metrics(d, ["k"], "ret", ["t"], F.expr("t div 2")).toPandas().set_index("k")
+    m = me.trade_metrics(d, ["k"], "ret", ["t"]).toPandas().set_index("k")
     assert pd.isna(m.loc["w", "pf"]) and m.loc["w", "mdd"] == 0 and pd.isna(m.loc["o", "sharpe"])
     eq = 1 + np.cumsum([0.5, -0.3, -0.2, 0.1])
     pk = np.maximum.accumulate(eq)
@@ -124,7 +124,7 @@ def test_pairwise_limit_takes_hash_order(spark):
 
 def test_purged_folds_keep_embargo(spark):
     d = spark.range(103).select(F.lit("k").alias("k"), C("id").alias("t"))
-    x = lb.purged_kfold(lb.positions(d, ["k"], ["t"], F.expr("t div 20")), 5, 4).toPandas()
+    x = lb.purged_kfold(lb.positions(d, ["k"], ["t"], chunks=4), 5, 4).toPandas()
     assert sorted(x[x.role == "test"].pos) == list(range(103))
     for f, g in x.groupby("fold"):
         te, tr = set(g[g.role == "test"].pos), set(g[g.role == "train"].pos)

@@ -14,6 +14,7 @@ from ticktote.operators import indicators as ind
 from ticktote.operators import sequence as sq
 from ticktote.operators.asof import asof, asof_nearest
 from ticktote.operators.automaton import pair_position, state_scan
+from ticktote.operators.pyramid import long_exits
 from ticktote.operators.quantiles import exact_quantiles
 from ticktote.operators.recurrence import ewm
 from ticktote.operators.touch import first_touch, triple_barrier
@@ -91,6 +92,39 @@ def test_numbering_running_and_halo(spark):
         sq.with_halo(num, ["symbol"], "pos", 8, back=9)
 
 
+@pytest.mark.parametrize("horizon,block", [(10_000, None), (37, 4), (1, None)])
+def test_long_exits_over_the_pyramid(spark, horizon, block):
+    rng = np.random.default_rng(12)
+    cells, parts = [(3.0, 5.0), (20.0, 20.0), (500.0, 900.0)], []
+    for k, n in (("a", 700), ("b", 45), ("c", 1)):
+        close = 100 + rng.standard_normal(n).cumsum()
+        parts.append(pd.DataFrame({"symbol": k, "ts": pd.date_range("2024-01-01", periods=n, freq="h"), "close": close, "high": close + rng.random(n), "low": close - rng.random(n), "side": rng.choice([1, -1], n), "unit": 1.0}))
+    p = pd.concat(parts, ignore_index=True)
+    d = spark.createDataFrame(p).withColumn("unit", F.when(F.hour("ts") != 5, F.col("unit")))
+    got = long_exits(d, ["symbol"], ["ts"], cells, "side", "unit", horizon, block).toPandas()
+    want = {}
+    for k, g in p.groupby("symbol"):
+        c, hi, lo, sd, ts = (g[x].to_numpy() for x in ("close", "high", "low", "side", "ts"))
+        for i in range(len(g)):
+            for sl, tp in cells:
+                stop, take = c[i] - sd[i] * sl, c[i] + sd[i] * tp
+                out = (None, None, None)
+                if pd.Timestamp(ts[i]).hour != 5 and i + 1 < len(g):
+                    end = min(i + horizon, len(g) - 1)
+                    out = ("time_exit", c[end], end - i)
+                    a, z = slice(i + 1, end + 1), sd[i] > 0
+                    s, t = (lo[a] <= stop, hi[a] >= take) if z else (hi[a] >= stop, lo[a] <= take)
+                    if (s | t).any():
+                        j = int(np.argmax(s | t))
+                        out = ("stop_loss", stop, j + 1) if s[j] else ("take_profit", take, j + 1)
+                want[k, pd.Timestamp(ts[i]), sl, tp] = out
+    assert len(got) == len(want)
+    for r in got.itertuples():
+        why, price, held = want[r.symbol, r.ts, r.sl_mult, r.tp_mult]
+        assert (r.exit_reason if isinstance(r.exit_reason, str) else None) == why
+        assert why is None or (abs(r.exit_price - price) < 1e-9 and r.bars_held == held)
+
+
 @pytest.mark.parametrize("tile,slab", [(64, 4096), (3, 20)])
 def test_pair_statistics(spark, tile, slab):
     """All pairs against pandas: missing rows, NULLs, NaN, a constant, a NULL key, an instrument without company."""

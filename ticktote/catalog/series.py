@@ -92,6 +92,24 @@ def _(t):
     return rounded(d.select("symbol", "ts", "exit_reason", "exit_price", F.col("bars_held").cast("double").alias("bars_held")))
 
 
+_LONG = [(4.0, 4.0), (4.0, 8.0), (8.0, 12.0)]
+
+
+@query("j12_first_touch_long", f"""WITH {BARS}, {_TR}, a AS (SELECT symbol, ts, high, low, close, {roll('avg', 'tr', 14)} AS atr, CASE WHEN close < open THEN 1 ELSE -1 END AS side, row_number() {W} AS rn, count(*) OVER (PARTITION BY symbol) AS n FROM tr),
+ g AS (SELECT * FROM (VALUES {', '.join(f'({s}::DOUBLE, {t}::DOUBLE)' for s, t in _LONG)}) AS g(sl_mult, tp_mult)), e AS (SELECT a.*, sl_mult, tp_mult, close - side * atr * sl_mult AS sl, close + side * atr * tp_mult AS tp FROM a CROSS JOIN g WHERE atr IS NOT NULL),
+ x AS (SELECT e.symbol, e.ts, e.sl_mult, e.tp_mult, p.rn - e.rn AS k, CASE WHEN e.side > 0 THEN p.low <= e.sl ELSE p.high >= e.sl END AS stop, CASE WHEN e.side > 0 THEN p.high >= e.tp ELSE p.low <= e.tp END AS take, p.close AS pc FROM e JOIN a p ON p.symbol = e.symbol AND p.rn BETWEEN e.rn + 1 AND e.rn + 240),
+ h AS (SELECT symbol, ts, sl_mult, tp_mult, min(k) FILTER (stop OR take) AS k, max(k) AS kmax, arg_min(stop, k) FILTER (stop OR take) AS stop, arg_max(pc, k) AS pc FROM x GROUP BY 1, 2, 3, 4)
+ SELECT e.symbol, e.ts, e.sl_mult, e.tp_mult, CASE WHEN kmax IS NULL THEN NULL WHEN k IS NULL THEN 'time_exit' WHEN stop THEN 'stop_loss' ELSE 'take_profit' END AS exit_reason, {r('CASE WHEN k IS NULL THEN pc WHEN stop THEN sl ELSE tp END')} AS exit_price, CAST(coalesce(k, kmax) AS DOUBLE) AS bars_held
+ FROM e LEFT JOIN h ON h.symbol = e.symbol AND h.ts = e.ts AND h.sl_mult = e.sl_mult AND h.tp_mult = e.tp_mult""")
+def _(t):
+    """Ten days of bars ahead, three pairs of barriers over one pyramid."""
+    from ticktote.operators.pyramid import long_exits
+
+    b = ind.atr_simple(t.bars()).withColumn("side", F.when(F.col("close") < F.col("open"), 1).otherwise(-1))
+    d = long_exits(b, ["symbol"], ["ts"], _LONG, "side", "atr", 240).where("atr is not null")
+    return rounded(d.select("symbol", "ts", "sl_mult", "tp_mult", "exit_reason", "exit_price", F.col("bars_held").cast("double").alias("bars_held")))
+
+
 @query("j14_pair_common_dates", f"""WITH {BARS} SELECT a.symbol AS left_symbol, b.symbol AS right_symbol, count(*) AS n_common, {r('corr(ln(a.close), ln(b.close))')} AS corr
  FROM bars a JOIN bars b ON a.ts = b.ts AND a.symbol < b.symbol WHERE NOT (a.symbol = 'click' AND b.symbol = 'error') GROUP BY 1, 2 HAVING count(*) >= 60""")
 def _(t):
