@@ -73,12 +73,12 @@ def ticket_rows(e: DataFrame, min_prob: float = 0.0, tickets: tuple[str, ...] =
     stronger = lambda a, b: (p[a] > p[b]) | ((p[a] == p[b]) & (k[a] > k[b]))
     third = _side(e, cols, 3)
 
-    def row(ticket, prob, hit):
-        return F.struct(F.lit(ticket).alias("ticket"), prob.alias("prob"), hit.cast("int").alias("hit"))
+    def row(ticket, prob, hit, disc=F.col("disc1")):
+        return F.struct(F.lit(ticket).alias("ticket"), prob.alias("prob"), hit.cast("int").alias("hit"), disc.alias("disc"))
 
-    def rows(d, combo, disc, made):
+    def rows(d, combo, made):
         # generated columns: filters on them are not pushed down and re-derived per use
-        return d.select("race_id", combo.alias("combo"), disc.alias("disc"), F.explode(made).alias("t")).select("race_id", "combo", "disc", "t.*")
+        return d.select("race_id", combo.alias("combo"), F.explode(made).alias("t")).select("race_id", "combo", "t.*")
 
     parts = []
     if {"exacta", "quinella", "wide"} & set(tickets):
@@ -87,16 +87,16 @@ def ticket_rows(e: DataFrame, min_prob: float = 0.0, tickets: tuple[str, ...] =
         first = [row("exacta", p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2))] if "exacta" in tickets else []
         both = {"quinella": row("quinella", q, two_top), "wide": row("wide", F.least(F.lit(1.0), 3 * q), in3)}
         made = F.when(k[1] < k[2], F.array(*first, *[v for t, v in both.items() if t in tickets]))
-        parts.append(rows(pairs(e, cols), combo_key(k[1], k[2]), F.col("disc1"), made.otherwise(F.array(*first)) if first else made))
+        parts.append(rows(pairs(e, cols), combo_key(k[1], k[2]), made.otherwise(F.array(*first)) if first else made))
     if "trifecta" in tickets:
         d = pairs(e, cols).where(p_exacta(p[1], p[2]) > min_prob).join(third, "race_id").where((k[3] != k[1]) & (k[3] != k[2]))
         made = F.array(row("trifecta", p_trifecta(p[1], p[2], p[3]), (f[1] == 1) & (f[2] == 2) & (f[3] == 3)))
-        parts.append(rows(d, combo_key(k[1], k[2], k[3]), F.col("disc1"), made))
+        parts.append(rows(d, combo_key(k[1], k[2], k[3]), made))
     if "trio" in tickets:
         d = pairs(e, cols).where(stronger(1, 2) & (6 * p_quinella(p[1], p[2]) > min_prob)).join(third, "race_id").where(stronger(2, 3))
         low = F.array_min(F.array(*[F.struct(k[i].alias("k"), F.col(f"disc{i}").alias("d")) for i in (1, 2, 3)]))["d"]
-        made = F.array(row("trio", p_trio(p[1], p[2], p[3]), (f[1] <= 3) & (f[2] <= 3) & (f[3] <= 3)))
-        parts.append(rows(d, F.array_join(F.sort_array(F.array(k[1], k[2], k[3])), "-"), low, made))
+        made = F.array(row("trio", p_trio(p[1], p[2], p[3]), (f[1] <= 3) & (f[2] <= 3) & (f[3] <= 3), low))
+        parts.append(rows(d, F.array_join(F.sort_array(F.array(k[1], k[2], k[3])), "-"), made))
     u = parts[0]
     for more in parts[1:]:
         u = u.unionByName(more)
