@@ -7,6 +7,7 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ticktote.functions import betting as bt
@@ -169,3 +170,40 @@ def test_field_size_is_a_checked_contract(spark):
 
 def test_all_orders_of_three():
     assert len(list(permutations(range(3)))) == 6
+
+
+@pytest.mark.parametrize("min_prob", [0.0, 0.004, 0.05, 0.3])
+def test_tickets_above_a_probability(spark, min_prob):
+    """All five tickets of each race against an enumeration of its orders; bounds cut off no ticket that counts."""
+    from itertools import combinations, permutations
+
+    from ticktote.operators.combos import ticket_rows
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for race, n in enumerate([1, 2, 3, 5, 7, 7]):
+        w = rng.random(n) ** 3 + 0.01
+        rows += [(race, car + 1, float(x), 0.01 * car, int(f) + 1) for car, (x, f) in enumerate(zip(w / w.sum(), rng.permutation(n)))]
+    d = spark.createDataFrame(rows, "race_id long, car_no int, prob double, disc double, finish int")
+    want = {}
+    for race in range(6):
+        e = {c: (p, f) for r, c, p, _, f in rows if r == race}
+        order = lambda cs: float(np.prod([e[c][0] / (1 - sum(e[b][0] for b in cs[:i])) for i, c in enumerate(cs)]))
+        top = lambda cs, n: int(all(e[c][1] <= n for c in cs))
+        placed = lambda cs: int(all(e[c][1] == i + 1 for i, c in enumerate(cs)))
+        for cs in permutations(e, 2):
+            want[race, "exacta", cs] = (order(cs), placed(cs))
+        for cs in combinations(sorted(e), 2):
+            q = order(cs) + order(cs[::-1])
+            want[race, "quinella", cs], want[race, "wide", cs] = (q, top(cs, 2)), (min(1.0, 3 * q), top(cs, 3))
+        for cs in permutations(e, 3):
+            want[race, "trifecta", cs] = (order(cs), placed(cs))
+        for cs in combinations(sorted(e), 3):
+            want[race, "trio", cs] = (sum(map(order, permutations(cs))), top(cs, 3))
+    # a denominator of zero, where two or three cars are all there are, gives no probability or one up to rounding
+    want = {k: v for k, v in want.items() if min_prob < v[0] < 1e6 and abs(v[0] - min_prob) > 1e-9 and len([r for r in rows if r[0] == k[0]]) > 3}
+    got = {(r["race_id"], r["ticket"], tuple(map(int, r["combo"].split("-")))): (r["prob"], r["hit"]) for r in ticket_rows(d, min_prob).where("race_id >= 3").collect()}
+    assert set(got) == set(want)
+    assert all(abs(got[k][0] - v[0]) < 1e-9 and got[k][1] == v[1] for k, v in want.items())
+    few = ticket_rows(d, min_prob, ("trio",)).select("ticket").distinct().collect()
+    assert {r["ticket"] for r in few} <= {"trio"}
