@@ -11,8 +11,8 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from ticktote.llm.common import shared_table
 
 END = "\n"
 CACHE_WORDS = 400_000
-CACHE_CORES = 500_000
+CACHE_CORES = 300_000
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 SLICE_CHARS = 500_000
 
@@ -40,7 +40,12 @@ _BYTE_LETTERS = _byte_letters()
 
 
 def _as_bytes(text: str) -> str:
-    return "".join(_BYTE_LETTERS[b] for b in text.encode())
+    return text.encode().decode("latin-1").translate(_BYTE_LETTERS)
+
+
+def _packed(ids: Iterable[int]) -> bytes:
+    """Ids as bytes, which take a fifth of the memory of a list of numbers."""
+    return array("I", ids).tobytes()
 
 
 class _Codes(dict):
@@ -69,33 +74,42 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok, self.end_id = Tokenizer.from_file(path), end_id
-        self.cores: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {"": []}
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         self.by_parts = all(self._whole(core + tail) == self._core(core) + self._whole(tail) for core, tail in (("onhe", ","), ("Éa", "!!"), ("THENHE", "$$$"), ("ß", ".'"), ("abc", "")))
         self._clear()
 
-    def _whole(self, word: str) -> list[int]:
-        return self.tok.encode(word, add_special_tokens=False).ids
+    def _whole(self, word: str) -> bytes:
+        return _packed(self.tok.encode(word, add_special_tokens=False).ids)
 
-    def _core(self, core: str) -> list[int]:
+    def _core(self, core: str) -> bytes:
         low = core.lower()
-        ids = self.cores.get(low)
-        if ids is None:
-            if len(self.cores) > CACHE_CORES:
-                self.cores.clear()
-            ids = self.cores[low] = [t.id for t in self.tok.model.tokenize(low if low.isascii() else _as_bytes(low))]
-        return ids
-
-    def _ids(self, word: str) -> list[int]:
-        m = _PARTS.fullmatch(word) if self.by_parts else None
-        if not m:
-            return self._whole(word)
-        core, tail = m.groups()
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails = {"": []}
-            self.tails[tail] = self._whole(tail)
-        return self._core(core) + self.tails[tail]
+        return _packed([t.id for t in self.tok.model.tokenize(low if low.isascii() else _as_bytes(low))])
+
+    def _all_ids(self, words: list[str]) -> list[bytes]:
+        if not self.by_parts:
+            return [self._whole(w) for w in words]
+        if len(self.cores) > CACHE_CORES:
+            self.cores.clear()
+        if len(self.tails) > 10_000:
+            self.tails = {"": b""}
+        cores, tails, parts, out = self.cores, self.tails, _PARTS.fullmatch, []
+        for w in words:
+            m = parts(w)
+            if not m:
+                out.append(self._whole(w))
+                continue
+            core, tail = m.groups()
+            low = core.lower()
+            ids = cores.get(low)
+            if ids is None:
+                ids = cores[low] = self._core(low)
+            if tail:
+                if tail not in tails:
+                    tails[tail] = self._whole(tail)
+                ids += tails[tail]
+            out.append(ids)
+        return out
 
     def _clear(self) -> None:
         self.code = _Codes(["", END])
@@ -103,10 +117,10 @@ class WordTokenizer:
         self.start, self.count = np.array([0, 0]), np.array([0, 1])
 
     def _learn(self) -> None:
-        got = [self._ids(w) for w in self.code.fresh]
+        got = self._all_ids(self.code.fresh)
         self.code.fresh.clear()
-        counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        flat = np.fromiter(chain.from_iterable(got), dtype=np.uint32, count=int(counts.sum()))
+        counts = np.fromiter(map(len, got), dtype=np.int64, count=len(got)) // 4
+        flat = np.frombuffer(b"".join(got), dtype=np.uint32)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
         self.ids = np.concatenate([self.ids, flat])
