@@ -131,6 +131,16 @@ def test_near_components(spark, frequent, small):
     assert {r["id"]: r["n_shingles"] for r in got} == n
 
 
+def test_words_of_one_polynomial_are_told_apart(spark):
+    """The Thue-Morse word and its complement share every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ f] for b in bits) for f in (0, 1))
+    hashes, _ = textops.word_hashes(np.frombuffer(f"{one} {two} {one.upper()}".encode(), dtype=np.uint8), np.array([0, 3 * 1024 + 2]))
+    assert hashes[0] != hashes[1] and hashes[0] == hashes[2]
+    got = {r["id"]: r["component_id"] for r in ngram_join.near_components(frame(spark, [(1, one), (2, two), (3, one.upper())])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_near_components_edges(spark):
     assert ngram_join.near_components(frame(spark, [])).count() == 0
     got = {r["id"]: r["component_id"] for r in ngram_join.near_components(frame(spark, [(None, "some words without an id"), (5, None), (6, "b c"), (6, "b c")])).collect()}

@@ -16,8 +16,7 @@ _FOLD[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(20_240_229).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = 0x9E3779B97F4A7C15
 _LANES = np.random.default_rng(7).integers(1, 2**63, SHINGLE, dtype=np.uint64) * _U(2) + _U(1)
 
 
@@ -29,15 +28,6 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POWERS = [_powers(_BASE, 2 * SLICE_BYTES), _powers(_INVERSE, 2 * SLICE_BYTES)]
-
-
 def columns(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a text column and the n + 1 offsets of its rows; null is empty."""
     a = batch.column(i).cast(pa.large_binary()).fill_null(b"")
@@ -78,9 +68,18 @@ def _hash_words(data: np.ndarray, cuts: np.ndarray, bytes_of: int | None = None)
     last[:-1] = np.minimum(last[:-1], first[1:])
     if bytes_of:
         last = np.minimum(last, first + bytes_of)
-    up, down = (p[: len(data)] if len(data) <= len(p) else _powers(b, len(data)) for p, b in zip(_POWERS, (_BASE, _INVERSE), strict=True))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[fold] * up, dtype=np.uint64)])
-    return mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64)), first
+    # each byte and its place in the word are mixed before they are summed, so that no words are made to share a sum
+    place = np.arange(len(data), dtype=np.uint64)
+    from_first = np.repeat(first.astype(np.uint64), np.diff(np.concatenate([first, [len(data)]])))
+    place[first[0] :] -= from_first
+    place *= _U(_STEP)
+    place += _BYTE[fold]
+    place ^= place >> _U(29)
+    place *= _U(0xBF58476D1CE4E5B9)
+    place ^= place >> _U(32)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(place, out=total[1:])
+    return mix(total[last] - total[first] + (last - first).astype(np.uint64)), first
 
 
 def word_hashes(data: np.ndarray, off: np.ndarray, bytes_of: int | None = None) -> tuple[np.ndarray, np.ndarray]:
