@@ -21,12 +21,6 @@ def occurrences(text: str | Column, word: str) -> Column:
     return ((F.length(t) - F.length(F.replace(t, F.lit(word)))) / len(word)).cast("int")
 
 
-def lexicon_terms(text: str | Column, lexicon: dict[str, float]) -> Column:
-    """Array of (word, weight, count) of the lexicon words found."""
-    arr = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(float(v)).alias("v"), occurrences(text, w).alias("n")) for w, v in lexicon.items()])
-    return F.filter(arr, lambda e: e["n"] > 0)
-
-
 def hourly_mean(df: DataFrame, ts: str, x: str) -> DataFrame:
     return df.groupBy(F.date_trunc("hour", ts).cast("timestamp_ntz").alias(ts)).agg(F.avg(x).alias(x))
 
@@ -60,20 +54,24 @@ def keyword_sentiment(
     """Comment scores: tanh of half the weighted keyword sum (a negation halves a positive
     score), confidence from sure and unsure words, worst injury word, counts, length.
 
-    Everything is expressions over the whole text; keywords are counted separately, so a
-    word inside a longer keyword counts for both.
+    The keywords are looked up in one pass over the whole text, whatever their number; a word inside a longer keyword
+    counts for both.
     """
+    from ticktote.functions.lexicon import counts_by_value, lexicon_hits
+
     weights = weights if weights is not None else {**POSITIVE_KEYWORDS, **NEGATIVE_KEYWORDS}
     injury = injury if injury is not None else INJURY_KEYWORDS
     confident = confident if confident is not None else CONFIDENT
     doubtful = doubtful if doubtful is not None else DOUBTFUL
     c = F.col(text)
-    d = df.withColumn("_hit", lexicon_terms(c, weights))
-    total = F.aggregate("_hit", F.lit(0.0), lambda a, e: a + e["v"] * e["n"])
-    count = lambda keep: F.aggregate(F.filter("_hit", keep), F.lit(0), lambda a, e: a + e["n"])
-    hi = sum((occurrences(c, w) for w in confident), F.lit(0))
-    lo = sum((occurrences(c, w) for w in doubtful), F.lit(0))
-    inj = F.greatest(F.lit(0.0), *[F.when(c.contains(w), F.lit(v)).otherwise(0.0) for w, v in injury.items()]) if injury else F.lit(0.0)
+    d = df.withColumn("_hit", lexicon_hits(c, [*weights, *injury, *confident, *doubtful]))
+    counted = lambda values: counts_by_value(c, F.col("_hit"), values)
+    by_weight = counted(weights)
+    total = sum((F.lit(v) * n for v, n in by_weight.items()), F.lit(0.0))
+    count = lambda keep: sum((n for v, n in by_weight.items() if keep(v)), F.lit(0))
+    hi = sum(counted(dict.fromkeys(confident, 1.0)).values(), F.lit(0))
+    lo = sum(counted(dict.fromkeys(doubtful, 1.0)).values(), F.lit(0))
+    inj = F.greatest(F.lit(0.0), F.lit(0.0), *[F.when(n > 0, F.lit(v)).otherwise(0.0) for v, n in counted(injury).items()])
     d = d.withColumns({"_total": total, "_hi": hi, "_lo": lo})
     raw = F.tanh(F.col("_total") / 2)
     blank = c.isNull() | (F.trim(c) == "")
@@ -84,8 +82,8 @@ def keyword_sentiment(
         "sentiment_score": zero(F.when(c.rlike(negation) & (raw > 0), raw * 0.5).otherwise(raw), 0.0),
         "confidence_score": zero(conf, 0.0),
         "injury_flag": zero(inj, 0.0),
-        "n_positive": zero(count(lambda e: e["v"] > 0), 0),
-        "n_negative": zero(count(lambda e: e["v"] < 0), 0),
+        "n_positive": zero(count(lambda v: v > 0), 0),
+        "n_negative": zero(count(lambda v: v < 0), 0),
         "length": zero(F.length(c), 0),
     }).drop("_hit", "_total", "_hi", "_lo")
 
