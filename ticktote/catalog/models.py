@@ -28,9 +28,11 @@ def rows(t):
 
 
 def split(t):
+    """Rows before and from the cut, written once, as fits and scores read them many times."""
     cut = F.lit("1999-07-01").cast("timestamp_ntz")
-    d = rows(t)
-    return d.where(C("race_date") < cut), d.where(C("race_date") >= cut)
+    d = rows(t).where(C("race_date").isNotNull()).withColumn("later", C("race_date") >= cut)
+    d = st.stored_table(d, "split")
+    return d.where(~C("later")).drop("later"), d.where("later").drop("later")
 
 
 def folds(t):
@@ -40,6 +42,12 @@ def folds(t):
     return lb.month_folds(d, "race_date", "1999-01-01", 6, n), range(n)
 
 
+def blocks(t):
+    """The same folds as one stored table: each row once, with the fold that tests it as its block, and their number."""
+    d = st.stored_table(lb.month_blocks(rows(t), "race_date", "1999-01-01", 6), "blocks")
+    return d, int(d.agg(F.coalesce(F.max("block"), F.lit(-1)) + 1).first()[0])
+
+
 @query("z1_five_voter_ensemble", None)
 def _(t):
     tr, te = split(t)
@@ -89,8 +97,8 @@ def _(t):
 
 @query("z6_walk_forward_scores", None)
 def _(t):
-    d, ks = folds(t)
-    s = sc.walk_forward_scores(d, FEATS, "label", ks, trees=5, depth=3)
+    d, n = blocks(t)
+    s = sc.walk_forward_scores(d, FEATS, "label", range(n), trees=5, depth=3)
     return rounded(s.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg(flag(C("vote") == C("label"))).alias("accuracy"), F.avg("agreement").alias("mean_agreement")), 4)
 
 
@@ -121,8 +129,8 @@ def _(t):
 
 @query("z10_grid_search", None)
 def _(t):
-    d, ks = folds(t)
-    return rounded(sc.grid_search(d, FEATS, "label", "ret", [{"numTrees": n, "maxDepth": k} for n in (5, 10) for k in (3, 5)], ks), 4)
+    d, k = blocks(t)
+    return rounded(sc.grid_search(d, FEATS, "label", "ret", [{"numTrees": n, "maxDepth": m} for n in (5, 10) for m in (3, 5)], range(k)), 4)
 
 
 _FOLDS = """g AS (SELECT unnest(range(CAST((SELECT (year(max(race_date)) * 12 + month(max(race_date)) - 1999 * 12 - 1) // 6 + 1 FROM re) AS BIGINT))) AS fold),
@@ -139,9 +147,12 @@ def _(t):
     """
     from ticktote.operators import newton as nt
 
-    d = st.stored_table(folds(t)[0].where("role = 'train'").select("fold", "label", *FEATS), "train")
-    m = nt.moments(d, nt.fit(d, FEATS, "label", [nt.Cell()])).drop("cell")
-    return rounded(m.join(d.groupBy("fold").agg(F.count(F.lit(1)).alias("n")), "fold"), 5)
+    d, k = blocks(t)
+    d = d.where(C("block") < k - 1).withColumn("fold", C("block") + 1)
+    m = nt.moments(d, nt.fit(d, FEATS, "label", [nt.Cell()], nested=k), nested=k).drop("cell")
+    # rows by block first: a fold's are those of its block and all before
+    size = d.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).select(F.explode(F.sequence("fold", F.lit(k - 1))).alias("fold"), "n")
+    return rounded(m.join(size.groupBy("fold").agg(F.sum("n").alias("n")), "fold"), 5)
 
 
 @query("z5_stacking_optimum", f"""WITH {PSEUDO}, x AS (SELECT CAST(finish = 1 AS INT) AS label, {', '.join(_P)} FROM ps WHERE race_id % 4 <> 0)
@@ -157,7 +168,8 @@ def _(t):
 
 @query("z10_random_search", None)
 def _(t):
-    return rounded(sc.random_search(folds(t)[0], FEATS, "label", sc.search_cells(FEATS, 24)), 4)
+    d, n = blocks(t)
+    return rounded(sc.random_search(d, FEATS, "label", sc.search_cells(FEATS, 24), n), 4)
 
 
 @query("z11_auc_by_fold", f"""WITH {RE}, x AS (SELECT CAST((year(race_date) * 12 + month(race_date) - 1999 * 12 - 1) // 6 AS INT) AS fold, prob, CAST(finish = 1 AS INT) AS label FROM re WHERE race_date >= '1999-01-01'),

@@ -114,6 +114,17 @@ def month_folds(df: DataFrame, date: str, first: str, months: int, count: int) -
     return _roles(d, {"train": F.to_date(date) < cut, "test": (F.to_date(date) >= cut) & (F.to_date(date) < nxt)})
 
 
+def month_blocks(df: DataFrame, date: str, first: str, months: int) -> DataFrame:
+    """The folds of month_folds without copies of rows: block is the fold that tests a row, or -1 before all of them.
+
+    Fold k is trained on the rows of blocks below k. Rows without a date are left out.
+    """
+    start = F.lit(first).cast("date")
+    near = F.floor(F.months_between(F.trunc(date, "month"), F.trunc(start, "month")) / months).cast("int")
+    block = F.when(F.to_date(date) >= F.add_months(start, near * months), near).otherwise(near - 1)
+    return df.where(C(date).isNotNull()).withColumn("block", F.greatest(block, F.lit(-1)))
+
+
 def pairwise_training(e: DataFrame, features: list[str], max_pairs: int | None = 20) -> DataFrame:
     """Feature differences and who finished ahead; pairs of a race in a scattered order, first max_pairs.
 

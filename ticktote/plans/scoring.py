@@ -44,11 +44,13 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
 
 
 def fit_voters(train: DataFrame, features: list[str], label: str, **kw) -> list:
-    d = assemble(train, features).select("features", label).persist()
-    try:
-        return [v.fit(d) for v in voters(label, **kw)]
-    finally:
-        d.unpersist()
+    """The voters on rows that every pass of every voter reads again: write train first, see `stored_table`.
+
+    The vectors are made anew in each pass. Held in memory they would take several times the room of the stored
+    columns, and drive out the binned rows that the tree models hold.
+    """
+    d = assemble(train, features).select("features", label)
+    return [v.fit(d) for v in voters(label, **kw)]
 
 
 def score_voters(models: list, df: DataFrame, features: list[str], prefix: str = "p") -> DataFrame:
@@ -99,18 +101,21 @@ def stack(train: DataFrame, test: DataFrame, cols: list[str], label: str) -> Dat
 
 
 def walk_forward_scores(d: DataFrame, features: list[str], label: str, folds: Iterable[int], **kw) -> DataFrame:
-    """Per fold: fit on its train rows, score its test rows. d has fold and role."""
+    """Per fold: fit on the rows of earlier blocks, score those of its own. d is stored and has block."""
     out = None
     for f in folds:
-        part = d.where(C("fold") == f)
-        models = fit_voters(part.where("role = 'train'"), features, label, **kw)
-        s = vote(score_voters(models, part.where("role = 'test'"), features), [f"p{i}" for i in range(1, 6)])
+        models = fit_voters(d.where(C("block") < f), features, label, **kw)
+        test = d.where(C("block") == f).withColumn("fold", F.lit(f))
+        s = vote(score_voters(models, test, features), [f"p{i}" for i in range(1, 6)])
         out = s if out is None else out.unionByName(s)
     return out
 
 
 def meta_model(train: DataFrame, test: DataFrame, features: list[str], label: str) -> DataFrame:
-    """A primary model, then a second one on features and primary probability that tells if the primary is right."""
+    """A primary model, then a second one on features and primary probability that tells if the primary is right.
+
+    Write train first: each pass of both fits reads it again.
+    """
     base = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip"), RandomForestClassifier(featuresCol="_x", labelCol=label, numTrees=10, maxDepth=4, seed=7, probabilityCol="_p")]).fit(train)
 
     def primary(d: DataFrame) -> DataFrame:
@@ -149,20 +154,25 @@ def duplicate_features(df: DataFrame, features: list[str], threshold: float = 0.
 
 
 def grid_search(d: DataFrame, features: list[str], label: str, ret: str, grid: list[dict], folds: Iterable[int]) -> DataFrame:
-    """Fold profit factor of each parameter set; the grid is a short list."""
+    """Fold profit factor of each parameter set; the grid is a short list.
+
+    d is stored and has block: fold f is trained on the rows of earlier blocks and tested on its own. No row
+    is copied into the folds, and the test rows of all fits are scored in one job for each fold.
+    """
     rows = []
-    x = assemble(d, features).persist()
-    try:
+    x = assemble(d, features)
+    for f in folds:
+        test = x.where(C("block") == f)
+        sums = [F.count(F.lit(1)).alias("n")]
         for i, p in enumerate(grid):
-            for f in folds:
-                part = x.where(C("fold") == f)
-                m = RandomForestClassifier(featuresCol="features", labelCol=label, seed=11, **p).fit(part.where("role = 'train'"))
-                s = m.transform(part.where("role = 'test'")).withColumn("r", F.when(C("prediction") == 1, C(ret)).otherwise(-C(ret)))
-                v = s.agg(F.sum(F.when(C("r") > 0, C("r"))).alias("g"), F.sum(F.when(C("r") < 0, -C("r"))).alias("l"), F.count(F.lit(1)).alias("n")).first()
-                rows.append((i, str(sorted(p.items())), f, int(v["n"]), float(v["g"] or 0) / float(v["l"]) if v["l"] else None))
-    finally:
-        x.unpersist()
-    return d.sparkSession.createDataFrame(rows, "grid int, params string, fold int, n bigint, pf double")
+            m = RandomForestClassifier(featuresCol="features", labelCol=label, seed=11, **p).fit(x.where(C("block") < f))
+            m.setPredictionCol(f"_y{i}").setProbabilityCol(f"_v{i}").setRawPredictionCol(f"_w{i}")
+            test = m.transform(test).drop(f"_v{i}", f"_w{i}")
+            r = F.when(C(f"_y{i}") == 1, C(ret)).otherwise(-C(ret))
+            sums += [F.sum(F.when(r > 0, r)).alias(f"g{i}"), F.sum(F.when(r < 0, -r)).alias(f"l{i}")]
+        v = test.agg(*sums).first()
+        rows += [(i, str(sorted(p.items())), f, int(v["n"]), float(v[f"g{i}"] or 0) / float(v[f"l{i}"]) if v[f"l{i}"] else None) for i, p in enumerate(grid)]
+    return d.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r[0], r[2])), "grid int, params string, fold int, n bigint, pf double")
 
 
 def search_cells(features: list[str], draws: int, seed: int = 42) -> list[nt.Cell]:
@@ -175,14 +185,19 @@ def search_cells(features: list[str], draws: int, seed: int = 42) -> list[nt.Cel
     return cells
 
 
-def random_search(d: DataFrame, features: list[str], label: str, cells: list[nt.Cell]) -> DataFrame:
+def random_search(d: DataFrame, features: list[str], label: str, cells: list[nt.Cell], folds: int | None = None) -> DataFrame:
     """Mean area, loss and accuracy of each setting over the test rows of all folds, best first; d has fold and role.
 
-    All settings and folds are fitted together: one job for each Newton step, and one for all test rows.
+    With the number of expanding folds, d is stored and has block instead: a fold is trained on the rows of earlier blocks
+    and tested on its own. All settings and folds are fitted together: one job for each Newton step, and one for all test rows.
     """
-    x = stored_table(d.select("fold", "role", label, *features), "search")
-    fits = nt.fit(x.where("role = 'train'"), features, label, cells)
-    s = nt.evaluate(x.where("role = 'test'"), fits).groupBy("cell").agg(
+    if folds is None:
+        x = stored_table(d.select("fold", "role", label, *features), "search")
+        train, test = x.where("role = 'train'"), x.where("role = 'test'")
+    else:
+        train, test = d.where(C("block") < folds - 1).withColumn("fold", C("block") + 1), d.where(C("block") >= 0).withColumn("fold", C("block"))
+    fits = nt.fit(train, features, label, cells, nested=folds)
+    s = nt.evaluate(test, fits).groupBy("cell").agg(
         F.count("auc").alias("folds"), F.sum("n").alias("n"), F.avg("auc").alias("mean_auc"), F.stddev_samp("auc").alias("std_auc"), F.avg("log_loss").alias("mean_loss"), F.avg("accuracy").alias("mean_accuracy"))
     names = d.sparkSession.createDataFrame([(i, c.l2, c.positive_weight, ",".join(c.features or features)) for i, c in enumerate(cells)], "cell int, l2 double, positive_weight double, features string")
     return names.join(s, "cell").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("mean_auc"), "cell")))
