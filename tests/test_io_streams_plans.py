@@ -133,6 +133,59 @@ def test_shuffled_rows_of_a_batch_leave_in_order(spark, tables, tmp_path):
     pd.testing.assert_frame_equal(run_ledger(spark, tmp_path / "in"), ledger(ev), check_dtype=False)
 
 
+def test_a_key_is_never_whole_in_memory(spark, tables, tmp_path, monkeypatch):
+    """Pieces of few rows, some hours each, give the rows of one pass; a step gets no more than an hour beyond them."""
+    from ticktote.streaming import stateful as st
+
+    class Held:
+        def __init__(self):
+            self.d = {}
+
+        def getValueState(self, name, schema):
+            return Value()
+
+        def getMapState(self, name, key, value):
+            return Map()
+
+        def registerTimer(self, ms):
+            pass
+
+    class Value:
+        v = None
+
+        def exists(self):
+            return self.v is not None
+
+        def get(self):
+            return self.v
+
+        def update(self, v):
+            self.v = v
+
+        def clear(self):
+            self.v = None
+
+    class Map(dict):
+        getValue, removeKey, updateValue = dict.get, dict.pop, dict.__setitem__
+
+    class Mark:
+        def getCurrentWatermarkInMs(self):
+            return 1 << 50
+
+    monkeypatch.setattr(st, "PIECE_ROWS", 64)
+    ev = tables.raw("events").orderBy("ts", "event_id").toPandas()
+    ev = ev[ev.event_type == "click"].assign(value=lambda p: p.value - 50)
+    one = st.RiskLedger()
+    one.init(Held())
+    dealt = ev.sample(frac=1, random_state=5)
+    one.handleInputRows(("click",), (dealt.iloc[i : i + 16] for i in range(0, len(dealt), 16)), Mark())
+    parts = list(one.handleExpiredTimer(("click",), Mark(), None))
+    per_hour = ev.groupby(ev.ts.dt.floor("h")).size().max()
+    assert len(parts) > 1 and max(map(len, parts)) < 64 + per_hour and not one.buffer
+    want = st.RiskLedger().step(("click",), ev, st.RiskLedger().initial())
+    pd.testing.assert_frame_equal(pd.concat(parts, ignore_index=True), want.reset_index(drop=True), check_dtype=False)
+
+
 def test_shuffled_files_within_lateness(spark, tmp_path):
     """Files overlap in time by less than the lateness; each key has more rows than one chunk."""
     ev = pd.DataFrame({"event_id": range(1200), "event_type": [f"k{i % 2}" for i in range(1200)], "value": [float((i * 37) % 101) for i in range(1200)]})

@@ -81,6 +81,47 @@ def test_evaluation_and_moments(spark):
             assert abs(seen[k][f] - (part[f] * part.label).mean()) < 1e-6 * max(1, abs(part[f]).max())
 
 
+def test_nested_folds_equal_spread_out_ones(spark):
+    """A row of block k, stored once, counts in every fold from k on."""
+    p = sample()
+    p.loc[p.fold == 0, "c"] = 2.0  # a constant feature in the first fold only
+    d = frame(spark, p)
+    spread = d.withColumn("fold", F.explode(F.sequence("fold", F.lit(3))))
+    one, many = nt.fit(d, FEATURES, "label", CELLS, nested=4), nt.fit(spread, FEATURES, "label", CELLS)
+    assert set(one.beta) == set(many.beta) == {0, 1, 2, 3}
+    for k in many.beta:
+        np.testing.assert_allclose(one.center[k], many.center[k])
+        np.testing.assert_allclose(one.beta[k], many.beta[k], atol=1e-7)
+    order = ["fold", "cell", "term"]
+    a, b = (m.toPandas().sort_values(order).reset_index(drop=True) for m in (nt.moments(d, one, nested=4), nt.moments(spread, many)))
+    np.testing.assert_allclose(a.moment, b.moment, rtol=1e-8)
+
+
+def test_blocks_are_the_month_folds(spark):
+    from ticktote.operators import labels as lb
+
+    days = pd.date_range("1998-11-25", "2001-09-03", freq="3D")
+    d = spark.createDataFrame(pd.DataFrame({"i": range(len(days)), "day": days})).unionByName(spark.createDataFrame([(-1, None)], "i long, day timestamp"))
+    for first, months in (("1999-01-01", 6), ("1999-01-31", 1), ("1999-02-15", 5)):
+        n = lb.month_fold_count(d, "day", first, months) + 1
+        b = lb.month_blocks(d, "day", first, months).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        b = b.withColumn("role", F.when(F.col("block") < F.col("fold"), "train").when(F.col("block") == F.col("fold"), "test")).where("role is not null")
+        want = lb.month_folds(d, "day", first, months, n)
+        rows = lambda x: sorted(map(tuple, x.select("i", "fold", "role").collect()))
+        assert rows(b) == rows(want)
+
+
+def test_rows_of_model_queries_are_derived_once(tables):
+    """Fits read a stored table: their plans have no window over races, and no copy of a row for each fold."""
+    from ticktote.catalog import models
+
+    d, n = models.blocks(tables)
+    for x in (d, *models.split(tables)):
+        plan = x._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Generate" not in plan and "Join" not in plan
+    assert n == 6 and d.count() == models.rows(tables).count()
+
+
 def test_odd_inputs(spark):
     p = sample(300)
     p.loc[p.fold == 1, "label"] = 1  # one class only

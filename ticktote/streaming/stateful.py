@@ -2,8 +2,9 @@
 
 Each row goes into its key's buffer. An event-time timer at the earliest buffered row fires once the watermark has
 passed it; then all rows before the watermark are processed in the order (ts, event_id), whatever files, batches or
-Arrow chunks they came in. The buffer of a key holds what lies between the watermark and the newest row, by the hour,
-so a release touches the hours that are due and no others.
+Arrow chunks they came in. The buffer of a key holds what lies between the watermark and the newest row as packed pieces
+of an hour, so a release touches the hours that are due and no others. Rows are only ever held in Python as arrays of
+PIECE_ROWS, or of one hour if that has more: neither a batch nor a release of a whole key is in memory at once.
 
 A key starts anew with the first row that comes more than idle_ms of event time after its last one. That is decided
 row by row, so it does not depend on how rows fall into batches; the timer of an idle key only frees its memory.
@@ -13,18 +14,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 IDLE_MS = 90 * 24 * 3600 * 1000
 HOUR_US = 3600 * 1_000_000
+#: rows that are packed, or processed, together
+PIECE_ROWS = 1 << 17
+ROW = np.dtype([("us", "<i8"), ("event_id", "<i8"), ("value", "<f8")])
 
 
 class _Base(StatefulProcessor):
     fields: list[tuple] = []
-    buffered = [("us", LongType()), ("event_id", LongType()), ("value", DoubleType())]
 
     def __init__(self, idle_ms: int = IDLE_MS):
         self.idle_ms = idle_ms
@@ -32,8 +36,9 @@ class _Base(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("s", StructType([StructField(n, t) for n, t in [*self.fields, ("last_ms", LongType())]]))
-        rows = ArrayType(StructType([StructField(n, t) for n, t in self.buffered]))
-        self.buffer = handle.getMapState("b", StructType([StructField("hour", LongType())]), StructType([StructField("rows", rows)]))
+        place = StructType([StructField("hour", LongType()), StructField("piece", LongType())])
+        self.buffer = handle.getMapState("b", place, StructType([StructField("rows", BinaryType())]))
+        self.pieces = handle.getValueState("n", StructType([StructField("n", LongType())]))
 
     def initial(self) -> list:
         raise NotImplementedError
@@ -43,39 +48,71 @@ class _Base(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        hours: dict[int, list] = {}
+        chunks, held, piece, first = [], 0, self.pieces.get()[0] if self.pieces.exists() else 0, None
+
+        def pack() -> None:
+            nonlocal chunks, held, piece
+            a = np.concatenate(chunks)
+            chunks, held = [], 0
+            hour = a["us"] // HOUR_US
+            a, hour = a[np.argsort(hour, kind="stable")], np.sort(hour)
+            edges = np.flatnonzero(np.diff(hour)) + 1
+            for at, part in zip([0, *edges.tolist()], np.split(a, edges)):
+                self.buffer.updateValue((int(hour[at]), piece), (part.tobytes(),))
+            piece += 1
+
         for p in rows:
             p = p[p["event_id"].notna()]  # an end mark is not a row
-            us = p["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-            for row in zip(us.tolist(), p["event_id"].astype("int64").tolist(), p["value"].astype("float64").tolist()):
-                hours.setdefault(row[0] // HOUR_US, []).append(row)
-        for hour, new in hours.items():
-            held = self.buffer.getValue((hour,))[0] if self.buffer.containsKey((hour,)) else []
-            self.buffer.updateValue((hour,), ([*map(tuple, held), *new],))
-        if hours:
-            self.handle.registerTimer(min(r[0] for r in hours[min(hours)]) // 1000)
+            if len(p):
+                a = np.empty(len(p), ROW)
+                a["us"] = p["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+                a["event_id"], a["value"] = p["event_id"].astype("int64"), p["value"].astype("float64")
+                first = int(a["us"].min()) if first is None else min(first, int(a["us"].min()))
+                chunks.append(a)
+                held += len(a)
+                if held >= PIECE_ROWS:
+                    pack()
+        if chunks:
+            pack()
+        if first is not None:
+            self.pieces.update((piece,))
+            self.handle.registerTimer(first // 1000)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        until = timerValues.getCurrentWatermarkInMs()
-        hours = sorted(h[0] for h in self.buffer.keys())
-        ready, after = [], hours[-1] * HOUR_US if hours else None
-        for hour in hours:
+    def _due(self, until: int, after: list[int | None]) -> Iterator[np.ndarray]:
+        """Rows before the watermark in order, some hours at a time; after[0] is the time of the first row that stays."""
+        hours: dict[int, list[int]] = {}
+        for hour, piece in self.buffer.keys():
+            hours.setdefault(hour, []).append(piece)
+        ready, size = [], 0
+        for hour in sorted(hours):
             if hour * HOUR_US // 1000 >= until:
-                after = hour * HOUR_US
+                after[0] = hour * HOUR_US
                 break
-            held = [tuple(r) for r in self.buffer.getValue((hour,))[0]]
-            rest = [r for r in held if r[0] // 1000 >= until]
-            ready += [r for r in held if r[0] // 1000 < until]
-            if rest:
-                self.buffer.updateValue((hour,), (rest,))
-                after = min(r[0] for r in rest)
+            a = np.concatenate([np.frombuffer(self.buffer.getValue((hour, i))[0], ROW) for i in sorted(hours[hour])])
+            for i in hours[hour]:
+                self.buffer.removeKey((hour, i))
+            stays = a["us"] // 1000 >= until
+            if stays.any():
+                rest, a = a[stays], a[~stays]
+                self.buffer.updateValue((hour, min(hours[hour])), (rest.tobytes(),))
+                after[0] = int(rest["us"].min())
+            if len(a):
+                ready.append(a[np.lexsort((a["value"], a["event_id"], a["us"]))])
+                size += len(a)
+            if size >= PIECE_ROWS:
+                yield np.concatenate(ready)
+                ready, size = [], 0
+            if stays.any():
                 break
-            self.buffer.removeKey((hour,))
-            after = None
-        state = list(self.state.get()) if self.state.exists() else None
         if ready:
-            p = pd.DataFrame(sorted(ready), columns=[n for n, _ in self.buffered])
+            yield np.concatenate(ready)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until, after, any_row = timerValues.getCurrentWatermarkInMs(), [None], False
+        state = list(self.state.get()) if self.state.exists() else None
+        for a in self._due(until, after):
+            p = pd.DataFrame({n: a[n] for n in ROW.names})
             p["ts"] = pd.to_datetime(p["us"], unit="us")
             ms = p["us"] // 1000
             last = state[-1] if state else int(ms.iloc[0])
@@ -84,11 +121,12 @@ class _Base(StatefulProcessor):
             for n, part in p.groupby(life, sort=True):
                 s = self.initial() if n else s
                 yield self.step(key, part.reset_index(drop=True), s)
-            state = [*s, int(ms.iloc[-1])]
+            state, any_row = [*s, int(ms.iloc[-1])], True
+        if any_row:
             self.state.update(tuple(state))
             self.handle.registerTimer(state[-1] + self.idle_ms + 1)
-        if after is not None:
-            self.handle.registerTimer(after // 1000)
+        if after[0] is not None:
+            self.handle.registerTimer(after[0] // 1000)
         elif state is not None and state[-1] + self.idle_ms < until:
             self.state.clear()
 
