@@ -236,6 +236,18 @@ def test_preclose_surge(spark, tmp_path):
     assert got == {(1, 1): (0.3, "cancel"), (1, 2): (None, "no history"), (1, 3): (None, "no history"), (2, 1): (0.05, "minor"), (3, 1): (None, "no history"), (4, 1): (0.12, "half"), (5, 1): (0.3, "cancel"), (9, 9): (0.0, "normal")}
 
 
+def test_tasks_and_state_stores_grow_with_the_rows(spark, tables, monkeypatch):
+    from ticktote.catalog import streams
+    from ticktote.sources import tables as tb
+
+    assert streams.stores(1000) == streams.PARTITIONS and streams.stores(1000 * streams.STORE_ROWS) == 1000
+    plan = lambda: tables.entries()._jdf.queryExecution().optimizedPlan().toString()
+    want = sorted(tables.entries().collect(), key=str)
+    assert "RepartitionByExpression" not in plan()
+    monkeypatch.setattr(tb, "TASK_ROWS", 500)
+    assert "RepartitionByExpression" in plan() and sorted(tables.entries().collect(), key=str) == want
+
+
 def test_streams_leave_the_session_alone(spark):
     from ticktote.streaming.sources import stream_session
 
