@@ -1,7 +1,8 @@
 """Counts of many lexicon words in one pass over a text.
 
-At each place of a text, the substrings of the lengths that the lexicon has are looked up in hashed sets of its words, so
-the work is length of text times number of different lengths, however many words there are. Occurrences of one word do
+One pattern, a tree of the lexicon's letters, finds the longest word at each place of a text; the shorter words there are
+its beginnings and are looked up in hashed sets. A place is left at the first letter that no word has, so the work follows
+the length of the text and not the number of words. Occurrences of one word do
 not overlap, from the left, as with a replacement of the word; occurrences of different words may. A word that can
 overlap itself ("aa", "aba") is counted by replacement instead; there are few in a lexicon.
 """
@@ -22,6 +23,24 @@ def overlaps_itself(word: str) -> bool:
     return any(word.startswith(word[k:]) for k in range(1, len(word)))
 
 
+def _trie(words: Iterable[str]) -> str:
+    """Pattern of the longest of the words at a place; words with a common beginning share it, so a place is left at its first other letter."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for letter in w:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        # the end of a word comes last, so that longer words are tried before it
+        parts = [(letter if letter.isalnum() else "\\" + letter) + pattern(node[letter]) for letter in sorted(k for k in node if k)]
+        parts += [""] if "" in node else []
+        return parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})"
+
+    return pattern(root)
+
+
 def lexicon_hits(text: Column, words: Iterable[str]) -> Column:
     """array<string>: the word of every occurrence at every place, shorter words first; a null or empty text has none."""
     by_size: dict[int, list[str]] = defaultdict(list)
@@ -30,15 +49,15 @@ def lexicon_hits(text: Column, words: Iterable[str]) -> Column:
             raise ValueError("the empty word occurs everywhere")
         by_size[len(w)].append(w)
     none = F.array().cast("array<string>")
+    if not by_size:
+        return none
+    longest = F.coalesce(F.regexp_extract_all(text, F.lit(f"(?=({_trie(words)}))"), F.lit(1)), none)
 
-    def of_size(n: int, letters: Column) -> Column:
-        places = F.sequence(F.lit(1), F.size(letters) - n + 1)
-        found = F.transform(places, lambda i: F.array_join(F.slice(letters, i, n), ""))
-        return F.when(F.size(letters) >= n, F.filter(found, lambda w: w.isin(by_size[n]))).otherwise(none)
+    def of_size(n: int, found: Column) -> Column:
+        return F.filter(F.transform(found, lambda w: F.left(w, F.lit(n))), lambda w: w.isin(by_size[n]))
 
-    # code points, split once for each text; places of a string would be counted from its beginning each time
-    once = F.array(F.split(text, ""))
-    return F.flatten(F.transform(once, lambda letters: F.concat(none, *[of_size(n, letters) for n in sorted(by_size)])))
+    # searched once for each text; all words at a place are beginnings of the longest one there
+    return F.flatten(F.transform(F.array(longest), lambda found: F.concat(none, *[of_size(n, found) for n in sorted(by_size)])))
 
 
 def counts_by_value(text: Column, hits: Column, values: dict[str, float]) -> dict[float, Column]:
