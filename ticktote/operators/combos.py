@@ -6,7 +6,7 @@ so the joins add no exchange, and the fan-out is bounded by the field size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import sdiv
@@ -63,7 +63,7 @@ TICKETS = ("exacta", "quinella", "wide", "trifecta", "trio")
 def ticket_rows(e: DataFrame, min_prob: float = 0.0, tickets: tuple[str, ...] = TICKETS) -> DataFrame:
     """Tickets of a probability above min_prob: (race_id, ticket, combo, prob, odds, hit).
 
-    Branches are left before their third car is joined: no order of finish is likelier than its first two cars in that
+    Branches are left before their third car is met: no order of finish is likelier than its first two cars in that
     order, and no three cars than six times their strongest two as a pair. So the rows built stay close to those kept.
     """
     cols = ["car_no", "prob", "disc", "finish"]
@@ -71,7 +71,16 @@ def ticket_rows(e: DataFrame, min_prob: float = 0.0, tickets: tuple[str, ...] =
     p = {i: F.col(f"prob{i}") for i in (1, 2, 3)}
     k = {i: F.col(f"car_no{i}") for i in (1, 2, 3)}
     stronger = lambda a, b: (p[a] > p[b]) | ((p[a] == p[b]) & (k[a] > k[b]))
-    third = _side(e, cols, 3)
+    # each entry has its whole race beside it, so that a race is derived once for each ticket family and not for each car
+    field = F.collect_list(F.struct(*cols)).over(Window.partitionBy("race_id"))
+    field = e.where(F.col("race_id").isNotNull()).select("race_id", *cols, field.alias("_field"))
+    first = field.select("race_id", "_field", *[F.col(c).alias(f"{c}1") for c in cols])
+
+    def meet(d, i):
+        d = d.select("*", F.explode("_field").alias("_car"))
+        return d.select(*[c for c in d.columns if c != "_car"], *[F.col("_car")[c].alias(f"{c}{i}") for c in cols])
+
+    two = meet(first, 2).where(k[1] != k[2])
 
     def row(ticket, prob, hit, disc=F.col("disc1")):
         return F.struct(F.lit(ticket).alias("ticket"), prob.alias("prob"), hit.cast("int").alias("hit"), disc.alias("disc"))
@@ -84,16 +93,16 @@ def ticket_rows(e: DataFrame, min_prob: float = 0.0, tickets: tuple[str, ...] =
     if {"exacta", "quinella", "wide"} & set(tickets):
         q = p_quinella(p[1], p[2])
         two_top, in3 = (f[1] <= 2) & (f[2] <= 2), (f[1] <= 3) & (f[2] <= 3)
-        first = [row("exacta", p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2))] if "exacta" in tickets else []
+        one = [row("exacta", p_exacta(p[1], p[2]), (f[1] == 1) & (f[2] == 2))] if "exacta" in tickets else []
         both = {"quinella": row("quinella", q, two_top), "wide": row("wide", F.least(F.lit(1.0), 3 * q), in3)}
-        made = F.when(k[1] < k[2], F.array(*first, *[v for t, v in both.items() if t in tickets]))
-        parts.append(rows(pairs(e, cols), combo_key(k[1], k[2]), made.otherwise(F.array(*first)) if first else made))
+        made = F.when(k[1] < k[2], F.array(*one, *[v for t, v in both.items() if t in tickets]))
+        parts.append(rows(two, combo_key(k[1], k[2]), made.otherwise(F.array(*one)) if one else made))
     if "trifecta" in tickets:
-        d = pairs(e, cols).where(p_exacta(p[1], p[2]) > min_prob).join(third, "race_id").where((k[3] != k[1]) & (k[3] != k[2]))
+        d = meet(two.where(p_exacta(p[1], p[2]) > min_prob), 3).where((k[3] != k[1]) & (k[3] != k[2]))
         made = F.array(row("trifecta", p_trifecta(p[1], p[2], p[3]), (f[1] == 1) & (f[2] == 2) & (f[3] == 3)))
         parts.append(rows(d, combo_key(k[1], k[2], k[3]), made))
     if "trio" in tickets:
-        d = pairs(e, cols).where(stronger(1, 2) & (6 * p_quinella(p[1], p[2]) > min_prob)).join(third, "race_id").where(stronger(2, 3))
+        d = meet(two.where(stronger(1, 2) & (6 * p_quinella(p[1], p[2]) > min_prob)), 3).where(stronger(2, 3))
         low = F.array_min(F.array(*[F.struct(k[i].alias("k"), F.col(f"disc{i}").alias("d")) for i in (1, 2, 3)]))["d"]
         made = F.array(row("trio", p_trio(p[1], p[2], p[3]), (f[1] <= 3) & (f[2] <= 3) & (f[3] <= 3), low))
         parts.append(rows(d, F.array_join(F.sort_array(F.array(k[1], k[2], k[3])), "-"), made))
