@@ -13,6 +13,7 @@ from ticktote.functions.core import all_reasons, band, code_map, first_reason, f
 from ticktote.operators import combos as cb
 from ticktote.operators import race as ra
 from ticktote.operators.grid import threshold_grid
+from ticktote.sources.storage import stored_table
 
 C = F.col
 _J2 = "FROM entries a JOIN entries b ON a.race_id = b.race_id AND a.car_no <> b.car_no"
@@ -190,9 +191,12 @@ _DIST = """dl0 AS (SELECT race_id, car_no, s_nationkey % 3 AS district, motor_id
  dl AS (SELECT race_id, string_agg(CAST(car_no AS VARCHAR), '-' ORDER BY i) AS line, CASE WHEN max(n) < 2 THEN 0.45 WHEN max(CASE WHEN i % 3 = 0 THEN term END) = max(CASE WHEN i % 3 = 1 THEN term END) THEN 0.8 ELSE 0.7 END AS confidence FROM dl0 GROUP BY race_id, district, i // 3)"""
 
 
-def district_lines(t):
+def district_lines(t, entries=None):
+    """entries: rows with race_id, car_no, district, term and back_count, where a caller has stored them."""
     from ticktote.operators import lines as ln
 
+    if entries is not None:
+        return ln.from_districts(entries)
     s = t.raw("supplier").select(C("s_suppkey").alias("racer_id"), (C("s_nationkey") % 3).alias("district"))
     e = t.entries().join(s, "racer_id").select("race_id", "car_no", "district", (C("motor_id") % 5).alias("term"), C("qty").alias("back_count"))
     return ln.from_districts(e)
@@ -211,19 +215,26 @@ _CML = """ci AS (SELECT race_id, car_no, CASE motor_id % 4 WHEN 0 THEN 'lead' WH
  cm AS (SELECT race_id, line, confidence FROM cs UNION ALL SELECT race_id, line, confidence FROM ds WHERE (race_id, line) NOT IN (SELECT (race_id, line) FROM cs))"""
 
 
-def comment_lines(t):
+def commented(t):
+    """Entries with district, term, back_count and what the rider's comment says, stored: the lines read them several times."""
     from ticktote.functions.text import comment_intent
-    from ticktote.operators import lines as ln
 
     words = code_map(C("motor_id") % 4, {0: "自力で前から", 1: "3番の後ろです", 2: "単騎で行く"}, "second wheel for me")
     s = t.raw("supplier").select(C("s_suppkey").alias("racer_id"), (C("s_nationkey") % 3).alias("district"))
     e = t.entries().join(s, "racer_id").select("race_id", "car_no", "district", (C("motor_id") % 5).alias("term"), C("qty").alias("back_count"), F.when(C("tax") <= 0.07, words).alias("comment"))
-    return ln.from_comments(comment_intent(e.where("comment is not null"), "comment"), e)
+    e = comment_intent(e, "comment").withColumn("said", C("comment").isNotNull())
+    return stored_table(e.select("race_id", "car_no", "district", "term", "back_count", "role", "said"), "commented")
+
+
+def comment_lines(e):
+    from ticktote.operators import lines as ln
+
+    return ln.from_comments(e.where("said").select("race_id", "car_no", "role"), e)
 
 
 @query("r19_lines_from_comments", f"WITH {ENTRIES}, {_CML} SELECT race_id, line, {r('CAST(confidence AS DOUBLE)')} AS confidence FROM cm")
 def _(t):
-    return rounded(comment_lines(t))
+    return rounded(comment_lines(commented(t)))
 
 
 @query("r20_line_source_fusion", f"""WITH {ENTRIES}, {_DIST}, {_CML}, c AS (SELECT * FROM cm WHERE race_id % 2 = 0), rp AS (SELECT race_id, line, 0.9 AS confidence FROM dl WHERE race_id % 3 = 0 AND line LIKE '%-%'),
@@ -234,9 +245,10 @@ def _(t):
 def _(t):
     from ticktote.operators import lines as ln
 
-    d = district_lines(t)
+    e = commented(t)
+    d = district_lines(t, e)
     rep = d.where((C("race_id") % 3 == 0) & C("line").contains("-")).select("race_id", "line", F.lit(0.9).alias("confidence"))
-    return rounded(ln.fuse(comment_lines(t).where(C("race_id") % 2 == 0), rep, d), 4)
+    return rounded(ln.fuse(comment_lines(e).where(C("race_id") % 2 == 0), rep, d), 4)
 
 
 @query("r21_betrayal_rate", f"""WITH {RE}, x AS (SELECT race_id, car_no, racer_id, race_date, racer_id % 3 AS district, CAST(motor_id % 3 <> racer_id % 3 AS INT) AS off FROM re), d AS (SELECT *, sum(off) OVER w AS k, count(*) OVER w AS n FROM x WINDOW w AS (PARTITION BY racer_id ORDER BY race_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
