@@ -12,6 +12,7 @@ from ticktote.operators import history as hi
 from ticktote.operators import race as ra
 from ticktote.operators.combos import pairs
 from ticktote.operators.shape import snapshot_columns
+from ticktote.sources.storage import stored_table
 from ticktote.sources.tables import SNAPSHOTS
 
 C = F.col
@@ -112,16 +113,18 @@ def _(t):
  c AS (SELECT *, sum(nw) OVER (PARTITION BY racer_id ORDER BY day, venue_id) AS ch FROM n), b AS (SELECT racer_id, ch, lag(min(best)) OVER (PARTITION BY racer_id ORDER BY ch) AS pb FROM c GROUP BY 1, 2)
  SELECT c.racer_id, venue_id, day, CAST(pb AS DOUBLE) AS prev_meet_best FROM c JOIN b ON b.racer_id = c.racer_id AND b.ch = c.ch""")
 def _(t):
-    d = hi.previous_meet_best(t.race_entries(True), "racer_id", "venue_id", "race_date", "finish")
+    d = hi.previous_meet_best(t.sized().race_entries(True), "racer_id", "venue_id", "race_date", "finish")
     return d.withColumn("prev_meet_best", C("prev_meet_best").cast("double"))
 
 
 @query("w22_same_region_companions", f"""WITH {RE}, x AS (SELECT race_id, car_no, racer_id, race_date, count(*) OVER (PARTITION BY race_id, s_nationkey) - 1 AS mates FROM re JOIN supplier ON s_suppkey = racer_id)
  SELECT race_id, car_no, CAST(coalesce(sum(mates) OVER (PARTITION BY racer_id ORDER BY race_date RANGE BETWEEN INTERVAL 60 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS BIGINT) AS companions_60d FROM x""")
 def _(t):
+    t = t.sized()
     s = t.raw("supplier").select(C("s_suppkey").alias("racer_id"), C("s_nationkey").alias("region_id"))
     e = t.race_entries().join(s, "racer_id").select("race_id", "car_no", "racer_id", "race_date", "region_id")
     e = e.withColumn("mates", F.count(F.lit(1)).over(Window.partitionBy("race_id", "region_id")) - 1)
+    e = stored_table(e.drop("region_id"), "past")
     d = hi.past_sums(e, ["racer_id"], "race_date", {"companions_60d": (C("mates"), 60)})
     return d.select("race_id", "car_no", "companions_60d")
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import sdiv
+from ticktote.session import sized_session
 
 ENTRY_ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
 # Snapshot times before the start, in minutes; 0 is the final price. Fixed values.
@@ -28,6 +29,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    def sized(self, name: str = "lineitem") -> Tables:
+        """These tables in a session whose every exchange makes tasks of about TASK_ROWS rows of the named table."""
+        return Tables(sized_session(self.spark, -(-self.raw(name).count() // TASK_ROWS)), self.path)
+
     def _spread(self, df: DataFrame, key: str) -> DataFrame:
         """df dealt by key into tasks of about TASK_ROWS, where the session's shuffle partitions would hold more; counts df."""
         tasks = -(-df.count() // TASK_ROWS)
