@@ -67,7 +67,7 @@ def _rng(n):
 @query("w17_date_range_rates", f"""WITH {RE}, x AS (SELECT race_id, car_no, CAST(finish = 1 AS INT) AS win, sum(CAST(finish = 1 AS INT)) OVER a AS w90, count(*) OVER a AS n90, sum(CAST(finish = 1 AS INT)) OVER b AS w365, count(*) OVER b AS n365 FROM re
  WINDOW a AS {_rng(90)}, b AS {_rng(365)}) SELECT race_id, car_no, {r('CASE WHEN n90 < 5 OR n365 < 5 THEN 0.0 ELSE w90 / n90 - w365 / n365 END', 4)} AS trend, CAST(n90 AS BIGINT) AS n90 FROM x""")
 def _(t):
-    e = t.race_entries().select("race_id", "car_no", "racer_id", "race_date", "finish")
+    e = stored_table(t.sized().race_entries().select("race_id", "car_no", "racer_id", "race_date", "finish"), "past")
     win, one = flag(C("finish") == 1), F.lit(1)
     d = hi.past_sums(e, ["racer_id"], "race_date", {"w90": (win, 90), "n90": (one, 90), "w365": (win, 365), "n365": (one, 365)})
     tr = F.when((C("n90") < 5) | (C("n365") < 5), 0.0).otherwise(sdiv("w90", "n90") - sdiv("w365", "n365"))

@@ -257,7 +257,8 @@ def _(t):
     from ticktote.operators import history as hi
     from ticktote.operators.lines import betrayal_hit
 
-    e = t.race_entries().select("race_id", "car_no", "racer_id", "race_date", betrayal_hit(C("racer_id") % 3, C("motor_id") % 3).alias("off"))
+    e = t.sized().race_entries().select("race_id", "car_no", "racer_id", "race_date", betrayal_hit(C("racer_id") % 3, C("motor_id") % 3).alias("off"))
+    e = stored_table(e, "past")
     d = hi.past_sums(e, ["racer_id"], "race_date", {"k": (C("off"), None), "n": (F.lit(1), None)})
     return rounded(d.select("race_id", "car_no", F.when(C("n") >= 5, C("k") / C("n")).otherwise(0.1 + 0.05 * (C("racer_id") % 3)).alias("betrayal_rate")))
 
