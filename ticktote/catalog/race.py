@@ -133,10 +133,10 @@ def _(t):
  h AS (SELECT race_id, car_no, sum(ahead) OVER w AS wins, count(*) OVER w AS n FROM p WINDOW w AS (PARTITION BY x, y ORDER BY race_date RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING))
  SELECT race_id, car_no, {r('CASE WHEN sum(n) >= 10 THEN sum(coalesce(wins, 0)) / sum(n) ELSE 0.5 END')} AS h2h_rate FROM h GROUP BY 1, 2""")
 def _(t):
-    e = t.race_entries().select("race_id", "car_no", "racer_id", "race_date", "finish")
+    e = t.sized().race_entries().select("race_id", "car_no", "racer_id", "race_date", "finish")
     p = pairs(e, ["car_no", "racer_id", "race_date", "finish"])
     p = p.select("race_id", C("car_no1").alias("car_no"), C("racer_id1").alias("x"), C("racer_id2").alias("y"), C("race_date1").alias("race_date"), flag(C("finish1") < C("finish2")).alias("ahead"))
-    p = hi.past_sums(p, ["x", "y"], "race_date", {"wins": (C("ahead"), None), "n": (F.lit(1), None)})
+    p = hi.past_totals(p, ["x", "y"], "race_date", {"wins": C("ahead"), "n": F.lit(1)}, spread="race_id")
     g = p.groupBy("race_id", "car_no").agg(F.sum("wins").alias("w"), F.sum("n").alias("n"))
     return rounded(g.select("race_id", "car_no", F.when(C("n") >= 10, C("w") / C("n")).otherwise(0.5).alias("h2h_rate")))
 

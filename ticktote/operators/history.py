@@ -7,6 +7,8 @@ rows that participant has, and same-day rows never see each other.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,20 @@ def past_sums(df: DataFrame, keys: list[str], date: str, values: dict[str, tuple
     return out.select(*df.columns, *[F.coalesce(k, F.lit(0)).alias(k) for k in values])
 
 
+def past_totals(df: DataFrame, keys: list[str], date: str, values: dict[str, Column], spread: str) -> DataFrame:
+    """past_sums over all earlier days for keys of few rows, such as two racers that met: one exchange of the rows and no join.
+
+    Rows without a key or a day have no history. Those without a key are dealt out by `spread`; those without a day come
+    before all days.
+    """
+    keyed = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    d = df.select(*df.columns, day_number(date).alias("_dn"), *[v.alias(k) for k, v in values.items()], F.when(~keyed, F.col(spread)).alias("_lone"))
+    w = Window.partitionBy(*keys, "_lone").orderBy("_dn").rangeBetween(Window.unboundedPreceding, -1)
+    sums = {k: F.sum(k).over(w) for k in values}
+    known = keyed & F.col("_dn").isNotNull()
+    return d.select(*df.columns, *[F.when(known, F.coalesce(s, F.lit(0))).otherwise(0).alias(k) for k, s in sums.items()])
+
+
 def last_n_before(df: DataFrame, keys: list[str], date: str, order: list[str], value: Column, n: int, out: str) -> DataFrame:
     """Adds the array of the last n values before the day, newest first; ties in a day follow `order`.
 
