@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import awkward, frame, prose, shingle_set, unite  # noqa: E402
@@ -219,6 +220,29 @@ def test_cut_repeats(spark):
     assert suffix_dedup.cut_repeats(frame(spark, [])).count() == 0
 
 
+def test_cut_repeats_of_texts_that_share_a_key_or_repeat_themselves(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "KEY_DIGITS", 1)
+    line, other = prose(500, 12), prose(501, 12)
+    rows = [(k, " ".join([prose(510 + k, 5), line, other[: 3 * k], line])) for k in range(40)] + [(60, "ab" * 400), (61, "ab" * 90 + line), (62, None), (63, "ab" * 400), (64, "a" * 49), (65, "a" * 50), (66, "a" * 51)]
+    got = suffix_dedup.cut_repeats(frame(spark, rows)).collect()
+    assert Counter((r["id"], r["n_bytes"], r["n_removed"], len(r["spans"]), r["kept_sha256"]) for r in got) == cut_twin(rows)
+
+
+def test_repeats_are_looked_for_at_few_places(spark):
+    """A row for about each 18th byte, and bytes only of strings that several texts have."""
+    texts = [np.random.default_rng(k).integers(97, 123, 20_000, dtype=np.uint8).tobytes() for k in range(4)]
+    texts[2] = texts[2][:9000] + texts[1][5000:5400] + texts[2][9400:]
+    x, off = np.frombuffer(b"".join(texts), np.uint8), np.arange(5) * 20_000
+    row, first, count, anchor = suffix_dedup._stretches(x, off, 50)
+    assert len(row) < len(x) / 15 and count.sum() == 4 * (20_000 - 49)
+    at = dict(zip(((r, f + k) for r, f, c in zip(row, first, count, strict=True) for k in range(c)), np.repeat(anchor, count), strict=True))
+    assert all(at[2, 49_000 + k] == at[1, 25_000 + k] for k in range(351))
+    docs = spark.createDataFrame([(k, k, t.decode()) for k, t in enumerate(texts)], "key long, id long, text string")
+    plan = suffix_dedup.cut_repeats(docs.select(F.col("id").alias("doc_id"), "text"))
+    assert [(r["id"], r["n_removed"]) for r in plan.orderBy("id").collect()] == [(0, 0), (1, 0), (2, 400), (3, 0)]
+    assert [tuple(r) for r in suffix_dedup.repeated_spans(docs).groupBy("key", "id").agg(F.min("start"), F.max("stop")).collect()] == [(2, 2, 9000, 9400)]
+
+
 def ppm_twin(train, texts, order=3):
     """Probabilities by the definition: one trie of dictionaries, symbol by symbol."""
     trie = defaultdict(Counter)
