@@ -149,6 +149,20 @@ def test_near_components_edges(spark):
     assert {r["doc_id"] for r in ngram_join.keep_one(frame(spark, awkward())).collect()} >= {1, 2, 3, 4, None}
 
 
+def test_nodes_that_share_many_tokens_meet_once(spark):
+    """Each pair is made once for a kind of token where the outermost tokens agree, and never less than once."""
+    sets = {1: range(0, 40), 2: range(0, 40), 3: range(1, 40), 4: range(2, 39), 5: range(100, 110)}
+    frequent = {k: range(200, 230) for k in (2, 4, 6)}
+    rows = [(t, -1, k) for k, own in sets.items() for t in own] + [(t, k % 16, k) for k, own in frequent.items() for t in own]
+    full = [(t, salt, k, 100 + k, 95, 95, *[0] * len(ngram_join.FOLDS)) for t, salt, k in rows]
+    names = ["token", "salt", "node", "root", "n", "often", *ngram_join.FOLDS]
+    rest = spark.createDataFrame(full, ", ".join(f"{c} long" for c in names))
+    got = Counter((r["node_x"], r["node_y"]) for r in ngram_join._candidates(ngram_join._marked(rest), 80).collect())
+    want = {(a, b) for a in range(1, 7) for b in range(a + 1, 7) if set(sets.get(a, ())) & set(sets.get(b, ())) or a in frequent and b in frequent}
+    assert set(got) == want
+    assert got[1, 2] == got[1, 3] == got[2, 3] == 1 and got[2, 6] == got[4, 6] == 1 and got[1, 4] == 37 and got[2, 4] == 38
+
+
 def test_near_components_of_texts_that_share_an_id(spark):
     one, two = prose(70, 90).split(), prose(71, 90).split()
     rows = [(1, " ".join(one)), (1, " ".join(two)), (10, " ".join([*one[:-1], "end"])), (11, " ".join([*two[:-1], "end"])), (12, prose(72, 90))]

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,8 +152,8 @@ class TokenOrders:
 
 
 def _postings(orders, percent: int):
-    """Rows (token, salt, node, n, often) of the prefixes under the first order, each node once for a task."""
-    names = ["token", "salt", "node", "n", "often"]
+    """Rows (token, salt, node, rare) of the prefixes under the first order, each node once for a task. rare: a set's tokens that are not frequent."""
+    names = ["token", "salt", "node", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -161,9 +161,9 @@ def _postings(orders, percent: int):
             nodes, out, size = b.column(0).to_pylist(), [], 0
 
             def batch(out=out) -> pa.RecordBatch:
-                t, s, k, n, o = (np.concatenate([x[i] for x in out]) for i in range(5))
+                t, s, k, r = (np.concatenate([x[i] for x in out]) for i in range(4))
                 out.clear()
-                return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(s), pa.array(k), pa.array(n), pa.array(o)], names)
+                return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(s), pa.array(k), pa.array(r)], names)
 
             for i, tokens in shingle_sets(b, 1):
                 node = nodes[i]
@@ -174,7 +174,7 @@ def _postings(orders, percent: int):
                 at = orders.value.prefix(tokens, freq, 0, percent)
                 m = len(at)
                 salt = np.where(freq[at] > 0, node % SALTS, -1).astype(np.int32)
-                out.append((tokens[at], salt, np.full(m, node, np.int64), np.full(m, len(tokens), np.int32), np.full(m, np.count_nonzero(freq), np.int32)))
+                out.append((tokens[at], salt, np.full(m, node, np.int64), np.full(m, np.count_nonzero(freq == 0), np.int32)))
                 size += m
                 if size > 200_000:
                     yield batch()
@@ -188,18 +188,18 @@ def _postings(orders, percent: int):
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by token, salt and rank: those of buckets with several members, or of a salted token, with the bucket's leader.
 
-    Rows of one node in one bucket, which several tasks may have sent, are one.
+    Rows of one node in one bucket, which several tasks may have sent, are one. Further columns are passed on.
     """
     held, last = None, None
     for b in batches:
-        token, salt, node, n, often = (b.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        token, salt, node, *more = (c.to_numpy(zero_copy_only=False) for c in b.columns)
         if not len(token):
             continue
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
         new[0] = last != (token[0], node[0])
         last = (token[-1], node[-1])
-        token, salt, node, n, often = (x[new] for x in (token, salt, node, n, often))
+        token, salt, node, *more = (x[new] for x in (token, salt, node, *more))
         if not len(token):
             continue
         first = np.ones(len(token), bool)
@@ -215,12 +215,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lone = np.append(first[1:], False)  # the last row's bucket may go on in the next batch
         keep |= first & ~lone
         keep[-1] = (salt[-1] >= 0) or not first[-1]
-        out = [token[keep], salt[keep], node[keep], n[keep], often[keep], lead[keep]]
+        out = [x[keep] for x in (token, salt, node, *more, lead)]
         if held is not None and not first[0] and held["row"] is not None:
             out = [np.concatenate([[r], o]).astype(o.dtype) for r, o in zip(held["row"], out, strict=True)]
-        row = None if keep[-1] else (token[-1], salt[-1], node[-1], n[-1], often[-1], lead[-1])
+        row = None if keep[-1] else tuple(x[-1] for x in (token, salt, node, *more, lead))
         held = {"key": (token[-1], salt[-1]), "lead": lead[-1], "row": row}
-        yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], ["token", "salt", "node", "n", "often", "lead"])
+        yield pa.RecordBatch.from_arrays([pa.array(o) for o in out], [*b.schema.names, "lead"])
 
 
 def _verify(orders, percent: int, count_orders: int):
@@ -241,6 +241,29 @@ def _verify(orders, percent: int, count_orders: int):
     return run
 
 
+def _marked(rest: DataFrame) -> DataFrame:
+    """rest with least and most: of each node, the outermost of its tokens that are frequent, or that are not, as the row's token."""
+    kind = Window.partitionBy("node", F.col("salt") < 0)
+    return rest.withColumns({"least": F.min("token").over(kind), "most": F.max("token").over(kind)})
+
+
+def _candidates(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a bucket in different components that sizes, frequent tokens and folded bitmaps leave room for.
+
+    Nodes that share many tokens would meet in as many buckets. All conditions but the token's are those of the pair and
+    of the kind of token (frequent or not), so two nodes with the same least token of a kind meet there only, and else
+    those with the same largest one there.
+    """
+    x, y = (rest.select(*[F.col(c).alias(f"{c}_{k}") for c in rest.columns]) for k in "xy")
+    both = F.least(F.col("often_x"), F.col("often_y"))
+    fits = (F.col("salt_x") < 0) | (100 * both >= percent * (F.col("n_x") + F.col("n_y") - both))
+    close = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
+    unequal = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in FOLDS), F.lit(0))
+    alike = unequal * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
+    once = F.when(F.col("least_x") == F.col("least_y"), F.col("token_x") == F.col("least_x")).when(F.col("most_x") == F.col("most_y"), F.col("token_x") == F.col("most_x")).otherwise(True)
+    return x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & close & once & fits & alike)
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, percent: int = PERCENT, orders: int = ORDERS, frequent_tokens: int = FREQUENT_TOKENS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id.
 
@@ -279,9 +302,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             node = b.column(0).to_pylist()
             yield b.take(pa.array([i for i, t in shingle_sets(b, 1) if _node(t, seed)[0] == node[i]], pa.int64()))
 
-    post = text.select("text").mapInArrow(lambda b: _postings(order, percent)(keyed(b)), "token long, salt int, node long, n int, often int")
-    dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", F.expr("n - often"), "node")
-    shared = shared_table(dealt.mapInArrow(_shared, "token long, salt int, node long, n int, often int, lead long"), "shared-prefixes")
+    post = text.select("text").mapInArrow(lambda b: _postings(order, percent)(keyed(b)), "token long, salt int, node long, rare int")
+    dealt = post.repartition("token", "salt").sortWithinPartitions("token", "salt", "rare", "node")
+    shared = shared_table(dealt.mapInArrow(_shared, "token long, salt int, node long, rare int, lead long"), "shared-prefixes")
 
     # salted buckets of one token: their leaders meet under the least of them
     heads = shared.where("salt >= 0").groupBy("token").agg(F.min("lead").alias("least"))
@@ -312,15 +335,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comp = components(links)
     here = shared.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = here.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    rest = here.join(mixed, "token").select("token", "salt", "node", "n", "often", "root").join(members.select("node", *FOLDS), "node")
-    rest = shared_table(rest, "mixed-buckets")
-    x, y = (rest.select(*[F.col(c).alias(f"{c}_{k}") for c in rest.columns]) for k in "xy")
-    both = F.least(F.col("often_x"), F.col("often_y"))
-    fits = (F.col("salt_x") < 0) | (100 * both >= percent * (F.col("n_x") + F.col("n_y") - both))
-    close = 100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")
-    unequal = sum((F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in FOLDS), F.lit(0))
-    alike = unequal * (100 + percent) <= (F.col("n_x") + F.col("n_y")) * (100 - percent)
-    pairs = x.join(y, (F.col("token_x") == F.col("token_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("root_x") != F.col("root_y")) & close & fits & alike)
+    rest = here.join(mixed, "token").select("token", "salt", "node", "rare", "root").join(members.select("node", "n", *FOLDS), "node")
+    rest = shared_table(_marked(rest.withColumn("often", F.col("n") - F.col("rare")).drop("rare")), "mixed-buckets")
+    pairs = _candidates(rest, percent)
     pairs = pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = shared_table(verified(pairs), "more-links")
     final = components(links.union(more))
