@@ -28,7 +28,7 @@ GRAM = 16
 STRETCH = 256
 #: bits of an anchor, and hexadecimal digits of a text's SHA-256 in its key. Anchors that share theirs, and texts of
 #: different ids that share theirs, are only looked at together
-ANCHOR_BITS, KEY_DIGITS = 40, 15
+ANCHOR_BITS, KEY_DIGITS = 40, 12
 
 _U = np.uint64
 
