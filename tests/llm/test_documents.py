@@ -329,6 +329,17 @@ def test_ppm_without_training(spark):
     assert ppm.score_documents(frame(spark, [])).count() == 0
 
 
+def test_words_are_let_go_after_a_task():
+    import pyarrow as pa
+    import public_tokenizers
+
+    run = packing._tokenise(public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([prose(5, 3000), None])], ["doc_id", "text"])
+    first, again = list(run(iter([batch]))), list(run(iter([batch])))
+    assert first[0].equals(again[0]) and first[0].column(1).to_pylist()[1] == 1
+    assert all(not t.cores and len(t.code) == 2 for t in packing._TOKENIZERS.values())
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -7,10 +7,13 @@ import hashlib
 import random
 import re
 import sys
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 sys.path.insert(0, str(Path(__file__).parent))
 from helpers import awkward, frame, prose  # noqa: E402
@@ -179,6 +182,40 @@ def test_quality_without_labels(spark):
     assert quality.quality_scores(frame(spark, []), quality.good_labels(one)).count() == 0
 
 
+class Rows:
+    """Stands for a table: keeps the function that its tasks run."""
+
+    columns, schema = ["doc_id", "text"], {"doc_id": T.StructField("doc_id", T.LongType())}
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_tasks_hold_slices_of_batches(monkeypatch):
+    texts = [prose(k % 50, 150) for k in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    model = quality.CoTrained(quality.choose_features([np.array([3, 5]), np.array([4])], np.array([0.0, 1.0]), least=1, z_score=0.0))
+    monkeypatch.setattr(quality, "train", lambda *_, **__: (model, None))
+    features = next(iter(quality.text_features(batch, 1)))
+    for apply in (lambda d: quality.featurise(d, "doc_id", "text", ()), lambda d: quality.accept(d, None, meta_cols=(), least=0.0)):
+        d = Rows()
+        apply(d)
+        sizes, run = [], d.run(iter([batch]))
+        tracemalloc.start()
+        try:
+            sizes = [b.num_rows for b in run]
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert sum(sizes) == len(texts) and max(sizes) <= quality.SLICE_ROWS
+        # the feature numbers of all rows would take this much alone
+        assert peak < len(texts) * features.nbytes
+
+
 def test_pseudo_labels_come_from_the_other_view():
     r = np.random.default_rng(1)
     y = r.integers(0, 2, 300).astype(float)

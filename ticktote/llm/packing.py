@@ -26,7 +26,8 @@ END = "\n"
 CACHE_WORDS = 400_000
 CACHE_CORES = 300_000
 _PARTS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
-SLICE_CHARS = 500_000
+#: characters of a very long text, and words of several texts, that are encoded at a time
+SLICE_CHARS, SLICE_WORDS = 500_000, 50_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -111,6 +112,12 @@ class WordTokenizer:
             out.append(ids)
         return out
 
+    def forget(self) -> None:
+        """Lets go of all words, as a Python worker outlives the stage that it worked for."""
+        self.cores.clear()
+        self.tails = {"": b""}
+        self._clear()
+
     def _clear(self) -> None:
         self.code = _Codes(["", END])
         self.ids = np.array([self.end_id], dtype=np.uint32)
@@ -200,11 +207,12 @@ def _tokenise(path: str, capacity: int, end_id: int):
                 words.extend(_split(text))
                 words.append(END)
                 ends.append(len(words))
-                if len(words) > 300_000:
+                if len(words) > SLICE_WORDS:
                     flush()
             flush()
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([n for n, _ in done], pa.int64()), pa.array([c for _, c in done], pa.list_(pa.int64()))], ["id", "doc_tokens", "crcs"])
+        tok.forget()
 
     return run
 

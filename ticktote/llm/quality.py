@@ -11,7 +11,7 @@ all documents.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -35,6 +35,8 @@ MAX_PSEUDO = 2_000
 ROUNDS = 2
 CONFIDENT = 0.97
 META = ("lang", "source", "n_chars")
+#: rows, and bytes of text, that a task works on at a time
+SLICE_ROWS, TEXT_BYTES = 1_000, 1 << 18
 
 
 _KINDS = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "!?", "#$%&*+<=>@^~", "|", ".,;:", "\n", " \t", "()[]{}/\\\"'_-")
@@ -59,7 +61,7 @@ def _logs(x: np.ndarray) -> np.ndarray:
 def text_features(batch: pa.RecordBatch, i: int, chosen: np.ndarray | None = None) -> Iterator[np.ndarray]:
     """The sorted feature numbers of each text of a column; with `chosen`, renumbered by it, without those it has as 0."""
     data, off = columns(batch, i)
-    for a, z in pieces(data, off):
+    for a, z in pieces(data, off, TEXT_BYTES):
         part, at = data[off[a] : off[z]], off[a : z + 1] - off[a]
         size = np.diff(at)
         h, w = word_hashes(part, at)
@@ -98,7 +100,7 @@ def choose_features(rows: list[np.ndarray], y: np.ndarray, least: int = LEAST_RO
     error = np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n[0] + 1 / n[1]))
     keep = np.flatnonzero((df[0] + df[1] >= least) & (np.abs(df[1] / n[1] - df[0] / n[0]) >= z_score * error))
     keep = np.sort(keep[np.argsort(-both[keep], kind="stable")[:most]])
-    out = np.zeros(TEXT_FEATURES, np.int64)
+    out = np.zeros(TEXT_FEATURES, np.int32)
     out[keep] = 1 + np.arange(len(keep))
     out[WORD_FEATURES:] = 1 + len(keep) + np.arange(TEXT_FEATURES - WORD_FEATURES)
     return out
@@ -165,6 +167,11 @@ class CoTrained:
         return p
 
 
+def _sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of batches by SLICE_ROWS, so that the arrays made for them stay small, however large batches are."""
+    return (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+
+
 def _sets(b: pa.RecordBatch, i: int) -> list[np.ndarray]:
     return [np.frombuffer(v, dtype=np.uint16) for v in b.column(i).to_pylist()]
 
@@ -173,7 +180,7 @@ def featurise(docs: DataFrame, id_col: str, text_col: str, meta_cols: tuple[str,
     """id and both feature sets of each row, as packed numbers: of 16 bits, or 32 for texts if no features are chosen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _sliced(batches):
             text = [f.astype(np.uint32 if chosen is None else np.uint16).tobytes() for f in text_features(b, 1, chosen)]
             meta = [m.tobytes() for m in _metas(b, range(2, 2 + len(meta_cols)), meta_cols)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.binary()), pa.array(meta, pa.binary())], ["id", "tf", "mf"])
@@ -190,8 +197,8 @@ def _taught(features: DataFrame, model: CoTrained, view: str, sure: float, most:
     """Of all documents, those that a view is sure about: at most `most` of either class, chosen by a hash of the id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = model.scores(_sets(b, 1), _sets(b, 2))[:, 0 if view == "text" else 1] if b.num_rows else np.zeros(0)
+        for b in _sliced(batches):
+            p = model.scores(_sets(b, 1), _sets(b, 2))[:, 0 if view == "text" else 1]
             at = pa.array(np.flatnonzero((p >= sure) | (p <= 1 - sure)))
             yield pa.RecordBatch.from_arrays([*[c.take(at) for c in b.columns], pa.array((p >= 0.5).astype(np.int32)).take(at)], ["id", "tf", "mf", "y"])
 
@@ -220,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     mine = named.join(F.broadcast(sample.select("id")), "id", "left_semi")
     rows = featurise(mine, "id", "text", names).join(F.broadcast(sample), "id").dropDuplicates(["id"]).toArrow().to_pylist()
     rows.sort(key=lambda r: str(r["id"]))
-    wide = [np.frombuffer(r["tf"], dtype=np.uint32).astype(np.int64) for r in rows]
+    wide = [np.frombuffer(r["tf"], dtype=np.uint32) for r in rows]
     meta = [np.frombuffer(r["mf"], dtype=np.uint16) for r in rows]
     y, held = np.array([r["good"] for r in rows], dtype=np.float64), np.array([r["fold"] == 0 for r in rows], dtype=bool)
     model = CoTrained(choose_features([w for w, h in zip(wide, held, strict=True) if not h], y[~held]))
@@ -264,8 +271,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model, features = train(docs, labels, id_col, text_col, meta_cols, **kw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = model.scores(_sets(b, 1), _sets(b, 2)) if b.num_rows else np.zeros((0, 3))
+        for b in _sliced(batches):
+            p = model.scores(_sets(b, 1), _sets(b, 2))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(p[:, k]) for k in range(3)]], ["id", "text_score", "meta_score", "score"])
 
     schema = T.StructType([features.schema["id"], *[T.StructField(c, T.DoubleType()) for c in ("text_score", "meta_score", "score")]])
@@ -279,9 +286,8 @@ def accept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     names = tuple(f"m{k}" for k in range(len(meta_cols)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                p = model.scores(list(text_features(b, text_at, model.chosen)), _metas(b, meta_at, names))[:, 2]
-                yield b.filter(pa.array(p >= least))
+        for b in _sliced(batches):
+            p = model.scores(list(text_features(b, text_at, model.chosen)), _metas(b, meta_at, names))[:, 2]
+            yield b.filter(pa.array(p >= least))
 
     return docs.mapInArrow(run, docs.schema)
