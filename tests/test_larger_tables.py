@@ -76,3 +76,19 @@ def test_words_are_found_by_one_pattern(spark):
     for t, r in zip(texts, d.collect()):
         want = [w for n in sorted(set(map(len, words))) for k in range(len(t)) for w in words if len(w) == n and t.startswith(w, k)]
         assert r["h"] == want
+
+
+def test_daily_frames_store_what_they_read(spark, monkeypatch):
+    from ticktote.operators import scan
+    from ticktote.sources import tables as tb
+
+    load()
+    want = sorted(QUERIES["w2_rolling_stats_daily_halo"](spark, SF).collect(), key=str)
+    stored, store = [], scan.stored_table
+    monkeypatch.setattr(scan, "stored_table", lambda df, name: stored.append((name, df)) or store(df, name))
+    monkeypatch.setattr(tb, "TASK_ROWS", 500)
+    d = QUERIES["w2_rolling_stats_daily_halo"](spark, SF)
+    bars = next(df for name, df in stored if name == "scan")
+    assert bars.columns == ["symbol", "ts", "high", "close"] and "min_by" not in optimized(bars)
+    assert int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) >= 10
+    assert want and sorted(d.collect(), key=str) == want

@@ -57,7 +57,8 @@ def _(t):
 @query("w2_rolling_stats_daily_halo", f"""WITH {DAILY} SELECT symbol, ts, {r(roll('avg', 'close', 20))} AS m20, {r(roll('max', 'high', 14))} AS hi14 FROM daily""")
 def _(t):
     """The same frames on chunked keys: no key needs to fit in one task."""
-    d = sq.number_rows(t.daily(), ["symbol"], ["ts"])
+    # only what the frames read is stored and numbered
+    d = sq.number_rows(t.sized().daily().select("symbol", "ts", "high", "close"), ["symbol"], ["ts"])
     d = sq.with_halo(d, ["symbol"], "pos", 256, back=19)
     q = Seq(["symbol", "chunk_id"], "pos")
     d = d.withColumns({"m20": q.mean("close", 20), "hi14": q.roll(F.max, "high", 14)}).where("is_core")

@@ -60,10 +60,10 @@ def with_halo(df: DataFrame, keys: list[str], pos: str, chunk: int, back: int =
         raise ValueError("the frame must not be longer than the chunk")
     c = F.expr(f"{pos} div {chunk}")
     off = F.expr(f"{pos} % {chunk}")
-    targets = F.array_compact(
-        F.array(c, F.when(off >= chunk - back, c + 1), F.when((off < ahead) & (c > 0), c - 1))
-    )
-    d = df.withColumn("_home", c).withColumn("chunk_id", F.explode(targets))
+    after, ahead_of = (off >= chunk - back) if back else F.lit(False), ((off < ahead) & (c > 0)) if ahead else F.lit(False)
+    # one array for each case, as these compile and a filter over an array does not
+    targets = F.when(after & ahead_of, F.array(c, c + 1, c - 1)).when(after, F.array(c, c + 1)).when(ahead_of, F.array(c, c - 1)).otherwise(F.array(c))
+    d = df.where(F.col(pos).isNotNull()).withColumn("_home", c).withColumn("chunk_id", F.explode(targets))
     return d.withColumn("is_core", F.col("chunk_id") == F.col("_home")).drop("_home")
 
 
