@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticktote.functions.core import Seq, sdiv
+from ticktote.operators import forest as fo
 from ticktote.operators import newton as nt
 from ticktote.operators.metrics import correlation_pairs
 from ticktote.operators.sequence import runs
@@ -154,24 +155,23 @@ def duplicate_features(df: DataFrame, features: list[str], threshold: float = 0.
 
 
 def grid_search(d: DataFrame, features: list[str], label: str, ret: str, grid: list[dict], folds: Iterable[int]) -> DataFrame:
-    """Fold profit factor of each parameter set; the grid is a short list.
+    """Fold profit factor of each parameter set (numTrees, maxDepth); the grid is a short list.
 
-    d is stored and has block: fold f is trained on the rows of earlier blocks and tested on its own. No row
-    is copied into the folds, and the test rows of all fits are scored in one job for each fold.
+    d is stored and has block: fold f is trained on the rows of earlier blocks and tested on its own. Trees of all folds
+    grow side by side, one job for each level. Sets that differ in depth alone share a forest: cut at a depth, it is the one
+    that this depth grows by itself. The test rows of all fits are scored in one job.
     """
-    rows = []
-    x = assemble(d, features)
-    for f in folds:
-        test = x.where(C("block") == f)
-        sums = [F.count(F.lit(1)).alias("n")]
-        for i, p in enumerate(grid):
-            m = RandomForestClassifier(featuresCol="features", labelCol=label, seed=11, **p).fit(x.where(C("block") < f))
-            m.setPredictionCol(f"_y{i}").setProbabilityCol(f"_v{i}").setRawPredictionCol(f"_w{i}")
-            test = m.transform(test).drop(f"_v{i}", f"_w{i}")
-            r = F.when(C(f"_y{i}") == 1, C(ret)).otherwise(-C(ret))
-            sums += [F.sum(F.when(r > 0, r)).alias(f"g{i}"), F.sum(F.when(r < 0, -r)).alias(f"l{i}")]
-        v = test.agg(*sums).first()
-        rows += [(i, str(sorted(p.items())), f, int(v["n"]), float(v[f"g{i}"] or 0) / float(v[f"l{i}"]) if v[f"l{i}"] else None) for i, p in enumerate(grid)]
+    folds, sizes = list(folds), sorted({p["numTrees"] for p in grid})
+    models = [fo.Forest(n, max(p["maxDepth"] for p in grid if p["numTrees"] == n), seed=11) for n in sizes]
+    fits = fo.fit(d, features, label, models, folds, seed=11)
+    test = fo.score(d, fits, {f"_p{i}": (sizes.index(p["numTrees"]), p["maxDepth"]) for i, p in enumerate(grid)})
+    sums = [F.count(F.lit(1)).alias("n")]
+    for i in range(len(grid)):
+        r = F.when(C(f"_p{i}") > 0.5, C(ret)).otherwise(-C(ret))
+        sums += [F.sum(F.when(r > 0, r)).alias(f"g{i}"), F.sum(F.when(r < 0, -r)).alias(f"l{i}")]
+    of = {v["block"]: v for v in test.groupBy("block").agg(*sums).collect()}
+    none = dict.fromkeys(["n", *[f"{x}{i}" for i in range(len(grid)) for x in "gl"]], 0)
+    rows = [(i, str(sorted(p.items())), f, int(v["n"]), float(v[f"g{i}"] or 0) / float(v[f"l{i}"]) if v[f"l{i}"] else None) for f in folds for v in [of.get(f, none)] for i, p in enumerate(grid)]
     return d.sparkSession.createDataFrame(sorted(rows, key=lambda r: (r[0], r[2])), "grid int, params string, fold int, n bigint, pf double")
 
 
