@@ -70,6 +70,7 @@ def test_forests_are_as_good_as_those_of_pyspark_ml(spark):
 
 @pytest.mark.parametrize("search", [
     lambda d, n: sc.grid_search(d, FEATURES, "label", "ret", [{"numTrees": t, "maxDepth": m} for t in (2, 3) for m in (1, 2)], range(n)).collect(),
+    lambda d, n: sc.walk_forward_scores(d, FEATURES, "label", range(n), trees=2, depth=1).collect(),
 ])
 def test_jobs_do_not_grow_with_folds(spark, search):
     """Before, each fold and parameter set was a fit of its own, with some ten passes over all rows."""
@@ -90,3 +91,5 @@ def test_odd_folds(spark):
     assert [(r["fold"], r["n"] > 0, r["pf"] is None) for r in got] == [(0, True, False), (1, False, True)]
     with pytest.raises(ValueError):
         sc.grid_search(d.where("block > 0"), FEATURES, "label", "ret", grid, range(2))
+    one = sc.walk_forward_scores(d.withColumn("label", F.lit(0)), FEATURES, "label", range(2), trees=2, depth=1)
+    assert one.where("vote = 0").count() == one.count() > 0

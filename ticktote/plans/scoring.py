@@ -101,15 +101,18 @@ def stack(train: DataFrame, test: DataFrame, cols: list[str], label: str) -> Dat
     return out.withColumn("stacked", vector_to_array("_p")[1]).drop("_x", "_p", "rawPrediction", "prediction")
 
 
-def walk_forward_scores(d: DataFrame, features: list[str], label: str, folds: Iterable[int], **kw) -> DataFrame:
-    """Per fold: fit on the rows of earlier blocks, score those of its own. d is stored and has block."""
-    out = None
-    for f in folds:
-        models = fit_voters(d.where(C("block") < f), features, label, **kw)
-        test = d.where(C("block") == f).withColumn("fold", F.lit(f))
-        s = vote(score_voters(models, test, features), [f"p{i}" for i in range(1, 6)])
-        out = s if out is None else out.unionByName(s)
-    return out
+def walk_forward_scores(d: DataFrame, features: list[str], label: str, folds: Iterable[int], trees: int = 10, depth: int = 4, seed: int = 42) -> DataFrame:
+    """Per fold: fit the five families of `voters` on the rows of earlier blocks, score those of its own. d is stored and has block.
+
+    All trees of all folds grow side by side, as do all logistic fits, so the jobs do not depend on the number of folds.
+    """
+    folds = list(folds)
+    models = [fo.Boosting(5, 3), fo.Forest(trees, depth, seed), fo.Forest(trees, depth + 2, seed + 1), fo.Forest(1, depth, seed)]
+    grown = fo.fit(d, features, label, models, folds, seed)
+    n = max(folds, default=-1) + 1
+    lines = nt.fit(d.where(C("block") < n - 1).withColumn("fold", C("block") + 1), features, label, [nt.Cell()], nested=n)
+    s = fo.score(d, grown, {"p1": (0,), "p2": (1,), "p3": (2,), "p5": (3,)}).withColumn("fold", C("block"))
+    return vote(nt.predict(s, lines, out="p4"), [f"p{i}" for i in range(1, 6)])
 
 
 def meta_model(train: DataFrame, test: DataFrame, features: list[str], label: str) -> DataFrame:
