@@ -92,3 +92,40 @@ def test_daily_frames_store_what_they_read(spark, monkeypatch):
     assert bars.columns == ["symbol", "ts", "high", "close"] and "min_by" not in optimized(bars)
     assert int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")) >= 10
     assert want and sorted(d.collect(), key=str) == want
+
+
+def test_preclose_stream_gets_races_in_parts(spark, monkeypatch):
+    """Files have a row per car and not per snapshot, and the state holds the cars of one part."""
+    from pyspark.sql.streaming.query import StreamingQuery
+
+    from ticktote.catalog import streams
+    from ticktote.streaming import sources as so
+
+    load()
+    want = sorted(QUERIES["q7_stream_preclose_surge"](spark, SF).collect(), key=str)
+    held, steps, state, feed, wait = [], [], [], so.fed_stream, StreamingQuery.awaitTermination
+
+    def fed_stream(s, df, part, name):
+        held.append(df.count())
+        out = feed(s, df, part, name)
+        steps.extend(out[1])
+        return out
+
+    def wait_and_see(q, *timeout):
+        done = wait(q, *timeout)
+        state.extend(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators)
+        return done
+
+    monkeypatch.setattr(so, "fed_stream", fed_stream)
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", wait_and_see)
+    monkeypatch.setattr(streams, "PART_CARS", 2000)
+    got = sorted(QUERIES["q7_stream_preclose_surge"](spark, SF).collect(), key=str)
+    assert got == want and held == [len(want)] and len(steps) == -(-len(want) // 2000) >= 3
+    assert len(want) / len(steps) * 0.8 < max(state) < len(want) / len(steps) * 1.2
+
+
+def test_preclose_stream_of_no_races(spark, tmp_path):
+    load()
+    for name in ("lineitem", "orders"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert QUERIES["q7_stream_preclose_surge"](spark, str(tmp_path)).count() == 0

@@ -132,19 +132,27 @@ class Tables:
     def race_entries(self, with_venue: bool = False) -> DataFrame:
         return self.entries().join(self.races(with_venue), "race_id", "inner")
 
-    def odds_snapshots(self) -> DataFrame:
-        """(race_id, car_no, minutes, odds) at the seven snapshot times."""
+    def snapshot_cars(self) -> DataFrame:
+        """What the odds snapshots of a car are made of, one row per car."""
         sgn = F.when(F.col("car_no") % 2 == 0, 1).otherwise(-1)
-        e = self.entries().select("race_id", "car_no", "prob", "odds", "tax", sgn.alias("sgn"))
+        return self.entries().select("race_id", "car_no", "prob", "odds", "tax", sgn.alias("sgn"))
+
+    @staticmethod
+    def snapshots_of(cars: DataFrame, *keep: str) -> DataFrame:
+        """(race_id, car_no, minutes, odds) at the seven snapshot times of each car, and the columns to keep."""
         m = F.explode(F.array(*[F.lit(x) for x in SNAPSHOTS])).alias("minutes")
-        return e.select("*", m).select(
+        return cars.select("*", m).select(
             "race_id",
             "car_no",
-            "prob",
+            *keep,
             "minutes",
             (F.col("odds") * (1 + 3 * F.col("tax") * F.col("minutes") / 120 * F.col("sgn"))).alias("odds"),
         )
 
+    def odds_snapshots(self) -> DataFrame:
+        """(race_id, car_no, prob, minutes, odds) at the seven snapshot times."""
+        return self.snapshots_of(self.snapshot_cars(), "prob")
+
     # ---- ledgers ------------------------------------------------------------
     def bets(self) -> DataFrame:
         """Favourite of every race as one bet: strategy = grade, unit return in `ret`."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,28 @@ def stream_of(spark: SparkSession, stored: DataFrame) -> DataFrame:
     return spark.readStream.schema(stored.schema).parquet(folder)
 
 
+def fed_stream(spark: SparkSession, df: DataFrame, part: str, name: str) -> tuple[DataFrame, list[Callable[[], None]]]:
+    """df as a stream that gets its rows part by part, in the order of the column `part`, and the steps that hand them over.
+
+    df is written once. A step moves the files of a part into the folder that the stream reads.
+    """
+    base, jvm = scratch_dir(spark, name), spark._jvm
+    df.write.partitionBy(part).parquet(f"{base}/held")
+    jvm.System.gc()  # the cleaner then removes the files of df's exchanges, which would stay beside the stream's
+    path = jvm.org.apache.hadoop.fs.Path
+    store = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path(f"{base}/in"))
+    held = [s.getPath() for s in store.listStatus(path(f"{base}/held"))]
+    parts = {int(p.getName().partition("=")[2]): p for p in held if p.getName().startswith(f"{part}=")}
+
+    def hand_over(k: int) -> None:
+        for s in store.listStatus(parts[k]):
+            if not store.rename(s.getPath(), path(f"{base}/in/{k}-{s.getPath().getName()}")):
+                raise OSError(f"{s.getPath()} was not handed to the stream")
+
+    return spark.readStream.schema(df.drop(part).schema).parquet(f"{base}/in"), [partial(hand_over, k) for k in sorted(parts)]
+
+
 def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
     """A session of the same application for streams, with the state store they need; spark keeps its settings.
 
@@ -53,20 +76,23 @@ def run_to_end(df: DataFrame, name: str, mode: str = "append", into: SparkSessio
 END = "2200-01-01 00:00:00"
 
 
-def run_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, into: SparkSession | None = None, ts: str = "ts") -> DataFrame:
+def run_closed(source: DataFrame, build: Callable[[DataFrame], DataFrame], name: str, into: SparkSession | None = None, ts: str = "ts", feed: list[Callable[[], None]] | None = None) -> DataFrame:
     """All output of build(source) for a source that has ended, its last rows included.
 
-    The query first runs to the end of the source. Then an end mark, a row with a time after all others and nothing
+    The query first runs to the end of the source, or of what each step of feed hands to the source. Then an end mark, a row with a time after all others and nothing
     else, moves the watermark past every row, and the query goes on from its checkpoint and lets go of what it held.
     """
     spark = source.sparkSession
     base = scratch_dir(spark, name)
     spark.createDataFrame([], source.schema).write.parquet(f"{base}/end")
     df = build(source.unionByName(spark.readStream.schema(source.schema).parquet(f"{base}/end")))
-    for closing in (False, True):
-        if closing:
-            mark = [F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in source.schema]
-            spark.range(1).select(*mark).write.mode("append").parquet(f"{base}/end")
+
+    def close() -> None:
+        mark = [F.lit(END if f.name == ts else None).cast(f.dataType).alias(f.name) for f in source.schema]
+        spark.range(1).select(*mark).write.mode("append").parquet(f"{base}/end")
+
+    for step in [*([lambda: None] if feed is None else feed), close]:
+        step()
         q = df.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start()
         q.awaitTermination()
     return (into or spark).read.schema(df.schema).parquet(f"{base}/out")
